@@ -24,9 +24,60 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismara.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismara.llm.url_rules import judged
+
+    return judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op5_sql() -> str:
+    """Every rule on every url, without the index."""
+    from prismara.llm.url_rules import DEFAULT, HOST_RULES, PATTERN_RULES
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def case(rules: list, value: str, other: str) -> str:
+        ranked = sorted(rules, key=lambda r: (-len(r.name), r.name))
+        return "CASE " + " ".join(f"WHEN host || path <> '' AND regexp_full_match(host || path, {text(r.pattern)}) THEN {text(getattr(r, value))}" for r in ranked) + f" ELSE {other} END"
+
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p)
+SELECT page_id, host, path, {case(HOST_RULES, "name", "NULL")} AS rule, {case(HOST_RULES, "verdict", case(PATTERN_RULES, "verdict", text(DEFAULT)))} AS verdict FROM h"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismara.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, w[i:i + 12] AS win, len(w[i:i + 12]) AS n FROM bw),
+lengths AS (SELECT DISTINCT n FROM windows),
+dw AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths),
+hits AS (SELECT doc_id, i, windows.n AS n, item FROM dw JOIN windows ON windows.n = dw.n AND windows.win = dw.w[dw.i:dw.i + dw.n - 1]),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and name.partition("_")[2]}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_rules": _op5_sql(), "op7_decontaminate": OP7_SQL}
