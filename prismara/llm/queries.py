@@ -30,6 +30,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismara.llm.toxicity import fitted, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, fitted(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismara.llm.url_rules import judged
 
