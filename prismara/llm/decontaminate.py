@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismara.llm.shared import stored
+from prismara.llm.shared import small_broadcast, stored
 from prismara.llm.text import ALNUM_WORD, LOWER, UPPER
 
 #: Windows are broadcast up to this many bytes of words and ids; beyond, both sides are shuffled.
@@ -85,5 +85,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     Of rows with one id, all go if one is contaminated. Rows with a null id stay.
     """
-    bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    bad, _ = stored(contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct(), "contaminated")
+    return docs.join(small_broadcast(bad), docs[id_col] == F.col("_bad"), "left_anti")

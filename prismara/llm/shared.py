@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: Ids of up to so many rows are broadcast (32 MB); beyond, both sides of the join are shuffled.
+BROADCAST_IDS = 4_000_000
+
+
+def small_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A table of single 64-bit ids, to be broadcast if it is no larger than ``most`` rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
