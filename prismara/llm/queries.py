@@ -61,6 +61,12 @@ h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 SELECT page_id, host, path, {case(HOST_RULES, "name", "NULL")} AS rule, {case(HOST_RULES, "verdict", case(PATTERN_RULES, "verdict", text(DEFAULT)))} AS verdict FROM h"""
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismara.llm.suffix_tree_lm import scores
+
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismara.llm.decontaminate import contamination
 
