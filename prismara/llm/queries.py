@@ -119,6 +119,25 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.u = d.doc_id"""
 
 
+#: What op9 replaces: runs of four digits or more, and mail addresses.
+OP9_SPANS = r"[0-9]{4,}|[A-Za-z0-9._-]{1,64}@[A-Za-z0-9.-]{1,253}"
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after numbers and mail addresses are replaced, each by an edit."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from prismara.llm.edit_counts import recounted
+
+    found = F.regexp_extract_all("text", F.lit(OP9_SPANS), F.lit(0))
+    between = F.split("text", OP9_SPANS, -1)
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.char_length(x))
+    start = lambda i: total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))
+    edits = F.when(F.size(found) > 0, F.transform(found, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.char_length(x)).alias("stop"), F.when(F.contains(x, F.lit("@")), "<mail>").otherwise("0").alias("new"))))
+    return recounted(_table(spark, sf_dir, "documents"), edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
