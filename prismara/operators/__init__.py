@@ -1 +1 @@
-
+"""Relational operators on pixels, masks, rays and recipes."""

@@ -1 +1 @@
-
+"""Whole plans: support, recipes, conversion, and the registered queries."""

@@ -1 +1 @@
-
+"""Streaming plans."""
