@@ -1,28 +1,31 @@
 """Near-duplicates: universal hash minima with banding, verification, and connected components.
 
 1. One pass over the texts gives each document the fingerprint of its shingle
-   set, the minima of its shingles under universal hash functions, and their
-   bands. Documents of one fingerprint have equal sets; the smallest id stands
-   for all of them from here on, so copies never meet each other.
-2. Documents that share a band are in one bucket. A bucket links each member to
-   a pivot, never all members to each other. Pairs are screened by set size
-   and by their signatures, then confirmed on full sets.
-3. Components of the confirmed links come from alternating large-star and
-   small-star steps. Buckets whose members are still in several components get
-   other pivots, as long as that finds links; at the end, pairs across the
-   components that remain in a bucket are all looked at, so no link between
-   different components is lost.
+   set and the minima of its shingles under universal hash functions.
+   Documents of one fingerprint have equal sets; the smallest id stands for all
+   of them from here on, so copies never meet each other.
+2. Representatives that share a band are in one bucket. Each bucket links its
+   members to the smallest of them, and the components of these links are the
+   candidate groups: every pair that shares a band is in one.
+3. Within a candidate group pairs are screened by size and signature and
+   confirmed on full sets, the likeliest first; pairs that confirmed links have
+   joined already are passed over. Groups are dealt into blocks of fixed size,
+   and each pair of blocks meets in a task of its own, which returns no more
+   links than it has members.
+4. Components of the confirmed links are the groups of near-duplicates.
+
+Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismara.llm.shared import discard, small_broadcast, stored
@@ -34,7 +37,8 @@ BANDS, ROWS = 30, 4
 SCREEN = 0.575
 #: The bound on words whose hashes a worker remembers.
 REMEMBERED = 300_000
-PIVOT_ROUNDS = 4
+#: Members of a block.
+BLOCK = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,45 +122,73 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("rep", "minima").mapInArrow(work, "rep long, bucket long")
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``id``, ``s``: the full sets of documents, packed."""
+def _sets(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``id``, ``s``, ``minima``: the full sets of documents and their signatures, packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, memory).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+            sets = [shingle_set(t.as_py(), shingle, memory) for t in batch.column(1)]
+            minima = [signature(s, bands, rows).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(minima, pa.binary())], names=["id", "s", "minima"])
 
-    return texts.mapInArrow(work, "id long, s binary")
+    return texts.mapInArrow(work, "id long, s binary, minima binary").where("minima is not null")
 
 
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of ``a, b, sa, sb``, the pairs whose sets are similar enough."""
+def forest(ids: list[int], sets: list[np.ndarray], minima: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what the similar pairs of a task join, each member to the smallest id of its component.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            out = batch.select(["a", "b"])
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(work, "a long, b long")
-
-
-def _screened(pairs: DataFrame, percent: int, least: float) -> DataFrame:
-    """Of ``a, b, na, nb, ma, mb``, the pairs that sizes and signatures leave possible."""
+    ``side``: with 0 and 1 only pairs of both sides are looked at, with 0
+    alone all pairs. A pair whose signatures agree in less than SCREEN is not.
+    """
+    parent = {i: i for i in ids}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    sizes = np.array([len(s) for s in sets])
+    across = side.any()
+    found: list[tuple[float, int, int]] = []
+    for x in range(len(ids)):
+        if across and side[x]:
+            continue
+        others = np.flatnonzero(side) if across else np.arange(x + 1, len(ids))
+        others = others[np.minimum(sizes[others], sizes[x]) * 100 >= np.maximum(sizes[others], sizes[x]) * percent]
+        alike = (minima[others] == minima[x]).mean(1)
+        likely = alike >= SCREEN
+        found.extend((-float(j), x, int(y)) for j, y in zip(alike[likely], others[likely], strict=True))
+    for _, x, y in sorted(found):
+        p, q = root(ids[x]), root(ids[y])
+        if p != q:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                parent[max(p, q)] = min(p, q)
+    return [(i, root(i)) for i in parent if root(i) != i]
+
+
+def _confirmed(members: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``, ``final``: the links of candidate groups (``id``, ``s``, ``minima``, ``component``, ``blocks``).
+
+    ``final``: the group had one block, and its links need no further step.
+    """
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("id", "s", "minima", "component", "blocks", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ma, mb = batch.column(2), batch.column(3)
-            keep = [np.mean(np.frombuffer(x.as_py(), np.uint32) == np.frombuffer(y.as_py(), np.uint32)) >= least for x, y in zip(ma, mb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def work(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("s")]
+        minima = np.stack([np.frombuffer(m.as_py(), np.uint32) for m in table.column("minima")])
+        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+        side = np.asarray(table.column("block")) != one
+        links = forest(ids, sets, minima, side, percent) if one == two or side.any() and not side.all() else []
+        final = table.column("blocks")[0].as_py() == 1
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64()), "final": pa.array([final] * len(links), pa.bool_())})
 
-    possible = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return pairs.where(possible).select("a", "b", "ma", "mb").mapInArrow(work, "a long, b long")
+    return dealt.groupBy("component", "one", "two").applyInArrow(work, "a long, b long, final boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,43 +229,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-class _Search:
-    """The links among class representatives, found in rounds."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
-        self.docs, self.shingle, self.percent = docs, shingle, percent
-        self.minima = classes.select("rep", "n", "minima")
-        self.looked: list[DataFrame] = []
-        self.links: list[DataFrame] = []
-        self.paths: list[str] = []
-
-    def kept(self, df: DataFrame, name: str) -> DataFrame:
-        out, path = stored(df, name)
-        self.paths.append(path)
-        return out
-
-    def look(self, x: Column, y: Column, rows: DataFrame) -> int:
-        """Screen and confirm the pairs of ``rows`` that were not looked at yet; the number of new links."""
-        pairs = rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-        for old in self.looked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = self.kept(pairs, "pairs")
-        self.looked.append(pairs)
-        left, right = (self.minima.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("minima").alias(f"m{k}")) for k in "ab")
-        possible = self.kept(_screened(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb"), self.percent, SCREEN), "possible")
-        wanted = self.kept(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        full = self.kept(_sets(self.docs.join(small_broadcast(wanted), "id"), self.shingle), "sets")
-        both = possible.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        found = self.kept(_confirmed(both.select("a", "b", "sa", "sb"), self.percent), "links")
-        self.links.append(found)
-        return found.count()
-
-    def components(self) -> DataFrame:
-        return self.kept(components(reduce(DataFrame.unionAll, self.links)), "components")
-
-
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
     """The group of every document among near-duplicates.
 
@@ -254,37 +251,23 @@ def near_duplicates(
     named = prof.where("n > 0 and id is not null")
     # Equal sets have equal minima: any document's will do.
     classes, _ = stored(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima")), "classes")
-    search = _Search(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")), classes, shingle, percent)
-    members = search.kept(_buckets(classes, bands, rows), "members")
+    members, members_path = stored(_buckets(classes, bands, rows), "members")
     # Only buckets of several documents matter. Tables on both sides let the join split a bucket that holds many.
-    shared = search.kept(members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least"), "buckets")
-    inside = search.kept(members.join(shared, "bucket"), "inside")
-
-    search.look(F.col("rep"), F.col("least"), inside.where("rep <> least"))
-    comp = search.components()
-    for turn in range(pivot_rounds + 1):
-        placed = inside.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        # Of each bucket with several components: a pivot, and how many pairs lie across components.
-        own = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p"))
-        mixed = own.groupBy("bucket").agg(F.min(F.struct("p", "component")).alias("p"), F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"))
-        mixed = search.kept(mixed.where("size * size > squares and size > 2").select("bucket", F.col("p.p.rep").alias("pivot"), F.col("p.component").alias("own"), ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("across")), "mixed")
-        total = mixed.agg(F.count(F.lit(1)).alias("n"), F.sum("across").alias("across")).first()
-        if not total.n:
-            break
-        open_ = search.kept(placed.join(mixed, "bucket"), "open")
-        last = turn == pivot_rounds or total.across <= 4 * open_.count()
-        if last:
-            one, two = (open_.select("bucket", F.col("rep").alias(r), F.col("component").alias(c)) for r, c in (("x", "cx"), ("y", "cy")))
-            new = search.look(F.col("x"), F.col("y"), one.join(two, "bucket").where("cx < cy"))
-        else:
-            new = search.look(F.col("rep"), F.col("pivot"), open_.where("component <> own"))
-        if new:
-            comp = search.components()
-        if last:
-            break
+    shared, shared_path = stored(members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least"), "buckets")
+    groups, groups_path = stored(components(members.join(shared, "bucket").select(F.col("rep").alias("a"), F.col("least").alias("b"))), "groups")
+    discard(spark, members_path, shared_path)
+
+    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks, blocks_path = stored(blocks, "blocks")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(small_broadcast(groups.select("id")), "id")
+    placed_sets = _sets(texts, shingle, bands, rows).join(groups, "id").join(blocks, "component")
+    links, links_path = stored(_confirmed(placed_sets, percent), "links")
+    final = links.where("final").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    rest = links.where("not final")
+    comp = final if rest.isEmpty() else final.unionAll(components(rest))
 
     placed, _ = stored(classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "placed")
-    discard(spark, *search.paths)
+    discard(spark, groups_path, blocks_path, links_path)
     # Rows without a set meet nothing; keys of their own keep them apart.
     key = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("set_key")).otherwise(F.unhex(F.hex(F.coalesce("id", F.lit(0)))))
     out = prof.select("id", "n", key.alias("set_key")).join(placed, "set_key", "left")
