@@ -130,7 +130,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
             dv = (s * zs)[:, None] * (sums[group] - va * zs[:, None])
             g = np.stack([np.bincount(a, dv[:, f], n + 1) for f in range(FACTORS)], 1) + decay * v
             gv += g**2
-            v -= rate * g / np.sqrt(gv)
+            v -= rate * g / np.sqrt(gv) * 4
     weights, vectors = np.zeros(PLACES, np.float32), np.zeros((PLACES, FACTORS), np.float32)
     weights[shared], vectors[shared] = w[:n], v[:n]
     return Machine(float(w[n]), weights, vectors)
