@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismara.llm.shared import small_broadcast, stored
+from prismara.llm.shared import fresh, small_broadcast, stored
 from prismara.llm.text import ALNUM_WORD, LOWER, UPPER
 
 #: Windows are broadcast up to this many bytes of words and ids; beyond, both sides are shuffled.
@@ -67,8 +67,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = d.withColumn("h", F.coalesce("h", F.xxhash64("uid", "at")))
     hashed = F.coalesce(*(F.when(F.col("b_n") == n, _hash(F.col("b_words"), F.lit(0), n)) for n in lengths))
     b = windows.select(hashed.alias("b_h"), "b_n", "b_words", "b_items")
-    b = F.broadcast(b) if n_bytes <= broadcast_bytes else b.hint("merge")
-    same = (F.col("h") == F.col("b_h")) & (F.col("n") == F.col("b_n")) & (F.col("at") >= 0) & (F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n")) == F.col("b_words"))
+    window_words = F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("n"))
+    if n_bytes <= broadcast_bytes:
+        b = F.broadcast(b)  # the words of a document stay where they are
+    else:
+        b = b.hint("merge")
+        d, window_words = d.withColumn("w", window_words), F.col("w")  # only a window's own words are shuffled
+    same = (F.col("h") == F.col("b_h")) & (F.col("n") == F.col("b_n")) & (F.col("at") >= 0) & (window_words == F.col("b_words"))
     hits = d.join(b, same, "left").where((F.col("at") < 0) | F.col("b_n").isNotNull()).select("uid", "id", "n_words", "at", (F.col("at") + F.col("b_n")).alias("end"), "b_items")
 
     before = Window.partitionBy("uid").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,5 +90,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     Of rows with one id, all go if one is contaminated. Rows with a null id stay.
     """
-    bad, _ = stored(contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_bad")).distinct(), "contaminated")
-    return docs.join(small_broadcast(bad), docs[id_col] == F.col("_bad"), "left_anti")
+    name = fresh(docs, "bad")
+    bad, _ = stored(contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias(name)).distinct(), "contaminated")
+    return docs.join(small_broadcast(bad), F.col(id_col) == F.col(name), "left_anti")

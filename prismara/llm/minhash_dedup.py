@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismara.llm.shared import discard, small_broadcast, stored
+from prismara.llm.shared import discard, fresh, small_broadcast, stored
 from prismara.llm.text import space_words
 
 #: With 30 bands of 4 minima a pair of similarity 0.8 shares no band with probability 1.4e-7.
@@ -278,5 +278,6 @@ def near_duplicates(
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, the one of the smallest id, with all columns; rows with a null id stay."""
-    gone, _ = stored(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(small_broadcast(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone, _ = stored(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias(name)).distinct(), "gone")
+    return docs.join(small_broadcast(gone), F.col(id_col) == F.col(name), "left_anti")

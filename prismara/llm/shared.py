@@ -45,3 +45,11 @@ BROADCAST_IDS = 4_000_000
 def small_broadcast(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """A table of single 64-bit ids, to be broadcast if it is no larger than ``most`` rows."""
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

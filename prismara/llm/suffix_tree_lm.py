@@ -214,7 +214,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     words = counts.where("word is not null").select("word", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
     n, v = totals.tokens, totals.kinds
-    frequent = (F.col("n") >= F.lit(HEAD_SHARE * n)) & (F.octet_length("word") <= HEAD_BYTES)
+    # The end, which every text has, is looked up as the head is.
+    frequent = (F.col("n") >= F.lit(HEAD_SHARE * n)) & (F.octet_length("word") <= HEAD_BYTES) | (F.col("word") == F.lit(END_TOKEN))
     head_rows = words.where(frequent).toArrow()
     tree = grown(counts.where("word is null").select("run", "n"))
     shared = spark.sparkContext.broadcast((head_rows.column("word").combine_chunks(), np.asarray(head_rows.column("n")), tree))
