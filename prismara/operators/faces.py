@@ -21,7 +21,7 @@ from prismara.functions import geometry as geo
 
 NEIGHBOURS, PAD, RIDGE = 9, 10, 1e-10
 #: Side of a tile in face pixels, and its margins one after the other.
-TILE, MARGINS = 16, (8, 32, 128, 512)
+TILE, MARGINS = 64, (8, 32, 128, 512)
 #: Farther than this from all points, the Gaussian is 0 in double precision, and so are all weights.
 REACH = 13.66
 
@@ -46,12 +46,54 @@ def tie_counts(ties_: DataFrame) -> DataFrame:
     return every.join(ties_.groupBy("face").agg(F.count(F.lit(1)).alias("n")), "face", "left").select("face", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest(px: np.ndarray, py: np.ndarray, src: np.ndarray, row: np.ndarray, col: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """For each target the places of its ``k`` nearest points and their squared distances; of those that agree to nine decimals the smaller ``src`` first."""
-    order = np.argsort(src, kind="stable")
-    d2 = (px[order][None, :] - col[:, None]) ** 2 + (py[order][None, :] - row[:, None]) ** 2
-    first = np.argsort(np.round(d2, 9), 1, kind="stable")[:, :k]
-    return order[first], np.take_along_axis(d2, first, 1)
+def nearest(px: np.ndarray, py: np.ndarray, row: np.ndarray, col: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    """For each target the places of its ``k`` nearest points and their squared distances; of those that agree to nine decimals the first."""
+    d2 = (px[None, :] - col[:, None]) ** 2 + (py[None, :] - row[:, None]) ** 2
+    key = np.round(d2, 9)
+    some = 2 * k
+    if len(px) <= some:
+        first = np.argsort(key, 1, kind="stable")[:, :k]
+    else:
+        near = np.sort(np.argpartition(key, some - 1, 1)[:, :some], 1)
+        values = np.take_along_axis(key, near, 1)
+        at = np.argsort(values, 1, kind="stable")
+        first = np.take_along_axis(near, at[:, :k], 1)
+        tied = np.take_along_axis(values, at[:, k - 1 : k], 1)[:, 0] >= values.max(1)  # others may be as near as the kth
+        if tied.any():
+            first[tied] = np.argsort(key[tied], 1, kind="stable")[:, :k]
+    return first, np.take_along_axis(d2, first, 1)
+
+
+def searched(px: np.ndarray, py: np.ndarray, row: np.ndarray, col: np.ndarray, margin: float, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    """The same among many points, block by block of targets, with a margin that suits how densely points lie and grows where it has to.
+
+    A target with fewer than ``k`` points in sight of the last margin has
+    infinite distances, but for the first if a point is in sight.
+    """
+    by_row = np.argsort(py, kind="stable")
+    sorted_rows = py[by_row]
+    at, d2 = np.zeros((len(row), k), np.int64), np.full((len(row), k), np.inf)
+    area = max(1.0, np.ptp(px) * np.ptp(py)) if len(px) else 1.0
+    m = min(margin, float(np.sqrt(4 * k * area / (np.pi * max(1, len(px))))))
+    open_ = np.arange(len(row))
+    while len(open_):
+        side = max(1, int(m))
+        key = (row[open_] // side).astype(np.int64) * (1 << 32) + col[open_] // side
+        order = np.argsort(key, kind="stable")
+        for block in np.split(open_[order], np.flatnonzero(np.diff(key[order])) + 1):
+            r, c = row[block], col[block]
+            band = by_row[np.searchsorted(sorted_rows, r.min() - m) : np.searchsorted(sorted_rows, r.max() + m, "right")]
+            seen = np.sort(band[(px[band] >= c.min() - m) & (px[band] <= c.max() + m)])
+            if len(seen) >= k:
+                first, d2[block] = nearest(px[seen], py[seen], r, c, k)
+                at[block] = seen[first]
+            elif len(seen):
+                d2[block, 0] = nearest(px[seen], py[seen], r, c, 1)[1][:, 0]
+        open_ = open_[d2[open_, -1] > m * m]
+        if m >= margin or len(px) < k:
+            break
+        m = min(margin, 2 * m)
+    return at, d2
 
 
 def solved(px: np.ndarray, py: np.ndarray, d2: np.ndarray, epsilon: float = geo.EPSILON) -> np.ndarray:
@@ -85,7 +127,7 @@ def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = Fal
             return F.explode(F.sequence(at(F.col(c) - margin), at(F.col(c) + margin)))
 
         def work(table: pa.Table, wanted: pa.Table | None) -> pa.Table:
-            out = {k: [] for k in ("face", "row", "col", "src", "d2", "w", "done")}
+            out_schema = pa.schema([("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())])
             if table.num_rows and (wanted is None or wanted.num_rows):
                 tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
                 src, px, py = (np.asarray(table.column(c)) for c in ("src", "px", "py"))
@@ -93,34 +135,21 @@ def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = Fal
                     col, row = (x.ravel() for x in np.meshgrid(np.arange(tx * side, min(face_width, (tx + 1) * side)), np.arange(ty * side, min(face_width, (ty + 1) * side))))
                 else:
                     row, col = np.asarray(wanted.column("row")), np.asarray(wanted.column("col"))
-                step = max(1, 2_000_000 // len(src))
-                for s in range(0, len(row), step):
-                    r, c = row[s : s + step], col[s : s + step]
-                    at, d2 = nearest(px, py, src, r, c)
-                    # With fewer points in sight than neighbours, the next margin has to find the others.
-                    within = d2[:, -1] <= margin**2 if len(src) >= NEIGHBOURS else np.zeros(len(r), bool)
-                    dark = (d2[:, 0] > REACH**2) & (margin >= REACH)
-                    use = (within | (last & (len(src) >= NEIGHBOURS))) & (everywhere | ~dark)
-                    if use.any():
-                        w = solved(px[at[use]], py[at[use]], d2[use])
-                        n = int(use.sum())
-                        out["face"] += [table.column("face")[0].as_py()] * n
-                        out["row"] += r[use].tolist()
-                        out["col"] += c[use].tolist()
-                        out["src"] += src[at[use]].tolist()
-                        out["d2"] += d2[use].tolist()
-                        out["w"] += w.tolist()
-                        out["done"] += [True] * n
-                    open_ = ~within & (not last) & (everywhere | ~dark)
-                    if open_.any():
-                        n = int(open_.sum())
-                        out["face"] += [table.column("face")[0].as_py()] * n
-                        out["row"] += r[open_].tolist()
-                        out["col"] += c[open_].tolist()
-                        for k in ("src", "d2", "w"):
-                            out[k] += [None] * n
-                        out["done"] += [False] * n
-            return pa.Table.from_pydict(out, schema=pa.schema([("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())]))
+                by_src = np.argsort(src, kind="stable")
+                src, px, py = src[by_src], px[by_src], py[by_src]
+                at, d2 = searched(px, py, row, col, np.inf if last else margin)
+                served = np.isfinite(d2[:, -1]) & (last | (d2[:, -1] <= margin**2))
+                dark = d2[:, 0] > REACH**2 if margin >= REACH else np.zeros(len(row), bool)
+                use = served if everywhere else served & ~dark
+                open_ = np.zeros(len(row), bool) if last else ~served if everywhere else ~served & ~dark
+                face = table.column("face")[0].as_py()
+                w = np.concatenate([solved(px[at[i]], py[at[i]], d2[i]) for i in np.array_split(np.flatnonzero(use), max(1, use.sum() // 20_000))]) if use.any() else np.zeros((0, NEIGHBOURS))
+                n, m = int(use.sum()), int(open_.sum())
+                lists = lambda x, t: pa.concat_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), t), NEIGHBOURS).cast(pa.list_(t)), pa.nulls(m, pa.list_(t))])
+                both = np.r_[np.flatnonzero(use), np.flatnonzero(open_)]
+                columns = [pa.array([face] * (n + m)), pa.array(row[both], pa.int32()), pa.array(col[both], pa.int32()), lists(src[at[use]], pa.int64()), lists(d2[use], pa.float64()), lists(w, pa.float64()), pa.array([True] * n + [False] * m)]
+                return pa.Table.from_arrays(columns, schema=out_schema)
+            return out_schema.empty_table()
 
         def alone(points_: pa.Table) -> pa.Table:
             return work(points_, None)
