@@ -79,18 +79,23 @@ def normalized(u: Column, v: Column, p: Mapping[str, Column]) -> tuple[Column, C
     return (u - (p["width"] * 0.5 + p["cx"]) - p["b2"] * y) / (p["f"] + p["b1"]), y
 
 
-def undistorted(x: Column, y: Column, p: Mapping[str, Column], steps: int = STEPS) -> Column:
-    """A struct ``x``, ``y``: the distortion inverted by exactly ``steps`` fixed-point steps."""
+def undistort_step(a: Column, b: Column, x: Column, y: Column, p: Mapping[str, Column]) -> Column:
+    """A struct ``x``, ``y``: one fixed-point step from ``a``, ``b`` towards what distortion turns into ``x``, ``y``."""
+    r2 = a * a + b * b
+    radial = F.lit(1.0) + r2 * (p["k1"] + r2 * (p["k2"] + r2 * (p["k3"] + r2 * p["k4"])))
+    dx = p["p1"] * (r2 + 2 * a * a) + 2 * p["p2"] * a * b
+    dy = p["p2"] * (r2 + 2 * b * b) + 2 * p["p1"] * a * b
+    return F.struct(((x - dx) / radial).alias("x"), ((y - dy) / radial).alias("y"))
+
 
-    def step(at: Column, _: Column) -> Column:
-        a, b = at["x"], at["y"]
-        r2 = a * a + b * b
-        radial = F.lit(1.0) + r2 * (p["k1"] + r2 * (p["k2"] + r2 * (p["k3"] + r2 * p["k4"])))
-        dx = p["p1"] * (r2 + 2 * a * a) + 2 * p["p2"] * a * b
-        dy = p["p2"] * (r2 + 2 * b * b) + 2 * p["p1"] * a * b
-        return F.struct(((x - dx) / radial).alias("x"), ((y - dy) / radial).alias("y"))
+def undistorted(x: Column, y: Column, p: Mapping[str, Column], steps: int = STEPS) -> Column:
+    """A struct ``x``, ``y``: the distortion inverted by exactly ``steps`` steps, as one expression.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), step)
+    Its steps are interpreted; ``operators.rays.undistorted`` takes the same
+    ones in generated code.
+    """
+    start = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda at, _: undistort_step(at["x"], at["y"], x, y, p))
 
 
 def _ray(x: Column, y: Column, z: Column) -> Column:

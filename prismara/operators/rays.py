@@ -23,8 +23,11 @@ def normalized(spark: SparkSession, c: geo.Calibration) -> DataFrame:
 
 
 def undistorted(spark: SparkSession, c: geo.Calibration) -> DataFrame:
-    d = normalized(spark, c).select("v", "u", once(geo.undistorted(F.col("xp"), F.col("yp"), c.columns())).alias("d"))
-    return d.select("v", "u", "d.x", "d.y")
+    d = normalized(spark, c).select("*", F.col("xp").alias("x"), F.col("yp").alias("y"))
+    for _ in range(geo.STEPS):  # each in generated code, and each once
+        step = once(geo.undistort_step(F.col("x"), F.col("y"), F.col("xp"), F.col("yp"), c.columns()))
+        d = d.select("v", "u", "xp", "yp", step.alias("d")).select("v", "u", "xp", "yp", "d.x", "d.y")
+    return d.select("v", "u", "x", "y")
 
 
 def rays(spark: SparkSession, c: geo.Calibration, model: str | None = None) -> DataFrame:

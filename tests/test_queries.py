@@ -112,6 +112,12 @@ def test_solid_angles_add_up_to_the_sphere(spark):
     assert total == pytest.approx(4 * math.pi, rel=1e-2)
 
 
+def test_one_expression_equals_the_steps(spark):
+    c = fixtures.LENS.scaled(30)
+    one = rays.normalized(spark, c).select("v", "u", geo.undistorted(F.col("xp"), F.col("yp"), c.columns()).alias("d")).select("v", "u", "d.*")
+    assert one.exceptAll(rays.undistorted(spark, c)).count() == 0
+
+
 def test_gradient_equals_numpy(spark):
     r = rays.rays(spark, fixtures.LENS.scaled(20)).orderBy("v", "u").toPandas()
     x = r[["x", "y", "z"]].to_numpy().reshape(20, 20, 3)
