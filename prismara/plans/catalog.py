@@ -425,10 +425,10 @@ def rbf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("face", "row", "col", F.explode(F.arrays_zip("src", "w")).alias("n")).select("face", "row", "col", "n.src", "n.w"), "w")
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(CASE WHEN s = 0 THEN 0 ELSE x::DOUBLE / s END, 6) + 0.0) AS w FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings)")
+@query("SELECT vec_id, i::INTEGER AS i, round(CASE WHEN s = 0 THEN 0 ELSE embedding[i]::DOUBLE / s END, 6) + 0.0 AS w FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def weights_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = remap.normalized_weights(F.col("embedding").cast("array<double>"))
-    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(w, lambda x: F.round(x, 6) + F.lit(0.0)).alias("w"))
+    return rounded(fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(w).alias("i", "w")).withColumn("i", F.col("i") + 1), "w")
 
 
 def _inverse(spark: SparkSession) -> DataFrame:
