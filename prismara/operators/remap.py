@@ -42,7 +42,7 @@ def remapped_images(images: DataFrame, recipe: DataFrame, face: str, face_width:
     Images stay where they are; the recipe of the face is broadcast in as
     many parts as its size asks for, each sent once to each executor.
     """
-    rows = recipe.where(F.col("face") == face).select((F.col("row") * face_width + F.col("col")).alias("at"), "src", "w").orderBy("at").toArrow()
+    rows = recipe.where(F.col("face") == face).select((F.col("row") * face_width + F.col("col")).alias("at"), "src", "w").toArrow()
     at = np.asarray(rows.column("at")).astype(np.int64)
     k = len(rows.column("src")[0]) if len(at) else 1
     src = np.asarray(rows.column("src").combine_chunks().flatten()).astype(np.int32).reshape(-1, k)
