@@ -5,21 +5,25 @@ between them and an end behind them; tokens, for the plain base score, are the
 words and the end. A pass over the training texts counts words and runs of
 symbols; both are summed over all data.
 
-A context of up to ``DEPTH`` symbols becomes a state if it is met often enough
-and if what follows it diverges enough from what follows its longest proper
-suffix. Next-symbol distributions are smoothed with the parent's. A symbol is
-scored at the longest suffix of what stands before it that is a state.
-
-A state needs a share ``LEAST_SHARE`` of all symbols, so there are at most
-``DEPTH / LEAST_SHARE`` of them however large the corpus is; only they are
-collected and broadcast. Of words only those of a share ``HEAD_SHARE`` of all
-tokens are, at most ``1 / HEAD_SHARE``; the counts of all others reach the
-documents by a join.
+A context of up to ``DEPTH`` symbols becomes a state if it is met
+``LEAST_COUNT`` times and if what follows it diverges enough from what follows
+its longest proper suffix; so the states grow with the corpus. Next-symbol
+distributions are smoothed with the parent's. A symbol is scored at the longest
+suffix of what stands before it that is a state.
+
+Contexts of up to ``BASE`` symbols, of which there are at most 256 ** BASE, are
+collected and broadcast. All longer ones with the same last ``BASE`` + 1
+symbols meet in one task, which finds the states below and the probability of
+each run of ``DEPTH`` + 1 symbols that any document has. That is a table of its
+own. Of runs and of words only those of a share of all symbols or tokens
+(``HEAD_RUNS``, ``HEAD_SHARE``) are broadcast; all others reach the documents
+by a join.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,17 +36,23 @@ from pyspark.sql import functions as F
 from prismara.llm.shared import stored
 from prismara.llm.text import space_words
 
-DEPTH = 4
-LEAST_SHARE = 1e-4
+#: A run of DEPTH + 1 symbols fills 64 bits.
+DEPTH, BASE = 7, 2
+#: A context is a state if it is met so often; a share of all symbols can be asked for besides.
+LEAST_COUNT, LEAST_SHARE = 2, 0.0
 #: Least divergence of a context from its suffix, in nats for each symbol that follows it, and in nats for each symbol of the corpus.
-LEAST_NATS, LEAST_TOTAL = 0.02, 1e-6
+LEAST_NATS, LEAST_TOTAL = 0.02, 0.0
+HEAD_RUNS, BUCKETS = 4e-8, 1024
 HEAD_SHARE, HEAD_BYTES = 1e-6, 64
 #: Symbols that no word has: before a text, behind it, between words.
 BEFORE, END, SPACE = 0x0D, 0x0A, 0x20
 SYMBOLS = 255  # all bytes but BEFORE
 #: Words and runs that a task keeps before it hands them on, and symbols it looks at together.
 HELD, BLOCK = 400_000, 4_000_000
+HELD_RUNS = 3_000_000
 END_TOKEN = b" "
+#: In front of a run that is joined as words are: no word has it, nor a row without words.
+RUN_MARK = b" \n"
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -73,7 +83,7 @@ def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``word``, ``run``, ``n``: how often each word (``run`` null) and run of symbols (``word`` null) stands in the training texts."""
+    """``word``, ``run``, ``n``: how often each word (``run`` null) and run of ``BASE`` + 1 symbols (``word`` null) stands in the training texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
@@ -91,7 +101,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[a : a + 50_000])], names=["word", "run", "n"])
 
         def met() -> tuple[np.ndarray, np.ndarray]:
-            c, n = np.unique(runs(symbols(waiting)), return_counts=True)
+            c, n = np.unique(runs(symbols(waiting)) & ((1 << 8 * (BASE + 1)) - 1), return_counts=True)
             return _merged(np.r_[codes, c], np.r_[counts, n])
 
         for batch in batches:
@@ -150,50 +160,241 @@ class Tree:
             return child, np.log10(p)
 
 
-def grown(table: DataFrame) -> Tree:
-    """The tree of counted runs (``run``, ``n``). Without any, the root alone."""
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    suffixes = F.array(*(F.struct(F.lit(k).alias("k"), (F.shiftrightunsigned("run", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))).alias("c")) for k in range(DEPTH + 1)))
-    after = table.select(F.explode(suffixes).alias("s"), F.col("run").bitwiseAND(F.lit(255)).alias("x"), "n").groupBy("s.k", "s.c", "x").agg(F.sum("n").alias("n"))
-    after, _ = stored(after, "after")
-    often = after.groupBy("k", "c").agg(F.sum("n").alias("m")).where(F.col("m") >= F.lit(LEAST_SHARE * total))
-    got = after.join(often.select("k", "c"), ["k", "c"]).toArrow().sort_by([("k", "ascending"), ("c", "ascending"), ("x", "ascending")])
-    k, c, x, n = (np.asarray(got.column(i)).astype(np.int64) for i in ("k", "c", "x", "n"))
-    start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, int)
-    edges = np.r_[start, len(k)]
-    of = {(int(k[a]), int(c[a])): (a, b) for a, b in zip(edges, edges[1:], strict=False)}
-    kept = {(0, 0)}
-    for (length, context), (a, b) in of.items():
-        if not length:
-            continue
-        pa_, pb = of[length - 1, context & ((1 << 8 * (length - 1)) - 1)]
-        here, parent = n[a:b], n[pa_:pb]
-        same = parent[np.searchsorted(x[pa_:pb], x[a:b])]  # what follows a context follows its suffix too
-        nats = float((here * (np.log(here / here.sum()) - np.log(same / parent.sum()))).sum())
-        if nats >= LEAST_NATS * here.sum() and nats >= LEAST_TOTAL * total:
-            while (length, context) not in kept:  # with all its suffixes
-                kept.add((length, context))
-                length, context = length - 1, context & ((1 << 8 * (length - 1)) - 1)
-    states = sorted(kept)
-    spans = [of.get(s, (0, 0)) for s in states]
-    take = np.concatenate([np.arange(a, b) for a, b in spans])
-    at = np.repeat(np.arange(len(states)), [b - a for a, b in spans])
-    return Tree(np.array([s[0] for s in states]), np.array([s[1] for s in states], np.int64), at, x[take].astype(np.int64), n[take])
-
-
-def tree_scores(texts: list[list[bytes]], child: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text."""
+def turned(codes: np.ndarray) -> np.ndarray:
+    """Runs with the context's symbols in the other order, the latest in the highest byte, or back: in order, a context's extensions follow each other."""
+    codes = codes.view(np.uint64)
+    return (codes.byteswap() << np.uint64(8)) | (codes & np.uint64(255))
+
+
+def _starts(contexts: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.zeros(0, int)
+
+
+def _shorter(codes: np.ndarray) -> np.ndarray:
+    """Turned contexts, each with a symbol behind it, without their oldest symbol."""
+    return (codes >> np.uint64(16) << np.uint64(8)) | (codes & np.uint64(255))
+
+
+def _diverge(first: np.ndarray, n: np.ndarray, parent_n: np.ndarray, parent_m: np.ndarray, least: float, least_nats: float) -> np.ndarray:
+    """For contexts that begin at ``first``, whether they are states by themselves."""
+    m = np.add.reduceat(n, first)
+    own = np.repeat(m, np.diff(np.r_[first, len(n)]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        each = np.where(n > 0, n * (np.log(n / own) - np.log(parent_n / parent_m)), 0.0)
+    nats = np.add.reduceat(each, first)
+    return (m >= least) & (nats >= LEAST_NATS * m) & (nats >= least_nats)
+
+
+@dataclass(frozen=True)
+class Base:
+    """All contexts of up to ``BASE`` symbols as a ``tree``, which of them are states by themselves, the number of symbols, and what it asks of a state: how often met, nats."""
+
+    tree: Tree
+    own: np.ndarray
+    total: int
+    least: float
+    least_nats: float
+
+    def with_states(self, below: np.ndarray) -> Tree:
+        """The states of the tree, given the states of ``BASE`` + 1 symbols."""
+        t = self.tree
+        number = {(int(k), int(c)): i for i, (k, c) in enumerate(zip(t.lengths, t.contexts, strict=True))}
+        kept = {0}
+        for k, c in [(BASE + 1, int(c)) for c in below] + [(int(t.lengths[i]), int(t.contexts[i])) for i in np.flatnonzero(self.own)]:
+            kept |= {number[j, c & ((1 << 8 * j) - 1)] for j in range(1, min(k, BASE) + 1)}
+        states = np.array(sorted(kept))
+        take = np.isin(t.at, states)
+        return Tree(t.lengths[states], t.contexts[states], np.searchsorted(states, t.at[take]), t.next[take], t.n[take])
+
+
+def based(table: DataFrame) -> Base:
+    """The short contexts of counted runs (``run``, ``n``) of ``BASE`` + 1 symbols. Without any, the root alone."""
+    got = table.toArrow()
+    run, n = (np.asarray(got.column(i)).astype(np.int64) for i in (0, 1))
+    total, levels = int(n.sum()), []
+    least = max(LEAST_COUNT, LEAST_SHARE * total), LEAST_TOTAL * total
+    for k in range(BASE + 1):
+        codes = run & ((1 << 8 * (k + 1)) - 1)
+        levels.append(_merged(codes, n))
+    lengths, contexts, at, nxt, counts, own = [np.zeros(1, int)], [np.zeros(1, np.int64)], [np.zeros(len(levels[0][0]), int)], [levels[0][0]], [levels[0][1]], [np.zeros(1, bool)]
+    for k in range(1, BASE + 1 if total else 1):
+        codes, m = levels[k]
+        first = _starts(codes >> 8)
+        shorter, parents = codes & ((1 << 8 * k) - 1), levels[k - 1]
+        parent_first = _starts(parents[0] >> 8)
+        parent_m = np.add.reduceat(parents[1], parent_first)[np.searchsorted(parents[0][parent_first] >> 8, shorter >> 8)]
+        own.append(_diverge(first, m, parents[1][np.searchsorted(parents[0], shorter)], parent_m, *least))
+        at.append(np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)])) + sum(map(len, lengths)))
+        lengths.append(np.full(len(first), k))
+        contexts.append(codes[first] >> 8)
+        nxt.append(codes & 255)
+        counts.append(m)
+    return Base(Tree(*map(np.concatenate, (lengths, contexts, at, nxt, counts))), np.concatenate(own), total, *least)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, which compress well."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def gathered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``bucket``, ``keys``, ``n``: the turned runs of all texts in parts, packed, with their counts in the training texts (0: in others only)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting: tuple[list, list] = ([], [])
+        size = 0
+
+        def met() -> tuple[np.ndarray, np.ndarray]:
+            k, n = keys, counts
+            for held, texts in enumerate(waiting):
+                if texts:
+                    c, m = np.unique(turned(runs(symbols(texts))), return_counts=True)
+                    k, n = _merged(np.r_[k, c], np.r_[n, m * (1 - held)])
+            return k, n
+
+        def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = ((keys >> np.uint64(8 * (DEPTH - BASE))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(BUCKETS)
+            order = np.argsort(bucket, kind="stable")
+            first = _starts(bucket[order])
+            rows = []
+            for a, b in zip(first, np.r_[first[1:], len(keys)], strict=True):
+                part = keys[order[a:b]]
+                rows.append((int(bucket[order[a]]), _packed(np.diff(part, prepend=np.uint64(0))), _packed(counts[order[a:b]])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "n"])
+
+        for batch in batches:
+            for held, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = space_words(t.as_py())
+                waiting[held].append(w)
+                size += sum(map(len, w)) + len(w) + DEPTH + 1
+                if size >= BLOCK:
+                    keys, counts = met()
+                    waiting, size = ([], []), 0
+                    if len(keys) > HELD_RUNS:
+                        yield from out(keys, counts)
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = met()
+        yield from out(keys, counts)
+
+    return docs.select(held_out(id_col).alias("h"), F.col(text_col).cast("binary").alias("t")).mapInArrow(work, "bucket int, keys binary, n binary")
+
+
+def run_logs(keys: np.ndarray, n: np.ndarray, base: Base, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The log10 probability of the last symbol of each turned run, in order, at the longest state before it; not a number if that has ``BASE`` symbols or less.
+
+    All runs of a context of ``BASE`` + 1 symbols are needed together.
+    """
+    child, logs = tables
+    levels = [(keys, n)]
+    for _ in range(DEPTH - BASE - 1):
+        levels.append(_merged(_shorter(levels[-1][0]), levels[-1][1]))
+    levels.reverse()  # of BASE + 1 to DEPTH symbols
+    up = [np.searchsorted(a[0], _shorter(b[0])) for a, b in zip(levels, levels[1:], strict=False)]
+    # What the tree says of the longest context in it.
+    codes = levels[0][0]
+    x = (codes & np.uint64(255)).astype(np.int64)
+    state = np.zeros(len(codes), np.int64)
+    for j in range(BASE):
+        state = child[state, (codes >> np.uint64(8 * (BASE + 1 - j)) & np.uint64(255)).astype(np.int64)].astype(np.int64)
+    t, none = base.tree, len(base.tree.lengths)
+    pairs = t.at * 256 + t.next
+    at = np.minimum(np.searchsorted(pairs, state * 256 + x), max(0, len(pairs) - 1))
+    parent_n = np.where(pairs[at] == state * 256 + x, t.n[at], 0) if len(pairs) else np.zeros(len(codes), np.int64)
+    parent_m = np.r_[np.bincount(t.at, t.n, none), 0.0][state]
+    p = np.where(state == none, 0.0, 10.0 ** logs[np.minimum(state, none - 1), x])
+    own, ps, of = [], [], []
+    for k, (codes, m) in enumerate(levels):
+        if k:
+            parent_n, parent_m, p = levels[k - 1][1][up[k - 1]], sums[up[k - 1]], p[up[k - 1]]
+        first = _starts(codes >> np.uint64(8))
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(codes)]))
+        sums = np.add.reduceat(m, first)[group]
+        kinds = np.maximum(np.add.reduceat((m > 0).astype(np.int64), first), 1)[group]
+        own.append(_diverge(first, m, parent_n, parent_m, base.least, base.least_nats)[group])
+        p = (m + kinds * p) / (sums + kinds)
+        ps.append(p)
+        of.append((first, group))
+    for k in range(len(levels) - 1, 0, -1):  # with all its suffixes
+        first, group = of[k - 1]
+        some = np.bincount(group[up[k - 1]], own[k], len(first)) > 0
+        own[k - 1] = own[k - 1] | some[group]
+    with np.errstate(divide="ignore"):
+        best = np.where(own[0], np.log10(ps[0]), np.nan)
+        for k in range(1, len(levels)):
+            best = np.where(own[k], np.log10(ps[k]), best[up[k - 1]])
+    return best
+
+
+def grown(parts: DataFrame, base: Base) -> DataFrame:
+    """``run``, ``log``, ``n`` of all runs (see :func:`gathered`) whose longest state has more than ``BASE`` symbols."""
+    shared = parts.sparkSession.sparkContext.broadcast(base)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = shared.value
+        tables = base.tree.tables()
+        keys, n, now = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            return _merged(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, m = together()
+            if len(k):
+                log = run_logs(k, m, base, tables)
+                take = ~np.isnan(log)
+                run = turned(k[take]).view(np.int64)
+                for a in range(0, len(run), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(run[a : a + 100_000]), pa.array(log[take][a : a + 100_000].astype(np.float32)), pa.array(m[take][a : a + 100_000])], names=["run", "log", "n"])
+
+        for batch in batches:
+            for bucket, k, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from out()
+                    keys, n, held, now = keys[:0], n[:0], [], bucket
+                held.append((np.cumsum(_unpacked(k), dtype=np.uint64), _unpacked(m).astype(np.int64)))
+                if sum(len(k) for k, _ in held) > HELD_RUNS:
+                    (keys, n), held = together(), []
+        yield from out()
+
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "run long, log float, n long")
+
+
+def tree_scores(texts: list[list[bytes]], child: np.ndarray, logs: np.ndarray, below: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log10 probability of each text but for some of its symbols, and the texts and runs of those.
+
+    ``below`` are the states of ``BASE`` + 1 symbols; a symbol behind one has its probability in the table of runs, of which ``head`` (runs in order, their logarithms) is a part.
+    """
     stream = symbols(texts)
     own = stream != BEFORE
     none = len(child) - 1
     state = found = np.zeros(len(stream), np.int32)
-    for k in range(1, DEPTH + 1):
+    for k in range(1, BASE + 1):
         older = np.r_[np.full(min(k, len(stream)), BEFORE, np.uint8), stream[: len(stream) - k]]
         state = child[state, older]
         found = np.where(state != none, state, found)
-    sums = np.r_[0.0, np.cumsum(np.where(own, logs[found, np.where(own, stream, END)], 0.0))]
+    each = np.where(own, logs[found, np.where(own, stream, END)], 0.0)
+    at = np.flatnonzero(own)
+    run = runs(stream)
+    deep = below[run >> 8 & ((1 << 8 * (BASE + 1)) - 1)]
+    at, run = at[deep], run[deep]
+    each[at] = 0
+    left = np.ones(len(run), bool)
+    if len(head[0]):
+        unique, back = np.unique(run, return_inverse=True)
+        place = np.minimum(np.searchsorted(head[0], unique), len(head[0]) - 1)
+        there = head[0][place] == unique
+        each[at] = np.where(there, head[1][place], 0.0)[back]
+        left = ~there[back]
+    sums = np.r_[0.0, np.cumsum(each)]
     ends = np.flatnonzero(stream == END) + 1
-    return np.diff(sums[np.r_[0, ends]])
+    return np.diff(sums[np.r_[0, ends]]), np.searchsorted(ends, at[left], side="right"), run[left]
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,18 +418,28 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # The end, which every text has, is looked up as the head is.
     frequent = (F.col("n") >= F.lit(HEAD_SHARE * n)) & (F.octet_length("word") <= HEAD_BYTES) | (F.col("word") == F.lit(END_TOKEN))
     head_rows = words.where(frequent).toArrow()
-    tree = grown(counts.where("word is null").select("run", "n"))
-    shared = spark.sparkContext.broadcast((head_rows.column("word").combine_chunks(), np.asarray(head_rows.column("n")), tree))
+    base = based(counts.where("word is null").select("run", "n"))
+    table, _ = stored(grown(gathered(docs, id_col, text_col), base), "runs")
+    short = F.shiftright("run", 8).bitwiseAND(F.lit((1 << 8 * (BASE + 1)) - 1))
+    below = np.asarray(table.select(short.alias("c")).distinct().toArrow().column(0)).astype(np.int64)
+    often = F.col("n") >= F.lit(max(1.0, HEAD_RUNS * base.total))
+    top = table.where(often).select("run", "log").toArrow()
+    run, log = np.asarray(top.column(0)), np.asarray(top.column(1))
+    order = np.argsort(run)
+    shared = spark.sparkContext.broadcast((head_rows.column("word").combine_chunks(), np.asarray(head_rows.column("n")), base.with_states(below), below, (run[order], log[order])))
+    del top, run, log, order
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["uid", "id", "n_tokens", "known", "logs", "score", "word", "times"]
     types = [pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
     schema = f"uid long, id {kind}, n_tokens long, known long, logs double, score double, word binary, times long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_list, ns, tree = shared.value
+        word_list, ns, tree, states, runs_head = shared.value
         head = dict(zip(word_list.to_pylist(), np.log10(ns + 1).tolist(), strict=True))
         end = head.get(END_TOKEN)
         child, logs = tree.tables()
+        below = np.zeros(1 << 8 * (BASE + 1), bool)
+        below[states] = True
         for batch in batches:
             texts: list[list[bytes]] = []
             first, size = 0, 0
@@ -236,10 +447,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 texts.append(space_words(t.as_py()))
                 size += len(t.as_py() or b"") + DEPTH + 1
                 if size >= BLOCK or i == batch.num_rows - 1:
-                    yield block(batch.slice(first, i + 1 - first), texts, tree_scores(texts, child, logs), head, end)
+                    yield block(batch.slice(first, i + 1 - first), texts, tree_scores(texts, child, logs, below, runs_head), head, end)
                     texts, first, size = [], i + 1, 0
 
-    def block(batch: pa.RecordBatch, texts: list, score: np.ndarray, head: dict, end: float | None) -> pa.RecordBatch:
+    def block(batch: pa.RecordBatch, texts: list, scored: tuple, head: dict, end: float | None) -> pa.RecordBatch:
+        score, text_of, rest_runs = scored
         uids = batch.column(0).to_pylist()
         n_tokens, known, logs, fill = [], [], [], []
         rare_uid, rare_word, rare_times = [], [], []
@@ -255,6 +467,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             known.append(len(have) + (end is not None))
             logs.append(sum(have) + (end or 0.0))
             fill.append(END_TOKEN + struct.pack("<q", uid))  # no word has a space: meets nothing, and no other
+        if len(rest_runs):
+            order = np.lexsort((rest_runs, text_of))
+            text_of, rest_runs = text_of[order], rest_runs[order]
+            first = np.flatnonzero(np.r_[True, (text_of[1:] != text_of[:-1]) | (rest_runs[1:] != rest_runs[:-1])])
+            rare_uid.extend(np.asarray(uids)[text_of[first]].tolist())
+            raw = rest_runs[first].astype(">i8").tobytes()
+            rare_word.extend(RUN_MARK + raw[i : i + 8] for i in range(0, len(raw), 8))
+            rare_times.extend(np.diff(np.r_[first, len(rest_runs)]).tolist())
         k = len(rare_uid)
         columns = [uids + rare_uid, None, n_tokens, known, logs, score, fill + rare_word, [0] * len(uids) + rare_times]
         arrays = [pa.array(c, t) if len(c) == len(uids) + k else pa.concat_arrays([pa.array(c, t), pa.nulls(k, t)]) for c, t in zip(columns, types, strict=True) if c is not None]
@@ -262,8 +482,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(work, schema)
-    rest = words.where(~frequent)
-    met = rows.join(rest, "word", "left").select("uid", "id", "n_tokens", F.when(F.col("n") > 0, F.col("times")).otherwise(F.coalesce("known", F.lit(0))).alias("known"), F.coalesce("logs", F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"), "score")
-    per = met.groupBy("uid").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.max("score").alias("score"))
+    # A run is joined under its mark and eight bytes, the highest first.
+    rare = table.where(~often).select(F.concat(F.lit(RUN_MARK), F.unhex(F.lpad(F.hex("run"), 16, "0"))).alias("word"), F.lit(None).cast("long").alias("n"), "log")
+    rest = words.where(~frequent).withColumn("log", F.lit(None).cast("float")).unionByName(rare)
+    is_run = F.col("log").isNotNull()
+    met = rows.join(rest, "word", "left").select(
+        "uid", "id", "n_tokens",
+        F.when(is_run, 0).when(F.col("n") > 0, F.col("times")).otherwise(F.coalesce("known", F.lit(0))).alias("known"),
+        F.when(is_run, 0.0).otherwise(F.coalesce("logs", F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1))).alias("logs"),
+        F.when(is_run, F.col("times") * F.col("log").cast("double")).otherwise(F.col("score")).alias("score"),
+    )
+    per = met.groupBy("uid").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("score").alias("score"))
     each = float(np.log10(n + v + 1))
     return per.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")

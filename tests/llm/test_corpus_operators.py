@@ -149,6 +149,22 @@ def test_suffix_tree_distributions_add_up():
     assert (10.0 ** logs).sum() == pytest.approx(1)
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A rare context of more than four symbols counts however many other symbols there are."""
+    r = random.Random(9)
+    noise = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(2000)) for _ in range(8)]
+    rare = ["zqgabcw", "zqgabcw", "xqgabcv", "xqgabcv"]
+    training = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts, ids = rare + noise, training[: len(rare) + len(noise)]
+    got = {x.doc_id: x.score for x in suffix_tree_lm.scores(documents(spark, [*texts, "zqgabcw", "zqgabcv"], ids + held)).collect()}
+    score, kept = plain_tree(texts, suffix_tree_lm.DEPTH, 0)
+    assert b"zqgabc" in {c[-6:] for c in kept}
+    assert got[held[0]] > got[held[1]] + 0.3  # the sixth symbol before tells them apart
+    some = [c for c in kept if len(c) > 4]
+    assert len(some) > 1000
+
+
 def test_suffix_tree_without_training(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = suffix_tree_lm.scores(documents(spark, ["ab"], [held])).first()
