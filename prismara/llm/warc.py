@@ -3,7 +3,8 @@
 The reader checks each member and record: the gzip checksum, the header, the
 length, the end of the block, and the digests. Where a check fails it searches
 for the next place at which a valid member or version line begins, goes on
-from there, and logs the bytes between as quarantined.
+from there, and logs the bytes between as quarantined. Within a gzip member it
+does the same over what can be decompressed.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ LEVEL = 4
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _FEED = 16_384
+_KINDS = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 
 
 @dataclass(frozen=True)
@@ -107,66 +109,107 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, end + 4
 
 
-def _member_at(data: memoryview, at: int) -> tuple[bytes, int]:
-    """What the gzip member at ``at`` holds, and its end; raises Damaged."""
+def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str, bool]:
+    """What can be decompressed of the gzip member at ``at``, its end, why it is not whole (else empty), and whether it is cut only."""
     d, parts, fed = zlib.decompressobj(31), [], at
     try:
         while not d.eof:
             if fed >= len(data):
-                raise Damaged("the member is cut")
+                return b"".join(parts), fed, "the member is cut", True
             parts.append(d.decompress(data[fed : fed + _FEED]))
             fed = min(len(data), fed + _FEED)
-    except zlib.error as e:
-        raise Damaged("the member cannot be decompressed") from e
-    return b"".join(parts), fed - len(d.unused_data)
+    except zlib.error:
+        # Once more, the last piece byte by byte: a call that fails returns nothing.
+        d = zlib.decompressobj(31)
+        parts = [d.decompress(data[at:fed])]
+        try:
+            for i in range(fed, min(len(data), fed + _FEED)):
+                parts.append(d.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), fed, "the member cannot be decompressed", False
+    return b"".join(parts), fed - len(d.unused_data), "", False
+
 
+def _guarded(headers: dict[str, str]) -> bool:
+    """Whether a record stands without its member's checksum: its block has a digest, which fitted, and its header says what it should."""
+    kind = headers.get("warc-type")
+    fits = headers.get("warc-block-digest", "").lower().startswith("sha1:") and kind in _KINDS
+    return fits and (kind != "response" or headers.get("content-type", "").startswith("application/http"))
 
-def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int]:
-    """The records at ``at``, of a gzip member or plain, and their end; raises Damaged."""
+
+def _held(held: bytes, guarded: bool) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """The valid records of decompressed bytes, and why the first bytes between them were given up (else empty)."""
+    found, at, reason = [], 0, ""
+    while at < len(held):
+        try:
+            headers, payload, end = _parsed(held, at)
+            if guarded and not _guarded(headers):
+                raise Damaged("nothing guards the record")
+        except Damaged as e:
+            reason = reason or str(e)
+            at = held.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        found.append((headers, payload))
+        at = end
+    return found, reason
+
+
+def _at(data: bytes, view: memoryview, at: int) -> tuple[list[Record], int, str]:
+    """The records at ``at``, of a gzip member or plain, their end, and what the member lacks (else empty); raises Damaged if there are none.
+
+    The end of a member that cannot be decompressed is not known; it is ``at``.
+    """
     if data.startswith(_MEMBER, at):
-        held, end = _member_at(view, at)
-        records, inner = [], 0
-        while inner < len(held):
-            headers, payload, inner = _parsed(held, inner)
-            records.append(Record(at, end - at, headers, payload))
-        if not records:
-            raise Damaged("an empty member")
-        return records, end
+        held, end, broken, cut = _member_at(view, at)
+        found, reason = _held(held, guarded=bool(broken) and not cut)
+        if not found:
+            raise Damaged(broken or reason or "an empty member")
+        return [Record(at, end - at, h, p) for h, p in found], at if broken else end, broken or reason
     headers, payload, end = _parsed(data, at)
-    return [Record(at, end - at, headers, payload)], end
+    return [Record(at, end - at, headers, payload)], end, ""
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The valid records of an archive in order, and the bytes between them that were given up.
 
-    Zero bytes between members and at the end are padding. An empty archive
-    has neither records nor gaps.
+    A member of which only some records are valid gives those, and a gap over
+    its bytes. Zero bytes between members and at the end are padding. An empty
+    archive has neither records nor gaps.
     """
     view, at, size = memoryview(data), 0, len(data)
+    found = None
     while at < size:
-        if not data[at]:
+        if found is None and not data[at]:
             at += 1
             continue
         try:
-            records, end = _at(data, view, at)
+            records, end, reason = found or _at(data, view, at)
         except Damaged as e:
-            reason, found, after = str(e), None, at + 1
-            while found is None:
-                places = [p for p in (data.find(_MEMBER, after), data.find(b"WARC/1.", after)) if p >= 0]
-                if not places:
-                    break
-                after = min(places) + 1
-                try:
-                    found = _at(data, view, after - 1)
-                except Damaged:
-                    continue
-            to = size if found is None else after - 1
-            yield Gap(at, to - at, reason)
-            if found is None:
-                return
-            records, end = found
-        yield from records
-        at = end
+            records, end, reason = [], at, str(e)
+        found = None
+        if end > at:
+            yield from records
+            if reason:
+                yield Gap(at, end - at, reason)
+            at = end
+            continue
+        after = at + 1
+        while found is None:
+            places = [p for p in (data.find(_MEMBER, after), data.find(b"WARC/1.", after)) if p >= 0]
+            if not places:
+                break
+            after = min(places) + 1
+            try:
+                found = _at(data, view, after - 1)
+            except Damaged:
+                continue
+        to = size if found is None else after - 1
+        yield from (Record(at, to - at, r.headers, r.payload) for r in records)
+        yield Gap(at, to - at, reason)
+        at = to
 
 
 def _clean(url: str | None) -> str:

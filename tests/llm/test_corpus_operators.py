@@ -380,6 +380,21 @@ def test_damage_is_quarantined(plain):
         assert sum(n for _, n in gaps) <= len(hurt) and all(a + n <= b for (a, n), (b, _) in zip(gaps, gaps[1:], strict=False))
 
 
+def test_members_of_many_records_are_salvaged():
+    parts = [(p, gzip.decompress(m)) for p, m in archive()]
+    payloads, plain = [p for p, _ in parts], [m for _, m in parts]
+    hurt = [plain[0], plain[1].replace(b"xxx", b"xyx", 1), *plain[2:]]
+    one = gzip.compress(b"".join(hurt))
+    assert read(one) == ([payloads[0], *payloads[2:]], [(0, len(one))])
+    noise = gzip.compress(b"".join(plain[:2]) + b"noise" + b"".join(plain[2:]))
+    assert read(noise + parts[0][1]) == ([*payloads, payloads[0]], [(0, len(noise))])
+    whole = gzip.compress(b"".join(plain))
+    bad = whole[:-8] + bytes(x ^ 255 for x in whole[-8:-4]) + whole[-4:]  # another checksum
+    assert read(bad + whole) == (payloads * 2, [(0, len(bad))])
+    long = gzip.compress(b"".join(plain) + warc.record_bytes("resource", "urn:x", random.Random(1).randbytes(5000), []))
+    assert read(long[:-4000]) == (payloads, [(0, len(long) - 4000)])
+
+
 def test_round_trip_of_odd_pages(spark):
     big = "é" * 700
     data = [(1, "http://a b/\r\nX: y", big), (2, None, big), (3, "u", big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "z" * 300_000), (None, "u", "y" * 2000)]
