@@ -31,6 +31,9 @@ BROADCAST_SHARED = 200_000
 LEVEL = 4
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_NOT_ZERO = re.compile(rb"[^\0]")
+#: The smallest gzip member; in fewer zero bytes nothing can be lost.
+LEAST_MEMBER = 20
 _FEED = 16_384
 _KINDS = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 
@@ -176,14 +179,18 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The valid records of an archive in order, and the bytes between them that were given up.
 
     A member of which only some records are valid gives those, and a gap over
-    its bytes. Zero bytes between members and at the end are padding. An empty
-    archive has neither records nor gaps.
+    its bytes. Fewer than LEAST_MEMBER zero bytes between members or at the
+    end are padding, more are a gap. An empty archive has neither records nor
+    gaps.
     """
     view, at, size = memoryview(data), 0, len(data)
     found = None
     while at < size:
         if found is None and not data[at]:
-            at += 1
+            to = m.start() if (m := _NOT_ZERO.search(data, at)) else size
+            if to - at >= LEAST_MEMBER:
+                yield Gap(at, to - at, "zero bytes")
+            at = to
             continue
         try:
             records, end, reason = found or _at(data, view, at)

@@ -395,6 +395,13 @@ def test_members_of_many_records_are_salvaged():
     assert read(long[:-4000]) == (payloads, [(0, len(long) - 4000)])
 
 
+def test_zeroed_members_are_logged():
+    (p, a), (q, b), (_, c), _ = archive()
+    assert read(a + bytes(len(c)) + b) == ([p, q], [(len(a), len(c))])
+    assert read(a + bytes(len(c))) == ([p], [(len(a), len(c))])
+    assert read(a + bytes(19) + b + b"\0\0") == ([p, q], [])
+
+
 def test_round_trip_of_odd_pages(spark):
     big = "é" * 700
     data = [(1, "http://a b/\r\nX: y", big), (2, None, big), (3, "u", big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "z" * 300_000), (None, "u", "y" * 2000)]
