@@ -258,6 +258,8 @@ def gathered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             return k, n
 
         def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(keys):
+                return
             bucket = ((keys >> np.uint64(8 * (DEPTH - BASE))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(BUCKETS)
             order = np.argsort(bucket, kind="stable")
             first = _starts(bucket[order])
