@@ -6,15 +6,17 @@ vector, and the product of two terms' vectors is the weight of their meeting,
 such as an insult and the mention of a group. Additive weights cannot tell
 that from the two apart.
 
-The machine is fitted on the driver from a bounded sample of labelled rows;
-scoring is a pass over all documents with the fitted model, whose size is
-fixed, broadcast.
+The machine is fitted on the driver from a bounded sample of labelled rows:
+first weights, of terms that tell something by themselves; then vectors, of
+terms in pairs whose meetings tell what the weights do not, whether or not
+either term tells anything alone. Scoring is a pass over all documents with
+the fitted model, whose size is fixed, broadcast.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -31,11 +33,13 @@ FIT_ROWS = 20_000
 PLACES = 1 << 18
 FACTORS = 8
 PREFIX = 5
-#: Terms in fewer rows of the sample than this get no weight ...
-LEAST_ROWS = 4
-#: ... nor do those whose shares of the toxic and the other rows differ by fewer standard errors, unless they are
-#: in this share of all rows. A term that tells nothing is noise in every sum and every meeting.
-LEAST_ERRORS, COMMON = 3.5, 0.2
+#: Terms, and meetings of two, are fitted if the labels of their rows differ so much from what the terms fitted before
+#: expect; it is the square of a normal deviate. What tells nothing is noise in every sum.
+LEAST_DEVIANCE, ROUNDS = 10.0, 3
+#: Meetings are counted in so many rows of each label, between terms in so many of them, the most frequent so many terms at most.
+PAIR_ROWS, LEAST_MEETINGS, PAIR_TERMS = 2_000, 4, 4_096
+#: Places looked at together.
+PART = 1 << 20
 THRESHOLD = 0.3
 #: The bound on words whose places a worker remembers.
 REMEMBERED = 300_000
@@ -53,9 +57,8 @@ class Machine:
         if self.weights is None:
             return 0.0
         raw = self.bias + float(values @ self.weights[places])
-        if len(places):
-            v = self.vectors[places] * (values / np.sqrt(len(places)))[:, None]
-            raw += 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
+        v = self.vectors[places]
+        raw += 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
         return float(1 / (1 + np.exp(-np.clip(raw, -40, 40))))
 
 
@@ -82,58 +85,159 @@ def features(text: bytes | None, places: _Places) -> tuple[np.ndarray, np.ndarra
     return found, np.log2(counts + 1).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.05, decay: float = 2e-5, seed: int = 7) -> Machine:
-    """Logistic loss by adaptive gradient steps. Without rows, or with one label only, the machine scores 0."""
-    if not len(rows) or labels.min() == labels.max():
-        return Machine()
+class Sample:
+    """Labelled rows one behind the other: ``places`` and ``values`` of their terms, where each row begins (``edges``), and labels ``y``."""
+
+    def __init__(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        self.places = np.concatenate([p for p, _ in rows]).astype(np.int32) if len(rows) else np.zeros(0, np.int32)
+        self.values = np.concatenate([v for _, v in rows]).astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+        self.edges = np.r_[0, np.cumsum([len(p) for p, _ in rows])].astype(np.int64)
+        self.y = np.asarray(labels, float)
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and the rows that they stand in, in parts of bounded size."""
+        step = max(1, len(self.y) * PART // max(1, len(self.places)))
+        for a in range(0, len(self.y), step):
+            b = min(len(self.y), a + step)
+            yield self.places[self.edges[a] : self.edges[b]], np.repeat(np.arange(a, b), np.diff(self.edges[a : b + 1]))
+
+    def only(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the rows have of some places, by their numbers in ``places``: numbers, values, and where each row begins."""
+        own = np.full(PLACES, -1, np.int32)
+        own[places] = np.arange(len(places))
+        keep = own[self.places] >= 0
+        sums = np.r_[0, np.cumsum(keep)]
+        return own[self.places[keep]], self.values[keep], sums[self.edges]
+
+
+def deviance(seen: np.ndarray, expected: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How far the labels seen among ``n`` rows are from those expected, as a likelihood ratio; rare terms need no correction."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda o, e: np.where(o > 0, o * np.log(o / np.maximum(e, 1e-12)), 0.0)
+        return 2 * (part(seen, expected) + part(n - seen, n - expected))
+
+
+def telling(sample: Sample, p: np.ndarray) -> np.ndarray:
+    """The places whose rows have other labels than the probabilities ``p`` expect."""
+    seen, expected, n = np.zeros((3, PLACES))
+    for places, row in sample.parts():
+        seen += np.bincount(places, sample.y[row], PLACES)
+        expected += np.bincount(places, p[row], PLACES)
+        n += np.bincount(places, minlength=PLACES)
+    return np.flatnonzero(deviance(seen, expected, n) >= LEAST_DEVIANCE)
+
+
+def meeting(sample: Sample, p: np.ndarray, rows: int = PAIR_ROWS, seed: int = 7) -> np.ndarray:
+    """The places of pairs whose meetings have other labels than ``p``, which knows the terms one by one, expects.
+
+    All pairs are counted of the places that stand in LEAST_MEETINGS of the
+    toxic or of the other rows looked at. Of each label ``rows`` rows at most
+    are, each standing for as many as there are.
+    """
+    rng = np.random.default_rng(seed)
+    chosen, weight = [], []
+    for label in (sample.y > 0, sample.y <= 0):
+        of = np.flatnonzero(label)
+        take = np.sort(rng.permutation(of)[:rows])
+        chosen.append(take)
+        weight.append(np.full(len(take), len(of) / max(1, len(take))))
+    at = np.concatenate(chosen)
+    w, y = np.concatenate(weight), np.r_[np.ones(len(chosen[0])), np.zeros(len(chosen[1]))]
+    lengths = sample.edges[at + 1] - sample.edges[at]
+    row = np.repeat(np.arange(len(at)), lengths)
+    places = np.concatenate([sample.places[sample.edges[r] : sample.edges[r + 1]] for r in at]) if len(at) else np.zeros(0, np.int32)
+    most = np.maximum(np.bincount(places[y[row] > 0], minlength=PLACES), np.bincount(places[y[row] <= 0], minlength=PLACES))
+    terms = np.flatnonzero(most >= max(LEAST_MEETINGS, np.sort(most)[-PAIR_TERMS]))
+    if len(terms) < 2:
+        return np.zeros(0, int)
+    own = np.full(PLACES, -1, np.int32)
+    own[terms] = np.arange(len(terms))
+    keep = own[places] >= 0
+    there = np.zeros((len(at), len(terms)), np.float32)
+    there[row[keep], own[places[keep]]] = 1
+    least = LEAST_DEVIANCE + 2 * np.log(len(terms) ** 2 / 2)  # more pairs, more chance meetings
+    found: set[int] = set()
+    for a in range(0, len(terms), 256):
+        left = there[:, a : a + 256]
+        n, seen, expected = ((left * c.astype(np.float32)[:, None]).T @ there for c in (w, w * y, w * p[at]))
+        far = deviance(seen.astype(float), expected.astype(float), n.astype(float)) >= least
+        i, j = np.nonzero(far)
+        i += a
+        found.update(*(x[i != j].tolist() for x in (i, j)))
+    return terms[sorted(found)]
+
+
+def descend(sample: Sample, places: np.ndarray, vectors: int, epochs: int, batch: int = 256, rate: float = 0.2, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic loss by adaptive gradient steps: bias and weights of ``places``, vectors of the last ``vectors`` of them, and the probability of each row."""
+    at, x, edges = sample.only(places)
+    y, n = sample.y, len(places)
+    plain = n - vectors
     rng = np.random.default_rng(seed)
-    lengths = np.array([len(p) for p, _ in rows])
-    places = np.concatenate([p for p, _ in rows])
-    values = np.concatenate([v for _, v in rows])
-    norm = np.repeat(1 / np.sqrt(np.maximum(lengths, 1)), lengths).astype(np.float32)
-    # Only some places are fitted, under numbers of their own.
-    toxic = np.repeat(labels > 0, lengths)
-    with_, without = np.bincount(places[toxic], minlength=PLACES), np.bincount(places[~toxic], minlength=PLACES)
-    n1, n0 = int((labels > 0).sum()), int((labels <= 0).sum())
-    share = (with_ + without) / (n1 + n0)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    shared = (with_ + without >= LEAST_ROWS) & ((np.abs(with_ / n1 - without / n0) >= LEAST_ERRORS * error) | (share >= COMMON))
-    own = np.cumsum(shared) - 1
-    keep = shared[places]
-    row_of = np.repeat(np.arange(len(rows)), lengths)[keep]
-    at, x, z = own[places[keep]], values[keep], values[keep] * norm[keep]
-    n = int(shared.sum())
-    edges = np.searchsorted(row_of, np.arange(len(rows) + 1))
-    w, v = np.zeros(n + 1), rng.normal(0, 0.02, (n + 1, FACTORS))
-    w[n] = np.log(labels.mean() / (1 - labels.mean()))
-    gw, gv = np.full(n + 1, 1e-2), np.full((n + 1, FACTORS), 1e-2)
-    y = labels.astype(float)
+    w, v = np.zeros(n + 1), rng.normal(0, 0.3, (vectors, FACTORS))
+    w[n] = np.log(y.mean() / (1 - y.mean()))
+    gw, gv = np.full(n + 1, 1e-2), np.full((vectors, FACTORS), 1e-2)
+
+    def raw_of(chosen: np.ndarray) -> tuple:
+        parts = [np.arange(edges[r], edges[r + 1]) for r in chosen]
+        take = np.concatenate(parts)
+        group = np.repeat(np.arange(len(chosen)), [len(p) for p in parts])
+        a, xs = at[take], x[take]
+        raw = w[n] + np.bincount(group, w[a] * xs, len(chosen))
+        with_ = a >= plain
+        b, of = a[with_] - plain, group[with_]
+        vb = v[b]
+        sums = np.stack([np.bincount(of, vb[:, f], len(chosen)) for f in range(FACTORS)], 1)
+        raw += 0.5 * ((sums**2).sum(1) - np.bincount(of, (vb**2).sum(1), len(chosen)))
+        return a, xs, group, b, of, vb, sums, 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for start in range(0, len(rows), batch):
+        order = rng.permutation(len(y))
+        for start in range(0, len(y), batch):
             chosen = order[start : start + batch]
-            parts = [np.arange(edges[r], edges[r + 1]) for r in chosen]
-            take = np.concatenate(parts)
-            group = np.repeat(np.arange(len(chosen)), [len(p) for p in parts])
-            a, xs, zs = at[take], x[take], z[take]
-            va = v[a]
-            sums = np.stack([np.bincount(group, va[:, f] * zs, len(chosen)) for f in range(FACTORS)], 1)
-            squares = np.bincount(group, (va**2).sum(1) * zs**2, len(chosen))
-            raw = w[n] + np.bincount(group, w[a] * xs, len(chosen)) + 0.5 * ((sums**2).sum(1) - squares)
-            slope = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[chosen]) / len(chosen)
-            s = slope[group]
-            g = np.bincount(a, s * xs, n + 1)
+            a, xs, group, b, of, vb, sums, p = raw_of(chosen)
+            slope = (p - y[chosen]) / len(chosen)
+            g = np.bincount(a, slope[group] * xs, n + 1) + 0.0
             g[n] = slope.sum()
             g[:n] += decay * w[:n]
             gw += g**2
-            w -= rate * g / np.sqrt(gw) * 4
-            dv = (s * zs)[:, None] * (sums[group] - va * zs[:, None])
-            g = np.stack([np.bincount(a, dv[:, f], n + 1) for f in range(FACTORS)], 1) + decay * v
-            gv += g**2
-            v -= rate * g / np.sqrt(gv) * 4
+            w -= rate * g / np.sqrt(gw)
+            if vectors:
+                dv = slope[of][:, None] * (sums[of] - vb)
+                g = np.stack([np.bincount(b, dv[:, f], vectors) for f in range(FACTORS)], 1) + 10 * decay * v
+                gv += g**2
+                v -= rate * g / np.sqrt(gv)
+    p = np.concatenate([raw_of(np.arange(a, min(len(y), a + 1024)))[-1] for a in range(0, len(y), 1024)])
+    return w, v, p
+
+
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 30) -> Machine:
+    """Weights of terms that tell something beside those already in, then vectors of terms whose meetings do.
+
+    Without rows, or with one label only, the machine scores 0. Rows may have
+    no terms.
+    """
+    if not len(rows) or labels.min() == labels.max():
+        return Machine()
+    sample = Sample(rows, labels)
+    places = np.zeros(0, int)
+    w, _, p = descend(sample, places, 0, 1)
+    for _ in range(ROUNDS):
+        more = np.setdiff1d(telling(sample, p), places)
+        if not len(more):
+            break
+        places = np.r_[places, more]
+        w, _, p = descend(sample, places, 0, epochs)
+    pairs = meeting(sample, p)
+    places = np.r_[np.setdiff1d(places, pairs), pairs]
+    v = np.zeros((0, FACTORS))
+    if len(pairs):
+        w, v, _ = descend(sample, places, len(pairs), 2 * epochs)
+    else:
+        w, v, _ = descend(sample, places, 0, epochs)
     weights, vectors = np.zeros(PLACES, np.float32), np.zeros((PLACES, FACTORS), np.float32)
-    weights[shared], vectors[shared] = w[:n], v[:n]
-    return Machine(float(w[n]), weights, vectors)
+    weights[places] = w[:-1]
+    vectors[places[len(places) - len(pairs) :]] = v
+    return Machine(float(w[-1]), weights, vectors)
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -146,7 +250,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A machine learned from labelled rows that are not held out, ``fit_rows`` at most.
 
     Rows of the labels whose id or label is null are not used; of an id with
-    several labels the largest counts; of documents with one id all are used.
+    several labels the largest counts; of documents with one id all are used,
+    but ``fit_rows`` rows are the most that leave the executors.
     """
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
@@ -154,21 +259,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Places()
         for batch in batches:
-            rows = [features(t.as_py(), memory) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([p for p, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["y", "places", "values"])
+            rows = [features(t.as_py(), memory) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array([p.tobytes() for p, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "y", "places", "values"])
 
-    # The sample has a fixed bound, and so has what is collected of it.
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(sample), "_id")
-    got = chosen.select(F.col("y").cast("int"), "t").mapInArrow(work, "y int, places array<int>, values array<float>").toArrow()
-    places, values = got.column("places").combine_chunks(), got.column("values").combine_chunks()
-    edges = np.concatenate([[0], np.cumsum([len(x) for x in places])]) if len(places) else np.zeros(1, int)
-    p, v = (np.asarray(x.flatten()) if len(x) else np.zeros(0) for x in (places, values))
-    rows = [(p[a:b], v[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-    # Rows come in any order; an order of their own makes the machine the same each time.
-    y = np.asarray(got.column("y")).astype(int)
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), y[i]))
-    return fit([rows[i] for i in order], y[order])
+    found = chosen.select(F.xxhash64("_id").alias("at"), F.col("y").cast("int"), "t").mapInArrow(work, "at long, y int, places binary, values binary")
+    # An order of their own makes the machine the same each time, however rows are dealt.
+    got = found.orderBy("at", F.xxhash64("places"), F.xxhash64("values"), "y").limit(fit_rows).toArrow()
+    rows = [(np.frombuffer(p.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for p, v in zip(got.column("places"), got.column("values"), strict=True)]
+    return fit(rows, np.asarray(got.column("y")).astype(int))
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -99,20 +99,52 @@ def test_tags_and_notices():
     assert (n_base, base, labels, restricts) == (0, "", "bsd,gpl,mit", 0.1) and score > 0.99
 
 
-def test_machine_learns_meetings():
-    """Neither of two terms tells anything by itself; only their meeting does."""
+@pytest.mark.parametrize("share", [0.5, 0.15, 0.1, 0.05])
+def test_machine_learns_meetings(share):
+    """Neither of two terms tells anything by itself; where they meet, a row is toxic. Production steps."""
     rng = np.random.default_rng(0)
     memory = toxicity._Places()
-    texts, labels = [], []
-    for _ in range(3000):
-        a, b = rng.integers(0, 2, 2)
-        words = [f"w{i}" for i in rng.integers(0, 200, 12)] + ["insult"] * a + ["group"] * b
+    base = max(0.28, share)
+    texts, labels, met = [], [], []
+    for _ in range(10_000):
+        a, b = (int(x) for x in rng.random(2) < share)
+        words = [f"w{i}" for i in rng.integers(0, 2000, 40)] + ["insult"] * a + ["group"] * b
         texts.append(toxicity.features(" ".join(words).encode(), memory))
-        labels.append(int(a == b))
-    labels = np.array(labels)
-    m = toxicity.fit(texts[:2400], labels[:2400], epochs=60)
-    scores = np.array([m.score(*t) for t in texts[2400:]])
-    assert ((scores > 0.5) == labels[2400:]).mean() > 0.95
+        labels.append(1 if a and b else int(rng.random() < ((base - share) / (1 - share) if a or b else base)))
+        met.append(a and b)
+    labels, met = np.array(labels), np.array(met[8000:], bool)
+    m = toxicity.fit(texts[:8000], labels[:8000])
+    scores = np.array([m.score(*t) for t in texts[8000:]])
+    assert (scores[met] > 0.5).all() and scores[met].mean() > 0.85
+    assert abs(scores[~met].mean() - labels[8000:][~met].mean()) < 0.03
+
+
+def test_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, rng.normal(0, 1, toxicity.PLACES).astype(np.float32), rng.normal(0, 0.3, (toxicity.PLACES, toxicity.FACTORS)).astype(np.float32))
+    places, values = toxicity.features(b"one two three four fourteenth two two", toxicity._Places())
+    raw = m.bias + sum(float(v) * float(m.weights[p]) for p, v in zip(places, values, strict=True))
+    raw += sum(float(m.vectors[p].astype(float) @ m.vectors[q].astype(float)) for i, p in enumerate(places) for q in places[:i])
+    assert m.score(places, values) == pytest.approx(1 / (1 + np.exp(-raw)), rel=1e-5)
+
+
+def test_machine_takes_batches_without_terms():
+    none = (np.zeros(0, np.int32), np.zeros(0, np.float32))
+    some = toxicity.features(b"awful thing", toxicity._Places())
+    rows = [none] * 900 + [some] * 40
+    m = toxicity.fit(rows, np.array([0] * 900 + [1] * 40))
+    assert m.score(*some) > 0.8 and m.score(*none) < 0.2
+    empty = toxicity.fit([none] * 600, np.array([0, 1] * 300))
+    assert empty.score(*none) == pytest.approx(0.5, abs=0.1)
+
+
+def test_fitted_rows_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, **_: seen.append(len(rows)) or toxicity.Machine())
+    toxicity.fitted(docs, labels, fit_rows=50)
+    assert seen == [50]
 
 
 def test_toxicity_held_out(spark):
