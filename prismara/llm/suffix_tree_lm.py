@@ -14,18 +14,21 @@ suffix of what stands before it that is a state.
 Contexts of up to ``BASE`` symbols, of which there are at most 256 ** BASE, are
 collected and broadcast. All longer ones with the same last ``BASE`` + 1
 symbols meet in one task, which finds the states below and the probability of
-each run of ``DEPTH`` + 1 symbols that any document has. That is a table of its
-own. Of runs and of words only those of a share of all symbols or tokens
-(``HEAD_RUNS``, ``HEAD_SHARE``) are broadcast; all others reach the documents
-by a join.
+any run of ``DEPTH`` + 1 symbols.
+
+Runs and words travel packed, in rows of a bucket: runs in ranges of those last
+symbols that hold about equally many, words by their hash. Only runs and words
+of a share of all (``HEAD_RUNS``, ``HEAD_SHARE``) are broadcast; what documents
+have of others goes to the buckets, and sums for each document come back.
 """
 
 from __future__ import annotations
 
-import struct
+import math
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismara.llm.shared import stored
+from prismara.llm.shared import discard, stored
 from prismara.llm.text import space_words
 
 #: A run of DEPTH + 1 symbols fills 64 bits.
@@ -42,17 +45,17 @@ DEPTH, BASE = 7, 2
 LEAST_COUNT, LEAST_SHARE = 2, 0.0
 #: Least divergence of a context from its suffix, in nats for each symbol that follows it, and in nats for each symbol of the corpus.
 LEAST_NATS, LEAST_TOTAL = 0.02, 0.0
-HEAD_RUNS, BUCKETS = 4e-8, 1024
-HEAD_SHARE, HEAD_BYTES = 1e-6, 64
+#: Shares of all symbols and tokens. There are at most 1 / HEAD_SHARE such words, of 1 / HEAD_SHARE mean tokens' bytes together.
+HEAD_RUNS, HEAD_SHARE = 1e-7, 1e-6
+#: A bucket of runs has about so many symbols.
+BUCKET = 2_000_000
 #: Symbols that no word has: before a text, behind it, between words.
 BEFORE, END, SPACE = 0x0D, 0x0A, 0x20
 SYMBOLS = 255  # all bytes but BEFORE
-#: Words and runs that a task keeps before it hands them on, and symbols it looks at together.
-HELD, BLOCK = 400_000, 4_000_000
-HELD_RUNS = 3_000_000
+#: Words and symbols that a task keeps before it hands them on, symbols it scores together, and numbers it sends in one row.
+HELD, HELD_SYMBOLS, BLOCK, SENT = 400_000, 12_000_000, 1_000_000, 2_000_000
 END_TOKEN = b" "
-#: In front of a run that is joined as words are: no word has it, nor a row without words.
-RUN_MARK = b" \n"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -69,10 +72,10 @@ def symbols(texts: list[list[bytes]]) -> np.ndarray:
 
 def runs(stream: np.ndarray) -> np.ndarray:
     """For each symbol of the texts: it and the ``DEPTH`` before it, the symbol in the lowest byte."""
-    code = np.zeros(len(stream) - DEPTH, np.int64)
-    for k in range(DEPTH + 1):
-        code = (code << 8) | stream[k : len(stream) - DEPTH + k]
-    return code[stream[DEPTH:] != BEFORE]
+    padded = np.concatenate([np.zeros(7 - DEPTH, np.uint8), stream])
+    code = np.ndarray((max(0, len(padded) - 7),), ">u8", padded.tobytes(), strides=(1,)).astype(np.int64)
+    code = code[stream[DEPTH:] != BEFORE]
+    return code if DEPTH == 7 else code & ((1 << 8 * (DEPTH + 1)) - 1)
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,47 +85,140 @@ def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
-def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``word``, ``run``, ``n``: how often each word (``run`` null) and run of ``BASE`` + 1 symbols (``word`` null) stands in the training texts."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, which compress well."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """The same for numbers in order."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _risen(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b), dtype=np.uint64)
+
+
+def _words_by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of words by their hash, and the places of their words."""
+    at = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(at, kind="stable")
+    first = _starts(at[order])
+    for a, b in zip(first, [*first[1:], len(order)], strict=False):
+        yield int(at[order[a]]), order[a:b]
+
+
+#: Rows of counts: those of words (joined by spaces) by bucket, of short runs at -1 and below, of texts at ENDS.
+COUNTS = "bucket int, keys binary, n binary"
+ENDS, RUN_PARTS = -100, 16
+
+
+def _rows(rows: list[tuple], names: tuple[str, ...] = ("bucket", "keys", "n"), kinds: tuple = (pa.int32(), pa.binary(), pa.binary())) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=list(names))
+
+
+def counted(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """COUNTS of the words, of the runs of ``BASE`` + 1 symbols and of the ends of the training texts, each bucket in one row (runs and ends: in one row of each task)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[list[bytes]] = []
-        size = 0
-
-        def out(words: Counter, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key, n = list(words), list(words.values())
-            for a in range(0, len(key), 50_000):
-                part = key[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.nulls(len(part), pa.int64()), pa.array(n[a : a + 50_000], pa.int64())], names=["word", "run", "n"])
-            for a in range(0, len(codes), 50_000):
-                part = codes[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[a : a + 50_000])], names=["word", "run", "n"])
+        size = ends = 0
 
         def met() -> tuple[np.ndarray, np.ndarray]:
-            c, n = np.unique(runs(symbols(waiting)) & ((1 << 8 * (BASE + 1)) - 1), return_counts=True)
+            c, n = np.unique((runs(symbols(waiting)) & ((1 << 8 * (BASE + 1)) - 1)).astype(np.int32), return_counts=True)
             return _merged(np.r_[codes, c], np.r_[counts, n])
 
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+            if rows := [(b, b" ".join([key[i] for i in at]), _packed(n[at])) for b, at in _words_by_bucket(key, buckets)]:
+                yield _rows(rows)
+
         for batch in batches:
             for t in batch.column(0):
                 w = space_words(t.as_py())
                 words.update(w)
-                words[END_TOKEN] += 1
+                ends += 1
                 waiting.append(w)
                 size += sum(map(len, w)) + len(w) + DEPTH + 1
                 if size >= BLOCK:
                     codes, counts = met()
                     waiting, size = [], 0
-                if len(words) > HELD or len(codes) > 4 * HELD:
-                    yield from out(words, codes, counts)
-                    words, codes, counts = Counter(), codes[:0], counts[:0]
+                if len(words) > HELD:
+                    yield from out()
+                    words = Counter()
         if waiting:
             codes, counts = met()
-        yield from out(words, codes, counts)
+        yield from out()
+        part = codes % RUN_PARTS
+        rows = [(-1 - i, _rising(codes[part == i].astype(np.uint64)), _packed(counts[part == i])) for i in range(RUN_PARTS) if (part == i).any()]
+        if ends:
+            yield _rows([*rows, (ENDS, b"", _packed(np.array([ends])))])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words = None, Counter()
+        codes, counts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            if now == ENDS:
+                yield _rows([(now, b"", _packed(np.array([ends])))])
+            elif now < 0:
+                yield _rows([(now, _rising(codes.astype(np.uint64)), _packed(counts))])
+            else:
+                yield _rows([(now, b" ".join(words), _packed(np.fromiter(words.values(), np.int64, len(words))))])
+
+        for batch in batches:
+            for bucket, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from out()
+                    now, words, codes, counts, ends = bucket, Counter(), codes[:0], counts[:0], 0
+                n = _unpacked(n).astype(np.int64)
+                if bucket == ENDS:
+                    ends += int(n.sum())
+                elif bucket < 0:
+                    codes, counts = _merged(np.r_[codes, _risen(keys).astype(np.int64)], np.r_[counts, n])
+                else:
+                    for w, m in zip(keys.split(), n.tolist(), strict=True):
+                        words[w] += m
+        yield from out()
 
     train = docs.where(~held_out(id_col)).select(F.col(text_col).cast("binary").alias("t"))
-    return train.mapInArrow(work, "word binary, run long, n long").groupBy("word", "run").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(work, COUNTS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(together, COUNTS)
+
+
+def totals(counts: DataFrame) -> tuple[int, int]:
+    """How many tokens there are, and how many kinds of them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [_unpacked(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in n], pa.int64()), pa.array([len(x) for x in n], pa.int64())], names=["tokens", "kinds"])
+
+    each = counts.where(f"bucket >= 0 or bucket = {ENDS}").select("bucket", "n").mapInArrow(work, "tokens long, kinds long")
+    got = each.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    return got.tokens, got.kinds
+
+
+def frequent(counts: DataFrame, least: float) -> dict[bytes, int]:
+    """The words met ``least`` times, with the end if there is a text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = _unpacked(n).astype(np.int64)
+                at = np.flatnonzero(n >= least) if bucket >= 0 else np.arange(len(n))
+                words = keys.split() if bucket >= 0 else [END_TOKEN]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at], pa.binary()), pa.array(n[at])], names=["word", "n"])
+
+    got = counts.where(f"bucket >= 0 or bucket = {ENDS}").select("bucket", "keys", "n").mapInArrow(work, "word binary, n long").toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
 @dataclass(frozen=True)
@@ -207,10 +303,11 @@ class Base:
         return Tree(t.lengths[states], t.contexts[states], np.searchsorted(states, t.at[take]), t.next[take], t.n[take])
 
 
-def based(table: DataFrame) -> Base:
-    """The short contexts of counted runs (``run``, ``n``) of ``BASE`` + 1 symbols. Without any, the root alone."""
-    got = table.toArrow()
-    run, n = (np.asarray(got.column(i)).astype(np.int64) for i in (0, 1))
+def based(counts: DataFrame) -> Base:
+    """The short contexts of counted runs of ``BASE`` + 1 symbols. Without any, the root alone."""
+    got = counts.where(f"bucket < 0 and bucket > {ENDS}").select("keys", "n").toArrow()
+    parts = [(_risen(k).astype(np.int64), _unpacked(n).astype(np.int64)) for k, n in zip(*(c.to_pylist() for c in got.columns), strict=True)]
+    run, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ([], [])))
     total, levels = int(n.sum()), []
     least = max(LEAST_COUNT, LEAST_SHARE * total), LEAST_TOTAL * total
     for k in range(BASE + 1):
@@ -232,59 +329,50 @@ def based(table: DataFrame) -> Base:
     return Base(Tree(*map(np.concatenate, (lengths, contexts, at, nxt, counts))), np.concatenate(own), total, *least)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers by planes of bytes, which compress well."""
-    return zlib.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def ranges(base: Base) -> np.ndarray:
+    """The edges of the buckets of runs, as turned contexts of ``BASE`` + 1 symbols that begin one."""
+    t = base.tree
+    deepest = t.lengths[t.at] == BASE
+    code, n = t.contexts[t.at[deepest]] << 8 | t.next[deepest], t.n[deepest]
+    turned_ = np.zeros(len(code), np.int64)
+    for k in range(BASE + 1):
+        turned_ |= (code >> 8 * k & 255) << 8 * (BASE - k)
+    order = np.argsort(turned_)
+    bucket = np.cumsum(n[order]) // BUCKET
+    return turned_[order][np.flatnonzero(np.diff(bucket)) + 1].astype(np.uint64)
 
 
-def _unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _slices(keys: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of turned runs in order: buckets that have some, and from where to where."""
+    at = np.r_[0, np.searchsorted(keys, edges << np.uint64(8 * (7 - BASE))), len(keys)]
+    for i in np.flatnonzero(np.diff(at)):
+        yield int(i), int(at[i]), int(at[i + 1])
 
 
-def gathered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``bucket``, ``keys``, ``n``: the turned runs of all texts in parts, packed, with their counts in the training texts (0: in others only)."""
+def gathered(docs: DataFrame, id_col: str, text_col: str, edges: np.ndarray) -> DataFrame:
+    """COUNTS of the turned runs of the training texts, in parts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting: tuple[list, list] = ([], [])
+        waiting: list[list[bytes]] = []
         size = 0
 
-        def met() -> tuple[np.ndarray, np.ndarray]:
-            k, n = keys, counts
-            for held, texts in enumerate(waiting):
-                if texts:
-                    c, m = np.unique(turned(runs(symbols(texts))), return_counts=True)
-                    k, n = _merged(np.r_[k, c], np.r_[n, m * (1 - held)])
-            return k, n
-
-        def out(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(keys):
-                return
-            bucket = ((keys >> np.uint64(8 * (DEPTH - BASE))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(BUCKETS)
-            order = np.argsort(bucket, kind="stable")
-            first = _starts(bucket[order])
-            rows = []
-            for a, b in zip(first, np.r_[first[1:], len(keys)], strict=True):
-                part = keys[order[a:b]]
-                rows.append((int(bucket[order[a]]), _packed(np.diff(part, prepend=np.uint64(0))), _packed(counts[order[a:b]])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(turned(runs(symbols(waiting))), return_counts=True)
+            if rows := [(i, _rising(keys[a:b]), _packed(n[a:b])) for i, a, b in _slices(keys, edges)]:
+                yield _rows(rows)
 
         for batch in batches:
-            for held, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for t in batch.column(0):
                 w = space_words(t.as_py())
-                waiting[held].append(w)
+                waiting.append(w)
                 size += sum(map(len, w)) + len(w) + DEPTH + 1
-                if size >= BLOCK:
-                    keys, counts = met()
-                    waiting, size = ([], []), 0
-                    if len(keys) > HELD_RUNS:
-                        yield from out(keys, counts)
-                        keys, counts = keys[:0], counts[:0]
-        keys, counts = met()
-        yield from out(keys, counts)
+                if size >= HELD_SYMBOLS:
+                    yield from out()
+                    waiting, size = [], 0
+        if waiting:
+            yield from out()
 
-    return docs.select(held_out(id_col).alias("h"), F.col(text_col).cast("binary").alias("t")).mapInArrow(work, "bucket int, keys binary, n binary")
+    return docs.where(~held_out(id_col)).select(F.col(text_col).cast("binary").alias("t")).mapInArrow(work, COUNTS)
 
 
 def run_logs(keys: np.ndarray, n: np.ndarray, base: Base, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -333,70 +421,175 @@ def run_logs(keys: np.ndarray, n: np.ndarray, base: Base, tables: tuple[np.ndarr
     return best
 
 
-def grown(parts: DataFrame, base: Base) -> DataFrame:
-    """``run``, ``log``, ``n`` of all runs (see :func:`gathered`) whose longest state has more than ``BASE`` symbols."""
-    shared = parts.sparkSession.sparkContext.broadcast(base)
+_made: dict[str, object] = {}
+
+
+def _once(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once by a worker for the name last asked for."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = make()
+    return _made[name]
+
+
+#: Of a bucket: its runs and their counts, its states of BASE + 1 symbols, and its frequent runs with their logarithms.
+GROWN = "bucket int, keys binary, n binary, below binary, head binary, logs binary"
+
+
+def grown(parts: DataFrame, base: Base, least: float) -> DataFrame:
+    """The runs of each bucket (GROWN); frequent ones are met ``least`` times. A run whose longest state has ``BASE`` symbols or less is none of these."""
+    shared, name = parts.sparkSession.sparkContext.broadcast(base), uuid.uuid4().hex
+    names, kinds = ("bucket", "keys", "n", "below", "head", "logs"), (pa.int32(), *[pa.binary()] * 5)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
-        tables = base.tree.tables()
-        keys, n, now = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, held = None, []
 
         def together() -> tuple[np.ndarray, np.ndarray]:
-            return _merged(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
+            return _merged(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held]))
 
         def out() -> Iterator[pa.RecordBatch]:
-            k, m = together()
-            if len(k):
-                log = run_logs(k, m, base, tables)
-                take = ~np.isnan(log)
-                run = turned(k[take]).view(np.int64)
-                for a in range(0, len(run), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(run[a : a + 100_000]), pa.array(log[take][a : a + 100_000].astype(np.float32)), pa.array(m[take][a : a + 100_000])], names=["run", "log", "n"])
+            if held:
+                k, m = together()
+                log = run_logs(k, m, base, _once(name, base.tree.tables))
+                deep = ~np.isnan(log)
+                below = np.unique(k[deep] >> np.uint64(8 * (7 - BASE)))
+                top = deep & (m >= least)
+                yield _rows([(now, _rising(k), _packed(m), _rising(below), _rising(k[top]), log[top].astype(np.float32).tobytes())], names, kinds)
 
         for batch in batches:
             for bucket, k, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
                     yield from out()
-                    keys, n, held, now = keys[:0], n[:0], [], bucket
-                held.append((np.cumsum(_unpacked(k), dtype=np.uint64), _unpacked(m).astype(np.int64)))
-                if sum(len(k) for k, _ in held) > HELD_RUNS:
-                    (keys, n), held = together(), []
+                    now, held = bucket, []
+                held.append((_risen(k), _unpacked(m).astype(np.int64)))
+                if len(held) > 1 and sum(len(k) for k, _ in held) > 2 * max(len(held[0][0]), SENT):
+                    held = [together()]
         yield from out()
 
-    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "run long, log float, n long")
-
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, GROWN)
 
-def tree_scores(texts: list[list[bytes]], child: np.ndarray, logs: np.ndarray, below: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log10 probability of each text but for some of its symbols, and the texts and runs of those.
 
-    ``below`` are the states of ``BASE`` + 1 symbols; a symbol behind one has its probability in the table of runs, of which ``head`` (runs in order, their logarithms) is a part.
+@dataclass(frozen=True)
+class Head:
+    """The logarithms of frequent runs, found by hash: ``first`` gives the place of a hash's first run in ``keys``."""
+
+    first: np.ndarray
+    keys: np.ndarray
+    logs: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, logs: np.ndarray) -> Head:
+        bits = max(1, (2 * len(keys)).bit_length())
+        slot = (keys * _MIX) >> np.uint64(64 - bits)
+        order = np.argsort(slot)
+        return Head(np.searchsorted(slot[order], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32), keys[order], logs[order])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs are there, and the logarithms of those."""
+        bits = (len(self.first) - 1).bit_length() - 1
+        slot = (keys * _MIX) >> np.uint64(64 - bits)
+        at, end = self.first[slot], self.first[slot + np.uint64(1)]
+        place = np.full(len(keys), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == keys[left]
+            place[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        there = place >= 0
+        return there, self.logs[place[there]]
+
+
+def tree_scores(texts: list[list[bytes]], found: np.ndarray, logs: np.ndarray, below: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log10 probability of each text but for some of its symbols, and the texts and turned runs of those.
+
+    ``found`` is the longest state of each context of ``BASE`` symbols, ``below`` marks contexts of ``BASE`` + 1 symbols, turned, that are states.
     """
     stream = symbols(texts)
-    own = stream != BEFORE
-    none = len(child) - 1
-    state = found = np.zeros(len(stream), np.int32)
-    for k in range(1, BASE + 1):
-        older = np.r_[np.full(min(k, len(stream)), BEFORE, np.uint8), stream[: len(stream) - k]]
-        state = child[state, older]
-        found = np.where(state != none, state, found)
-    each = np.where(own, logs[found, np.where(own, stream, END)], 0.0)
-    at = np.flatnonzero(own)
-    run = runs(stream)
-    deep = below[run >> 8 & ((1 << 8 * (BASE + 1)) - 1)]
-    at, run = at[deep], run[deep]
-    each[at] = 0
-    left = np.ones(len(run), bool)
-    if len(head[0]):
-        unique, back = np.unique(run, return_inverse=True)
-        place = np.minimum(np.searchsorted(head[0], unique), len(head[0]) - 1)
-        there = head[0][place] == unique
-        each[at] = np.where(there, head[1][place], 0.0)[back]
-        left = ~there[back]
+    at = np.flatnonzero(stream != BEFORE)
+    x, run = stream[at], turned(runs(stream))
+    each = logs[found[(run >> np.uint64(8 * (8 - BASE))).astype(np.int64)], x]
+    deep = np.flatnonzero(below[(run >> np.uint64(8 * (7 - BASE))).astype(np.int64)])
+    run = run[deep]
+    there, known = head.find(run)
+    each[deep] = 0
+    each[deep[there]] = known
     sums = np.r_[0.0, np.cumsum(each)]
-    ends = np.flatnonzero(stream == END) + 1
-    return np.diff(sums[np.r_[0, ends]]), np.searchsorted(ends, at[left], side="right"), run[left]
+    ends = np.flatnonzero(x == END) + 1
+    left = deep[~there]
+    return np.diff(sums[np.r_[0, ends]]), np.searchsorted(ends, left, side="right"), run[~there]
+
+
+#: Of a document, or of a part of one: words met in training, logarithms of words, and of symbols.
+SUMS = "uid long, known long, logs double, score double"
+
+
+def asked(tables: DataFrame, requests: DataFrame, base: Base, run_buckets: int) -> DataFrame:
+    """SUMS of what documents ask of the buckets' tables, for each document some rows.
+
+    Both have ``bucket``, ``keys``, ``n``; a request has ``uids`` for its keys, which are
+    runs below ``run_buckets`` (in order, one by one) and words from there on (``n`` times).
+    """
+    shared, name = tables.sparkSession.sparkContext.broadcast(base), uuid.uuid4().hex
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = shared.value
+        now = None
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        words: dict[bytes, int] = {}
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        sums: list[tuple[np.ndarray, ...]] = []
+
+        def answered() -> None:
+            """The runs that wait, at once; those never met in training stand in the table with a count of 0."""
+            if waiting:
+                keys, uids = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting.clear()
+                order = np.argsort(keys, kind="stable")
+                keys, uids = keys[order], uids[order]
+                all_keys, all_n = _merged(np.concatenate([k for k, _ in counts] + [keys]), np.concatenate([m for _, m in counts] + [np.zeros(len(keys), np.int64)]))
+                log = run_logs(all_keys, all_n, base, _once(name, base.tree.tables))
+                sums.append((uids, np.zeros(len(uids)), np.zeros(len(uids)), log[np.searchsorted(all_keys, keys)]))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if sums:
+                uid, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
+                sums.clear()
+                uid, of = np.unique(uid, return_inverse=True)
+                known, logs, score = (np.bincount(of, v, len(uid)) for v in values)
+                for a in range(0, len(uid), 100_000):
+                    c = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[c]), pa.array(known[c].astype(np.int64)), pa.array(logs[c]), pa.array(score[c])], names=["uid", "known", "logs", "score"])
+
+        for batch in batches:
+            for bucket, keys, n, uids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    answered()
+                    now, counts, words = bucket, [], {}
+                if uids is None:
+                    n = _unpacked(n).astype(np.int64)
+                    if bucket < run_buckets:
+                        counts.append((_risen(keys), n))
+                    else:
+                        words.update(zip(keys.split(), n.tolist(), strict=True))
+                    continue
+                uids = _unpacked(uids).astype(np.int64)
+                if bucket < run_buckets:
+                    waiting.append((_risen(keys), uids))
+                    if sum(len(k) for k, _ in waiting) > SENT:
+                        answered()
+                else:
+                    m, times = np.fromiter((words.get(w, 0) for w in keys.split()), np.int64, len(uids)), _unpacked(n).astype(np.int64)
+                    sums.append((uids, np.where(m > 0, times, 0), times * np.log10(m + 1), np.zeros(len(uids))))
+                if sum(len(x[0]) for x in sums) > SENT:
+                    yield from out()
+        answered()
+        yield from out()
+
+    both = tables.select("bucket", "keys", "n", F.lit(None).cast("binary").alias("uids")).unionByName(requests.select("bucket", "keys", "n", "uids"))
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.col("uids").isNotNull()).mapInArrow(work, SUMS)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,87 +606,109 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Columns of other names are not read.
     """
     spark = docs.sparkSession
-    counts, _ = stored(counted(docs, id_col, text_col), "counts")
-    words = counts.where("word is not null").select("word", "n")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
-    n, v = totals.tokens, totals.kinds
-    # The end, which every text has, is looked up as the head is.
-    frequent = (F.col("n") >= F.lit(HEAD_SHARE * n)) & (F.octet_length("word") <= HEAD_BYTES) | (F.col("word") == F.lit(END_TOKEN))
-    head_rows = words.where(frequent).toArrow()
-    base = based(counts.where("word is null").select("run", "n"))
-    table, _ = stored(grown(gathered(docs, id_col, text_col), base), "runs")
-    short = F.shiftright("run", 8).bitwiseAND(F.lit((1 << 8 * (BASE + 1)) - 1))
-    below = np.asarray(table.select(short.alias("c")).distinct().toArrow().column(0)).astype(np.int64)
-    often = F.col("n") >= F.lit(max(1.0, HEAD_RUNS * base.total))
-    top = table.where(often).select("run", "log").toArrow()
-    run, log = np.asarray(top.column(0)), np.asarray(top.column(1))
-    order = np.argsort(run)
-    shared = spark.sparkContext.broadcast((head_rows.column("word").combine_chunks(), np.asarray(head_rows.column("n")), base.with_states(below), below, (run[order], log[order])))
-    del top, run, log, order
+    word_buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts, counts_path = stored(counted(docs, id_col, text_col, word_buckets), "counts")
+    n, v = totals(counts)
+    head_words = frequent(counts, HEAD_SHARE * n)
+    base = based(counts)
+    edges = ranges(base)
+    run_buckets = len(edges) + 1
+    table, table_path = stored(grown(gathered(docs, id_col, text_col, edges), base, max(1.0, HEAD_RUNS * base.total)), "runs")
+    top = table.select("below", "head", "logs").toArrow()
+    below = np.concatenate([np.zeros(0, np.uint64), *map(_risen, top.column(0).to_pylist())]).astype(np.int64)
+    head = Head.of(np.concatenate([np.zeros(0, np.uint64), *map(_risen, top.column(1).to_pylist())]), np.frombuffer(b"".join(top.column(2).to_pylist()), np.float32))
+    as_code = np.zeros(len(below), np.int64)
+    for k in range(BASE + 1):
+        as_code |= (below >> 8 * k & 255) << 8 * (BASE - k)
+    shared, name = spark.sparkContext.broadcast((head_words, base.with_states(as_code), below, head)), uuid.uuid4().hex
+    del top, head
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["uid", "id", "n_tokens", "known", "logs", "score", "word", "times"]
-    types = [pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-    schema = f"uid long, id {kind}, n_tokens long, known long, logs double, score double, word binary, times long"
+    names = ["uid", "id", "n_tokens", "known", "logs", "score", "bucket", "keys", "n", "uids"]
+    types = [pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    schema = f"uid long, id {kind}, n_tokens long, known long, logs double, score double, bucket int, keys binary, n binary, uids binary"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_list, ns, tree, states, runs_head = shared.value
-        head = dict(zip(word_list.to_pylist(), np.log10(ns + 1).tolist(), strict=True))
-        end = head.get(END_TOKEN)
+    def prepared() -> tuple:
+        words, tree, states, runs_head = shared.value
         child, logs = tree.tables()
-        below = np.zeros(1 << 8 * (BASE + 1), bool)
-        below[states] = True
+        none = len(child) - 1
+        found = np.zeros(1 << 8 * BASE, np.int32)
+        turned_ = np.arange(1 << 8 * BASE)
+        state = np.zeros(len(turned_), np.int64)
+        for k in range(BASE):
+            state = child[state, turned_ >> 8 * (BASE - 1 - k) & 255].astype(np.int64)
+            found = np.where(state != none, state, found)
+        deep = np.zeros(1 << 8 * (BASE + 1), bool)
+        deep[states] = True
+        return {w: math.log10(c + 1) for w, c in words.items()}, found, logs, deep, runs_head
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found, logs, deep, runs_head = _once(name, prepared)
+        end = words.get(END_TOKEN)
+        rare_words: tuple[list, list, list] = ([], [], [])
+        rare_runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def requests(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            rows = []
+            if rare_runs:
+                keys, uids = (np.concatenate(x) for x in zip(*rare_runs, strict=True))
+                order = np.argsort(keys, kind="stable")
+                keys, uids = keys[order], uids[order]
+                rows += [(i, _rising(keys[a:b]), None, _packed(uids[a:b])) for i, a, b in _slices(keys, edges)]
+            if rare_words[0]:
+                word, times, uids = rare_words[0], np.array(rare_words[1]), np.array(rare_words[2])
+                rows += [(run_buckets + b, b" ".join([word[i] for i in at]), _packed(times[at]), _packed(uids[at])) for b, at in _words_by_bucket(word, word_buckets)]
+            rare_runs.clear()
+            for x in rare_words:
+                x.clear()
+            if rows:
+                none = [pa.nulls(len(rows), t or id_type) for t in types[:6]]
+                yield pa.RecordBatch.from_arrays([*none, *(pa.array([r[i] for r in rows], types[6 + i]) for i in range(4))], names=names)
+
+        def block(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+            score, text_of, rest = tree_scores(texts, found, logs, deep, runs_head)
+            uids = np.asarray(batch.column(0))
+            if len(rest):
+                rare_runs.append((rest, uids[text_of]))
+            n_tokens, known, sums = [], [], []
+            for uid, w in zip(uids.tolist(), texts, strict=True):
+                each = [words.get(x) for x in w]
+                have = [x for x in each if x is not None]
+                if len(have) < len(w):
+                    rare = Counter(x for x, y in zip(w, each, strict=True) if y is None)
+                    rare_words[0].extend(rare)
+                    rare_words[1].extend(rare.values())
+                    rare_words[2].extend([uid] * len(rare))
+                n_tokens.append(len(w) + 1)
+                known.append(len(have) + (end is not None))
+                sums.append(sum(have) + (end or 0.0))
+            mine = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip((n_tokens, known, sums, score), types[2:6], strict=True))]
+            return pa.RecordBatch.from_arrays([*mine, *(pa.nulls(batch.num_rows, t) for t in types[6:])], names=names)
+
         for batch in batches:
             texts: list[list[bytes]] = []
             first, size = 0, 0
             for i, t in enumerate(batch.column(2)):
                 texts.append(space_words(t.as_py()))
-                size += len(t.as_py() or b"") + DEPTH + 1
+                size += sum(map(len, texts[-1])) + len(texts[-1]) + DEPTH + 1
                 if size >= BLOCK or i == batch.num_rows - 1:
-                    yield block(batch.slice(first, i + 1 - first), texts, tree_scores(texts, child, logs, below, runs_head), head, end)
+                    yield block(batch.slice(first, i + 1 - first), texts)
                     texts, first, size = [], i + 1, 0
-
-    def block(batch: pa.RecordBatch, texts: list, scored: tuple, head: dict, end: float | None) -> pa.RecordBatch:
-        score, text_of, rest_runs = scored
-        uids = batch.column(0).to_pylist()
-        n_tokens, known, logs, fill = [], [], [], []
-        rare_uid, rare_word, rare_times = [], [], []
-        for uid, w in zip(uids, texts, strict=True):
-            found = [head.get(x) for x in w]
-            have = [x for x in found if x is not None]
-            if len(have) < len(w):
-                rare = Counter(x for x, y in zip(w, found, strict=True) if y is None)
-                rare_uid.extend([uid] * len(rare))
-                rare_word.extend(rare)
-                rare_times.extend(rare.values())
-            n_tokens.append(len(w) + 1)
-            known.append(len(have) + (end is not None))
-            logs.append(sum(have) + (end or 0.0))
-            fill.append(END_TOKEN + struct.pack("<q", uid))  # no word has a space: meets nothing, and no other
-        if len(rest_runs):
-            order = np.lexsort((rest_runs, text_of))
-            text_of, rest_runs = text_of[order], rest_runs[order]
-            first = np.flatnonzero(np.r_[True, (text_of[1:] != text_of[:-1]) | (rest_runs[1:] != rest_runs[:-1])])
-            rare_uid.extend(np.asarray(uids)[text_of[first]].tolist())
-            raw = rest_runs[first].astype(">i8").tobytes()
-            rare_word.extend(RUN_MARK + raw[i : i + 8] for i in range(0, len(raw), 8))
-            rare_times.extend(np.diff(np.r_[first, len(rest_runs)]).tolist())
-        k = len(rare_uid)
-        columns = [uids + rare_uid, None, n_tokens, known, logs, score, fill + rare_word, [0] * len(uids) + rare_times]
-        arrays = [pa.array(c, t) if len(c) == len(uids) + k else pa.concat_arrays([pa.array(c, t), pa.nulls(k, t)]) for c, t in zip(columns, types, strict=True) if c is not None]
-        arrays.insert(1, pa.concat_arrays([batch.column(1), pa.nulls(k, batch.column(1).type)]))
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+                    if len(rare_words[0]) + sum(len(k) for k, _ in rare_runs) > SENT:
+                        yield from requests(batch.column(1).type)
+            id_type = batch.column(1).type
+        if rare_runs or rare_words[0]:
+            yield from requests(id_type)
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(work, schema)
-    # A run is joined under its mark and eight bytes, the highest first.
-    rare = table.where(~often).select(F.concat(F.lit(RUN_MARK), F.unhex(F.lpad(F.hex("run"), 16, "0"))).alias("word"), F.lit(None).cast("long").alias("n"), "log")
-    rest = words.where(~frequent).withColumn("log", F.lit(None).cast("float")).unionByName(rare)
-    is_run = F.col("log").isNotNull()
-    met = rows.join(rest, "word", "left").select(
-        "uid", "id", "n_tokens",
-        F.when(is_run, 0).when(F.col("n") > 0, F.col("times")).otherwise(F.coalesce("known", F.lit(0))).alias("known"),
-        F.when(is_run, 0.0).otherwise(F.coalesce("logs", F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1))).alias("logs"),
-        F.when(is_run, F.col("times") * F.col("log").cast("double")).otherwise(F.col("score")).alias("score"),
-    )
-    per = met.groupBy("uid").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("score").alias("score"))
+    rows, _ = stored(rows, "scored")
+    tables = table.select("bucket", "keys", "n").unionByName(counts.where("bucket >= 0").select((F.col("bucket") + run_buckets).alias("bucket"), "keys", "n"))
+    rest = asked(tables, rows.where("bucket is not null").select("bucket", "keys", "n", "uids"), base, run_buckets)
+    rest, _ = stored(rest.groupBy("uid").agg(F.sum("known").alias("k"), F.sum("logs").alias("l"), F.sum("score").alias("s")), "sums")
+    discard(spark, counts_path, table_path)
+    per = rows.where("bucket is null").select("uid", "id", "n_tokens", "known", "logs", "score").join(rest, "uid", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     each = float(np.log10(n + v + 1))
-    return per.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")
+    return per.select(
+        F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", plus("known", "k").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (plus("logs", "l") - F.col("n_tokens") * F.lit(each)).alias("base_score"), plus("score", "s").alias("score"),
+    )
