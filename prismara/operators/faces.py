@@ -124,7 +124,9 @@ def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = Fal
 
         def tiles(c: str) -> Column:
             at = lambda x: F.greatest(F.lit(0), F.least(F.lit((face_width - 1) // side), F.floor(x / side))).cast("int")
-            return F.explode(F.sequence(at(F.col(c) - margin), at(F.col(c) + margin)))
+            # Tiles that a point reaches have a task, also where it lies beyond the margin that is searched first.
+            far = max(margin, ceil(REACH))
+            return F.explode(F.sequence(at(F.col(c) - far), at(F.col(c) + far)))
 
         def work(table: pa.Table, wanted: pa.Table | None) -> pa.Table:
             out_schema = pa.schema([("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from prismara.functions import geometry as geo
 from prismara.functions import paths
 from prismara.operators import faces, masks, morphology, rays, remap, runlog
-from prismara.plans.support import support
+from prismara.plans.support import support, supported_rays
 from prismara.sources import images as files
 from prismara.sources import raw
 from prismara.sources.calibration import one_calibration
@@ -69,16 +69,17 @@ def encoder(format_: str):
     return jpg
 
 
-def encoded(shaped: DataFrame, width: int, channels: int, encode) -> DataFrame:
-    """``name``, ``data``: files of raw pixels (``name``, ``data``)."""
+def encoded(shaped: DataFrame, width: int, encode) -> DataFrame:
+    """``name``, ``data``: files of raw pixels (``name``, ``is_mask``, ``data``); masks are PNG files of one channel."""
 
     def work(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                x = np.frombuffer(data.as_py(), np.uint8).reshape(-1, width, channels)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([encode(x if channels == 3 else x[:, :, 0])], pa.binary())], names=["name", "data"])
+            for name, is_mask, data in zip(*batch.columns, strict=True):
+                x = np.frombuffer(data.as_buffer(), np.uint8)
+                file = files.png(x.reshape(-1, width)) if is_mask.as_py() else encode(x.reshape(-1, width, 3))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([file], pa.binary())], names=["name", "data"])
 
-    return shaped.select("name", "data").mapInArrow(work, "name string, data binary")
+    return shaped.select("name", "is_mask", "data").mapInArrow(work, "name string, data binary")
 
 
 def raster(pixels: DataFrame, column: str, width: int, height: int, name: str, encode=files.png, deep: bool = False) -> DataFrame:
@@ -105,16 +106,25 @@ def cached_recipe(spark: SparkSession, o: Options, c: geo.Calibration, support_:
             return found
     except AnalysisException:
         pass
-    used = rays.rays(spark, c).join(support_.where(F.col("val") > 0).select("v", "u"), ["v", "u"])
+    used = supported_rays(spark, c, support_)
     ties = faces.ties(faces.projected(used), o.face_width).persist()
     empty = [r.face for r in faces.tie_counts(ties).where("n = 0").collect()]
     if empty:
         raise ValueError(f"no source pixel meets {', '.join(empty)}; those faces would be black")
-    faces.recipe(ties, o.face_width, c.width).write.mode("overwrite").partitionBy("face").parquet(path)
+    remap.write_packed(faces.recipe(ties, o.face_width, c.width), o.face_width, path)
     ties.unpersist()
     return spark.read.parquet(path)
 
 
+#: Tables of names are broadcast up to so many rows.
+BROADCAST_NAMES = 1_000_000
+
+
+def sized(names: DataFrame) -> DataFrame:
+    """A table of names, to be broadcast if it has no more than BROADCAST_NAMES rows."""
+    return F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+
+
 def existing(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of all files below ``root``; none if it is not there."""
     try:
@@ -144,22 +154,21 @@ def convert(spark: SparkSession, o: Options) -> dict:
     outputs = masks.expected_outputs(items, root, paths.WRITTEN[o.format], o.rig)
     todo = masks.pending(items, outputs, existing(spark, root), o.force).persist()
     total, open_ = items.count(), todo.count()
-    if open_:
-        decoded = plain(files.read_images(spark, o.images)).join(F.broadcast(todo.select(F.col("image_path").alias("path"))), "path", "left_semi")
-        wrong = files.wrong_shapes(decoded, c.width, c.height).limit(5).collect()
-        if wrong:
-            raise ValueError(f"other size than the calibration: {', '.join(r.path for r in wrong)}")
+    if not open_:
+        progress("DONE", 1, 1, f"processed=0 skipped={total}")
+        items.unpersist()
+        todo.unpersist()
+        return {"processed": 0, "skipped": total}
+    open_images = [r.image_path for r in todo.select("image_path").collect()]  # names alone; the listing holds them anyway
+    _fit(spark, open_images, c, "images")
 
     has_masks = bool(o.masks) and not listed_masks.isEmpty()
     if has_masks or o.lens_mask:
         origin, half = ("mask-directory" if has_masks else "lens-only-mask"), None
-        source = files.read_images(spark, o.masks if has_masks else o.lens_mask)
-        bad = files.wrong_shapes(source, c.width, c.height).limit(5).collect()
-        if bad:
-            raise ValueError(f"masks of other size than the calibration: {', '.join(r.path for r in bad)}")
+        masks_from = o.masks if has_masks else o.lens_mask
+        _fit(spark, masks_from, c, "masks")
         progress("MASK_SUM", 1, 1, origin)
-        px = files.exploded(source)
-        count = masks.mask_count(px.select("v", "u", files.gray(F.col("b"), F.col("g"), F.col("r")).alias("val"))).persist()
+        count = files.approved(files.read_images(spark, masks_from), masks.THRESHOLD).persist()
         files.write_named(raster(count.withColumn("n", masks.stored_count(F.col("n"))), "n", c.width, c.height, "bonusdata/validpixelcount_16bit.tif", files.tiff, True), root)
     elif o.max_fov is not None:
         origin, half, count = "manual-fov", o.max_fov / 2, None
@@ -183,33 +192,31 @@ def convert(spark: SparkSession, o: Options) -> dict:
         if not o.lens_mask:
             files.write_named(raster(morphology.eroded(support_), "val", c.width, c.height, "bonusdata/fallback_mask.png"), root)
     filled = masks.with_fallback(todo, fallback or "")
-    if open_:
-        progress("REMAP_PRECOMPUTE", 1, 1, "recipe")
-        recipe = cached_recipe(spark, o, c, support_, origin, angle)
-        sources = plain(files.read_images(spark, o.masks)) if has_masks else None
-        for i, face in enumerate(geo.FACES, 1):
-            progress("REMAP_APPLY", i, len(geo.FACES), face)
-            _write_face(decoded, filled.select("stem", F.col("image_path").alias("path"), F.lit("image").alias("kind")), outputs, recipe, face, o, root, encode)
-            own = filled.select("stem", F.col("mask_path").alias("path"), F.lit("mask").alias("kind"))
-            if sources is not None:
-                _write_face(sources, own.join(F.broadcast(sources.select("path")), "path", "left_semi"), outputs, recipe, face, o, root, files.png, True)
-            if fallback:
-                _write_face(plain(files.read_images(spark, fallback)), own.where(F.col("path") == fallback), outputs, recipe, face, o, root, files.png, True)
+    progress("REMAP_PRECOMPUTE", 1, 1, "recipe")
+    recipe = remap.packed_files(cached_recipe(spark, o, c, support_, origin, angle))
+    own = filled.select("stem", F.col("mask_path").alias("path"), F.lit("mask").alias("kind"))
+    wanted = filled.select("stem", F.col("image_path").alias("path"), F.lit("image").alias("kind")).unionAll(own)
+    progress("REMAP_APPLY", 1, 1, f"{open_} images")
+    open_masks = [r.path for r in own.select("path").distinct().collect()]
+    decoded = plain(files.read_images(spark, open_images)).withColumn("is_mask", F.lit(False))
+    decoded = decoded.unionAll(plain(files.read_images(spark, open_masks)).withColumn("is_mask", F.lit(True)))
+    shaped = remap.remapped_images(decoded, recipe, o.face_width, threads=1 if open_ >= spark.sparkContext.defaultParallelism else len(geo.FACES))
+    names = wanted.join(outputs.withColumnRenamed("path", "output"), ["stem", "kind"]).select("path", "face", (F.col("kind") == "mask").alias("is_mask"), F.expr(f"substring(output, {len(root) + 2})").alias("name"))
+    files.write_named(encoded(shaped.join(sized(names), ["path", "face", "is_mask"]), o.face_width, encode), root)
     counts = todo.where("mask_path is null").count()
     progress("DONE", 1, 1, f"processed={open_} skipped={total - open_}")
     out = {"processed": open_, "skipped": total - open_, "support_source": origin, "effective_angle": float(angle), "angle_source": "manual" if origin == "manual-fov" else "mask-derived", "fallback_masks": counts, "pinhole": runlog.pinhole_parameters(o.face_width)}
     row = spark.createDataFrame([tuple(out[k] for k in ("support_source", "effective_angle", "angle_source", "processed", "skipped", "fallback_masks"))], "support_source string, effective_angle double, angle_source string, processed long, skipped long, fallback_masks long")
     files.write_named(runlog.report(row, o.label, time.monotonic() - began).select(F.lit("run_report.txt").alias("name"), F.col("report").cast("binary").alias("data")), root)
-    for df in (items, todo, support_):
+    for df in (items, todo, support_, *([count] if count is not None else [])):
         df.unpersist()
     return out
 
 
-def _write_face(decoded: DataFrame, items: DataFrame, outputs: DataFrame, recipe: DataFrame, face: str, o: Options, root: str, encode, is_mask: bool = False) -> None:
-    """One face of all items: a source that serves several items is remapped once."""
-    shaped = remap.remapped_images(decoded.join(F.broadcast(items.select("path").distinct()), "path", "left_semi"), recipe, face, o.face_width, is_mask)
-    names = items.join(outputs.where(F.col("face") == face).withColumnRenamed("path", "output"), ["stem", "kind"]).select("path", F.expr(f"substring(output, {len(root) + 2})").alias("name"))
-    files.write_named(encoded(shaped.join(F.broadcast(names), "path"), o.face_width, 1 if is_mask else 3, encode), root)
+def _fit(spark: SparkSession, where: str | list[str], c: geo.Calibration, what: str) -> None:
+    wrong = files.unfit(files.headers(spark, where), c.width, c.height).limit(5).collect()
+    if wrong:
+        raise ValueError(f"{what} that cannot be used: " + ", ".join(f"{r.path} ({r.why})" for r in wrong))
 
 
 def main(args: list[str] | None = None) -> int:

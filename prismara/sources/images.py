@@ -22,6 +22,11 @@ from prismara.functions import paths
 IMAGE = "path string, height int, width int, channels int, data binary"
 
 
+def image_count(spark: SparkSession, directory: str) -> int:
+    """How many image files a directory has."""
+    return image_paths(spark, directory).count()
+
+
 def image_paths(spark: SparkSession, directory: str) -> DataFrame:
     """``path``, ``stem``: the image files of a directory in order, not of those below it."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory).select("path")
@@ -32,18 +37,104 @@ def only_images(listed: DataFrame) -> DataFrame:
     return listed.where(paths.is_image(F.col("path"))).select("path", paths.stem(F.col("path")).alias("stem")).orderBy("path")
 
 
-def read_images(spark: SparkSession, directory: str) -> DataFrame:
-    """Decoded images (IMAGE). A file that cannot be decoded fails the query."""
-    image = spark.read.format("image").option("dropInvalid", False).load(directory)
+def read_images(spark: SparkSession, paths_: str | list[str]) -> DataFrame:
+    """Decoded images (IMAGE) of directories or files. A file that cannot be decoded fails the query."""
+    image = spark.read.format("image").option("dropInvalid", False).load(paths_)
     bad = F.when(F.col("image.height") < 0, F.raise_error(F.concat(F.lit("cannot decode "), F.col("image.origin"))).cast("string"))
     return image.where(paths.is_image(F.col("image.origin"))).select(F.coalesce(bad, F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+def _tags(data: bytes, at: int) -> dict[int, int]:
+    """The first numbers of the tags of a TIFF directory, whose file begins at ``at``."""
+    order = "<" if data[at : at + 2] == b"II" else ">"
+    start = at + struct.unpack_from(order + "I", data, at + 4)[0]
+    out = {}
+    for i in range(struct.unpack_from(order + "H", data, start)[0]):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, start + 2 + 12 * i)
+        place = start + 10 + 12 * i
+        if kind in (3, 4):
+            if count * (2 if kind == 3 else 4) > 4:
+                place = at + struct.unpack_from(order + "I", data, place)[0]
+            out[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, place)[0]
+    return out
+
+
+def header(data: bytes) -> tuple[int, int, int, int] | None:
+    """Width, height, bits of a sample and orientation (1: upright) that a PNG, JPEG or TIFF file says of itself; nothing is decoded."""
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return (*struct.unpack_from(">II", data, 16), data[24], 1)
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            tags = _tags(data, 0)
+            return tags[256], tags[257], tags.get(258, 1), tags.get(274, 1)
+        if data[:2] == b"\xff\xd8":
+            at, turned = 2, 1
+            while data[at] == 0xFF:
+                kind, length = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+                if kind == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                    turned = _tags(data, at + 10).get(274, 1)
+                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                    bits, height, width = struct.unpack_from(">BHH", data, at + 4)
+                    return width, height, bits, turned
+                at += 2 + length
+    except (struct.error, IndexError, KeyError):
+        pass
+    return None
+
+
+def headers(spark: SparkSession, paths_: str | list[str]) -> DataFrame:
+    """``path``, ``width``, ``height``, ``bits``, ``orientation`` of image files; null for those whose header cannot be read."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [header(c.as_buffer().to_pybytes()) or (None,) * 4 for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.int32()) for i in range(4))], names=["path", "width", "height", "bits", "orientation"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths_).where(paths.is_image(F.col("path")))
+    return files.select("path", "content").mapInArrow(work, "path string, width int, height int, bits int, orientation int")
+
+
+def unfit(headers_: DataFrame, width: int, height: int) -> DataFrame:
+    """``path``, ``why``: files that a conversion cannot take. Spark's decoder would cut 16 bits to the low eight and leave turned images as they lie."""
+    why = (
+        F.when(F.col("width").isNull(), "no header of a known format").when((F.col("width") != width) | (F.col("height") != height), "other size than the calibration")
+        .when(F.col("bits") > 8, "more than 8 bits a sample").when(F.col("orientation") != 1, "an orientation tag; turn it upright first")
+    )
+    return headers_.select("path", why.alias("why")).where("why is not null")
+
+
 def wrong_shapes(images: DataFrame, width: int, height: int) -> DataFrame:
-    """The images that have another size than the calibration; only their sizes are read."""
+    """The rows that have another size than the calibration."""
     return images.where((F.col("width") != width) | (F.col("height") != height)).select("path", "width", "height")
 
 
+def approved(images: DataFrame, threshold: int, band: int = 64) -> DataFrame:
+    """``v``, ``u``, ``n``: how many gray images (IMAGE, of one size) are above ``threshold`` at each pixel.
+
+    A task adds up its images and hands on one count of each band of rows.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            for height, width, channels, data in zip(*batch.columns, strict=True):
+                x = np.frombuffer(data.as_buffer(), np.uint8).reshape(height.as_py(), width.as_py(), channels.as_py())
+                value = np.floor(x[:, :, 0] * 0.114 + x[:, :, 1] * 0.587 + x[:, :, 2] * 0.299 + 0.5) if x.shape[2] >= 3 else x[:, :, 0]
+                sums = (value > threshold).astype(np.int64) if sums is None else sums + (value > threshold)
+        if sums is not None:
+            for top in range(0, len(sums), band):
+                yield pa.RecordBatch.from_arrays([pa.array([top], pa.int32()), pa.array([sums.shape[1]], pa.int32()), pa.array([sums[top : top + band].tobytes()], pa.binary())], names=["top", "width", "sums"])
+
+    def together(table: pa.Table) -> pa.Table:
+        top, width = table.column("top")[0].as_py(), table.column("width")[0].as_py()
+        n = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums")).reshape(-1, width)
+        v, u = (i.ravel().astype(np.int32) for i in np.indices(n.shape))
+        return pa.table({"v": v + np.int32(top), "u": u, "n": n.ravel()})
+
+    parts = images.select("height", "width", "channels", "data").mapInArrow(work, "top int, width int, sums binary")
+    return parts.groupBy("top").applyInArrow(together, "v int, u int, n long")
+
+
 def exploded(images: DataFrame) -> DataFrame:
     """``path``, ``v``, ``u``, ``b``, ``g``, ``r``: a row for each pixel; gray images have three equal channels."""
 

@@ -55,6 +55,7 @@ def test_convert_and_resume(spark, lens):
     again = convert(spark, o)
     assert (again["processed"], again["skipped"]) == (1, 1)
     assert os.path.exists(root / "out/L/masks/b_dir_plusX_mask.png")
+    assert convert(spark, o) == {"processed": 0, "skipped": 2}  # nothing is read or computed
 
 
 def test_errors(spark, lens):
@@ -71,3 +72,26 @@ def test_errors(spark, lens):
     (root / "masks/a.png").write_bytes((root / "masks/a_mask.png").read_bytes())
     with pytest.raises(ValueError, match="more than one mask"):
         convert(spark, Options(xml, masks=str(root / "masks"), **o))
+
+
+def test_headers_tell_what_cannot_be_used(spark, lens):
+    root, _ = lens
+    deep = np.zeros((SIZE, SIZE, 3), np.uint16)
+    (root / "images/deep.png").write_bytes(images.png(deep))
+    (root / "images/deep.tif").write_bytes(images.tiff(deep))
+    exif = b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+    sof = b"\xff\xc0\0\x11\x08" + SIZE.to_bytes(2, "big") * 2 + b"\x03" + bytes(9)
+    (root / "images/turned.jpg").write_bytes(b"\xff\xd8\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + sof)
+    (root / "images/none.jpg").write_bytes(b"not an image")
+    got = {r.path.rpartition("/")[2]: r.why for r in images.unfit(images.headers(spark, str(root / "images")), SIZE, SIZE).collect()}
+    assert {k: v.split(" ")[0] for k, v in got.items()} == {"deep.png": "more", "deep.tif": "more", "turned.jpg": "an", "none.jpg": "no"}
+
+
+def test_approved_counts_masks(spark, lens):
+    root, _ = lens
+    (root / "masks/b_mask.png").write_bytes(images.png(np.full((SIZE, SIZE), 200, np.uint8)))
+    got = images.approved(images.read_images(spark, str(root / "masks")), 127).toPandas()
+    n = np.zeros((SIZE, SIZE), int)
+    n[got.v, got.u] = got.n
+    v, u = np.indices((SIZE, SIZE))
+    assert len(got) == SIZE * SIZE and (n == 1 + ((v - SIZE // 2) ** 2 + (u - SIZE // 2) ** 2 < 22**2)).all()

@@ -88,18 +88,27 @@ def test_constant_images_stay_constant(spark):
     assert {low, high} <= {99, 100}
 
 
-def test_whole_images_equal_the_join(spark):
+@pytest.mark.parametrize("threads", [1, 5])
+def test_whole_images_equal_the_join(spark, tmp_path, threads):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 256, (40, 40, 3), dtype=np.uint8)
     r = faces.recipe(some_ties(spark, 40, 16), 16, 40).persist()
+    remap.write_packed(r, 16, str(tmp_path / "recipe"))
+    files = remap.packed_files(spark.read.parquet(str(tmp_path / "recipe")))
+    assert set(files) == set(geo.FACES)
     image = spark.createDataFrame([("a", 40, 40, 3, bytearray(x.tobytes()))], images.IMAGE)
+    both = image.withColumn("is_mask", F.lit(False)).unionAll(image.withColumn("is_mask", F.lit(True)))
+    got = {(i.face, i.is_mask): np.frombuffer(i.data, np.uint8).reshape(16, 16, -1) for i in remap.remapped_images(both, files, 16, threads).collect()}
+    assert len(got) == 10
     for face in ("+Z", "-X"):
-        flat = np.frombuffer(remap.remapped_images(image, r, face, 16).first().data, np.uint8).reshape(16, 16, 3)
         px = images.exploded(image).select(F.col("path").alias("image_id"), (F.col("v") * 40 + F.col("u")).cast("long").alias("src"), "b", "g", "r")
         joined = remap.remapped(px, r.where(F.col("face") == face), ("b", "g", "r")).toPandas()
         want = np.zeros((16, 16, 3))
         want[joined.row, joined.col] = joined[["b", "g", "r"]]
-        assert np.abs(flat - np.clip(want, 0, 255)).max() <= 1
+        want = np.clip(want, 0, 255)
+        assert np.abs(got[face, False] - want).max() <= 1
+        near = np.abs(want[:, :, 0] - 128) > 1
+        assert (got[face, True][near, 0] == np.where(want[near, 0] > 127, 255, 0)).all()
 
 
 def test_too_few_points_are_an_error(spark):
