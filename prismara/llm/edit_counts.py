@@ -16,8 +16,10 @@ between are encoded, and only the sums above their leaves are renewed.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -25,8 +27,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens of a leaf at first.
-LEAF = 32
+#: Pre-tokens of a leaf at first, and those at which leaves are made anew.
+LEAF, FULL = 32, 256
 #: Characters before a span that can change how the text before it is split: the pattern looks at most two characters ahead of a pre-token's end.
 AHEAD = 2
 #: The bound on pre-tokens whose counts a worker remembers, and on the length of those.
@@ -72,23 +74,37 @@ class CountedText:
     2i + 1 stand below node i, and the leaves begin at ``base``.
     """
 
-    def __init__(self, text: str, counter: Counter, leaf: int = LEAF):
-        self.counter = counter
-        pieces = counter.split(text)
+    def __init__(self, text: str, counter: Counter, leaf: int = LEAF, kept: tuple[bytes, bytes] | None = None):
+        """``kept``: what :meth:`state` gave for the same text; then nothing is split or encoded."""
+        self.counter, self.leaf = counter, leaf
+        if kept is None:
+            pieces = counter.split(text)
+            counts = list(map(counter.counts.__getitem__, pieces))
+        else:
+            ends = list(accumulate(array("I", kept[0])))
+            pieces = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            counts = array("I", kept[1]).tolist()
+        self.encoded = 0
+        self._build(pieces, counts)
+
+    def _build(self, pieces: list[str], counts: list[int]) -> None:
+        leaf = self.leaf
         self.leaves = [pieces[i : i + leaf] for i in range(0, len(pieces), leaf)] or [[]]
+        self.counts = [counts[i : i + leaf] for i in range(0, len(counts), leaf)] or [[]]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        self.encoded = 0
         for i in range(len(self.leaves)):
             self._fill(i)
         for i in range(self.base - 1, 0, -1):
             self._sum(i)
-        self.encoded = 0
+
+    def state(self) -> tuple[bytes, bytes]:
+        """Characters and tokens of every pre-token: with the text, all of the tree."""
+        return array("I", (len(p) for leaf in self.leaves for p in leaf)).tobytes(), array("I", (n for leaf in self.counts for n in leaf)).tobytes()
 
     def _fill(self, leaf: int) -> None:
-        pieces = self.leaves[leaf]
-        self.chars[self.base + leaf] = sum(map(len, pieces))
-        self.tokens[self.base + leaf] = sum(map(self.counter.counts.__getitem__, pieces))
+        self.chars[self.base + leaf] = sum(map(len, self.leaves[leaf]))
+        self.tokens[self.base + leaf] = sum(self.counts[leaf])
 
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -162,22 +178,27 @@ class CountedText:
             last += 1
             while not self.chars[self.base + last]:
                 last += 1
-        tail, at = [], begin
+        rest, at = 0, begin
         for p in held:
             if at + shift >= met:
-                tail.append(p)
+                break
+            rest += 1
             at += len(p)
         self.encoded += len(pieces)
-        self.leaves[first] = self.leaves[first][:kept] + pieces + tail
+        counts = [n for i in range(first, last + 1) for n in self.counts[i]][kept:]
+        self.leaves[first] = self.leaves[first][:kept] + pieces + held[rest:]
+        self.counts[first] = self.counts[first][:kept] + list(map(self.counter.counts.__getitem__, pieces)) + counts[rest:]
         touched = {self.base + first}
         self._fill(first)
         for i in range(first + 1, last + 1):
-            self.leaves[i] = []
+            self.leaves[i], self.counts[i] = [], []
             self._fill(i)
             touched.add(self.base + i)
         while touched := {n // 2 for n in touched if n > 1}:
             for node in touched:
                 self._sum(node)
+        if len(self.leaves[first]) > FULL:  # after so many new pre-tokens in one place; none is encoded again
+            self._build([p for leaf in self.leaves for p in leaf], [n for leaf in self.counts for n in leaf])
 
     def _after(self, leaf: int, n: int) -> str:
         out = ""
@@ -194,17 +215,39 @@ def counter(rank_file: str, pattern: str) -> Counter:
     return Counter(rank_file, pattern)
 
 
-def recounted(docs: DataFrame, edits: Column, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def trees(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The segment tree of every text, to be kept: ``id_col``, ``text_col``, ``tree`` (characters and tokens of its pre-tokens, from which its sums follow without splitting or encoding), ``n_tokens``. Null texts count as empty."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(rank_file, pattern)
+        for batch in batches:
+            kept = [CountedText(t.as_py() or "", c) for t in batch.column(1)]
+            states = [dict(zip(("chars", "tokens"), k.state(), strict=True)) for k in kept]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, TREE_TYPE), pa.array([k.n_tokens for k in kept], pa.int64())], names=[id_col, text_col, "tree", "n_tokens"])
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(work, f"`{id_col}` {kind}, `{text_col}` string, tree {TREE}, n_tokens long")
+
+
+TREE, TREE_TYPE = "struct<chars: binary, tokens: binary>", pa.struct([("chars", pa.binary()), ("tokens", pa.binary())])
+
+
+def recounted(
+    docs: DataFrame, edits: Column | Callable[[str], list[dict]], rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None, with_text: bool = False
+) -> DataFrame:
     """Token counts of every whole text before and after its edits.
 
     ``edits``: an array of structs ``start``, ``stop`` (characters of the text
-    as it was, 0 for the first) and ``new``; they are applied from the last
-    place to the first, so none moves another. Of two that overlap, the one
-    that begins later comes first, and the other then replaces what it left.
+    as it was, 0 for the first) and ``new``, or a function that gives those of
+    a text; they are applied from the last place to the first, so none moves
+    another. Of two that overlap, the one that begins later comes first, and
+    the other then replaces what it left. ``tree_col``: the trees that are
+    kept of the same texts (see :func:`trees`); a null one is built.
 
     Columns: ``id_col``, ``n_before``, ``n_after``, ``n_edits``, ``n_chars``
     (after), ``n_pieces`` (pre-tokens before), ``n_encoded`` (pre-tokens that
-    the edits made it encode again) and, if asked for, ``edited`` (the text).
+    the edits made it encode again) and, if asked for, ``edited`` (the text)
+    and its ``tree``.
 
     One row for each input row, whatever its id. A null text counts as empty.
     No or null edits leave the count; edits with a null place or text count as
@@ -212,23 +255,28 @@ def recounted(docs: DataFrame, edits: Column, rank_file: str, pattern: str, id_c
     ``edits`` alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["n_before", "n_after", "n_edits", "n_chars", "n_pieces", "n_encoded"] + ["edited"] * with_text
-    types = [pa.int64()] * 6 + [pa.string()] * with_text
+    names = ["n_before", "n_after", "n_edits", "n_chars", "n_pieces", "n_encoded"] + ["edited", "tree"] * with_text
+    types = [pa.int64()] * 6 + [pa.string(), TREE_TYPE] * with_text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(rank_file, pattern)
         for batch in batches:
             rows = []
-            for text, changes in zip(batch.column(1), batch.column(2), strict=True):
-                kept = CountedText(text.as_py() or "", c)
+            for text, changes, tree in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                text, tree = text.as_py() or "", tree.as_py()
+                kept = CountedText(text, c, kept=(tree["chars"], tree["tokens"]) if tree else None)
                 before, pieces = kept.n_tokens, sum(map(len, kept.leaves))
-                changes = apply_edits(kept, changes.as_py() or [])
-                rows.append((before, kept.n_tokens, changes, kept.n_chars, pieces, kept.encoded) + (kept.text,) * with_text)
+                changes = apply_edits(kept, edits(text) if callable(edits) else changes.as_py() or [])
+                more = (kept.text, dict(zip(("chars", "tokens"), kept.state(), strict=True))) if with_text else ()
+                rows.append((before, kept.n_tokens, changes, kept.n_chars, pieces, kept.encoded, *more))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=[id_col, *names])
 
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names[:6]) + ", edited string" * with_text
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"), edits.alias("e")).mapInArrow(work, schema)
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names[:6]) + f", edited string, tree {TREE}" * with_text
+    given = edits if isinstance(edits, Column) else F.lit(None).cast("int")
+    edits = None if isinstance(edits, Column) else edits
+    tree = F.col(tree_col) if tree_col else F.lit(None).cast(TREE)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"), given.alias("e"), tree.alias("k")).mapInArrow(work, schema)
 
 
 def apply_edits(kept: CountedText, changes: Sequence[dict]) -> int:

@@ -1,9 +1,9 @@
 """Licence scans: an automaton finds identifier tags and notice phrases, and expressions are parsed.
 
 Texts are reduced to lower-case words with one space between them; the
-automaton runs over that. Where it meets an identifier tag, the expression
-after the tag is read from the text itself and evaluated with a shunting-yard
-parser (WITH binds tighter than AND, AND tighter than OR).
+automaton runs over that. Where it meets an identifier tag with a colon behind
+it, the expression there is read from the text itself and evaluated with a
+shunting-yard parser (WITH binds tighter than AND, AND tighter than OR).
 """
 
 from __future__ import annotations
@@ -41,17 +41,33 @@ NOTICES = {
     "cc by sa": ("cc-by-sa", 0.6),
     "dedicated to the public domain": ("public-domain", 0.8),
     "all rights reserved": ("all-rights-reserved", 0.6),
+    "boost software license": ("boost", 0.8),
+    "eclipse public license": ("epl", 0.7),
+    "common development and distribution license": ("cddl", 0.8),
+    "european union public licence": ("eupl", 0.8),
+    "sil open font license": ("ofl", 0.8),
+    "server side public license": ("sspl", 0.8),
+    "business source license": ("busl", 0.8),
+    "this is free and unencumbered software released into the public domain": ("public-domain", 0.9),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 0.8),
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
 TAG = "spdx license identifier"
-_TAG_IN_TEXT = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
+TAG_WORDS = TAG.count(" ") + 1
+_WORD = re.compile(r"[0-9a-z\x80-\xff]+")
+_COLON = re.compile(r"\s*:")
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
 
-#: Families of identifiers: label and how much they restrict use, 0 to 1.
+#: Families of identifiers: label and how much they restrict use, 0 to 1. Other identifiers are labels of their own behind OTHER and restrict fully.
+OTHER = "other:"
 FAMILIES = [
     (r"mit(-0)?", "mit", 0.1), (r"0bsd|bsd-\d-clause(-.+)?", "bsd", 0.1), (r"isc", "isc", 0.1), (r"zlib", "zlib", 0.1), (r"unlicense", "public-domain", 0.0), (r"cc0-1\.0", "cc0", 0.0),
     (r"apache-2(\.0)?", "apache-2", 0.15), (r"apache-1\.[01]", "apache-1", 0.2), (r"mpl-\d\.\d.*", "mpl", 0.4), (r"epl-\d\.\d", "epl", 0.4), (r"lgpl-\d.*", "lgpl", 0.5), (r"agpl-\d.*", "agpl", 0.9), (r"gpl-\d.*", "gpl", 0.8),
     (r"cc-by-\d\.\d", "cc-by", 0.2), (r"cc-by-sa(-\d\.\d)?", "cc-by-sa", 0.6), (r"cc-by-nc(-\d\.\d)?", "cc-by-nc", 0.9), (r"cc-by-(nc-)?nd(-\d\.\d)?|cc-by-nc-sa(-\d\.\d)?", "cc-by-restricted", 0.9), (r"licenseref-[a-z0-9.-]+", "licenseref", 1.0),
+    (r"afl-\d\.\d", "afl", 0.2), (r"artistic-[12]\.0.*", "artistic", 0.3), (r"blueoak-1\.0\.0", "blueoak", 0.1), (r"bsl-1\.0", "boost", 0.1), (r"busl-1\.1", "busl", 0.9), (r"cddl-1\.[01]", "cddl", 0.4), (r"cecill-.+", "cecill", 0.6),
+    (r"ecl-[12]\.0", "ecl", 0.2), (r"elastic-2\.0", "elastic", 0.9), (r"eupl-1\.[0-2]", "eupl", 0.6), (r"gfdl-\d.*", "gfdl", 0.6), (r"ms-pl", "ms-pl", 0.3), (r"ms-rl", "ms-rl", 0.4), (r"mulanpsl-\d\.\d", "mulan", 0.2), (r"ncsa", "ncsa", 0.1),
+    (r"odbl-1\.0", "odbl", 0.6), (r"ofl-1\.[01].*", "ofl", 0.3), (r"openssl", "openssl", 0.2), (r"osl-\d\.\d", "osl", 0.7), (r"php-3\.0.*", "php", 0.2), (r"postgresql", "postgresql", 0.1), (r"psf-2\.0|python-2\.0.*", "python", 0.1), (r"qpl-1\.0.*", "qpl", 0.6),
+    (r"ruby", "ruby", 0.3), (r"sspl-1\.0", "sspl", 1.0), (r"unicode-.+", "unicode", 0.1), (r"upl-1\.0", "upl", 0.1), (r"vim", "vim", 0.3), (r"w3c.*", "w3c", 0.1), (r"wtfpl", "wtfpl", 0.0), (r"x11.*", "x11", 0.1), (r"zpl-\d\.\d", "zpl", 0.2),
 ]
 _FAMILIES = [(re.compile(p), label, weight) for p, label, weight in FAMILIES]
 _BINDS = {"or": 1, "and": 2, "with": 3}
@@ -65,14 +81,16 @@ class Terms(NamedTuple):
 
 
 def _terms(identifier: str) -> Terms | None:
+    if identifier in _BINDS or identifier in ("(", ")"):
+        return None
     for pattern, label, weight in _FAMILIES:
         if pattern.fullmatch(identifier.removesuffix("+")):
             return Terms((label,), weight)
-    return None
+    return Terms((OTHER + identifier,), 1.0)
 
 
-def evaluate(expression: str) -> Terms | None:
-    """The terms of a lower-case licence expression, or None if it does not begin with a whole one.
+def evaluate(expression: str, at: int = 0) -> Terms | None:
+    """The terms of the lower-case licence expression at a place of a text, or None if no whole one begins there.
 
     Of OR the less restrictive side counts, of AND the more restrictive one;
     WITH halves what its left side restricts. Reading ends where no operator
@@ -81,7 +99,6 @@ def evaluate(expression: str) -> Terms | None:
     out: list[Terms] = []
     waiting: list[str] = []
     operand, open_ = True, 0
-    at = 0
 
     def apply(op: str) -> None:
         right, left = out.pop(), out.pop()
@@ -143,16 +160,21 @@ def scan_text(text: bytes | None) -> tuple[int, int, int | None, int | None, str
     if not words:
         return 0, 0, None, None, "", "", 0.0, None
     spaced = b" " + b" ".join(words) + b" "
-    starts: list[int] = []
+    first = last = None
+    places, tags, counted, at = 0, [], 0, 0
     base: set[str] = set()
     labels: set[str] = set()
-    doubt, tagged = 1.0, False
+    doubt = 1.0
     for end, phrase in _automaton().iter(spaced.decode("latin-1")):
+        # Matches come in the order of their ends, so words are counted once.
+        counted, at = counted + spaced.count(b" ", at, end), end
+        start = counted - phrase.count(" ") - 1
         if phrase == TAG:
-            tagged = True
+            tags.append(start + TAG_WORDS - 1)
             continue
         if phrase in BASE:
-            starts.append(spaced.count(b" ", 0, end - len(phrase) - 1))
+            places += 1
+            first, last = start if first is None else min(first, start), start if last is None else max(last, start)
             base.add(BASE[phrase])
             doubt *= 1 - BASE_WEIGHT
         if phrase in NOTICES:
@@ -160,13 +182,14 @@ def scan_text(text: bytes | None) -> tuple[int, int, int | None, int | None, str
             labels.add(label)
             doubt *= 1 - weight
     restricts = None
-    if tagged:
-        for m in _TAG_IN_TEXT.finditer(text.lower()):
-            if terms := evaluate(m[1].decode("utf-8", "replace")):
+    if tags:
+        whole, wanted = text.lower().decode("latin-1"), set(tags)
+        for i, m in enumerate(_WORD.finditer(whole)):
+            if i in wanted and (colon := _COLON.match(whole, m.end())) and (terms := evaluate(whole, colon.end())):
                 labels.update(terms.labels)
                 doubt *= 1 - TAG_WEIGHT
                 restricts = max(restricts or 0.0, terms.restricts)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, restricts
+    return len(words), places, first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, restricts
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,21 +57,20 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op5_sql() -> str:
-    """Every rule on every url, without the index."""
-    from prismara.llm.url_rules import DEFAULT, HOST_RULES, PATTERN_RULES
-
-    def text(x: str) -> str:
-        return "'" + x.replace("'", "''") + "'"
-
-    def case(rules: list, value: str, other: str) -> str:
-        ranked = sorted(rules, key=lambda r: (-len(r.name), r.name))
-        return "CASE " + " ".join(f"WHEN host || path <> '' AND regexp_full_match(host || path, {text(r.pattern)}) THEN {text(getattr(r, value))}" for r in ranked) + f" ELSE {other} END"
+    """The contract's four rules, the longest first, as plain conditions; behind them the method's patterns on every url, without the index."""
+    from prismara.llm.url_rules import DEFAULT, PATTERN_RULES
 
+    patterns = " ".join(f"WHEN regexp_full_match(host || path, '{r.pattern}') THEN '{r.verdict}'" for r in sorted(PATTERN_RULES, key=lambda r: (-len(r.name), r.name)))
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
-h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p)
-SELECT page_id, host, path, {case(HOST_RULES, "name", "NULL")} AS rule, {case(HOST_RULES, "verdict", case(PATTERN_RULES, "verdict", text(DEFAULT)))} AS verdict FROM h"""
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p),
+r AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL OR host || path = '' THEN 'allow' {patterns} ELSE '{DEFAULT}' END AS verdict FROM r"""
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,19 +123,18 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.u = d.doc_id"""
 OP9_SPANS = r"[0-9]{4,}|[A-Za-z0-9._-]{1,64}@[A-Za-z0-9.-]{1,253}"
 
 
+def op9_edits(text: str) -> list[dict]:
+    """Each number and each mail address of a text is replaced."""
+    return [{"start": m.start(), "stop": m.end(), "new": "<mail>" if "@" in m[0] else "0"} for m in re.finditer(OP9_SPANS, text)]
+
+
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents before and after numbers and mail addresses are replaced, each by an edit."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
     from prismara.llm.edit_counts import recounted
 
-    found = F.regexp_extract_all("text", F.lit(OP9_SPANS), F.lit(0))
-    between = F.split("text", OP9_SPANS, -1)
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.char_length(x))
-    start = lambda i: total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))
-    edits = F.when(F.size(found) > 0, F.transform(found, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.char_length(x)).alias("stop"), F.when(F.contains(x, F.lit("@")), "<mail>").otherwise("0").alias("new"))))
-    return recounted(_table(spark, sf_dir, "documents"), edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return recounted(_table(spark, sf_dir, "documents"), op9_edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +146,14 @@ def op10_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
-SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 5"""
+s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.uid <> q.uid)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 5"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name) and name != "op9_edits" and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,8 +41,9 @@ def prefix_rule(name: str, verdict: str) -> Rule:
     """
     host, slash, rest = name.partition("/")
     path = slash + rest
+    tail = ".*" if path else "(?:/.*)?"  # a host ends where the path begins
     whole = _TOKEN.findall(host) + [t for t in _TOKEN.findall(path) if not re.search(rf"{t}$", path)]
-    return Rule(name, verdict, rf"(?s)(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}.*", tuple(whole))
+    return Rule(name, verdict, rf"(?s)(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}{tail}", tuple(whole))
 
 
 #: Host and path rules: block net/, allow example.net/en/, block example.com/de/, allow org/fr/.

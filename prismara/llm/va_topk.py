@@ -1,17 +1,18 @@
 """Exact top-k search over vector-approximation files.
 
-Vectors are dealt into chunks. Of each chunk the quantised cells are scanned
-first: for every query they give an upper and a lower bound of every score.
-Exact vectors are then read in the order of their upper bounds, the best
-first, until the kth exact score is above all bounds that are left; that order
-is the lower-bound order of distances. The best of all chunks are merged.
-
-Queries come in blocks. Each block meets each chunk once, in a task of its own
-whose size is fixed; no pair of rows is ever materialised.
+The file is a table of its own, written once: for each chunk of vectors the
+cell of every component, one byte each, and the ends of the range that the cells divide.
+Queries in blocks scan the cells alone; a cell bounds the score of what lies
+in it from above and below. Of each query those candidates are kept whose
+upper bound reaches the kth best lower bound, first among the chunks scanned
+together, then among all. Exact vectors are read for these only, the best
+bounds first: those of the k best lower bounds say how good the kth is at
+least, and then only what can still reach that is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -19,65 +20,84 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of a dimension, rows of a chunk at most, queries of a block, and scores looked at together.
-CELLS, CHUNK, BLOCK, TOGETHER = 32, 65_536, 4_096, 2_000_000
-#: Chunks are made smaller than CHUNK, but not below this, so that all cores have some.
-LEAST_CHUNK = 256
-_EXACT = 2.0**53
+from prismara.llm.shared import discard, stored
 
+#: Cells of a dimension, rows of a chunk at most, queries of a block, and bounds looked at together.
+CELLS, CHUNK, BLOCK, TOGETHER = 256, 10_000, 4_096, 2_000_000
+_LEAST, _MOST = -(2**63), 2**63 - 1
+#: Whole numbers whose products of vectors fit 64 bits are multiplied as such.
+_SMALL = 2.0**28
 
-def _matrix(column: pa.ChunkedArray, scale: float) -> np.ndarray:
-    flat = np.asarray(column.combine_chunks().flatten(), float)
-    return np.floor(flat * scale).reshape(len(column), -1)
+
+def whole(flat: np.ndarray, scale: float, dims: int) -> np.ndarray:
+    return np.floor(np.asarray(flat, float) * scale).reshape(-1, dims)
+
+
+def edges_of(low: np.ndarray, high: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """The edges of the cells of a chunk: cell c of a dimension holds what is edges[c] up to edges[c + 1]."""
+    edges = low + (high - low) * (np.arange(cells + 1) / cells)[:, None]
+    edges[-1] = high
+    return edges
 
 
 def approximate(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of every component of whole-number vectors, and the edges of the cells: cell c holds edges[c] up to edges[c + 1] - 1."""
-    low, high = x.min(0), x.max(0)
-    edges = np.floor(low + (high - low + 1) * (np.arange(cells + 1) / cells)[:, None])
-    edges[-1] = high + 1
+    """The cell of every component of whole-number vectors, and the edges of the cells."""
+    edges = edges_of(x.min(0), x.max(0), cells)
     codes = np.empty(x.shape, np.uint8)
     for d in range(x.shape[1]):
-        codes[:, d] = np.searchsorted(edges[1:-1, d], x[:, d], side="right")
+        codes[:, d] = np.clip(np.searchsorted(edges[:, d], x[:, d], side="right") - 1, 0, cells - 1)
     return codes, edges
 
 
-def chunk_best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, cells: int = CELLS) -> list[tuple[int, int, int]]:
-    """(place of the query, id, score) of the ``k`` best of a chunk for each query, ties to the smaller id, never the query's own id.
-
-    Scores beyond 64 bits end at the largest or smallest long.
-    """
-    out: list[tuple[int, int, int]] = []
-    dims = x.shape[1]
-    if not dims or not np.abs(x).max() * np.abs(q).max() * dims < _EXACT / 4:
-        whole, least, most = [[int(c) for c in v] for v in x], -(2**63), 2**63 - 1
-        for i, v in enumerate(q):
-            mine = [int(c) for c in v]
-            got = sorted((-max(least, min(most, sum(a * b for a, b in zip(mine, w, strict=True)))), int(j)) for j, w in zip(ids, whole, strict=True) if j != query_ids[i])
-            out.extend((i, j, -s) for s, j in got[:k])
-        return out
-    codes, edges = approximate(x, cells)
-    places = np.arange(dims)
-    low, high = edges[codes, places], edges[codes + 1, places] - 1
-    step = max(1, TOGETHER // len(x))
-    for start in range(0, len(q), step):
-        block = q[start : start + step]
-        up, down = np.maximum(block, 0), np.minimum(block, 0)
-        most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T
-        own = query_ids[start : start + step, None] == ids[None, :]
-        most[own] = least[own] = -np.inf
-        floor = np.partition(least, -k, 1)[:, -k] if len(x) > k else np.full(len(block), -np.inf)
-        for i in range(len(block)):
-            near = np.flatnonzero((most[i] >= floor[i]) & (most[i] > -np.inf))
-            near = near[np.argsort(-most[i, near], kind="stable")]
-            best: list[tuple[int, int]] = []
-            for at in range(0, len(near), 4 * k):
-                if len(best) == k and most[i, near[at]] < -best[-1][0]:
-                    break
-                take = near[at : at + 4 * k]
-                best = sorted(best + list(zip((-(x[take] @ block[i])).astype(np.int64).tolist(), ids[take].tolist(), strict=True)))[:k]
-            out.extend((start + i, j, -s) for s, j in best)
-    return out
+def bounds(codes: np.ndarray, edges: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest score of each query with each vector of a chunk, whatever rounding does."""
+    places = np.arange(codes.shape[1])
+    low, high = edges[codes, places], edges[codes + np.int64(1), places]
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    slack = 1e-13 * codes.shape[1] * (np.abs(q) @ np.abs(edges).max(0))[:, None]
+    return up @ low.T + down @ high.T - slack, up @ high.T + down @ low.T + slack
+
+
+def survivors(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], query_uids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of queries and chunks (uids, codes, edges): place of the query, uid, least and largest score of what can be among the k best; never the query's own row."""
+    floor = np.full((len(q), k), -np.inf)
+    step = max(1, TOGETHER // max(1, max(len(c[0]) for c in chunks)))
+    for last in (False, True):  # first the kth best lower bound, then what reaches it
+        for uids, codes, edges in chunks:
+            for a in range(0, len(q), step):
+                least, most = bounds(codes, edges, q[a : a + step])
+                own = query_uids[a : a + step, None] == uids[None, :]
+                least[own] = most[own] = -np.inf
+                if last:
+                    i, j = np.nonzero((most >= floor[a : a + step, :1]) & (most > -np.inf))
+                    yield i + a, uids[j], least[i, j], most[i, j]
+                else:
+                    best = np.concatenate([floor[a : a + step], least], 1)
+                    floor[a : a + step] = np.sort(np.partition(best, -k, 1)[:, -k:], 1)
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The scores of pairs of whole-number vectors; those beyond 64 bits end at the largest or smallest long."""
+    if not x.size or max(np.abs(q).max(), np.abs(x).max()) < _SMALL:
+        return (q.astype(np.int64) * x.astype(np.int64)).sum(1)
+    return np.array([max(_LEAST, min(_MOST, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q, x, strict=True)], np.int64)
+
+
+def approximation_file(rows: DataFrame, scale: float, chunk: int) -> DataFrame:
+    """``chunk``, ``dims``, ``uids``, ``codes``, ``ends``: the cells of vectors (``uid``, ``v``, ``dims``), packed by chunk."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(batch.column(2))
+            for d in np.unique(dims):
+                mine = batch.filter(pa.array(dims == d))
+                for a in range(0, mine.num_rows, chunk):
+                    part = mine.slice(a, chunk)
+                    uids = np.asarray(part.column(0)).astype(np.int64)
+                    codes, edges = approximate(whole(part.column(1).flatten(), scale, int(d))) if d else (np.zeros((len(uids), 0), np.uint8), np.zeros((CELLS + 1, 0)))
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[:1]), pa.array([int(d)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (uids, codes, edges[[0, -1]]))], names=["chunk", "dims", "uids", "codes", "ends"])
+
+    return rows.select("uid", "v", "dims").mapInArrow(work, "chunk long, dims int, uids binary, codes binary, ends binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -87,34 +107,72 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     the smaller id; with fewer candidates all are returned.
 
     Vectors that are null or hold a null or a number that is not finite take
-    no part, nor do rows with a null id. Candidates are all rows whose id is
-    not the query's. Rows that repeat an id count one by one, as candidates
-    and as queries. Only vectors of one length meet. An empty table gives no
-    rows. Columns of other names are read by ``is_query`` alone.
+    no part, nor do rows with a null id. Candidates are all rows but the
+    query's own; rows that repeat an id count one by one, as candidates (also
+    of each other) and as queries. Only vectors of one length meet. An empty
+    table gives no rows. Scores beyond 64 bits end at the largest or smallest
+    long. Columns of other names are read by ``is_query`` alone.
     """
+    spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dims"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
-    shuffles = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, ceil(size.n / chunk), min(shuffles, ceil(size.n / LEAST_CHUNK)))
-    blocks = max(1, ceil(size.q / block))
-
-    spread = F.xxhash64("id", "v")
-    left = rows.select("id", "v", "dims", F.pmod(spread, F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = rows.where("is_query").select(F.monotonically_increasing_id().alias("uid"), "id", "v", "dims")
-    right = queries.select("uid", "id", "v", "dims", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
-    names, types = ["uid", "query_id", "vec_id", "score"], [pa.int64()] * 4
-
-    def meet(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        uids, asked_ids = (np.asarray(asked.column(c)) for c in ("uid", "id"))
-        if candidates.num_rows and asked.num_rows:
-            found = chunk_best(np.asarray(candidates.column("id")), _matrix(candidates.column("v"), scale), asked_ids, _matrix(asked.column("v"), scale), k)
-        at = [i for i, _, _ in found]
-        return pa.Table.from_arrays([pa.array(uids[at] if at else [], pa.int64()), pa.array(asked_ids[at] if at else [], pa.int64()), pa.array([j for _, j, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())], schema=pa.schema(zip(names, types, strict=True)))
-
-    keys = ["dims", "chunk", "block"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "uid long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = vectors.where(sound).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dims"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows, _ = stored(rows, "vectors")
+    cells, cells_path = stored(approximation_file(rows, scale, chunk), "cells")
+    blocks = max(1, ceil(rows.where("is_query").count() / block))
+    # Each block meets the chunks in so many tasks; chunks are copied for each block, blocks for each of these.
+    shares = min(max(1, cells.count()), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = cells.withColumn("share", F.pmod(F.xxhash64("chunk"), F.lit(shares)).cast("int")).select("*", each(blocks).alias("block"))
+    right = rows.where("is_query").select("uid", "v", "dims", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"), each(shares).alias("share"))
+    names, types = ["query", "uid", "least", "most"], [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def meet(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = []
+        if chunks.num_rows and asked.num_rows:
+            d = chunks.column("dims")[0].as_py()
+            held = []
+            for uids, codes, ends in zip(*(chunks.column(c) for c in ("uids", "codes", "ends")), strict=True):
+                uids = np.frombuffer(uids.as_buffer(), np.int64)
+                held.append((uids, np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(uids), d), edges_of(*np.frombuffer(ends.as_buffer(), np.float64).reshape(2, d))))
+            query_uids = np.asarray(asked.column("uid")).astype(np.int64)
+            q = whole(asked.column("v").combine_chunks().flatten(), scale, d) if d else np.zeros((len(query_uids), 0))
+            parts = [(query_uids[i], *rest) for i, *rest in survivors(held, query_uids, q, k)]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    keys = ["dims", "share", "block"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, uid long, least double, most double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("least"), "uid"))
+    near, near_path = stored(near.withColumn("place", place), "near")
+    kth = lambda best: F.coalesce(best, F.lit(-float("inf")))
+    floor = near.groupBy("query").agg(kth(F.max(F.when(F.col("place") == k, F.col("least")))).alias("floor"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """``query``, ``uid``, ``query_id``, ``vec_id``, ``score`` of pairs, whose exact vectors are read here."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out, dims = np.zeros(batch.num_rows, np.int64), np.asarray(batch.column(6))
+                for d in np.unique(dims):
+                    at = np.flatnonzero(dims == d)
+                    q, x = (whole(batch.column(i).take(pa.array(at)).flatten(), scale, int(d)) if d else np.zeros((len(at), 0)) for i in (4, 5))
+                    out[at] = exact(q, x)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["query", "uid", "query_id", "vec_id", "score"])
+
+        one = rows.select(F.col("uid").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"), "dims")
+        other = rows.select("uid", F.col("id").alias("vec_id"), F.col("v").alias("x"))
+        met = pairs.select("query", "uid").join(one, "query").join(other, "uid")
+        return met.select("query", "uid", "query_id", "vec_id", "q", "x", "dims").mapInArrow(work, "query long, uid long, query_id long, vec_id long, score long")
+
+    first, first_path = stored(scored(near.where(F.col("place") <= k)), "first")
+    sure = first.groupBy("query").agg(kth(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double"))).alias("sure"))
+    sure = sure.withColumn("sure", F.col("sure") - F.abs("sure") * 1e-12)  # a long may be less than its double
+    rest = near.where(F.col("place") > k).join(floor.join(sure, "query"), "query").where("most >= floor and most >= sure")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid"))
+    out, _ = stored(first.unionAll(scored(rest)).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+    discard(spark, cells_path, near_path, first_path)
+    return out

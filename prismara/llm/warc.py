@@ -31,10 +31,11 @@ BROADCAST_SHARED = 200_000
 LEVEL = 4
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_SPEEDS = (b"\0", b"\2", b"\4")
 _NOT_ZERO = re.compile(rb"[^\0]")
 #: The smallest gzip member; in fewer zero bytes nothing can be lost.
 LEAST_MEMBER = 20
-_FEED = 16_384
+_FIRST, _FEED = 64, 16_384
 _KINDS = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation"}
 
 
@@ -54,7 +55,11 @@ class Gap:
 
 
 class Damaged(ValueError):
-    pass
+    """``until``: version lines up to there fail for the same reason, since they share the header lines that do."""
+
+    def __init__(self, reason: str, until: int = 0):
+        super().__init__(reason)
+        self.until = until
 
 
 def record_bytes(kind: str, record_id: str, block: bytes, headers: list[tuple[str, str]]) -> bytes:
@@ -82,23 +87,27 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     version = _VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", version.end() - 2)
-    if head_end < 0:
-        raise Damaged("no end of the header")
     headers: dict[str, str] = {}
-    for line in data[version.end() : head_end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    line_at = version.end()
+    while True:  # line by line, so that a false version line costs no more than its first bad line
+        line_end = data.find(b"\r\n", line_at)
+        if line_end < 0:
+            raise Damaged("no end of the header", len(data))
+        if line_end == line_at:
+            break
+        name, colon, value = data[line_at:line_end].partition(b":")
         if not colon:
-            raise Damaged("a header line without a name")
+            raise Damaged("a header line without a name", line_at)
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line_at = line_end + 2
     if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
-        raise Damaged("no length")
-    start = head_end + 4
+        raise Damaged("no length", line_at)
+    start = line_at + 2
     end = start + int(headers["content-length"])
     if end > len(data):
-        raise Damaged("the block is cut")
+        raise Damaged("the block is cut", line_at)
     if data[end : end + 4] != b"\r\n\r\n":
-        raise Damaged("the block does not end where it should")
+        raise Damaged("the block does not end where it should", line_at)
     block = data[start:end]
     if not _digest_fits(headers.get("warc-block-digest", ""), block):
         raise Damaged("the block has another digest")
@@ -114,7 +123,11 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str, bool]:
     """What can be decompressed of the gzip member at ``at``, its end, why it is not whole (else empty), and whether it is cut only."""
-    d, parts, fed = zlib.decompressobj(31), [], at
+    d, parts, fed = zlib.decompressobj(31), [], min(len(data), at + _FIRST)
+    try:
+        parts.append(d.decompress(data[at:fed]))
+    except zlib.error:
+        return b"", fed, "the member cannot be decompressed", False  # too little to hold a record
     try:
         while not d.eof:
             if fed >= len(data):
@@ -122,14 +135,18 @@ def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str, bool]:
             parts.append(d.decompress(data[fed : fed + _FEED]))
             fed = min(len(data), fed + _FEED)
     except zlib.error:
-        # Once more, the last piece byte by byte: a call that fails returns nothing.
+        # A call that fails returns nothing, so the last piece is fed again in halves up to the byte that fails.
         d = zlib.decompressobj(31)
         parts = [d.decompress(data[at:fed])]
-        try:
-            for i in range(fed, min(len(data), fed + _FEED)):
-                parts.append(d.decompress(data[i : i + 1]))
-        except zlib.error:
-            pass
+        step, end = _FEED, min(len(data), fed + _FEED)
+        while step and fed < end:
+            tried = d.copy()
+            try:
+                parts.append(tried.decompress(data[fed : min(end, fed + step)]))
+            except zlib.error:
+                step //= 2
+                continue
+            d, fed = tried, min(end, fed + step)
         return b"".join(parts), fed, "the member cannot be decompressed", False
     return b"".join(parts), fed - len(d.unused_data), "", False
 
@@ -151,7 +168,7 @@ def _held(held: bytes, guarded: bool) -> tuple[list[tuple[dict[str, str], bytes]
                 raise Damaged("nothing guards the record")
         except Damaged as e:
             reason = reason or str(e)
-            at = held.find(b"WARC/1.", at + 1)
+            at = held.find(b"WARC/1.", max(at + 1, e.until))
             if at < 0:
                 break
             continue
@@ -185,6 +202,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     """
     view, at, size = memoryview(data), 0, len(data)
     found = None
+    # Where the next of each begins; what was found is remembered until it is passed, so nothing is searched twice.
+    ahead = {_MEMBER: -2, b"WARC/1.": -2}
     while at < size:
         if found is None and not data[at]:
             to = m.start() if (m := _NOT_ZERO.search(data, at)) else size
@@ -192,10 +211,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
                 yield Gap(at, to - at, "zero bytes")
             at = to
             continue
+        until = 0
         try:
             records, end, reason = found or _at(data, view, at)
         except Damaged as e:
-            records, end, reason = [], at, str(e)
+            records, end, reason, until = [], at, str(e), e.until
         found = None
         if end > at:
             yield from records
@@ -205,14 +225,20 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             continue
         after = at + 1
         while found is None:
-            places = [p for p in (data.find(_MEMBER, after), data.find(b"WARC/1.", after)) if p >= 0]
+            for mark, place in ahead.items():
+                least = max(after, until) if mark != _MEMBER else after
+                if place != -1 and place < least:
+                    ahead[mark] = data.find(mark, least)
+            places = [p for p in ahead.values() if p >= 0]
             if not places:
                 break
             after = min(places) + 1
+            if data.startswith(_MEMBER, after - 1) and (data[after + 2 : after + 3] > b"\x1f" or data[after + 7 : after + 8] not in _SPEEDS):
+                continue  # flags or a speed that gzip does not have
             try:
                 found = _at(data, view, after - 1)
-            except Damaged:
-                continue
+            except Damaged as e:
+                until = max(until, e.until)
         to = size if found is None else after - 1
         yield from (Record(at, to - at, r.headers, r.payload) for r in records)
         yield Gap(at, to - at, reason)
@@ -285,8 +311,10 @@ def salvaged(files: DataFrame, with_payload: bool = True) -> DataFrame:
     the bytes given up), ``gap`` (why, else null), ``record_type``,
     ``record_id``, ``target_uri``, ``refers_to``, ``payload_digest`` (SHA-1 in
     hex, or as said by a revisit), ``payload_bytes`` and ``payload`` (null for
-    revisits, whose payload is in the record they refer to). Null contents
-    have no rows.
+    revisits, whose payload is in the record they refer to; see
+    :func:`resolved`). Null contents have no rows. Spark reads files of up to
+    2 GB whole; larger archives must be split at any place, since both halves
+    are salvaged.
     """
     names = ["path", "offset", "length", "gap", "record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes"] + ["payload"] * with_payload
     types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64()] + [pa.binary()] * with_payload
@@ -318,6 +346,19 @@ def salvaged(files: DataFrame, with_payload: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(work, "path string, offset long, length long, gap string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long" + ", payload binary" * with_payload)
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """Records (see :func:`salvaged`) with the length and digest of each revisit's payload taken from the response it refers to, and ``dangling``: that response is not there."""
+    key = F.coalesce("refers_to", F.lit(""))
+    asked = found.where("record_type = 'revisit'").select(key.alias("r_id")).distinct()
+    responses = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("r_id")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("r"))
+    targets, _ = stored(asked.join(responses, "r_id"), "targets")
+    targets = F.broadcast(targets) if targets.count() <= BROADCAST_SHARED else targets
+    is_revisit = F.col("record_type") == "revisit"
+    met = found.join(targets, is_revisit & (key == F.col("r_id")), "left")
+    out = {c: F.when(is_revisit, F.col(f"r.{c}")).otherwise(F.col(c)) for c in ("payload_bytes", "payload_digest")}
+    return met.withColumns(out).withColumn("dangling", F.coalesce(is_revisit & F.col("r_id").isNull(), F.lit(False))).drop("r_id", "r")
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages to archives in the shared folder and read those back.
 
@@ -329,6 +370,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = new_path(spark, "warc")
     write_archives(archives(pages, id_col, url_col, html_col), path)
     found = salvaged(read_archives(spark, path), with_payload=False).where("record_type in ('response', 'revisit')")
+    found, _ = stored(found.select("record_type", "record_id", "refers_to", "payload_digest", "payload_bytes"), "records")
+    found = resolved(found)
     number = lambda c: F.expr(f"try_cast(substring({c}, length('urn:page:') + 1) as long)")
     kind = pages.schema[id_col].dataType
     return found.select(number("record_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").cast(kind).alias("refers_to"))

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -306,14 +307,14 @@ def test_signatures_estimate_similarity():
 def plain_top(data, k):
     ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for at, (i, q) in enumerate(ok):
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for n, (j, v) in enumerate(ok) if n != at and len(v) == len(q))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("spread", "chunk", "block"), [(0.2, 65_536, 4096), (1e-3, 64, 3), (1e6, 65_536, 4096)])
+@pytest.mark.parametrize(("spread", "chunk", "block"), [(0.2, 65_536, 4096), (1e-3, 64, 3), (1e6, 65_536, 4096), (5e5, 100, 7)])
 def test_top_k_against_all(spark, spread, chunk, block):
     rng = np.random.default_rng(5)
     data = [(int(i), (rng.normal(0, spread, 8)).astype(np.float32).tolist()) for i in range(400)]
@@ -330,7 +331,10 @@ def test_cells_hold_their_components():
     x[:, 5] = 3
     codes, edges = va_topk.approximate(x)
     at = np.arange(6)
-    assert (edges[codes, at] <= x).all() and (x <= edges[codes + 1, at] - 1).all()
+    assert (edges[codes, at] <= x).all() and (x <= edges[codes.astype(int) + 1, at]).all()
+    least, most = va_topk.bounds(codes, edges, x[:50])
+    score = x[:50] @ x.T
+    assert (least <= score).all() and (score <= most).all()
 
 
 # Archives
@@ -395,6 +399,26 @@ def test_members_of_many_records_are_salvaged():
     assert read(long[:-4000]) == (payloads, [(0, len(long) - 4000)])
 
 
+@pytest.mark.parametrize("mark", [b"\x1f\x8b\x08\0\0\0\0\0\0\0", b"WARC/1.0\r\nno: end ", b"WARC/1.0\r\nbad line\r\n", b"\x1f\x8b\x08"])
+def test_false_marks_take_linear_time(mark):
+    def seconds(n):
+        data = mark * (n // len(mark)) + warc.member(warc.record_bytes("resource", "urn:x:1", b"kept", []))
+        began = time.process_time()
+        got = list(warc.salvage(data))
+        assert [r.payload for r in got if isinstance(r, warc.Record)] == [b"kept"]
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(800_000) < 24 * max(seconds(50_000), 0.02)
+
+
+def test_revisits_are_resolved(spark):
+    rows = [("response", "a", None, "d1", 5), ("revisit", "b", "a", "said", 99), ("revisit", "c", "lost", "said", 99), ("revisit", "e", None, "said", 99), ("response", None, None, "d2", 7)]
+    df = spark.createDataFrame(rows, "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long")
+    got = {r.record_id: (r.payload_digest, r.payload_bytes, r.dangling) for r in warc.resolved(df).collect()}
+    assert got == {"a": ("d1", 5, False), "b": ("d1", 5, False), "c": (None, None, True), "e": (None, None, True), None: ("d2", 7, False)}
+
+
 def test_zeroed_members_are_logged():
     (p, a), (q, b), (_, c), _ = archive()
     assert read(a + bytes(len(c)) + b) == ([p, q], [(len(a), len(c))])

@@ -4,12 +4,15 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from prismara.llm import edit_counts, license_scan, piece_bpe, toxicity
+from pyspark.sql import functions as F
+
+from prismara.llm import edit_counts, license_scan, piece_bpe, queries, toxicity
 from prismara.llm.queries import piece_model
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, t string, n_tokens int, uid long, y int, e string"
@@ -86,7 +89,7 @@ def test_scan_against_plain(spark):
     [
         ("mit", ("mit",), 0.1), ("mit or gpl-3.0-only", ("mit", "gpl"), 0.1), ("mit and gpl-3.0-only", ("mit", "gpl"), 0.8), ("gpl-2.0-only with classpath-exception-2.0", ("gpl",), 0.4),
         ("mit or apache-2.0 and gpl-3.0-only", ("mit", "apache-2", "gpl"), 0.1), ("(mit or apache-2.0) and gpl-3.0-only", ("mit", "apache-2", "gpl"), 0.8), ("mit */ int x", ("mit",), 0.1),
-        ("mit or", ("mit",), 0.1), ("(mit", None, None), ("or mit", None, None), ("", None, None), ("nonsense", None, None), ("mit and (gpl-3.0-only", ("mit",), 0.1), ("gpl-2.0+ or (lgpl-2.1-or-later)", ("gpl", "lgpl"), 0.5),
+        ("mit or", ("mit",), 0.1), ("(mit", None, None), ("or mit", None, None), ("", None, None), ("frob-2.1", ("other:frob-2.1",), 1.0), ("frob-2.1 or mit", ("other:frob-2.1", "mit"), 0.1), ("mit and (artistic-2.0 or gpl-2.0)", ("mit", "artistic", "gpl"), 0.3), (") mit", None, None), ("mit and (gpl-3.0-only", ("mit",), 0.1), ("gpl-2.0+ or (lgpl-2.1-or-later)", ("gpl", "lgpl"), 0.5),
     ],
 )
 def test_expressions(expression, labels, restricts):
@@ -94,6 +97,46 @@ def test_expressions(expression, labels, restricts):
     assert (got.labels, pytest.approx(got.restricts)) == (labels, restricts) if labels else got is None
 
 
+def plain_labels(text):
+    """Labels and score by plain searches."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, doubt = set(), 1.0
+    for phrases, weight_of in ((license_scan.BASE, lambda v: (v, license_scan.BASE_WEIGHT)), (license_scan.NOTICES, lambda v: v)):
+        for phrase, value in phrases.items():
+            p = phrase.split()
+            n = sum(words[i : i + len(p)] == p for i in range(len(words)))
+            label, weight = weight_of(value)
+            labels |= {label} if n else set()
+            doubt *= (1 - weight) ** n
+    for m in re.finditer(r"(?<![0-9a-z\x80-\U0010ffff])spdx-license-identifier\s*:[ \t]*([^\r\n]*)", (text or "").lower()):
+        if terms := license_scan.evaluate(m[1]):
+            labels |= set(terms.labels)
+            doubt *= 1 - license_scan.TAG_WEIGHT
+    return ",".join(sorted(labels)), 1 - doubt if words else 0.0
+
+
+def test_labels_against_plain(spark):
+    r = random.Random(8)
+    parts = ["SPDX-License-Identifier: ", "SPDX-License-Identifier ", "mit", " OR ", " and ", "gpl-2.0-only", "frob", "(", ")", "\n", " ", "MIT License", "all rights reserved.", "permission", "é", " with ", "Classpath-exception-2.0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(600)]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for t in texts:
+        *_, labels, score, _ = license_scan.scan_text(t.encode() if t is not None else None)
+        assert (labels, score) == (plain_labels(t)[0], pytest.approx(plain_labels(t)[1])), t
+
+
+@pytest.mark.parametrize("unit", ["under the mit license ", "SPDX-License-Identifier: MIT OR Frob-1.0 ", "(" * 7 + "SPDX-License-Identifier: (MIT "])
+def test_scan_takes_linear_time(unit):
+    def seconds(n):
+        text = (unit * n).encode()
+        license_scan.scan_text(text)
+        began = time.process_time()
+        license_scan.scan_text(text)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 32 * max(seconds(1_000), 2e-3)
+
+
 def test_tags_and_notices():
     _, n_base, _, _, base, labels, score, restricts = license_scan.scan_text(b"// SPDX-License-Identifier: (GPL-2.0-only OR MIT)\nRedistribution and use in source and binary forms")
     assert (n_base, base, labels, restricts) == (0, "", "bsd,gpl,mit", 0.1) and score > 0.99
@@ -167,6 +210,43 @@ def test_toxicity_odd_tables(spark):
     assert {r.score for r in toxicity.scored(docs, nothing).collect()} == {0.0} and toxicity.scored(odd(spark, []), nothing).count() == 0
 
 
+def test_edits_of_the_query_equal_encoding_again(spark):
+    c = edit_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    again = {i: re.sub(queries.OP9_SPANS, lambda m: "<mail>" if "@" in m[0] else "0", t) for i, t in text.items()}
+    got = queries.op9_edit_counts(spark, sf).collect()
+    assert {r.doc_id: (r.n_before, r.n_after, r.n_edits, r.n_chars) for r in got} == {i: (c.whole(t), c.whole(again[i]), len(re.findall(queries.OP9_SPANS, t)), len(again[i])) for i, t in text.items()}
+    assert sum(r.n_edits for r in got) > 10
+
+
+def test_kept_trees_are_enough(spark):
+    """A later edit of a kept tree encodes only what it touches, and leaves a tree that is kept in turn."""
+    rank, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    c = edit_counts.counter(rank, pattern)
+    docs = odd(spark, [*TEXTS, "one two three " * 500])
+    kept = edit_counts.trees(docs, rank, pattern)
+    assert all(r.n_tokens == c.whole(r.text or "") for r in kept.collect())
+    once = edit_counts.recounted(kept, lambda t: [{"start": len(t) // 2, "stop": len(t) // 2 + 3, "new": "new words"}], rank, pattern, tree_col="tree", with_text=True)
+    twice = edit_counts.recounted(once.select("doc_id", F.col("edited").alias("text"), "tree"), lambda t: [{"start": 0, "stop": 1, "new": "First "}], rank, pattern, tree_col="tree", with_text=True).collect()
+    assert len(twice) == len(TEXTS) + 1 and all(r.n_after == c.whole(r.edited) and r.n_encoded < 40 for r in twice)
+
+
+def test_many_edits_in_one_place_take_linear_time():
+    c = edit_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    def seconds(n):
+        t = edit_counts.CountedText("a b " * 2000, c)
+        began = time.process_time()
+        for _ in range(n):
+            t.edit(4000, 4000, " some new words stand here")
+        assert max(map(len, t.leaves)) <= edit_counts.FULL and t.n_tokens == c.whole(t.text)
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(3200) < 40 * max(seconds(200), 5e-3)
+
+
 def test_edits_equal_a_new_split():
     c = edit_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(5)
