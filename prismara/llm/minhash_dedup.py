@@ -4,14 +4,14 @@
    set and the minima of its shingles under universal hash functions.
    Documents of one fingerprint have equal sets; the smallest id stands for all
    of them from here on, so copies never meet each other.
-2. Representatives that share a band are in one bucket. Each bucket links its
-   members to the smallest of them, and the components of these links are the
-   candidate groups: every pair that shares a band is in one.
-3. Within a candidate group pairs are screened by size and signature and
-   confirmed on full sets, the likeliest first; pairs that confirmed links have
-   joined already are passed over. Groups are dealt into blocks of fixed size,
-   and each pair of blocks meets in a task of its own, which returns no more
-   links than it has members.
+2. Representatives that share a band are in one bucket. A bucket is dealt into
+   blocks of fixed size; each pair of blocks compares sizes and signatures and
+   returns no more links than it has members. The components of these links
+   are the candidate groups, so documents that share no more than a passage
+   stay apart, however many share it.
+3. Within a candidate group pairs are confirmed on full sets, the likeliest
+   first; pairs that confirmed links have joined already are passed over.
+   Groups are dealt into blocks likewise.
 4. Components of the confirmed links are the groups of near-duplicates.
 
 Components come from alternating large-star and small-star steps.
@@ -23,18 +23,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismara.llm.shared import discard, fresh, small_broadcast, stored
 from prismara.llm.text import space_words
 
-#: With 30 bands of 4 minima a pair of similarity 0.8 shares no band with probability 1.4e-7.
-BANDS, ROWS = 30, 4
-#: Pairs whose signatures agree in a smaller share of minima are not confirmed: at a similarity of 0.8 that has probability 2e-9.
-SCREEN = 0.575
+#: Each band is a choice of 7 of the minima. A pair of similarity 0.8 shares none of 45 with probability 2.5e-5, one of 0.42 shares some with 0.1.
+BANDS, ROWS, MINIMA = 45, 7, 120
+#: Pairs whose signatures agree in a smaller share of minima are not confirmed: at a similarity of 0.8 that has probability 4e-5.
+SCREEN = 0.65
 #: The bound on words whose hashes a worker remembers.
 REMEMBERED = 300_000
 #: Members of a block.
@@ -73,27 +74,34 @@ def shingle_set(text: bytes | None, n: int, memory: _Hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, minima: int = MINIMA) -> np.ndarray:
     """The minima of a set that is not empty, as 32-bit numbers."""
-    a, b = _functions(bands * rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    a, b = _functions(minima)
+    least = np.full(minima, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), 4096):  # whole sets, in blocks that fit the cache
         block = shingles[start : start + 4096]
         np.minimum(least, (a[:, None] * block[None, :] + b[:, None]).min(1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+@lru_cache(maxsize=4)
+def _bands(bands: int, rows: int, minima: int) -> np.ndarray:
+    """Which minima each band takes."""
+    rng = np.random.default_rng(7)
+    return np.stack([rng.choice(minima, rows, replace=False) for _ in range(bands)])
+
+
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit key for each band; the number of the band is part of it."""
-    m = minima.reshape(bands, rows).astype(np.uint64)
-    out = (np.arange(1, bands + 1, dtype=np.uint64)) * _MIX
+    """A 64-bit key for each band of signatures, one in each row; the number of the band is part of it."""
+    m = minima[:, _bands(bands, rows, minima.shape[1])].astype(np.uint64)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _MIX, m.shape[:2]).copy()
     for i in range(rows):
-        out = (out ^ m[:, i]) * _MIX
+        out = (out ^ m[:, :, i]) * _MIX
         out ^= out >> np.uint64(31)
     return out
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
+def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """``id``, ``n`` (set size), ``set_key`` (of the set) and ``minima``; the last two null for empty sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +112,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                 s = shingle_set(t.as_py(), shingle, memory)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                minima.append(signature(s, bands, rows).tobytes() if len(s) else None)
+                minima.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(minima, pa.binary())], names=["id", "n", "set_key", "minima"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(work, "id long, n long, set_key binary, minima binary")
@@ -115,21 +123,90 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(np.frombuffer(m.as_py(), np.uint32), bands, rows).view(np.int64) for m in batch.column(1)]
-            reps = np.repeat(np.asarray(batch.column(0)), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["rep", "bucket"])
+            minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            keys = band_keys(minima, bands, rows).view(np.int64).ravel() if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), bands), pa.int64()), pa.array(keys)], names=["rep", "bucket"])
 
     return classes.select("rep", "minima").mapInArrow(work, "rep long, bucket long")
 
 
-def _sets(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+def likely(short: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of members by their shortened minima: those that are not the first of their component of likely pairs, and that first one.
+
+    ``side``: with 0 and 1 only pairs of both sides are looked at, with 0 alone all pairs.
+    """
+    n = len(sizes)
+    pairs = np.zeros((n, n), bool)
+    for a in range(0, n, 32):
+        same = (short[a : a + 32, None, :] == short[None, :, :]).mean(2)
+        least, most = np.minimum(sizes[a : a + 32, None], sizes[None, :]), np.maximum(sizes[a : a + 32, None], sizes[None, :])
+        pairs[a : a + 32] = (same >= SCREEN) & (least * 100 >= most * percent)
+    if side.any():
+        pairs &= side[:, None] != side[None, :]
+    np.fill_diagonal(pairs, True)
+    label = np.arange(n)
+    while True:
+        least = np.where(pairs, label[None, :], n).min(1)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    rest = np.flatnonzero(label != np.arange(n))
+    return rest, label[rest]
+
+
+def _likely_links(members: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: links of the likely pairs of buckets (``rep``, ``n``, ``short``, ``bucket``, ``blocks``), which join what these pairs join."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "short")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(table: pa.Table) -> pa.RecordBatch:
+            key = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("bucket", "one", "two")])
+            block, rep, size = (np.asarray(table.column(c)).astype(np.int64) for c in ("block", "rep", "n"))
+            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(rep), -1)
+            first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+            length = np.diff(np.r_[first, len(rep)])
+            # Buckets of two are looked at together, all others one by one.
+            two = first[(length == 2) & (key[1, first] == key[2, first])]
+            alike = ((short[two] == short[two + 1]).mean(1) >= SCREEN) & (np.minimum(size[two], size[two + 1]) * 100 >= np.maximum(size[two], size[two + 1]) * percent)
+            a, b = [rep[two[alike]]], [rep[two[alike] + 1]]
+            for i in np.flatnonzero((length > 2) | ((length == 2) & (key[1, first] != key[2, first]))):
+                part = slice(first[i], first[i] + length[i])
+                side = (block[part] != key[1, first[i]]).astype(np.int8)
+                if key[1, first[i]] == key[2, first[i]] or side.any() and not side.all():
+                    rest, of = likely(short[part], size[part], side, percent)
+                    a.append(rep[part][rest])
+                    b.append(rep[part][of])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for batch in batches:
+            # The last bucket of a batch may go on in the next one.
+            table = pa.Table.from_batches([*held, batch])
+            key = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("bucket", "one", "two")])
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+            if cut:
+                yield links(table.slice(0, cut).combine_chunks())
+            held = table.slice(cut).to_batches()
+        if sum(b.num_rows for b in held):
+            yield links(pa.Table.from_batches(held).combine_chunks())
+
+    keys = ["bucket", "one", "two"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """``id``, ``s``, ``minima``: the full sets of documents and their signatures, packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Hashes()
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle, memory) for t in batch.column(1)]
-            minima = [signature(s, bands, rows).tobytes() if len(s) else None for s in sets]
+            minima = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(minima, pa.binary())], names=["id", "s", "minima"])
 
     return texts.mapInArrow(work, "id long, s binary, minima binary").where("minima is not null")
@@ -229,6 +306,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _shortened(minima: Column) -> Column:
+    """The lowest bytes of packed minima."""
+
+    @F.pandas_udf("binary")
+    def lowest(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda m: np.frombuffer(m, np.uint32).astype(np.uint8).tobytes())
+
+    return lowest(minima)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
@@ -247,29 +334,37 @@ def near_duplicates(
     columns of the input are not read.
     """
     spark = docs.sparkSession
-    prof, _ = stored(profiles(docs, id_col, text_col, shingle, bands, rows), "profiles")
+    prof, _ = stored(profiles(docs, id_col, text_col, shingle), "profiles")
     named = prof.where("n > 0 and id is not null")
     # Equal sets have equal minima: any document's will do.
     classes, _ = stored(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima")), "classes")
     members, members_path = stored(_buckets(classes, bands, rows), "members")
     # Only buckets of several documents matter. Tables on both sides let the join split a bucket that holds many.
-    shared, shared_path = stored(members.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least"), "buckets")
-    groups, groups_path = stored(components(members.join(shared, "bucket").select(F.col("rep").alias("a"), F.col("least").alias("b"))), "groups")
-    discard(spark, members_path, shared_path)
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    shared, shared_path = stored(shared, "buckets")
+    short = classes.select("rep", "n", _shortened(F.col("minima")).alias("short"))
+    likely_, likely_path = stored(_likely_links(members.join(shared, "bucket").join(short, "rep"), percent), "likely")
+    groups, groups_path = stored(components(likely_), "groups")
+    discard(spark, members_path, shared_path, likely_path)
 
     blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     blocks, blocks_path = stored(blocks, "blocks")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(small_broadcast(groups.select("id")), "id")
-    placed_sets = _sets(texts, shingle, bands, rows).join(groups, "id").join(blocks, "component")
+    placed_sets = _sets(texts, shingle).join(groups, "id").join(blocks, "component")
     links, links_path = stored(_confirmed(placed_sets, percent), "links")
     final = links.where("final").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    rest = links.where("not final")
+    rest = links.where("not final").select("a", "b")
+    # Rows that repeat an id with several texts are one document: it links the classes of its texts.
+    several = named.groupBy("id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("two")).where("one <> two").select("id")
+    if not several.isEmpty():
+        of = named.join(several, "id").select("id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key")
+        rest, final = links.select("a", "b").unionAll(of.select(F.col("id").alias("a"), F.col("rep").alias("b"))), final.limit(0)
     comp = final if rest.isEmpty() else final.unionAll(components(rest))
 
     placed, _ = stored(classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "placed")
     discard(spark, groups_path, blocks_path, links_path)
     # Rows without a set meet nothing; keys of their own keep them apart.
-    key = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("set_key")).otherwise(F.unhex(F.hex(F.coalesce("id", F.lit(0)))))
+    key = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("set_key")).otherwise(F.unhex(F.hex(F.monotonically_increasing_id())))
     out = prof.select("id", "n", key.alias("set_key")).join(placed, "set_key", "left")
     component = F.coalesce("component", "id")
     kind = docs.schema[id_col].dataType

@@ -259,11 +259,39 @@ def test_near_duplicates_against_plain(spark, block):
     texts = near_copies()
     ids = [None, 7, 8, *range(1000, 1000 - len(texts) + 3, -1)]
     ids[20] = ids[21]  # one document with two texts
+    texts += ["k l m n o p", "k l m n o p", "q r s t u v w", "q r s t u v w"]  # 5 has a copy of 3 and one of 9
+    ids += [3, 5, 5, 9]
     got = minhash_dedup.near_duplicates(documents(spark, texts, ids), block=block).collect()
     assert sorted(map(str, [(x.doc_id, x.n_shingles, x.component_id) for x in got])) == sorted(map(str, plain_groups(texts, ids, 4, 80)))
     assert all(x.kept == (x.doc_id is None or x.doc_id == x.component_id) for x in got)
 
 
+def test_documents_of_one_template_stay_apart(spark, monkeypatch):
+    """They share a passage, not enough to be linked; groups of candidates must not grow with their number."""
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join([f"o{r.randint(0, 10**6)}" for _ in range(84)] + passage) for _ in range(1500)]
+    sizes = []
+    real = minhash_dedup.components
+    monkeypatch.setattr(minhash_dedup, "components", lambda links: sizes.append(links.count()) or real(links))
+    got = minhash_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert all(x.kept for x in got) and len(got) == 1500
+    assert sizes[0] < 150  # likely links, among a million pairs
+
+
+def test_links_at_the_edge_are_found(spark):
+    """Pairs of a similarity just over 0.8."""
+    r = random.Random(6)
+    texts, ids = [], []
+    for i in range(400):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(453)]  # 450 shingles, 50 of which differ: 400 / 500
+        texts += [" ".join(base), " ".join(base[:403] + [f"n{r.randint(0, 10**6)}" for _ in range(50)])]
+        ids += [2 * i, 2 * i + 1]
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(documents(spark, texts, ids)).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(400)) / 400
+    assert found >= 0.99 and all(got[2 * i] == 2 * i for i in range(400))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
     assert [tuple(r) for r in minhash_dedup.near_duplicates(documents(spark, [None, ""], [4, 5])).orderBy("doc_id").collect()] == [(4, 0, 4, True), (5, 0, 5, True)]
@@ -297,7 +325,7 @@ def test_components(spark):
 def test_signatures_estimate_similarity():
     a, b = np.arange(0, 1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     mix = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) ^ (x << np.uint64(7))
-    same = (minhash_dedup.signature(np.unique(mix(a)), 250, 4) == minhash_dedup.signature(np.unique(mix(b)), 250, 4)).mean()
+    same = (minhash_dedup.signature(np.unique(mix(a)), 1000) == minhash_dedup.signature(np.unique(mix(b)), 1000)).mean()
     assert abs(same - 800 / 1200) < 0.06
 
 

@@ -108,7 +108,7 @@ def plain_labels(text):
             label, weight = weight_of(value)
             labels |= {label} if n else set()
             doubt *= (1 - weight) ** n
-    for m in re.finditer(r"(?<![0-9a-z\x80-\U0010ffff])spdx-license-identifier\s*:[ \t]*([^\r\n]*)", (text or "").lower()):
+    for m in re.finditer(r"(?<![0-9a-z\x80-\U0010ffff])spdx-license-identifier\s*:[ \t]*(?=([^\r\n]*))", (text or "").lower()):
         if terms := license_scan.evaluate(m[1]):
             labels |= set(terms.labels)
             doubt *= 1 - license_scan.TAG_WEIGHT
