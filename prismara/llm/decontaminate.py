@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from prismara.llm.shared import fresh, small_broadcast, stored
 from prismara.llm.text import ALNUM_WORD, LOWER, UPPER
 
-#: Windows are broadcast up to this many bytes of words and ids; beyond, both sides are shuffled.
-BROADCAST_BYTES = 64 << 20
+#: Windows are broadcast up to this many bytes of words and ids. Beyond, their hashes alone are, up to so many, and only
+#: document windows of those hashes are shuffled to be verified; beyond that, all are.
+BROADCAST_BYTES, BROADCAST_HASHES = 64 << 20, 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -39,7 +40,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return at.groupBy(F.slice("w", F.col("i"), window).alias("b_words")).agg(F.collect_set("item").alias("b_items")).select(F.size("b_words").alias("b_n"), "b_words", "b_items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, broadcast_bytes: int = BROADCAST_BYTES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """What of the benchmark occurs in each document.
 
     Columns: ``id_col``, ``n_words``, ``n_hit`` (words inside an occurrence of
@@ -71,6 +72,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if n_bytes <= broadcast_bytes:
         b = F.broadcast(b)  # the words of a document stay where they are
     else:
+        hashes, _ = stored(b.select(F.col("b_h").alias("h")).distinct(), "hashes")
+        if hashes.count() <= broadcast_hashes:
+            there = F.broadcast(hashes.withColumn("b_there", F.lit(True)))
+            d = d.join(there, "h", "left").where((F.col("at") < 0) | F.col("b_there")).drop("b_there")
         b = b.hint("merge")
         d, window_words = d.withColumn("w", window_words), F.col("w")  # only a window's own words are shuffled
     same = (F.col("h") == F.col("b_h")) & (F.col("n") == F.col("b_n")) & (F.col("at") >= 0) & (window_words == F.col("b_words"))
