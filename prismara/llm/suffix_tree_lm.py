@@ -46,14 +46,14 @@ LEAST_COUNT, LEAST_SHARE = 2, 0.0
 #: Least divergence of a context from its suffix, in nats for each symbol that follows it, and in nats for each symbol of the corpus.
 LEAST_NATS, LEAST_TOTAL = 0.02, 0.0
 #: Shares of all symbols and tokens. There are at most 1 / HEAD_SHARE such words, of 1 / HEAD_SHARE mean tokens' bytes together.
-HEAD_RUNS, HEAD_SHARE = 1e-7, 1e-6
+HEAD_RUNS, HEAD_SHARE = 4e-8, 1e-6
 #: A bucket of runs has about so many symbols.
 BUCKET = 2_000_000
 #: Symbols that no word has: before a text, behind it, between words.
 BEFORE, END, SPACE = 0x0D, 0x0A, 0x20
 SYMBOLS = 255  # all bytes but BEFORE
 #: Words and symbols that a task keeps before it hands them on, symbols it scores together, and numbers it sends in one row.
-HELD, HELD_SYMBOLS, BLOCK, SENT = 400_000, 12_000_000, 1_000_000, 2_000_000
+HELD, HELD_SYMBOLS, BLOCK, SENT = 250_000, 5_000_000, 1_000_000, 600_000
 END_TOKEN = b" "
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -701,6 +701,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(work, schema)
     rows, _ = stored(rows, "scored")
+    shared.destroy()
     tables = table.select("bucket", "keys", "n").unionByName(counts.where("bucket >= 0").select((F.col("bucket") + run_buckets).alias("bucket"), "keys", "n"))
     rest = asked(tables, rows.where("bucket is not null").select("bucket", "keys", "n", "uids"), base, run_buckets)
     rest, _ = stored(rest.groupBy("uid").agg(F.sum("known").alias("k"), F.sum("logs").alias("l"), F.sum("score").alias("s")), "sums")
