@@ -522,12 +522,18 @@ def tree_scores(texts: list[list[bytes]], found: np.ndarray, logs: np.ndarray, b
     return np.diff(sums[np.r_[0, ends]]), np.searchsorted(ends, left, side="right"), run[~there]
 
 
-#: Of a document, or of a part of one: words met in training, logarithms of words, and of symbols.
+#: Of documents: words met in training, logarithms of words, and of symbols.
 SUMS = "uid long, known long, logs double, score double"
 
 
-def asked(tables: DataFrame, requests: DataFrame, base: Base, run_buckets: int) -> DataFrame:
-    """SUMS of what documents ask of the buckets' tables, for each document some rows.
+def _summed(sums: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    uid, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
+    uid, of = np.unique(uid, return_inverse=True)
+    return uid, *(np.bincount(of, v, len(uid)) for v in values)
+
+
+def asked(tables: DataFrame, requests: DataFrame, base: Base, run_buckets: int, parts: int) -> DataFrame:
+    """SUMS of what documents ask of the buckets' tables, one row for each that asks; on their way sums are packed in ``parts`` parts of the documents.
 
     Both have ``bucket``, ``keys``, ``n``; a request has ``uids`` for its keys, which are
     runs below ``run_buckets`` (in order, one by one) and words from there on (``n`` times).
@@ -555,13 +561,13 @@ def asked(tables: DataFrame, requests: DataFrame, base: Base, run_buckets: int)
 
         def out() -> Iterator[pa.RecordBatch]:
             if sums:
-                uid, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
+                uid, *values = _summed(sums)
                 sums.clear()
-                uid, of = np.unique(uid, return_inverse=True)
-                known, logs, score = (np.bincount(of, v, len(uid)) for v in values)
-                for a in range(0, len(uid), 100_000):
-                    c = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[c]), pa.array(known[c].astype(np.int64)), pa.array(logs[c]), pa.array(score[c])], names=["uid", "known", "logs", "score"])
+                part = ((uid.astype(np.uint64) * _MIX) >> np.uint64(40)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                first = _starts(part[order])
+                rows = [(int(part[order[a]]), *(x[order[a:b]].tobytes() for x in (uid, *values))) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
+                yield _rows(rows, ("part", "uid", "known", "logs", "score"), (pa.int32(), *[pa.binary()] * 4))
 
         for batch in batches:
             for bucket, keys, n, uids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -582,14 +588,34 @@ def asked(tables: DataFrame, requests: DataFrame, base: Base, run_buckets: int)
                         answered()
                 else:
                     m, times = np.fromiter((words.get(w, 0) for w in keys.split()), np.int64, len(uids)), _unpacked(n).astype(np.int64)
-                    sums.append((uids, np.where(m > 0, times, 0), times * np.log10(m + 1), np.zeros(len(uids))))
+                    sums.append((uids, np.where(m > 0, times, 0).astype(float), times * np.log10(m + 1), np.zeros(len(uids))))
                 if sum(len(x[0]) for x in sums) > SENT:
                     yield from out()
         answered()
         yield from out()
 
     both = tables.select("bucket", "keys", "n", F.lit(None).cast("binary").alias("uids")).unionByName(requests.select("bucket", "keys", "n", "uids"))
-    return both.repartition("bucket").sortWithinPartitions("bucket", F.col("uids").isNotNull()).mapInArrow(work, SUMS)
+    packed = both.repartition("bucket").sortWithinPartitions("bucket", F.col("uids").isNotNull()).mapInArrow(work, "part int, uid binary, known binary, logs binary, score binary")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if sums:
+                uid, known, logs, score = _summed(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score)], names=["uid", "known", "logs", "score"])
+
+        for batch in batches:
+            for part, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    yield from out()
+                    now, sums = part, []
+                sums.append((np.frombuffer(rest[0], np.int64), *(np.frombuffer(x) for x in rest[1:])))
+                if sum(len(x[0]) for x in sums) > 2 * max(len(sums[0][0]), SENT):
+                    sums = [_summed(sums)]
+        yield from out()
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(together, SUMS)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -703,8 +729,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows, _ = stored(rows, "scored")
     shared.destroy()
     tables = table.select("bucket", "keys", "n").unionByName(counts.where("bucket >= 0").select((F.col("bucket") + run_buckets).alias("bucket"), "keys", "n"))
-    rest = asked(tables, rows.where("bucket is not null").select("bucket", "keys", "n", "uids"), base, run_buckets)
-    rest, _ = stored(rest.groupBy("uid").agg(F.sum("known").alias("k"), F.sum("logs").alias("l"), F.sum("score").alias("s")), "sums")
+    rest = asked(tables, rows.where("bucket is not null").select("bucket", "keys", "n", "uids"), base, run_buckets, word_buckets)
+    rest, _ = stored(rest.toDF("uid", "k", "l", "s"), "sums")
     discard(spark, counts_path, table_path)
     per = rows.where("bucket is null").select("uid", "id", "n_tokens", "known", "logs", "score").join(rest, "uid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
