@@ -105,9 +105,15 @@ class Sample:
         """What the rows have of some places, by their numbers in ``places``: numbers, values, and where each row begins."""
         own = np.full(PLACES, -1, np.int32)
         own[places] = np.arange(len(places))
-        keep = own[self.places] >= 0
-        sums = np.r_[0, np.cumsum(keep)]
-        return own[self.places[keep]], self.values[keep], sums[self.edges]
+        numbers, values, lengths, at = [], [], [], 0
+        for part, row in self.parts():  # in parts, so that nothing of the sample's size is made beside it
+            mine = own[part]
+            keep = np.flatnonzero(mine >= 0)
+            numbers.append(mine[keep])
+            values.append(self.values[at : at + len(part)][keep])
+            lengths.append(np.bincount(row[keep], minlength=len(self.y)).astype(np.int64))
+            at += len(part)
+        return np.concatenate(numbers), np.concatenate(values), np.r_[0, np.cumsum(sum(lengths))]
 
 
 def deviance(seen: np.ndarray, expected: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -211,14 +217,17 @@ def descend(sample: Sample, places: np.ndarray, vectors: int, epochs: int, batch
 
 
 def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 30) -> Machine:
+    """The machine of labelled rows, which may have no terms; see :func:`fit_sample`."""
+    return fit_sample(Sample(rows, labels), epochs)
+
+
+def fit_sample(sample: Sample, epochs: int = 30) -> Machine:
     """Weights of terms that tell something beside those already in, then vectors of terms whose meetings do.
 
-    Without rows, or with one label only, the machine scores 0. Rows may have
-    no terms.
+    Without rows, or with one label only, the machine scores 0.
     """
-    if not len(rows) or labels.min() == labels.max():
+    if not len(sample.y) or sample.y.min() == sample.y.max():
         return Machine()
-    sample = Sample(rows, labels)
     places = np.zeros(0, int)
     w, _, p = descend(sample, places, 0, 1)
     for _ in range(ROUNDS):
@@ -267,8 +276,11 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = chosen.select(F.xxhash64("_id").alias("at"), F.col("y").cast("int"), "t").mapInArrow(work, "at long, y int, places binary, values binary")
     # An order of their own makes the machine the same each time, however rows are dealt.
     got = found.orderBy("at", F.xxhash64("places"), F.xxhash64("values"), "y").limit(fit_rows).toArrow()
-    rows = [(np.frombuffer(p.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for p, v in zip(got.column("places"), got.column("values"), strict=True)]
-    return fit(rows, np.asarray(got.column("y")).astype(int))
+    rows = [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in zip(got.column("places"), got.column("values"), strict=True)]
+    chosen_rows = Sample(rows, np.asarray(got.column("y")).astype(int))
+    del rows, got  # the sample is held once
+    pa.default_memory_pool().release_unused()
+    return fit_sample(chosen_rows)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

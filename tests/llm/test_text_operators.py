@@ -185,7 +185,7 @@ def test_fitted_rows_are_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda rows, y, **_: seen.append(len(rows)) or toxicity.Machine())
+    monkeypatch.setattr(toxicity, "fit_sample", lambda sample: seen.append(len(sample.y)) or toxicity.Machine())
     toxicity.fitted(docs, labels, fit_rows=50)
     assert seen == [50]
 
