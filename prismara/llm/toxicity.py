@@ -6,7 +6,7 @@ vector, and the product of two terms' vectors is the weight of their meeting,
 such as an insult and the mention of a group. Additive weights cannot tell
 that from the two apart.
 
-The machine is fitted on the driver from a bounded sample of labelled rows:
+The machine is fitted in one task from a bounded sample of labelled rows:
 first weights, of terms that tell something by themselves; then vectors, of
 terms in pairs whose meetings tell what the weights do not, whether or not
 either term tells anything alone. Scoring is a pass over all documents with
@@ -255,12 +255,12 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
-    """A machine learned from labelled rows that are not held out, ``fit_rows`` at most.
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The terms of labelled rows that are not held out, ``fit_rows`` at most, in one partition: ``at``, ``y``, ``places``, ``values``.
 
     Rows of the labels whose id or label is null are not used; of an id with
     several labels the largest counts; of documents with one id all are used,
-    but ``fit_rows`` rows are the most that leave the executors.
+    but ``fit_rows`` rows in all.
     """
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
@@ -274,13 +274,41 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(sample), "_id")
     found = chosen.select(F.xxhash64("_id").alias("at"), F.col("y").cast("int"), "t").mapInArrow(work, "at long, y int, places binary, values binary")
-    # An order of their own makes the machine the same each time, however rows are dealt.
-    got = found.orderBy("at", F.xxhash64("places"), F.xxhash64("values"), "y").limit(fit_rows).toArrow()
-    rows = [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in zip(got.column("places"), got.column("values"), strict=True)]
-    chosen_rows = Sample(rows, np.asarray(got.column("y")).astype(int))
-    del rows, got  # the sample is held once
-    pa.default_memory_pool().release_unused()
-    return fit_sample(chosen_rows)
+    # An order of their own makes the machine the same each time, however rows are dealt; the limit leaves one partition.
+    return found.orderBy("at", F.xxhash64("places"), F.xxhash64("values"), "y").limit(fit_rows)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
+    """A machine learned from the rows that :func:`sampled` takes.
+
+    One task fits them, as the sample is bounded; only the model, ``PLACES``
+    places at most, comes to the driver.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            labels.append(batch.column(1).to_numpy(zero_copy_only=False))
+            rows += [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in zip(batch.column(2), batch.column(3), strict=True)]
+        if rows:
+            m = fit_sample(Sample(rows, np.concatenate(labels)))
+            if m.weights is not None:
+                at = np.flatnonzero((m.weights != 0) | (m.vectors != 0).any(1))
+                places, weights = np.r_[-1, at], np.r_[m.bias, m.weights[at].astype(float)]
+                vectors = pa.array([b""] + [v.tobytes() for v in m.vectors[at]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(weights), vectors], names=["place", "weight", "vector"])
+
+    sample = sampled(docs, labels, id_col, text_col, label_col, fit_rows)
+    model = sample.mapInArrow(learn, "place int, weight double, vector binary").collect()
+    if not model:
+        return Machine()
+    bias, weights, vectors = 0.0, np.zeros(PLACES, np.float32), np.zeros((PLACES, FACTORS), np.float32)
+    for r in model:  # PLACES rows at most
+        if r.place < 0:
+            bias = r.weight
+        else:
+            weights[r.place], vectors[r.place] = r.weight, np.frombuffer(r.vector, np.float32)
+    return Machine(bias, weights, vectors)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -181,13 +182,22 @@ def test_machine_takes_batches_without_terms():
     assert empty.score(*none) == pytest.approx(0.5, abs=0.1)
 
 
-def test_fitted_rows_are_bounded(spark, monkeypatch):
+def test_fitted_rows_are_bounded(spark):
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "fit_sample", lambda sample: seen.append(len(sample.y)) or toxicity.Machine())
-    toxicity.fitted(docs, labels, fit_rows=50)
-    assert seen == [50]
+    sample = toxicity.sampled(docs, labels, fit_rows=50)
+    assert sample.count() == 50 and sample.rdd.getNumPartitions() == 1
+    assert toxicity.sampled(docs, labels).count() == sum(zlib.crc32(str(i % 3).encode()) % 4 != 2 for i in range(200))
+
+
+def test_fitted_is_the_machine_of_its_sample(spark):
+    docs = spark.createDataFrame([(i, f"{'awful' if i % 3 == 0 else 'kind'} thing {i % 7}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    rows = toxicity.sampled(docs, labels).collect()
+    want = toxicity.fit([(np.frombuffer(r.places, np.int32), np.frombuffer(r.values, np.float32)) for r in rows], np.array([r.y for r in rows]))
+    for got in (toxicity.fitted(docs, labels), toxicity.fitted(docs.repartition(7), labels)):
+        assert got.bias == want.bias and (got.weights == want.weights).all() and (got.vectors == want.vectors).all()
+    assert want.weights.any()
 
 
 def test_toxicity_held_out(spark):
