@@ -94,6 +94,17 @@ class Sample:
         self.edges = np.r_[0, np.cumsum([len(p) for p, _ in rows])].astype(np.int64)
         self.y = np.asarray(labels, float)
 
+    @classmethod
+    def packed(cls, places: list[np.ndarray], values: list[np.ndarray], lengths: np.ndarray, labels: np.ndarray) -> Sample:
+        """From parts of many rows each, which are emptied, and the lengths of the rows."""
+        sample = cls([], labels)
+        sample.places = np.concatenate(places)
+        places.clear()
+        sample.values = np.concatenate(values)
+        values.clear()
+        sample.edges = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        return sample
+
     def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places and the rows that they stand in, in parts of bounded size."""
         step = max(1, len(self.y) * PART // max(1, len(self.places)))
@@ -286,12 +297,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
-        for batch in batches:
-            labels.append(batch.column(1).to_numpy(zero_copy_only=False))
-            rows += [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in zip(batch.column(2), batch.column(3), strict=True)]
-        if rows:
-            m = fit_sample(Sample(rows, np.concatenate(labels)))
+        places, values, lengths, labels = [], [], [], []
+        for batch in batches:  # copied, so that no batch outlives its turn
+            labels.append(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32))
+            lengths.append(np.fromiter((len(p.as_buffer()) // 4 for p in batch.column(2)), np.int64, len(batch)))
+            places.append(np.frombuffer(b"".join(p.as_buffer() for p in batch.column(2)), np.int32))
+            values.append(np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3)), np.float32))
+            del batch
+        if labels:
+            m = fit_sample(Sample.packed(places, values, np.concatenate(lengths), np.concatenate(labels)))
             if m.weights is not None:
                 at = np.flatnonzero((m.weights != 0) | (m.vectors != 0).any(1))
                 places, weights = np.r_[-1, at], np.r_[m.bias, m.weights[at].astype(float)]
