@@ -38,7 +38,7 @@ SPACE = "▁"
 #: Chunks longer than this are encoded each time; shorter ones are remembered.
 REMEMBERED_CHARS = 48
 #: The bound on remembered pair tests and on the chunks of each generation.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class PieceBpe:
