@@ -99,7 +99,7 @@ def joined(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.
 
 
 def links(classes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
-    """``a``, ``b``: representatives whose fingerprints are within ``distance``; they join what all such pairs of ``classes`` (``fp``, ``rep``) join."""
+    """``a``, ``b``: links of representatives that join what all pairs of ``classes`` (``fp``, ``rep``) within ``distance`` join, and nothing else."""
     kinds = variants(distance)
     masks = F.array(*(F.lit(_signed(mask)) for mask, _, _ in kinds))
     members = classes.select("fp", "rep", F.posexplode(masks).alias("kind", "mask")).select("kind", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp", "rep")

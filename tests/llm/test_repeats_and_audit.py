@@ -173,7 +173,6 @@ def test_links_join_what_all_pairs_join(spark, block, distance):
     classes = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long")
     got = [(x.a, x.b) for x in simhash_dedup.links(classes, distance, block).collect()]
     pairs = {(b, a) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= distance}
-    assert {tuple(sorted(x)) for x in got} <= pairs
     assert plain_components(got, range(len(fps))) == plain_components(pairs, range(len(fps)))
 
 
