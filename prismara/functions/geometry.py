@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +66,10 @@ class Calibration:
         return {k: F.lit(v) for k, v in asdict(self).items() if k != "projection"}
 
 
+#: Columns of a table of lenses, beside ``model`` and its keys.
+PARAMETERS = tuple(f.name for f in fields(Calibration) if f.name != "projection")
+
+
 def model_of(projection: str) -> str:
     """The model of a file's projection; others cannot be converted."""
     if projection not in PROJECTIONS:
@@ -145,6 +149,23 @@ def ray(model: str, x: Column, y: Column) -> Column:
     return MODELS[model](x, y)
 
 
+def ray_by(model: Column, x: Column, y: Column, u: Column, v: Column, width: Column, height: Column) -> Column:
+    """The ray by the model that each row names; an unknown one fails the query."""
+    unknown = F.raise_error(F.concat(F.lit("unknown model "), F.coalesce(model, F.lit("null"))))
+    out = F.when(model == "equirectangular", equirectangular(u, v, width, height))
+    for name, of in MODELS.items():
+        out = out.when(model == name, of(x, y))
+    return out.otherwise(_ray(*(unknown.cast("double"),) * 3))
+
+
+def model_column(projection: Column) -> Column:
+    """``model_of`` as a column: the model of a file's projection; another fails the query."""
+    out = F.raise_error(F.concat(F.lit("unsupported projection "), F.coalesce(projection, F.lit("null")))).cast("string")
+    for name, model in PROJECTIONS.items():
+        out = F.when(projection == name, model).otherwise(out)
+    return out
+
+
 def quaternion(x: Column, y: Column, z: Column) -> Column:
     """A struct ``w``, ``x``, ``y``, ``z``: the turn from +Z to a ray; half a turn around X where that is not unique."""
     n = F.greatest(F.sqrt((z + 1) * (z + 1) + x * x + y * y), F.lit(1e-12))

@@ -69,11 +69,6 @@ def cache_key(parts: dict[str, Column]) -> Column:
     return F.md5(F.concat_ws("|", *text, F.lit(f"version={RECIPE_VERSION}")).cast("binary"))
 
 
-def raw_name(model: str, width: int, height: int, params: Column) -> Column:
-    """A name for a geometry file: eight digits of an md5 stand for the parameters."""
-    return F.concat(F.lit(f"camera_{model}_{width}x{height}_"), F.substring(F.md5(params.cast("binary")), 1, 8), F.lit(".raw"))
-
-
 def is_positive_integer(text: Column) -> Column:
     """Whether a field holds a whole number above 0; single underscores between digits are allowed."""
     plain = F.regexp_replace(F.trim(text), "_", "")

@@ -10,6 +10,7 @@ wider one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil
 
 import numpy as np
@@ -26,24 +27,28 @@ TILE, MARGINS = 64, (8, 32, 128, 512)
 REACH = 13.66
 
 
-def projected(rays: DataFrame, faces: tuple[str, ...] = tuple(geo.FACES)) -> DataFrame:
-    """``v``, ``u``, ``face``, ``a``, ``b``: where rays meet faces, in half widths; a ray meets up to three."""
+def projected(rays: DataFrame, faces: tuple[str, ...] = tuple(geo.FACES), keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``v``, ``u``, ``face``, ``a``, ``b``: where rays meet faces, in half widths; a ray meets up to three."""
     hits = F.array(*(F.struct(F.lit(f).alias("face"), geo.on_face(f, F.col("x"), F.col("y"), F.col("z")).alias("at")) for f in faces))
-    return rays.select("v", "u", F.explode(hits).alias("h")).where("h.at is not null").select("v", "u", "h.face", "h.at.a", "h.at.b")
+    return rays.select(*keys, "v", "u", F.explode(hits).alias("h")).where("h.at is not null").select(*keys, "v", "u", "h.face", "h.at.a", "h.at.b")
 
 
-def ties(projected_: DataFrame, face_width: int, pad: int = PAD) -> DataFrame:
-    """``face``, ``u``, ``v``, ``px``, ``py``: source pixels that fall on a face or within ``pad`` pixels of it."""
+def ties(projected_: DataFrame, face_width: int, pad: int = PAD, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``face``, ``u``, ``v``, ``px``, ``py``: source pixels that fall on a face or within ``pad`` pixels of it."""
     half = face_width / 2
-    p = projected_.select("face", "u", "v", (F.col("a") * half + half).alias("px"), (F.col("b") * half + half).alias("py"))
+    p = projected_.select(*keys, "face", "u", "v", (F.col("a") * half + half).alias("px"), (F.col("b") * half + half).alias("py"))
     inside = [cond for c in ("px", "py") for cond in (F.col(c) + pad >= 0, F.col(c) - pad < face_width)]
     return p.where(inside[0] & inside[1] & inside[2] & inside[3])
 
 
-def tie_counts(ties_: DataFrame) -> DataFrame:
-    """``face``, ``n``: for every face, also those without."""
-    every = ties_.sparkSession.createDataFrame([(f,) for f in geo.FACES], "face string")
-    return every.join(ties_.groupBy("face").agg(F.count(F.lit(1)).alias("n")), "face", "left").select("face", F.coalesce("n", F.lit(0)).alias("n"))
+def tie_counts(ties_: DataFrame, keys: Sequence[str] = (), lenses: DataFrame | None = None) -> DataFrame:
+    """``keys``, ``face``, ``n``: for every face, also those without; of all ``lenses``, if given, else of those that have ties."""
+    counted = ties_.groupBy(*keys, "face").agg(F.count(F.lit(1)).alias("n"))
+    if keys:
+        every = (counted if lenses is None else lenses).select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, geo.FACES))).alias("face"))
+    else:
+        every = ties_.sparkSession.createDataFrame([(f,) for f in geo.FACES], "face string")
+    return every.join(counted, [*keys, "face"], "left").select(*keys, "face", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def nearest(px: np.ndarray, py: np.ndarray, row: np.ndarray, col: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +110,21 @@ def solved(px: np.ndarray, py: np.ndarray, d2: np.ndarray, epsilon: float = geo.
     return np.divide(w, total, out=np.zeros_like(w), where=total != 0)
 
 
-def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = False, margins: tuple[int, ...] = MARGINS) -> DataFrame:
-    """``face``, ``row``, ``col``, ``src``, ``d2``, ``w``: neighbours (``v`` * ``width`` + ``u``), squared distances, weights.
+def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: bool = False, margins: tuple[int, ...] = MARGINS, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``face``, ``row``, ``col``, ``src``, ``d2``, ``w``: neighbours (``v`` * ``width`` + ``u``), squared distances, weights.
 
     Targets whose weights are all 0 are left out unless ``everywhere``; then
     margins grow until every target is served. A face with fewer points than
-    neighbours is an error.
+    neighbours is an error. ``keys`` tell lenses apart; ``width`` may be a
+    column among them.
     """
-    scarce = tie_counts(ties_).where((F.col("n") > 0) & (F.col("n") < NEIGHBOURS)).select("face").collect()
+    target = [*keys, "face", "row", "col"]
+    scarce = tie_counts(ties_, keys).where((F.col("n") > 0) & (F.col("n") < NEIGHBOURS)).select("face").distinct().collect()
     if scarce:
-        raise ValueError(f"fewer than {NEIGHBOURS} source pixels meet {', '.join(r.face for r in scarce)}")
-    schema = "face string, row int, col int, src array<long>, d2 array<double>, w array<double>, done boolean"
-    points = ties_.select("face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
+        raise ValueError(f"fewer than {NEIGHBOURS} source pixels meet {', '.join(sorted(r.face for r in scarce))}")
+    of_lens = "".join(f"`{k}` {ties_.schema[k].dataType.simpleString()}, " for k in keys)
+    schema = f"{of_lens}face string, row int, col int, src array<long>, d2 array<double>, w array<double>, done boolean"
+    points = ties_.select(*keys, "face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
     reach = [*margins, *([face_width + 2 * PAD] * everywhere)] if margins[-1] < face_width else [m for m in margins if m < face_width] + [face_width + 2 * PAD]
 
     def attempt(margin: int, left: DataFrame | None, last: bool) -> DataFrame:
@@ -129,7 +137,7 @@ def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = Fal
             return F.explode(F.sequence(at(F.col(c) - far), at(F.col(c) + far)))
 
         def work(table: pa.Table, wanted: pa.Table | None) -> pa.Table:
-            out_schema = pa.schema([("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())])
+            out_schema = pa.schema([*(table.schema.field(k) for k in keys), ("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())])
             if table.num_rows and (wanted is None or wanted.num_rows):
                 tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
                 src, px, py = (np.asarray(table.column(c)) for c in ("src", "px", "py"))
@@ -149,7 +157,7 @@ def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = Fal
                 n, m = int(use.sum()), int(open_.sum())
                 lists = lambda x, t: pa.concat_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), t), NEIGHBOURS).cast(pa.list_(t)), pa.nulls(m, pa.list_(t))])
                 both = np.r_[np.flatnonzero(use), np.flatnonzero(open_)]
-                columns = [pa.array([face] * (n + m)), pa.array(row[both], pa.int32()), pa.array(col[both], pa.int32()), lists(src[at[use]], pa.int64()), lists(d2[use], pa.float64()), lists(w, pa.float64()), pa.array([True] * n + [False] * m)]
+                columns = [*(pa.array([table.column(k)[0].as_py()] * (n + m), table.schema.field(k).type) for k in keys), pa.array([face] * (n + m)), pa.array(row[both], pa.int32()), pa.array(col[both], pa.int32()), lists(src[at[use]], pa.int64()), lists(d2[use], pa.float64()), lists(w, pa.float64()), pa.array([True] * n + [False] * m)]
                 return pa.Table.from_arrays(columns, schema=out_schema)
             return out_schema.empty_table()
 
@@ -159,27 +167,28 @@ def recipe(ties_: DataFrame, face_width: int, width: int, everywhere: bool = Fal
         def together(points_: pa.Table, wanted_: pa.Table) -> pa.Table:
             return work(points_, wanted_)
 
-        dealt = points.select("face", "src", "px", "py", tiles("px").alias("tx")).select("*", tiles("py").alias("ty"))
+        dealt = points.select(*keys, "face", "src", "px", "py", tiles("px").alias("tx")).select("*", tiles("py").alias("ty"))
         if left is None:
-            return dealt.groupBy("face", "tx", "ty").applyInArrow(alone, schema)
-        wanted = left.toDF("face", "row", "col").select(F.col("face"), "row", "col", F.floor(F.col("col") / side).cast("int").alias("tx"), F.floor(F.col("row") / side).cast("int").alias("ty"))
-        return dealt.groupBy("face", "tx", "ty").cogroup(wanted.groupBy("face", "tx", "ty")).applyInArrow(together, schema)
+            return dealt.groupBy(*tile).applyInArrow(alone, schema)
+        wanted = left.toDF(*target).select(*target, F.floor(F.col("col") / side).cast("int").alias("tx"), F.floor(F.col("row") / side).cast("int").alias("ty"))
+        return dealt.groupBy(*tile).cogroup(wanted.groupBy(*tile)).applyInArrow(together, schema)
 
+    tile = [*keys, "face", "tx", "ty"]
     parts, left = [], None
     if everywhere:
         # Tiles that no point reaches have no task in the first round, so all targets are named.
         spark = ties_.sparkSession
         targets = spark.range(face_width * face_width).select(F.expr(f"cast(id div {face_width} as int)").alias("row"), F.expr(f"cast(id % {face_width} as int)").alias("col"))
-        left = points.select("face").distinct().crossJoin(targets)
+        left = points.select(*keys, "face").distinct().crossJoin(targets)
     for i, margin in enumerate(reach):
         last = i == len(reach) - 1
         got = attempt(margin, left, last).persist()
         parts.append(got.where("done").drop("done"))
         if last:
             break
-        again = got.where("not done").select("face", "row", "col")
+        again = got.where("not done").select(*target)
         if everywhere:
-            again = left.join(got.where("done").select("face", "row", "col"), ["face", "row", "col"], "left_anti")
+            again = left.join(got.where("done").select(*target), target, "left_anti")
         if again.isEmpty():
             break
         left = again

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismara.functions import paths
 from prismara.functions.geometry import FACES
+from prismara.operators.ranks import ranked
 
 THRESHOLD, BRIGHT, SAMPLES = 127, 5, 8
 
@@ -84,14 +85,12 @@ def derived_angle(count: DataFrame, angles: DataFrame) -> DataFrame:
 
 
 def even_sample(items: DataFrame, order: str, samples: int = SAMPLES) -> DataFrame:
-    """Items evenly spaced in order, the first and the last among them; all, if there are no more than ``samples``."""
-    from pyspark.sql import Window
-
-    n = items.count()
-    m = min(samples, n)
-    places = [i * (n - 1) // max(1, m - 1) for i in range(m)]
-    # The place of an item needs one order over all names; they are few beside the pixels they stand for.
-    return items.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_place").isin(places)).drop("_place") if m else items.limit(0)
+    """Items evenly spaced in order, the first and the last among them; all, if there are no more than ``samples``; none, if ``samples`` is not positive."""
+    placed = ranked(items, order, rank="_rank", total="_total")
+    # The ith of m places is i * (n - 1) div max(1, m - 1), so a row is taken if one of them is its own.
+    m = F.least(F.col("_total"), F.lit(max(0, samples)))
+    ith = F.transform(F.expr(f"sequence(0, {max(1, samples) - 1})"), lambda i: F.when(i < m, F.floor(i * (F.col("_total") - 1) / F.greatest(F.lit(1), m - 1))))
+    return placed.where(F.array_contains(F.array_compact(ith), F.col("_rank"))).select(*items.columns)
 
 
 def bright_anywhere(pixels: DataFrame) -> DataFrame:

@@ -38,61 +38,135 @@ def runs(image: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return lit.withColumn("_i", island).groupBy(*keys, "v", "_i").agg(F.min("u").alias("first"), F.max("u").alias("last")).drop("_i")
 
 
-def labelled(image: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``v``, ``first``, ``last``, ``component``: runs with the number of their 8-connected component, counted from 1 in order of rows.
+#: Rows of an image whose runs are labelled in one task.
+STRIP = 256
 
-    Pixels are compressed to runs first; runs of one image, a few for each
-    row, are joined in one task by union-find.
+
+class _Sets:
+    """Disjoint sets of numbers from 0; the smallest of a set stands for it."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        x, y = self.root(i), self.root(j)
+        self.parent[max(x, y)] = min(x, y)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.parent))], np.int64)
+
+
+def _joined(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> _Sets:
+    """Runs (``v``, first, last; by row and place) joined where rows follow and columns meet or are neighbours."""
+    sets, above = _Sets(len(v)), 0
+    for i in range(len(v)):
+        while above < i and (v[above] < v[i] - 1 or v[above] == v[i] - 1 and b[above] < a[i] - 1):
+            above += 1
+        j = above
+        while j < i and v[j] == v[i] - 1 and a[j] <= b[i] + 1:
+            sets.join(i, j)
+            j += 1
+    return sets
+
+
+def _fields(df: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+
+
+def labelled(image: DataFrame, keys: Sequence[str] = (), strip: int = STRIP) -> DataFrame:
+    """``keys``, ``v``, ``first``, ``last``, ``component``: runs with their 8-connected component, named by its first run (``v`` << 32 | ``first``).
+
+    Pixels are compressed to runs, and runs of ``strip`` rows are joined in one
+    task. Where strips meet, a task for each border finds which of their
+    components touch; those contacts alone, no more than half a row's pixels a
+    border, are joined in one task for each image.
     """
+    r = runs(image, keys)
+    by = [*keys] or ["_all"]
+    if not keys:
+        r = r.withColumn("_all", F.lit(0))
+    code = lambda v, a: (v.astype(np.int64) << 32) | a
 
-    def work(table: pa.Table) -> pa.Table:
+    def alone(table: pa.Table) -> pa.Table:
         table = table.sort_by([("v", "ascending"), ("first", "ascending")])
         v, a, b = (np.asarray(table.column(c)) for c in ("v", "first", "last"))
-        parent = list(range(len(v)))
+        return table.append_column("_part", pa.array(code(v, a)[_joined(v, a, b).roots()]))
 
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        above = 0
-        for i in range(len(v)):
-            while above < i and (v[above] < v[i] - 1 or v[above] == v[i] - 1 and b[above] < a[i] - 1):
+    def touching(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("v", "ascending"), ("first", "ascending")])
+        v, a, b, part = (np.asarray(table.column(c)) for c in ("v", "first", "last", "_part"))
+        upper = int(np.searchsorted(v, v[0] + 1)) if len(v) else 0
+        pairs, above = set(), 0
+        for i in range(upper, len(v)):
+            if v[i] != v[0] + 1:
+                break
+            while above < upper and b[above] < a[i] - 1:
                 above += 1
             j = above
-            while j < i and v[j] == v[i] - 1 and a[j] <= b[i] + 1:
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
+            while j < upper and a[j] <= b[i] + 1:
+                pairs.add((int(part[j]), int(part[i])))
                 j += 1
-        roots = np.array([root(i) for i in range(len(v))], np.int64)
-        return table.append_column("component", pa.array(np.unique(roots, return_inverse=True)[1].astype(np.int64) + 1))
+        one = table.slice(0, 1).select(by)
+        out = pa.table({c: pa.array([one.column(c)[0].as_py()] * len(pairs), one.schema.field(c).type) for c in by})
+        for k, name in enumerate(("_part", "_other")):
+            out = out.append_column(name, pa.array([p[k] for p in pairs], pa.int64()))
+        return out
+
+    def together(table: pa.Table) -> pa.Table:
+        x, y = (np.asarray(table.column(c)) for c in ("_part", "_other"))
+        names, at = np.unique(np.r_[x, y], return_inverse=True)
+        sets = _Sets(len(names))
+        for i, j in zip(at[: len(x)].tolist(), at[len(x) :].tolist(), strict=True):
+            sets.join(i, j)
+        out = pa.table({c: pa.array([table.column(c)[0].as_py()] * len(names), table.schema.field(c).type) for c in by})
+        return out.append_column("_part", pa.array(names)).append_column("component", pa.array(names[sets.roots()]))
+
+    parts = r.withColumn("_strip", F.expr(f"v div {strip}")).groupBy(*by, "_strip").applyInArrow(alone, f"{_fields(r)}_strip long, _part long")
+    last, first = F.col("v") % strip == strip - 1, F.col("v") % strip == 0
+    edges = parts.where(last | first).withColumn("_border", F.when(first, F.col("_strip")).otherwise(F.col("_strip") + 1))
+    if strip == 1:  # a row is the last and the first of its strip
+        edges = parts.withColumn("_border", F.explode(F.array("_strip", F.col("_strip") + 1)))
+    some = _fields(r.select(*by))
+    contacts = edges.groupBy(*by, "_border").applyInArrow(touching, f"{some}_part long, _other long")
+    names = contacts.groupBy(*by).applyInArrow(together, f"{some}_part long, component long")
+    out = parts.join(names, [*by, "_part"], "left")
+    return out.select(*keys, "v", "first", "last", F.coalesce("component", "_part").alias("component"))
+
+
+def _filled(image: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``image`` with 255 in the chosen runs and 0 elsewhere."""
+    lit = chosen.select(*keys, "v", F.explode(F.sequence("first", "last")).alias("u"), F.lit(255).alias("_in"))
+    return image.select(*keys, "v", "u").join(lit, [*keys, "v", "u"], "left").select(*keys, "v", "u", F.coalesce("_in", F.lit(0)).alias("val"))
 
-    r = runs(image, keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema) + ", component long"
-    if not keys:
-        r = r.withColumn("_all", F.lit(0))
-    return r.groupBy(*(keys or ["_all"])).applyInArrow(lambda t: work(t.drop_columns(["_all"]) if "_all" in t.column_names else t), schema)
 
+def _number(x: int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
-def _filled(image: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``image`` with 255 in the chosen runs and 0 elsewhere."""
-    lit = chosen.select("v", F.explode(F.sequence("first", "last")).alias("u"), F.lit(255).alias("_in"))
-    return image.select("v", "u").join(lit, ["v", "u"], "left").select("v", "u", F.coalesce("_in", F.lit(0)).alias("val"))
 
+def center_component(
+    image: DataFrame, threshold: float | Column, width: int | Column, height: int | Column, value: str = "theta", dilation: int = 1, keys: Sequence[str] = (), strip: int = STRIP
+) -> DataFrame:
+    """255 where ``value`` is at most ``threshold`` and connected to the middle pixel, then dilated; all 0 if the middle is above it.
 
-def center_component(image: DataFrame, threshold: float | Column, width: int, height: int, value: str = "theta", dilation: int = 1) -> DataFrame:
-    """255 where ``value`` is at most ``threshold`` and connected to the middle pixel, then dilated; all 0 if the middle is above it."""
-    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    fore = image.select("v", "u", F.when(F.col(value) <= limit, 255).otherwise(0).alias("val"))
-    parts = labelled(fore)
-    middle = parts.where((F.col("v") == height // 2) & F.lit(width // 2).between(F.col("first"), F.col("last"))).select("component")
-    return dilated(_filled(fore, parts.join(F.broadcast(middle), "component", "left_semi")), dilation)
+    ``keys`` tell images apart. Size and threshold may be columns among them.
+    """
+    fore = image.select(*keys, "v", "u", F.when(F.col(value) <= _number(threshold), 255).otherwise(0).alias("val"))
+    parts = labelled(fore, keys, strip)
+    middle = (F.col("v") == F.floor(_number(height) / 2)) & F.floor(_number(width) / 2).between(F.col("first"), F.col("last"))
+    return dilated(_filled(fore, parts.join(parts.where(middle).select(*keys, "component"), [*keys, "component"], "left_semi"), keys), dilation, keys)
 
 
-def seeded_components(image: DataFrame, width: int, height: int, window: int = SEED_WINDOW) -> DataFrame:
-    """255 in every component of ``val`` > 0 that reaches the middle window."""
+def seeded_components(image: DataFrame, width: int | Column, height: int | Column, window: int = SEED_WINDOW, keys: Sequence[str] = (), strip: int = STRIP) -> DataFrame:
+    """255 in every component of ``val`` > 0 that reaches the middle window; see :func:`center_component`."""
     half = window // 2
-    parts = labelled(image)
-    near = F.col("v").between(height // 2 - half, height // 2 + half) & (F.col("first") <= width // 2 + half) & (F.col("last") >= width // 2 - half)
-    return _filled(image, parts.join(F.broadcast(parts.where(near).select("component").distinct()), "component", "left_semi"))
+    parts = labelled(image, keys, strip)
+    v, u = F.floor(_number(height) / 2), F.floor(_number(width) / 2)
+    near = F.col("v").between(v - half, v + half) & (F.col("first") <= u + half) & (F.col("last") >= u - half)
+    return _filled(image, parts.join(parts.where(near).select(*keys, "component").distinct(), [*keys, "component"], "left_semi"), keys)

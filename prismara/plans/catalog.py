@@ -21,7 +21,7 @@ from prismara.sources import grid
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-SMALL, MIDDLE, FACE_SMALL, FACE_MIDDLE, ANGLE = 8, 64, 4, 32, 100.0
+SMALL, MIDDLE, FACE_SMALL, FACE, ANGLE, NARROW = 8, 64, 4, 8, 100.0, 70.0
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -42,60 +42,94 @@ def _r(expression: str, name: str) -> str:
     return f"round({expression}, 6) + 0.0 AS {name}"
 
 
-# SQL of the parts that several queries share.
+# SQL of the parts that several queries share. A source of lenses is a SELECT of ``fixtures.lenses``' columns.
 
 
-def _grid(n: int, height: int | None = None) -> str:
-    return f"SELECT (i // {n})::INTEGER AS v, (i % {n})::INTEGER AS u FROM range({n * (height or n)}) t(i)"
+def _one(c: geo.Calibration) -> str:
+    """One lens with fixed parameters."""
+    given = ", ".join(f"{getattr(c, k)!r}{'::DOUBLE' if isinstance(getattr(c, k), float) else ''} AS {k}" for k in geo.PARAMETERS)
+    return f"SELECT 0 AS lens_id, '{c.model}' AS model, {given}"
 
 
-def _norm(c: geo.Calibration) -> str:
-    return f"SELECT v, u, (u - ({c.width} * 0.5::DOUBLE + {c.cx!r}::DOUBLE) - {c.b2!r}::DOUBLE * yp) / ({c.f!r}::DOUBLE + {c.b1!r}::DOUBLE) AS xp, yp FROM (SELECT v, u, (v - ({c.height} * 0.5::DOUBLE + {c.cy!r}::DOUBLE)) / {c.f!r}::DOUBLE AS yp FROM ({_grid(c.width, c.height)}))"
+_LENSES = """SELECT lens_id, n % 4 AS kind, (['equisolid', 'equidistant'])[n % 2 + 1] AS model, (24 + n % 5)::INTEGER AS width, (24 + hi % 3)::INTEGER AS height, (24 + n % 5) * (36 + n % 7) / 100.0::DOUBLE AS f,
+  (lo % 11 - 5) / 8.0::DOUBLE + 0.013::DOUBLE AS cx, (hi % 7 - 3) / 8.0::DOUBLE + 0.0071::DOUBLE AS cy, (60 + n % 30) / 1000.0::DOUBLE AS k1, (30 + n % 20) / 1000.0::DOUBLE AS k2, -(15 + n % 5) / 1000.0::DOUBLE AS k3, (n % 2) / 1000.0::DOUBLE AS k4,
+  (n % 5 - 2) / 10000.0::DOUBLE + 0.00003::DOUBLE AS p1, (lo % 5 - 2) / 10000.0::DOUBLE - 0.00005::DOUBLE AS p2, (n % 4) / 100.0::DOUBLE AS b1, (hi % 3) / 200.0::DOUBLE AS b2
+FROM (SELECT user_id AS lens_id, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id)"""
 
 
-def _undistorted(c: geo.Calibration) -> str:
-    sql = f"SELECT v, u, xp, yp, xp AS x, yp AS y FROM ({_norm(c)})"
-    k1, k2, k3, k4, p1, p2 = (f"{x!r}::DOUBLE" for x in (c.k1, c.k2, c.k3, c.k4, c.p1, c.p2))
-    for _ in range(geo.STEPS):
-        sql = f"SELECT v, u, xp, yp, (xp - ({p1} * (r2 + 2 * x * x) + 2 * {p2} * x * y)) / d AS x, (yp - ({p2} * (r2 + 2 * y * y) + 2 * {p1} * x * y)) / d AS y FROM (SELECT *, 1 + r2 * ({k1} + r2 * ({k2} + r2 * ({k3} + r2 * {k4}))) AS d FROM (SELECT *, x * x + y * y AS r2 FROM ({sql})))"
-    return sql
+def _with_model(model: str) -> str:
+    return f"SELECT * REPLACE ({model} AS model) FROM ({_LENSES})"
+
+
+_ANY_MODEL = _with_model("(['equisolid', 'equidistant', 'pinhole', 'equirectangular'])[kind + 1]")
+
+
+def _grid(lens: str) -> str:
+    return f"SELECT *, unnest(range(width))::INTEGER AS u FROM (SELECT *, unnest(range(height))::INTEGER AS v FROM ({lens}))"
+
+
+def _norm(lens: str) -> str:
+    return f"SELECT *, (u - (width * 0.5::DOUBLE + cx) - b2 * yp) / (f + b1) AS xp FROM (SELECT *, (v - (height * 0.5::DOUBLE + cy)) / f AS yp FROM ({_grid(lens)}))"
 
 
-def _around(theta: str, source: str) -> str:
-    return f"SELECT v, u, sin(t) * cos(p) AS x, sin(t) * sin(p) AS y, cos(t) AS z FROM (SELECT v, u, {theta} AS t, atan2(y, x) AS p FROM ({source}))"
+def _undistorted(lens: str) -> str:
+    sql = f"SELECT *, xp AS x, yp AS y FROM ({_norm(lens)})"
+    for _ in range(geo.STEPS):
+        sql = f"SELECT * EXCLUDE (x, y, r2, d), (xp - (p1 * (r2 + 2 * x * x) + 2 * p2 * x * y)) / d AS x, (yp - (p2 * (r2 + 2 * y * y) + 2 * p1 * x * y)) / d AS y FROM (SELECT *, 1 + r2 * (k1 + r2 * (k2 + r2 * (k3 + r2 * k4))) AS d FROM (SELECT *, x * x + y * y AS r2 FROM ({sql})))"
+    return sql
 
 
-def _equisolid(c: geo.Calibration) -> str:
-    return _around("2 * asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sqrt(x * x + y * y) / 2)))", _undistorted(c))
+def _rays(lens: str) -> str:
+    """The ray of every pixel by the model of its lens."""
+    return f"""SELECT lens_id, model, width, height, v, u, CASE model WHEN 'pinhole' THEN x / n WHEN 'equirectangular' THEN cos(p) * sin(l) ELSE sin(t) * cos(a) END AS x,
+  CASE model WHEN 'pinhole' THEN y / n WHEN 'equirectangular' THEN sin(p) ELSE sin(t) * sin(a) END AS y, CASE model WHEN 'pinhole' THEN 1 / n WHEN 'equirectangular' THEN cos(p) * cos(l) ELSE cos(t) END AS z
+FROM (SELECT *, sqrt(x * x + y * y + 1) AS n, atan2(y, x) AS a, CASE WHEN model = 'equidistant' THEN sqrt(x * x + y * y) ELSE 2 * asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sqrt(x * x + y * y) / 2))) END AS t,
+  2 * pi() * (u / width::DOUBLE - 0.5::DOUBLE) AS l, pi() * (v / height::DOUBLE - 0.5::DOUBLE) AS p FROM ({_undistorted(lens)}))"""
 
 
 def _quat(source: str) -> str:
-    return f"SELECT v, u, x, y, z, CASE WHEN z < {geo.OPPOSITE!r}::DOUBLE THEN 0 ELSE (z + 1) / n END AS qw, CASE WHEN z < {geo.OPPOSITE!r}::DOUBLE THEN 1 ELSE -y / n END AS qx, CASE WHEN z < {geo.OPPOSITE!r}::DOUBLE THEN 0 ELSE x / n END AS qy, 0.0::DOUBLE AS qz FROM (SELECT *, greatest(sqrt((z + 1) * (z + 1) + x * x + y * y), 1e-12::DOUBLE) AS n FROM ({source}))"
+    return f"SELECT * EXCLUDE (n), CASE WHEN z < {geo.OPPOSITE!r}::DOUBLE THEN 0 ELSE (z + 1) / n END AS qw, CASE WHEN z < {geo.OPPOSITE!r}::DOUBLE THEN 1 ELSE -y / n END AS qx, CASE WHEN z < {geo.OPPOSITE!r}::DOUBLE THEN 0 ELSE x / n END AS qy, 0.0::DOUBLE AS qz FROM (SELECT *, greatest(sqrt((z + 1) * (z + 1) + x * x + y * y), 1e-12::DOUBLE) AS n FROM ({source}))"
 
 
-def _angles(source: str) -> str:
-    return f"SELECT v, u, x, y, z, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 1 - 2 * (qx * qx + qy * qy))))) AS theta, degrees(atan2(2 * (qy * qz - qw * qx), 2 * (qx * qz + qw * qy))) AS phi FROM ({_quat(source)})"
+def _angles(lens: str) -> str:
+    return f"SELECT lens_id, width, height, v, u, x, y, z, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 1 - 2 * (qx * qx + qy * qy))))) AS theta, degrees(atan2(2 * (qy * qz - qw * qx), 2 * (qx * qz + qw * qy))) AS phi FROM ({_quat(_rays(lens))})"
 
 
-def _projected(source: str) -> str:
+def _projected(lens: str) -> str:
     parts = []
     for face, d in geo.FACES.items():
         depth, col, row = (next(("-" if s < 0 else "") + a for a, s in zip("xyz", d[k], strict=True) if s) for k in ("depth", "col", "row"))
-        parts.append(f"SELECT v, u, '{face}' AS face, ({col}) / ({depth}) AS a, ({row}) / ({depth}) AS b FROM s WHERE {depth} > 0")
-    return f"(WITH s AS MATERIALIZED ({source}) {' UNION ALL '.join(parts)})"
+        parts.append(f"SELECT lens_id, width, v, u, '{face}' AS face, ({col}) / ({depth}) AS a, ({row}) / ({depth}) AS b FROM s WHERE {depth} > 0")
+    return f"(WITH s AS MATERIALIZED (SELECT * FROM ({_angles(lens)}) WHERE theta <= {ANGLE}) {' UNION ALL '.join(parts)})"
 
 
-def _ties(c: geo.Calibration, width: int) -> str:
-    p = f"SELECT face, u, v, a * {width / 2}::DOUBLE + {width / 2}::DOUBLE AS px, b * {width / 2}::DOUBLE + {width / 2}::DOUBLE AS py FROM {_projected(f'SELECT * FROM ({_angles(_equisolid(c))}) WHERE theta <= {ANGLE}')}"
+def _ties(lens: str, width: int) -> str:
+    p = f"SELECT lens_id, width, face, u, v, a * {width / 2}::DOUBLE + {width / 2}::DOUBLE AS px, b * {width / 2}::DOUBLE + {width / 2}::DOUBLE AS py FROM {_projected(lens)}"
     return f"SELECT * FROM ({p}) WHERE px + {faces.PAD} >= 0 AND px - {faces.PAD} < {width} AND py + {faces.PAD} >= 0 AND py - {faces.PAD} < {width}"
 
 
-def _near(c: geo.Calibration, width: int) -> str:
+def _near(lens: str, width: int) -> str:
     """The nine nearest source pixels of every face pixel, by comparing all."""
-    return f"""WITH t AS MATERIALIZED ({_ties(c, width)}),
-g AS (SELECT face, (i // {width})::INTEGER AS row, (i % {width})::INTEGER AS col FROM range({width * width}) x(i), (SELECT DISTINCT face FROM t)),
-d AS (SELECT g.face, row, col, v::BIGINT * {c.width} + u AS src, (px - col) * (px - col) + (py - row) * (py - row) AS d2 FROM g JOIN t ON t.face = g.face),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY face, row, col ORDER BY round(d2, 9), src) AS k FROM d) WHERE k <= 9)"""
+    return f"""WITH t AS MATERIALIZED ({_ties(lens, width)}),
+g AS (SELECT lens_id, face, (i // {width})::INTEGER AS row, (i % {width})::INTEGER AS col FROM range({width * width}) x(i), (SELECT DISTINCT lens_id, face FROM t)),
+d AS (SELECT g.lens_id, g.face, row, col, v::BIGINT * width + u AS src, px, py, (px - col) * (px - col) + (py - row) * (py - row) AS d2 FROM g JOIN t ON t.face = g.face AND t.lens_id = g.lens_id),
+near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lens_id, face, row, col ORDER BY round(d2, 9), src) AS k FROM d) WHERE k <= {faces.NEIGHBOURS})"""
+
+
+def _solved() -> str:
+    """Common table expressions after ``near``: ``w`` with the true weights of every neighbour, by elimination of one pivot after the other."""
+    n, e = faces.NEIGHBOURS, geo.EPSILON**2
+    kernel = f"exp(-{e} * ((x[i] - x[j]) * (x[i] - x[j]) + (y[i] - y[j]) * (y[i] - y[j]))) + CASE WHEN i = j THEN {faces.RIDGE!r}::DOUBLE ELSE 0 END"
+    ctes = [
+        f"lists AS (SELECT lens_id, face, row, col, list(src ORDER BY k) AS src, list(px ORDER BY k) AS x, list(py ORDER BY k) AS y, list(d2 ORDER BY k) AS d FROM near GROUP BY ALL HAVING min(d2) <= {faces.REACH**2!r}::DOUBLE)",
+        f"a0 AS MATERIALIZED (SELECT lens_id, face, row, col, src, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j: CASE WHEN j = {n + 1} THEN exp(-{e} * d[i]) ELSE {kernel} END)) AS a FROM lists)",
+    ]
+    for k in range(1, n + 1):
+        step = f"list_transform(a, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda z: z / r[{k}]) ELSE list_transform(r, lambda z, j: z - r[{k}] / a[{k}][{k}] * a[{k}][j]) END)"
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT * REPLACE ({step} AS a) FROM a{k - 1})")
+    ctes.append(f"s AS (SELECT lens_id, face, row, col, src, list_transform(a, lambda r: r[{n + 1}]) AS w FROM a{n})")
+    ctes.append("w AS (SELECT lens_id, face, row, col, unnest(src) AS src, unnest(list_transform(w, lambda z: CASE WHEN list_sum(w) = 0 THEN 0 ELSE z / list_sum(w) END)) AS w FROM s)")
+    return ",\n".join(ctes)
 
 
 def _listed() -> str:
@@ -124,88 +158,117 @@ _LOG = """SELECT event_id % 10 AS run, event_id AS line_no, CASE event_id % 11
   WHEN 3 THEN '[PROGRESS] DONE 1/1: processed=' || (event_id % 97) || ' skipped=' || (event_id % 13)
   WHEN 4 THEN 'INFO: Resolved ' || (event_id % 29) || ' missing per-image mask(s)'
   WHEN 5 THEN 'noise [PROGRESS] ' || event_type
-  ELSE '[PROGRESS] ' || (['MASK_SUM', 'RAYS', 'REMAP_PRECOMPUTE', 'REMAP_APPLY'])[event_id % 4 + 1] || ' ' || (event_id % 50) || '/50:  ' || event_type || ' ' END AS line FROM events"""
+  WHEN 7 THEN 'INFO: prismara:  f: ' || (event_id % 1000) || ' px '
+  ELSE CASE WHEN event_id % 55 = 6 THEN 'INFO: prismara: cameras of all faces, to be set and FIXED for alignment' ELSE '[PROGRESS] ' || (['MASK_SUM', 'RAYS', 'REMAP_PRECOMPUTE', 'REMAP_APPLY'])[event_id % 4 + 1] || ' ' || (event_id % 50) || '/50:  ' || event_type || ' ' END END AS line FROM events"""
 
-_SMALL, _MIDDLE = fx.LENS.scaled(SMALL), fx.LENS.scaled(MIDDLE)
+_SMALL = fx.LENS.scaled(SMALL)
+_SMALL_SQL = _one(_SMALL)
+_ID = rays.LENS_KEY
 
 
-# Geometry.
+# Geometry, over a table of lenses.
 
 
-@query(_grid(MIDDLE))
+@query(f"SELECT lens_id, v, u FROM ({_grid(_LENSES)})")
 def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.pixels(spark, MIDDLE, MIDDLE)
+    return grid.lens_pixels(fx.lenses(spark, sf_dir), _ID).select("lens_id", "v", "u")
 
 
-@query(f"SELECT v, u, {_r('xp', 'xp')}, {_r('yp', 'yp')} FROM ({_norm(_MIDDLE)})")
+@query(f"SELECT lens_id, v, u, {_r('xp', 'xp')}, {_r('yp', 'yp')} FROM ({_norm(_LENSES)})")
 def normalized_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.normalized(spark, _MIDDLE), "xp", "yp")
+    return rounded(rays.lens_normalized(fx.lenses(spark, sf_dir)), "xp", "yp")
 
 
-@query(f"SELECT v, u, {_r('x', 'x')}, {_r('y', 'y')} FROM ({_undistorted(_MIDDLE)})")
+@query(f"SELECT lens_id, v, u, {_r('x', 'x')}, {_r('y', 'y')} FROM ({_undistorted(_LENSES)})")
 def undistort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.undistorted(spark, _MIDDLE), "x", "y")
+    return rounded(rays.lens_undistorted(fx.lenses(spark, sf_dir)), "x", "y")
 
 
 _XYZ = ", ".join(_r(k, k) for k in "xyz")
 
 
-@query(f"SELECT v, u, {_XYZ} FROM ({_equisolid(_MIDDLE)})")
+def _rays_by(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
+    return rounded(rays.lens_rays(fx.lenses(spark, sf_dir).withColumn("model", F.lit(model))), *"xyz")
+
+
+@query(f"SELECT lens_id, v, u, {_XYZ} FROM ({_rays(_with_model("'equisolid'"))})")
 def rays_equisolid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.rays(spark, _MIDDLE, "equisolid"), *"xyz")
+    return _rays_by(spark, sf_dir, "equisolid")
 
 
-@query(f"SELECT v, u, {_XYZ} FROM ({_around('sqrt(x * x + y * y)', _undistorted(_MIDDLE))})")
+@query(f"SELECT lens_id, v, u, {_XYZ} FROM ({_rays(_with_model("'equidistant'"))})")
 def rays_equidistant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.rays(spark, _MIDDLE, "equidistant"), *"xyz")
+    return _rays_by(spark, sf_dir, "equidistant")
 
 
-@query(f"SELECT v, u, {_r('x / n', 'x')}, {_r('y / n', 'y')}, {_r('1 / n', 'z')} FROM (SELECT *, sqrt(x * x + y * y + 1) AS n FROM ({_undistorted(_MIDDLE)}))")
+@query(f"SELECT lens_id, v, u, {_XYZ} FROM ({_rays(_with_model("'pinhole'"))})")
 def rays_pinhole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.rays(spark, _MIDDLE, "pinhole"), *"xyz")
+    return _rays_by(spark, sf_dir, "pinhole")
 
 
-@query(f"SELECT v, u, {_r('cos(p) * sin(l)', 'x')}, {_r('sin(p)', 'y')}, {_r('cos(p) * cos(l)', 'z')} FROM (SELECT v, u, 2 * pi() * (u / {MIDDLE}::DOUBLE - 0.5::DOUBLE) AS l, pi() * (v / {MIDDLE}::DOUBLE - 0.5::DOUBLE) AS p FROM ({_grid(MIDDLE)}))")
+@query(f"SELECT lens_id, v, u, {_XYZ} FROM ({_rays(_with_model("'equirectangular'"))})")
 def rays_equirect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.rays(spark, _MIDDLE, "equirectangular"), *"xyz")
+    return _rays_by(spark, sf_dir, "equirectangular")
 
 
-@query(f"SELECT v, u, {', '.join(_r(f'q{k}', f'q{k}') for k in 'wxyz')} FROM ({_quat(_equisolid(_MIDDLE))})")
+@query(f"SELECT lens_id, v, u, {_XYZ} FROM ({_rays(_ANY_MODEL)})")
+def rays_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lens by the model its row names, all four among them."""
+    return rounded(rays.lens_rays(fx.any_lenses(spark, sf_dir)), *"xyz")
+
+
+@query(f"SELECT lens_id, v, u, {', '.join(_r(f'q{k}', f'q{k}') for k in 'wxyz')} FROM ({_quat(_rays(_LENSES))})")
 def quaternion(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = [f"q{k}" for k in "wxyz"]
-    return rounded(rays.with_quaternion(rays.rays(spark, _MIDDLE)).select("v", "u", *q), *q)
+    return rounded(rays.with_quaternion(rays.lens_rays(fx.lenses(spark, sf_dir))).select("lens_id", "v", "u", *q), *q)
 
 
-@query(f"SELECT v, u, {_r('x / n', 'x')}, {_r('y / n', 'y')}, {_r('z / n', 'z')} FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM (SELECT v, u, 2 * (qx * qz + qw * qy) AS x, 2 * (qy * qz - qw * qx) AS y, 1 - 2 * (qx * qx + qy * qy) AS z FROM ({_quat(_equisolid(_MIDDLE))})))")
+@query(f"SELECT lens_id, v, u, {_r('x / n', 'x')}, {_r('y / n', 'y')}, {_r('z / n', 'z')} FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM (SELECT lens_id, v, u, 2 * (qx * qz + qw * qy) AS x, 2 * (qy * qz - qw * qx) AS y, 1 - 2 * (qx * qx + qy * qy) AS z FROM ({_quat(_rays(_LENSES))})))")
 def quat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = rays.with_quaternion(rays.rays(spark, _MIDDLE)).select("v", "u", geo.turned(*(F.col(f"q{k}") for k in "wxyz")).alias("r"))
-    return rounded(q.select("v", "u", geo.unit(F.col("r.x"), F.col("r.y"), F.col("r.z")).alias("r")).select("v", "u", "r.*"), *"xyz")
+    q = rays.with_quaternion(rays.lens_rays(fx.lenses(spark, sf_dir))).select("lens_id", "v", "u", geo.turned(*(F.col(f"q{k}") for k in "wxyz")).alias("r"))
+    return rounded(q.select("lens_id", "v", "u", geo.unit(F.col("r.x"), F.col("r.y"), F.col("r.z")).alias("r")).select("lens_id", "v", "u", "r.*"), *"xyz")
+
+
+def _lens_angles(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = _ID) -> DataFrame:
+    return rays.with_angles(rays.with_quaternion(rays.lens_rays(fx.lenses(spark, sf_dir), keys)))
 
 
-@query(f"SELECT v, u, {_r('theta', 'theta')}, {_r('phi', 'phi')} FROM ({_angles(_equisolid(_MIDDLE))})")
+@query(f"SELECT lens_id, v, u, {_r('theta', 'theta')}, {_r('phi', 'phi')} FROM ({_angles(_LENSES)})")
 def polar_azimuth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.with_angles(rays.with_quaternion(rays.rays(spark, _MIDDLE))).select("v", "u", "theta", "phi"), "theta", "phi")
+    return rounded(_lens_angles(spark, sf_dir).select("lens_id", "v", "u", "theta", "phi"), "theta", "phi")
 
 
-@query(f"SELECT v, u, trunc(greatest(0, least(255, round(theta, 6))))::INTEGER AS theta_byte, trunc(greatest(0, least(255, round((phi + 255) / 2, 6))))::INTEGER AS phi_byte FROM ({_angles(_equisolid(_MIDDLE))})")
+@query(f"SELECT lens_id, v, u, trunc(greatest(0, least(255, round(theta, 6))))::INTEGER AS theta_byte, trunc(greatest(0, least(255, round((phi + 255) / 2, 6))))::INTEGER AS phi_byte FROM ({_angles(_LENSES)})")
 def angle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = rays.with_angles(rays.with_quaternion(rays.rays(spark, _MIDDLE)))
-    return a.select("v", "u", geo.byte(F.round("theta", 6)).alias("theta_byte"), geo.byte(F.round((F.col("phi") + 255) / 2, 6)).alias("phi_byte"))
+    return _lens_angles(spark, sf_dir).select("lens_id", "v", "u", geo.byte(F.round("theta", 6)).alias("theta_byte"), geo.byte(F.round((F.col("phi") + 255) / 2, 6)).alias("phi_byte"))
 
 
 def _slopes(axis: str, line: str, prefix: str, source: str) -> str:
-    w = f"OVER (PARTITION BY {line} ORDER BY {axis})"
+    w = f"OVER (PARTITION BY lens_id, {line} ORDER BY {axis})"
     return f"SELECT *, {', '.join(f'(coalesce(lead({k}) {w}, {k}) - coalesce(lag({k}) {w}, {k})) / CASE WHEN lag({k}) {w} IS NULL OR lead({k}) {w} IS NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS {prefix}_{k}' for k in 'xyz')} FROM ({source})"
 
 
-@query(f"SELECT v, u, {_r('sqrt(power(a_y * b_z - a_z * b_y, 2) + power(a_z * b_x - a_x * b_z, 2) + power(a_x * b_y - a_y * b_x, 2))', 'omega')} FROM ({_slopes('v', 'u', 'b', _slopes('u', 'v', 'a', _equisolid(_MIDDLE)))})")
+def _omega(lens: str) -> str:
+    return f"SELECT *, sqrt(power(a_y * b_z - a_z * b_y, 2) + power(a_z * b_x - a_x * b_z, 2) + power(a_x * b_y - a_y * b_x, 2)) AS omega FROM ({_slopes('v', 'u', 'b', _slopes('u', 'v', 'a', _rays(lens)))})"
+
+
+_EQUIRECT_OMEGA = "2 * pi() / width * pi() / height * cos(pi() * (v / height::DOUBLE - 0.5::DOUBLE))"
+
+
+@query(f"SELECT lens_id, v, u, {_r('omega', 'omega')} FROM ({_omega(_LENSES)})")
 def solid_angle_fd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.solid_angle(rays.rays(spark, _MIDDLE)), "omega")
+    return rounded(rays.solid_angle(rays.lens_rays(fx.lenses(spark, sf_dir)), _ID), "omega")
 
 
-@query(f"SELECT v, u, {_r(f'2 * pi() / {MIDDLE} * pi() / {MIDDLE} * cos(pi() * (v / {MIDDLE}::DOUBLE - 0.5::DOUBLE))', 'omega')} FROM ({_grid(MIDDLE)})")
+@query(f"SELECT lens_id, v, u, {_r(_EQUIRECT_OMEGA, 'omega')} FROM ({_grid(_LENSES)})")
 def solid_angle_equirect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rays.equirectangular_solid_angle(spark, MIDDLE, MIDDLE), "omega")
+    return rounded(rays.lens_equirectangular_solid_angle(fx.lenses(spark, sf_dir)), "omega")
+
+
+@query(f"SELECT lens_id, v, u, {', '.join(_r(f'q{k}', f'q{k}') for k in 'wxyz')}, {_r(f"CASE WHEN model = 'equirectangular' THEN {_EQUIRECT_OMEGA} ELSE omega END", 'omega')} FROM ({_quat(_omega(_ANY_MODEL))})")
+def geometry_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a geometry file holds, of all lenses, each by the model its row names."""
+    return rounded(rays.lens_geometry(fx.any_lenses(spark, sf_dir)), "qw", "qx", "qy", "qz", "omega")
 
 
 @query(f"SELECT event_id, {_r('exp(-power(2 * value / 100, 2))', 'k')} FROM events")
@@ -283,10 +346,11 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", paths.cache_key(parts).alias("key"))
 
 
-@query("SELECT face, suffix, face AS again FROM (VALUES " + ", ".join(f"('{k}', '{d['suffix']}')" for k, d in geo.FACES.items()) + ") f(face, suffix)")
+@query(f"SELECT path, regexp_extract(path, '(_dir_(plus|minus)[XYZ])', 1) AS suffix, face FROM ({_outputs()})")
 def face_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(k,) for k in geo.FACES], "face string").select("face", paths.face_suffix(F.col("face")).alias("suffix"))
-    return f.select("face", "suffix", paths.face_of_suffix(F.col("suffix")).alias("again"))
+    """The face of every output file, told from its name alone."""
+    out = masks.expected_outputs(fx.items(spark, sf_dir), fx.ROOT, ".png").select("path", F.regexp_extract("path", "_dir_(plus|minus)[XYZ]", 0).alias("suffix"))
+    return out.withColumn("face", paths.face_of_suffix(F.col("suffix")))
 
 
 @query("SELECT doc_id, (['.png', '.tif', '.jpg'])[doc_id % 3 + 1] AS ext FROM documents")
@@ -322,7 +386,7 @@ def mask_count_16bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_count(spark, sf_dir).select("v", "u", masks.stored_count(F.col("n") * 1000).alias("stored"))
 
 
-@query(f"SELECT {_r('max(theta)', 'maxangle')} FROM ({_angles(_equisolid(_SMALL))}) JOIN ({_COUNT}) USING (v, u) WHERE n > 0")
+@query(f"SELECT {_r('max(theta)', 'maxangle')} FROM ({_angles(_SMALL_SQL)}) JOIN ({_COUNT}) USING (v, u) WHERE n > 0")
 def derived_maxangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     angles = rays.with_angles(rays.with_quaternion(rays.rays(spark, _SMALL)))
     return rounded(masks.derived_angle(mask_count(spark, sf_dir), angles), "maxangle")
@@ -344,10 +408,10 @@ def coverage_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.crossJoin(F.broadcast(coverage.high_count(c))).select("v", "u", "n", "p99", coverage.scaled(F.col("n"), F.col("p99")).alias("gray"))
 
 
-@query("WITH k AS (SELECT * FROM (VALUES " + ", ".join(f"({x}, {r}, {g}, {b}, {n})" for (x, (r, g, b)), n in zip(coverage.PALETTE, range(99), strict=False)) + ") k(x, r, g, b, i)) SELECT s.g::INTEGER AS gray, " + ", ".join(f"trunc(lo.{c} + (s.g - lo.x)::DOUBLE / (hi.x - lo.x) * (hi.{c} - lo.{c}))::INTEGER AS {c}" for c in "rgb") + " FROM range(256) s(g) JOIN k lo ON (lo.x < s.g OR lo.i = 0) JOIN k hi ON hi.i = lo.i + 1 AND s.g <= hi.x AND (s.g > lo.x OR s.g = 0)")
+@query(f"WITH i AS MATERIALIZED ({_IMAGES}), k AS (SELECT * FROM (VALUES " + ", ".join(f"({x}, {r}, {g}, {b}, {n})" for (x, (r, g, b)), n in zip(coverage.PALETTE, range(99), strict=False)) + ") k(x, r, g, b, i)) SELECT image_id, v, u, " + ", ".join(f"trunc(lo.{c} + (s.val - lo.x)::DOUBLE / (hi.x - lo.x) * (hi.{c} - lo.{c}))::INTEGER AS {c}" for c in "rgb") + " FROM i s JOIN k lo ON (lo.x < s.val OR lo.i = 0) JOIN k hi ON hi.i = lo.i + 1 AND s.val <= hi.x AND (s.val > lo.x OR s.val = 0)")
 def coverage_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.range(256).select(F.col("id").cast("int").alias("gray"))
-    return g.select("gray", coverage.colour(F.col("gray")).alias("c")).select("gray", "c.*")
+    """Every pixel of all images in the colours of the coverage view."""
+    return fx.images(spark, sf_dir).select("image_id", "v", "u", coverage.colour(F.col("val")).alias("c")).select("image_id", "v", "u", "c.*")
 
 
 _SQUARE = "SELECT a.image_id, a.v, a.u, {f}(b.val) AS val FROM m a JOIN m b ON a.image_id = b.image_id AND b.v BETWEEN a.v - 1 AND a.v + 1 AND b.u BETWEEN a.u - 1 AND a.u + 1 GROUP BY ALL"
@@ -364,65 +428,85 @@ def erode3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flood(fore: str, seeds: str, grow: int) -> str:
-    """255 in the foreground that seeds reach, grown by some pixels."""
+    """255 in the foreground of each lens that seeds reach, grown by some pixels."""
     return f"""WITH RECURSIVE fore AS MATERIALIZED ({fore}),
-reach(v, u) AS (SELECT v, u FROM fore WHERE lit AND {seeds} UNION SELECT f.v, f.u FROM reach r JOIN fore f ON f.lit AND f.v BETWEEN r.v - 1 AND r.v + 1 AND f.u BETWEEN r.u - 1 AND r.u + 1)
-SELECT v, u, CASE WHEN EXISTS (SELECT 1 FROM reach r WHERE r.v BETWEEN fore.v - {grow} AND fore.v + {grow} AND r.u BETWEEN fore.u - {grow} AND fore.u + {grow}) THEN 255 ELSE 0 END AS val FROM fore"""
+reach(lens_id, v, u) AS (SELECT lens_id, v, u FROM fore WHERE lit AND {seeds} UNION SELECT f.lens_id, f.v, f.u FROM reach r JOIN fore f ON f.lens_id = r.lens_id AND f.lit AND f.v BETWEEN r.v - 1 AND r.v + 1 AND f.u BETWEEN r.u - 1 AND r.u + 1),
+grown AS (SELECT DISTINCT lens_id, v + y.i AS v, u + x.i AS u FROM reach, range(-{grow}, {grow + 1}) y(i), range(-{grow}, {grow + 1}) x(i))
+SELECT fore.lens_id, fore.v, fore.u, CASE WHEN grown.v IS NULL THEN 0 ELSE 255 END AS val FROM fore LEFT JOIN grown ON grown.lens_id = fore.lens_id AND grown.v = fore.v AND grown.u = fore.u"""
+
+
+_SIZED = ("lens_id", "width", "height")
 
 
-@query(_flood(f"SELECT v, u, round(theta, 6) <= {ANGLE} AS lit FROM ({_angles(_equisolid(_MIDDLE))})", f"v = {MIDDLE // 2} AND u = {MIDDLE // 2}", 1))
+@query(_flood(f"SELECT lens_id, width, height, v, u, round(theta, 6) <= {NARROW} AS lit FROM ({_angles(_LENSES)})", "v = height // 2 AND u = width // 2", 1))
 def center_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    angles = rays.with_angles(rays.with_quaternion(rays.rays(spark, _MIDDLE))).select("v", "u", F.round("theta", 6).alias("theta"))
-    return morphology.center_component(angles, ANGLE, MIDDLE, MIDDLE)
+    """What each lens sees within an angle; strips of eight rows, so that components of a lens go over several tasks."""
+    angles = _lens_angles(spark, sf_dir, _SIZED).select(*_SIZED, "v", "u", F.round("theta", 6).alias("theta"))
+    return morphology.center_component(angles, NARROW, F.col("width"), F.col("height"), keys=_SIZED, strip=8).drop("width", "height")
 
 
-_DOTS = f"SELECT v, u, ((u * 7 + v * 13 + u * v) % 5 < 2) AS lit FROM ({_grid(MIDDLE)})"
+_DOTS = f"SELECT lens_id, width, height, v, u, ((u * 7 + v * 13 + u * v + lens_id) % 5 < 2) AS lit FROM ({_grid(_LENSES)})"
+_WINDOW = 7
 
 
-@query(_flood(_DOTS, f"v BETWEEN {MIDDLE // 2 - 10} AND {MIDDLE // 2 + 10} AND u BETWEEN {MIDDLE // 2 - 10} AND {MIDDLE // 2 + 10}", 0))
+@query(_flood(_DOTS, f"v BETWEEN height // 2 - {_WINDOW // 2} AND height // 2 + {_WINDOW // 2} AND u BETWEEN width // 2 - {_WINDOW // 2} AND width // 2 + {_WINDOW // 2}", 0))
 def seed_window_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lit = (F.col("u") * 7 + F.col("v") * 13 + F.col("u") * F.col("v")) % 5 < 2
-    return morphology.seeded_components(grid.pixels(spark, MIDDLE, MIDDLE).select("v", "u", F.when(lit, 255).otherwise(0).alias("val")), MIDDLE, MIDDLE)
+    lit = (F.col("u") * 7 + F.col("v") * 13 + F.col("u") * F.col("v") + F.col("lens_id")) % 5 < 2
+    image = grid.lens_pixels(fx.lenses(spark, sf_dir), _ID).select("lens_id", F.col("lens_width").alias("width"), F.col("lens_height").alias("height"), "v", "u", F.when(lit, 255).otherwise(0).alias("val"))
+    return morphology.seeded_components(image, F.col("width"), F.col("height"), _WINDOW, _SIZED, strip=8).drop("width", "height")
 
 
 # Faces and recipes.
 
 
-def _inside(spark: SparkSession, c: geo.Calibration) -> DataFrame:
-    return rays.with_angles(rays.with_quaternion(rays.rays(spark, c))).where(F.col("theta") <= ANGLE)
+def _some_ties(spark: SparkSession, c: geo.Calibration, width: int) -> DataFrame:
+    """Of one lens."""
+    inside = rays.with_angles(rays.with_quaternion(rays.rays(spark, c))).where(F.col("theta") <= ANGLE)
+    return faces.ties(faces.projected(inside), width)
 
 
-def _some_ties(spark: SparkSession, c: geo.Calibration, width: int) -> DataFrame:
-    return faces.ties(faces.projected(_inside(spark, c)), width)
+_WIDE = ("lens_id", "width")
+
+
+def _lens_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faces.projected(_lens_angles(spark, sf_dir, _WIDE).where(F.col("theta") <= ANGLE), keys=_WIDE)
+
+
+def _lens_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return faces.ties(_lens_projected(spark, sf_dir), FACE, keys=_WIDE)
+
+
+def _lens_recipes(spark: SparkSession, sf_dir: str, everywhere: bool = False) -> DataFrame:
+    return faces.recipe(_lens_ties(spark, sf_dir), FACE, F.col("width"), everywhere=everywhere, keys=_WIDE)
 
 
-@query(f"SELECT v, u, face, {_r('atan(a)', 'a')}, {_r('atan(b)', 'b')} FROM {_projected(f'SELECT * FROM ({_angles(_equisolid(_MIDDLE))}) WHERE theta <= {ANGLE}')}")
+@query(f"SELECT lens_id, v, u, face, {_r('atan(a)', 'a')}, {_r('atan(b)', 'b')} FROM {_projected(_LENSES)}")
 def face_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angles from the middle of the face: distances grow without bound where a ray runs along it."""
-    return rounded(faces.projected(_inside(spark, _MIDDLE)).withColumns({"a": F.atan("a"), "b": F.atan("b")}), "a", "b")
+    return rounded(_lens_projected(spark, sf_dir).drop("width").withColumns({"a": F.atan("a"), "b": F.atan("b")}), "a", "b")
 
 
-@query(f"SELECT face, u, v, {_r('px', 'px')}, {_r('py', 'py')} FROM ({_ties(_MIDDLE, FACE_MIDDLE)})")
+@query(f"SELECT lens_id, face, u, v, {_r('px', 'px')}, {_r('py', 'py')} FROM ({_ties(_LENSES, FACE)})")
 def face_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_some_ties(spark, _MIDDLE, FACE_MIDDLE), "px", "py")
+    return rounded(_lens_ties(spark, sf_dir).drop("width"), "px", "py")
 
 
-@query(f"SELECT face, count(*) AS n FROM ({_ties(_MIDDLE, FACE_MIDDLE)}) GROUP BY face")
+@query(f"SELECT lens_id, face, coalesce(n, 0) AS n FROM (SELECT lens_id, unnest({list(geo.FACES)!r}) AS face FROM ({_LENSES})) LEFT JOIN (SELECT lens_id, face, count(*) AS n FROM ({_ties(_LENSES, FACE)}) GROUP BY ALL) USING (lens_id, face)")
 def ties_per_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faces.tie_counts(_some_ties(spark, _MIDDLE, FACE_MIDDLE))
+    return faces.tie_counts(_lens_ties(spark, sf_dir), _ID, fx.lenses(spark, sf_dir))
 
 
-@query(f"{_near(_MIDDLE, FACE_MIDDLE)} SELECT face, row, col, k::INTEGER AS k, src, {_r('d2', 'd2')} FROM near")
+@query(f"{_near(_LENSES, FACE)} SELECT lens_id, face, row, col, k::INTEGER AS k, src, {_r('d2', 'd2')} FROM near")
 def knn9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = faces.recipe(_some_ties(spark, _MIDDLE, FACE_MIDDLE), FACE_MIDDLE, MIDDLE, everywhere=True)
-    return rounded(r.select("face", "row", "col", F.posexplode(F.arrays_zip("src", "d2")).alias("k", "n")).select("face", "row", "col", (F.col("k") + 1).alias("k"), "n.src", "n.d2"), "d2")
+    r = _lens_recipes(spark, sf_dir, everywhere=True)
+    return rounded(r.select("lens_id", "face", "row", "col", F.posexplode(F.arrays_zip("src", "d2")).alias("k", "n")).select("lens_id", "face", "row", "col", (F.col("k") + 1).alias("k"), "n.src", "n.d2"), "d2")
 
 
-@query()
+@query(f"{_near(_LENSES, FACE)}, {_solved()} SELECT lens_id, face, row, col, src, {_r('w', 'w')} FROM w")
 def rbf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The true weights; unit tests hold them against a plain solution."""
-    r = faces.recipe(_some_ties(spark, _MIDDLE, FACE_MIDDLE), FACE_MIDDLE, MIDDLE)
-    return rounded(r.select("face", "row", "col", F.explode(F.arrays_zip("src", "w")).alias("n")).select("face", "row", "col", "n.src", "n.w"), "w")
+    """The true weights of the recipes of all lenses."""
+    r = _lens_recipes(spark, sf_dir)
+    return rounded(r.select("lens_id", "face", "row", "col", F.explode(F.arrays_zip("src", "w")).alias("n")).select("lens_id", "face", "row", "col", "n.src", "n.w"), "w")
 
 
 @query("SELECT vec_id, i::INTEGER AS i, round(CASE WHEN s = 0 THEN 0 ELSE embedding[i]::DOUBLE / s END, 6) + 0.0 AS w FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
@@ -437,7 +521,7 @@ def _inverse(spark: SparkSession) -> DataFrame:
     return r.withColumn("w", remap.normalized_weights(F.transform("d2", lambda x: F.lit(1.0) / (x + 0.01))))
 
 
-_APPLIED = _near(_SMALL, FACE_SMALL) + """, w AS (SELECT face, row, col, src, 1 / (d2 + 0.01::DOUBLE) / sum(1 / (d2 + 0.01::DOUBLE)) OVER (PARTITION BY face, row, col) AS w FROM near),
+_APPLIED = _near(_SMALL_SQL, FACE_SMALL) + """, w AS (SELECT face, row, col, src, 1 / (d2 + 0.01::DOUBLE) / sum(1 / (d2 + 0.01::DOUBLE)) OVER (PARTITION BY face, row, col) AS w FROM near),
 p AS ({pixels}), sums AS (SELECT image_id, face, row, col, round(sum(w * val), 6) AS val FROM p JOIN w ON w.src = p.v * 8 + p.u GROUP BY ALL)"""
 
 
@@ -455,12 +539,15 @@ def remap_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remap.mask(_rounded_sums(fx.image_masks(spark, sf_dir), _inverse(spark)))
 
 
-@query()
+@query(f"""{_near(_SMALL_SQL, FACE_SMALL)}, {_solved()}, p AS ({_IMAGES}),
+sums AS (SELECT label, image_id, face, row, col, round(sum(w * val), 6) AS val FROM p JOIN w ON w.src = p.v * {SMALL} + p.u GROUP BY ALL)
+SELECT label, face, count(*) AS pixels, {_r("avg(trunc(greatest(0, least(255, val))))", "mean")} FROM sums GROUP BY label, face""")
 def face_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path with true weights: ``label``, ``face``, ``pixels``, ``mean`` of all images."""
     r = faces.recipe(_some_ties(spark, _SMALL, FACE_SMALL), FACE_SMALL, SMALL)
-    images = fx.images(spark, sf_dir)
-    out = remap.colours(remap.remapped(images.select("image_id", "label", (F.col("v") * SMALL + F.col("u")).cast("long").alias("src"), "val"), r, ("val",), ("image_id", "label")), ("val",))
+    pixels = fx.images(spark, sf_dir).select("image_id", "label", (F.col("v") * SMALL + F.col("u")).cast("long").alias("src"), "val")
+    sums = remap.remapped(pixels, r, ("val",), ("image_id", "label")).withColumn("val", F.round("val", 6))
+    out = remap.colours(sums, ("val",))
     return rounded(out.groupBy("label", "face").agg(F.count(F.lit(1)).alias("pixels"), F.avg("val").alias("mean")), "mean")
 
 
@@ -478,8 +565,14 @@ def _last(n: tuple[int, ...], value: str) -> str:
     return f"arg_max({value}, line_no) FILTER (line_no % 11 IN ({', '.join(map(str, n))}))"
 
 
-@query(f"""SELECT run, {_last((0,), "trim(regexp_extract(line, 'source:\\s+(.+)', 1))")} AS support_source, {_last((1, 2), "nullif(regexp_extract(line, 'angle:\\s+([0-9.]+)', 1), '')::DOUBLE")} AS effective_angle,
+@query(f"""WITH l AS MATERIALIZED ({_LOG}),
+said AS (SELECT run, line_no, line, line_no % 11 IN (0, 1, 2, 3, 4) AS given, line LIKE '%set and FIXED for alignment%' AS announced FROM l),
+begun AS (SELECT *, coalesce(bool_or(announced) OVER (PARTITION BY run ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS on_ FROM said),
+cameras AS (SELECT run, string_agg(trim(CASE WHEN line LIKE '%: %: %' THEN regexp_extract(line, '^.*?: .*?: (.*)$', 1) ELSE line END), chr(10) ORDER BY line_no) AS pinhole FROM begun WHERE on_ AND NOT given GROUP BY run),
+fields AS (SELECT run, {_last((0,), "trim(regexp_extract(line, 'source:\\s+(.+)', 1))")} AS support_source, {_last((1, 2), "nullif(regexp_extract(line, 'angle:\\s+([0-9.]+)', 1), '')::DOUBLE")} AS effective_angle,
   {_last((1, 2), "CASE WHEN line LIKE '%Mask%' THEN 'mask-derived' ELSE 'manual' END")} AS angle_source, coalesce({_last((3,), "nullif(regexp_extract(line, 'processed=(\\d+)', 1), '')::BIGINT")}, 0) AS processed,
-  coalesce({_last((3,), "nullif(regexp_extract(line, 'skipped=(\\d+)', 1), '')::BIGINT")}, 0) AS skipped, coalesce({_last((4,), "nullif(regexp_extract(line, 'Resolved (\\d+)', 1), '')::BIGINT")}, 0) AS fallback_masks FROM ({_LOG}) GROUP BY run""")
+  coalesce({_last((3,), "nullif(regexp_extract(line, 'skipped=(\\d+)', 1), '')::BIGINT")}, 0) AS skipped, coalesce({_last((4,), "nullif(regexp_extract(line, 'Resolved (\\d+)', 1), '')::BIGINT")}, 0) AS fallback_masks FROM l GROUP BY run)
+SELECT fields.*, pinhole FROM fields LEFT JOIN cameras USING (run)""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run says of itself, its cameras among it."""
     return runlog.summary(fx.log_lines(spark, sf_dir), ("run",))

@@ -10,25 +10,30 @@ from __future__ import annotations
 import os
 import time
 from dataclasses import asdict, dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+import prismara
 from prismara.functions import geometry as geo
 from prismara.functions import paths
 from prismara.operators import faces, masks, morphology, rays, remap, runlog
 from prismara.plans.support import support, supported_rays
 from prismara.sources import images as files
-from prismara.sources import raw
+from prismara.sources import jpeg, raw
 from prismara.sources.calibration import one_calibration
+from prismara.sources.sink import write_named
+from prismara.streaming.resume import arriving_paths
 
 
 @dataclass(frozen=True)
 class Options:
-    """``calibration``: file; ``label``: directory of the lens below ``output``; ``max_fov``: whole degrees, for lenses without masks."""
+    """``calibration``: file; ``label``: directory of the lens below ``output``; ``max_fov``: whole degrees, for lenses without masks; ``chunk``: images that are converted together."""
 
     calibration: str
     label: str
@@ -41,32 +46,21 @@ class Options:
     rig: bool = False
     format: str = "png"
     force: bool = False
+    chunk: int = 1024
 
 
 def progress(phase: str, current: int, total: int, message: str) -> None:
     print(f"[PROGRESS] {phase} {current}/{total}: {message}", flush=True)
 
 
-def encoder(format_: str):
-    """The function that makes a file of pixels; jpg needs Pillow."""
-    if format_ == "png":
-        return files.png
-    if format_ == "tiff":
-        return files.tiff
-    if format_ != "jpg":
-        raise ValueError(f"unknown output format {format_!r}")
-    from PIL import Image  # noqa: F401
-
-    def jpg(pixels: np.ndarray) -> bytes:
-        import io
-
-        from PIL import Image
+#: The functions that make a file of pixels.
+ENCODERS = {"png": files.png, "tiff": files.tiff, "jpg": jpeg.encode}
 
-        out = io.BytesIO()
-        Image.fromarray(pixels[:, :, ::-1] if pixels.ndim == 3 else pixels).save(out, "JPEG", quality=100)
-        return out.getvalue()
 
-    return jpg
+def encoder(format_: str):
+    if format_ not in ENCODERS:
+        raise ValueError(f"unknown output format {format_!r}")
+    return ENCODERS[format_]
 
 
 def encoded(shaped: DataFrame, width: int, encode) -> DataFrame:
@@ -134,95 +128,188 @@ def existing(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "path string")
 
 
-def convert(spark: SparkSession, o: Options) -> dict:
-    """Convert what is not converted yet; counts, angle and where support came from."""
-    began = time.monotonic()
-    root = f"{o.output}/{o.label}"
-    c = one_calibration(spark, o.calibration)
-    c.model  # an unsupported projection ends here
-    encode = encoder(o.format)
+@dataclass(frozen=True)
+class Prepared:
+    """What all images of a lens share: its calibration, where support came from, its angle, the mask of images without one, and the recipe's files."""
+
+    calibration: geo.Calibration
+    origin: str
+    angle: float
+    fallback: str
+    recipe: dict[str, list[str]]
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+
 
-    plain = lambda df: df.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    images = plain(files.image_paths(spark, o.images))
-    listed_masks = plain(files.image_paths(spark, o.masks)) if o.masks else images.limit(0)
-    twice = [r.base for r in masks.duplicate_masks(listed_masks).collect()]
+def _root(o: Options) -> str:
+    return f"{o.output}/{o.label}"
+
+
+def _masks(spark: SparkSession, o: Options) -> DataFrame | None:
+    """The masks of a conversion, each of another image."""
+    if not o.masks:
+        return None
+    listed = _plain(files.image_paths(spark, o.masks))
+    twice = [r.base for r in masks.duplicate_masks(listed).limit(5).collect()]
     if twice:
         raise ValueError(f"more than one mask for {', '.join(sorted(twice))}")
-    items = masks.matched(images, listed_masks).persist()
-    if items.isEmpty():
-        raise ValueError(f"no image files in {o.images}")
-    outputs = masks.expected_outputs(items, root, paths.WRITTEN[o.format], o.rig)
-    todo = masks.pending(items, outputs, existing(spark, root), o.force).persist()
-    total, open_ = items.count(), todo.count()
-    if not open_:
-        progress("DONE", 1, 1, f"processed=0 skipped={total}")
-        items.unpersist()
-        todo.unpersist()
-        return {"processed": 0, "skipped": total}
-    open_images = [r.image_path for r in todo.select("image_path").collect()]  # names alone; the listing holds them anyway
-    _fit(spark, open_images, c, "images")
+    return listed
+
 
-    has_masks = bool(o.masks) and not listed_masks.isEmpty()
+def prepared(spark: SparkSession, o: Options, c: geo.Calibration, listed_masks: DataFrame | None) -> Prepared:
+    """Support, geometry files and recipe of a lens; what is there already is read."""
+    root = _root(o)
+    has_masks = listed_masks is not None and not listed_masks.isEmpty()
     if has_masks or o.lens_mask:
         origin, half = ("mask-directory" if has_masks else "lens-only-mask"), None
-        masks_from = o.masks if has_masks else o.lens_mask
-        _fit(spark, masks_from, c, "masks")
-        progress("MASK_SUM", 1, 1, origin)
-        count = files.approved(files.read_images(spark, masks_from), masks.THRESHOLD).persist()
-        files.write_named(raster(count.withColumn("n", masks.stored_count(F.col("n"))), "n", c.width, c.height, "bonusdata/validpixelcount_16bit.tif", files.tiff, True), root)
+        mask_headers = _fitting(files.headers(spark, o.masks if has_masks else o.lens_mask), c, "masks")
+        n = mask_headers.count()
+        progress("MASK_SUM", 0, n, origin)
+        count = files.approved(files.read_any(spark, mask_headers), masks.THRESHOLD).persist()
+        write_named(raster(count.withColumn("n", masks.stored_count(F.col("n"))), "n", c.width, c.height, "bonusdata/validpixelcount_16bit.tif", files.tiff, True), root)
+        mask_headers.unpersist()
+        progress("MASK_SUM", n, n, origin)
     elif o.max_fov is not None:
         origin, half, count = "manual-fov", o.max_fov / 2, None
     else:
         raise ValueError("support needs masks, a lens mask or a field of view")
 
-    progress("RAYS", 1, 1, c.model)
+    progress("RAYS", 0, 1, c.model)
     support_, angle = support(spark, c, half, count)
     support_ = support_.persist()
-    files.write_named(raster(support_, "val", c.width, c.height, "bonusdata/useful_pixels.png"), root)
     geometry = rays.geometry(spark, c).persist()
-    files.write_named(raw.packed(geometry, c.width, c.height).select(F.lit("bonusdata/geometry.raw").alias("name"), "data"), root)
     angles = rays.with_angles(geometry)
-    files.write_named(raster(angles.withColumn("theta", geo.byte(F.col("theta"))), "theta", c.width, c.height, "bonusdata/polar.png"), root)
-    files.write_named(raster(angles.withColumn("phi", geo.azimuth_byte(F.col("phi"))), "phi", c.width, c.height, "bonusdata/azimuth.png"), root)
+    pictures = [
+        raster(support_, "val", c.width, c.height, "bonusdata/useful_pixels.png"),
+        raster(angles.withColumn("theta", geo.byte(F.col("theta"))), "theta", c.width, c.height, "bonusdata/polar.png"), raster(angles.withColumn("phi", geo.azimuth_byte(F.col("phi"))), "phi", c.width, c.height, "bonusdata/azimuth.png"),
+        raster(morphology.eroded(support_), "val", c.width, c.height, "bonusdata/fallback_mask.png"),
+    ]
+    for picture in pictures:
+        write_named(picture, root)
+    raw.write_raw(geometry, f"{root}/bonusdata/geometry.raw", c.width, c.height)
     geometry.unpersist()
-
-    fallback = None
-    if not todo.where("mask_path is null").isEmpty():
-        fallback = o.lens_mask or f"{root}/bonusdata/fallback_mask.png"
-        if not o.lens_mask:
-            files.write_named(raster(morphology.eroded(support_), "val", c.width, c.height, "bonusdata/fallback_mask.png"), root)
-    filled = masks.with_fallback(todo, fallback or "")
-    progress("REMAP_PRECOMPUTE", 1, 1, "recipe")
+    progress("RAYS", 1, 1, c.model)
+    progress("REMAP_PRECOMPUTE", 0, len(geo.FACES), "recipe")
     recipe = remap.packed_files(cached_recipe(spark, o, c, support_, origin, angle))
+    progress("REMAP_PRECOMPUTE", len(geo.FACES), len(geo.FACES), "recipe")
+    support_.unpersist()
+    if count is not None:
+        count.unpersist()
+    return Prepared(c, origin, float(angle), o.lens_mask or f"{root}/bonusdata/fallback_mask.png", recipe)
+
+
+def applied(spark: SparkSession, o: Options, lens: Prepared, items: DataFrame) -> None:
+    """The faces of some items (``masks.matched``), which appear together when all are made."""
+    root = _root(o)
+    filled = masks.with_fallback(items, lens.fallback).persist()
     own = filled.select("stem", F.col("mask_path").alias("path"), F.lit("mask").alias("kind"))
     wanted = filled.select("stem", F.col("image_path").alias("path"), F.lit("image").alias("kind")).unionAll(own)
-    progress("REMAP_APPLY", 1, 1, f"{open_} images")
-    open_masks = [r.path for r in own.select("path").distinct().collect()]
-    decoded = plain(files.read_images(spark, open_images)).withColumn("is_mask", F.lit(False))
-    decoded = decoded.unionAll(plain(files.read_images(spark, open_masks)).withColumn("is_mask", F.lit(True)))
-    shaped = remap.remapped_images(decoded, recipe, o.face_width, threads=1 if open_ >= spark.sparkContext.defaultParallelism else len(geo.FACES))
-    names = wanted.join(outputs.withColumnRenamed("path", "output"), ["stem", "kind"]).select("path", "face", (F.col("kind") == "mask").alias("is_mask"), F.expr(f"substring(output, {len(root) + 2})").alias("name"))
-    files.write_named(encoded(shaped.join(sized(names), ["path", "face", "is_mask"]), o.face_width, encode), root)
-    counts = todo.where("mask_path is null").count()
+    parts = []
+    for kind, column in (("image", "image_path"), ("mask", "mask_path")):
+        found = files.headers(spark, [r[0] for r in filled.select(column).distinct().collect()])
+        parts.append(_plain(files.read_any(spark, found)).withColumn("is_mask", F.lit(kind == "mask")))
+    few = filled.count() < spark.sparkContext.defaultParallelism
+    shaped = remap.remapped_images(parts[0].unionAll(parts[1]), lens.recipe, o.face_width, threads=len(geo.FACES) if few else 1)
+    outputs = masks.expected_outputs(filled, root, paths.WRITTEN[o.format], o.rig).withColumnRenamed("path", "output")
+    names = wanted.join(outputs, ["stem", "kind"]).select("path", "face", (F.col("kind") == "mask").alias("is_mask"), F.expr(f"substring(output, {len(root) + 2})").alias("name"))
+    write_named(encoded(shaped.join(sized(names), ["path", "face", "is_mask"]), o.face_width, encoder(o.format)), root)
+    filled.unpersist()
+
+
+def convert(spark: SparkSession, o: Options) -> dict:
+    """Convert what is not converted yet; counts, angle and where support came from.
+
+    Images are taken ``o.chunk`` at a time, whose names pass the driver; files
+    of a chunk appear together, so a run that is stopped goes on where it was.
+    """
+    began = time.monotonic()
+    root = _root(o)
+    c = one_calibration(spark, o.calibration)
+    c.model  # an unsupported projection ends here
+    encoder(o.format)
+
+    images = _plain(files.image_paths(spark, o.images))
+    listed_masks = _masks(spark, o)
+    items = masks.matched(images, images.limit(0) if listed_masks is None else listed_masks).persist()
+    if items.isEmpty():
+        raise ValueError(f"no image files in {o.images}")
+    outputs = masks.expected_outputs(items, root, paths.WRITTEN[o.format], o.rig)
+    todo = masks.pending(items, outputs, existing(spark, root), o.force).persist()
+    total, open_ = items.count(), todo.count()
+    if not open_:
+        progress("DONE", 1, 1, f"processed=0 skipped={total}")
+        items.unpersist()
+        todo.unpersist()
+        return {"processed": 0, "skipped": total}
+    open_headers = _plain(files.headers(spark, o.images)).join(sized(todo.select(F.col("image_path").alias("path"))), "path", "left_semi")
+    _fitting(open_headers, c, "images").unpersist()
+
+    lens = prepared(spark, o, c, listed_masks)
+    done = 0
+    progress("REMAP_APPLY", done, open_, "images")
+    rows = todo.toLocalIterator()
+    while chunk := list(islice(rows, o.chunk)):
+        applied(spark, o, lens, spark.createDataFrame(chunk, todo.schema))
+        done += len(chunk)
+        progress("REMAP_APPLY", done, open_, chunk[-1].stem)
+    fallbacks = todo.where("mask_path is null").count()
     progress("DONE", 1, 1, f"processed={open_} skipped={total - open_}")
-    out = {"processed": open_, "skipped": total - open_, "support_source": origin, "effective_angle": float(angle), "angle_source": "manual" if origin == "manual-fov" else "mask-derived", "fallback_masks": counts, "pinhole": runlog.pinhole_parameters(o.face_width)}
-    row = spark.createDataFrame([tuple(out[k] for k in ("support_source", "effective_angle", "angle_source", "processed", "skipped", "fallback_masks"))], "support_source string, effective_angle double, angle_source string, processed long, skipped long, fallback_masks long")
-    files.write_named(runlog.report(row, o.label, time.monotonic() - began).select(F.lit("run_report.txt").alias("name"), F.col("report").cast("binary").alias("data")), root)
-    for df in (items, todo, support_, *([count] if count is not None else [])):
-        df.unpersist()
+    out = {"processed": open_, "skipped": total - open_, "support_source": lens.origin, "effective_angle": lens.angle, "angle_source": "manual" if lens.origin == "manual-fov" else "mask-derived", "fallback_masks": fallbacks, "pinhole": runlog.pinhole_parameters(o.face_width)}
+    fields = ("support_source", "effective_angle", "angle_source", "processed", "skipped", "fallback_masks")
+    cameras = "\n".join(f"{k}: {v:g}" for k, v in out["pinhole"].items())
+    row = spark.createDataFrame([(*(out[k] for k in fields), cameras)], "support_source string, effective_angle double, angle_source string, processed long, skipped long, fallback_masks long, pinhole string")
+    write_named(runlog.report(row, o.label, time.monotonic() - began).select(F.lit("run_report.txt").alias("name"), F.col("report").cast("binary").alias("data")), root)
+    items.unpersist()
+    todo.unpersist()
     return out
 
 
-def _fit(spark: SparkSession, where: str | list[str], c: geo.Calibration, what: str) -> None:
-    wrong = files.unfit(files.headers(spark, where), c.width, c.height).limit(5).collect()
+def convert_stream(spark: SparkSession, o: Options, checkpoint: str, files_per_batch: int = 64, once: bool = True) -> StreamingQuery:
+    """Convert images as they arrive in ``o.images``; the lens is prepared once, before the first batch.
+
+    A batch whose files are there already is passed over, so one that was
+    stopped before or after its files appeared is not made twice. Images of
+    another size than the calibration fail the query. Masks are those that are
+    there when a batch is made; the angle is that of the masks at the start.
+    """
+    c = one_calibration(spark, o.calibration)
+    c.model
+    encoder(o.format)
+    lens = prepared(spark, o, c, _masks(spark, o))
+    root = _root(o)
+
+    def batch(paths_: DataFrame, _: int) -> None:
+        images = _plain(paths_).persist()
+        listed_masks = _masks(spark, o)
+        items = masks.matched(images, images.limit(0) if listed_masks is None else listed_masks)
+        todo = masks.pending(items, masks.expected_outputs(items, root, paths.WRITTEN[o.format], o.rig), existing(spark, root), o.force).persist()
+        names = [r[0] for r in todo.select("image_path").collect()]  # of one batch
+        if names:
+            _fitting(files.headers(spark, names), c, "images").unpersist()
+            applied(spark, o, lens, todo)
+        todo.unpersist()
+        images.unpersist()
+
+    writer = arriving_paths(spark, o.images, files_per_batch).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _fitting(headers: DataFrame, c: geo.Calibration, what: str) -> DataFrame:
+    """The headers of files, kept, all of which can be used."""
+    found = headers.persist()
+    wrong = files.unfit(found, c.width, c.height).limit(5).collect()
     if wrong:
         raise ValueError(f"{what} that cannot be used: " + ", ".join(f"{r.path} ({r.why})" for r in wrong))
+    return found
 
 
 def main(args: list[str] | None = None) -> int:
     import argparse
 
     p = argparse.ArgumentParser(description="Convert the images of one calibrated lens to five cube faces.")
+    p.add_argument("--version", action="version", version=f"prismara {prismara.__version__}")
     for name in ("calibration", "label", "images", "output"):
         p.add_argument(f"--{name}", required=True)
     p.add_argument("--masks")
@@ -233,9 +320,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", choices=list(paths.WRITTEN), default="png")
     p.add_argument("--force", action="store_true")
     got = vars(p.parse_args(args))
+    if got["max_fov"] is not None and not 0 < got["max_fov"] <= 360:
+        p.error("--max-fov must be a whole number of degrees from 1 to 360")
     spark = SparkSession.builder.getOrCreate()
     out = convert(spark, Options(**got | {k: os.path.abspath(got[k]) for k in ("images", "output", "masks", "lens_mask") if got[k]}))
-    print("Set and keep fixed: " + ", ".join(f"{k}={v:g}" for k, v in out["pinhole"].items()))
+    if "pinhole" in out:
+        print("Set and keep fixed: " + ", ".join(f"{k}={v:g}" for k, v in out["pinhole"].items()))
     return 0
 
 

@@ -32,6 +32,25 @@ def image_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", F.expr("i div 8").cast("int").alias("v"), (F.col("i") % 8).cast("int").alias("u"), F.when(F.col("e") > 0, 255).otherwise(0).alias("val"))
 
 
+def lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lens_id``, ``kind``, ``model`` and parameters: a small lens for each user of ``events``, made of how many events there are and which; the model is one of the fisheyes'."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("lens_id")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    n, lo, hi = (F.col(c) for c in ("n", "lo", "hi"))
+    model = F.element_at(F.array(F.lit("equisolid"), F.lit("equidistant")), (n % 2 + 1).cast("int"))
+    given = {
+        "width": (24 + n % 5).cast("int"), "height": (24 + hi % 3).cast("int"), "f": (24 + n % 5) * (36 + n % 7) / F.lit(100.0), "cx": (lo % 11 - 5) / F.lit(8.0) + 0.013, "cy": (hi % 7 - 3) / F.lit(8.0) + 0.0071,
+        "k1": (60 + n % 30) / F.lit(1000.0), "k2": (30 + n % 20) / F.lit(1000.0), "k3": -(15 + n % 5) / F.lit(1000.0), "k4": (n % 2) / F.lit(1000.0), "p1": (n % 5 - 2) / F.lit(10000.0) + 0.00003, "p2": (lo % 5 - 2) / F.lit(10000.0) - 0.00005,
+        "b1": (n % 4) / F.lit(100.0), "b2": (hi % 3) / F.lit(200.0),
+    }
+    return e.select("lens_id", (n % 4).alias("kind"), model.alias("model"), *(v.alias(k) for k, v in given.items()))
+
+
+def any_lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lenses by four models."""
+    models = F.array(*map(F.lit, ("equisolid", "equidistant", "pinhole", "equirectangular")))
+    return lenses(spark, sf_dir).withColumn("model", F.element_at(models, (F.col("kind") + 1).cast("int")))
+
+
 def listed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*map(F.lit, (".jpg", ".JPG", ".png", ".tif", ".txt"))), (F.col("doc_id") % 5 + 1).cast("int"))
     stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
@@ -65,6 +84,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 11 == 3, F.format_string("[PROGRESS] DONE 1/1: processed=%d skipped=%d", i % 97, i % 13))
         .when(i % 11 == 4, F.format_string("INFO: Resolved %d missing per-image mask(s)", i % 29))
         .when(i % 11 == 5, F.concat(F.lit("noise [PROGRESS] "), F.col("event_type")))
+        .when(i % 55 == 6, F.lit("INFO: prismara: cameras of all faces, to be set and FIXED for alignment"))
+        .when(i % 11 == 7, F.format_string("INFO: prismara:  f: %d px ", i % 1000))
         .otherwise(logs.progress_line(phase, i % 50, F.lit(50).cast("long"), F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))))
     )
     return table(spark, sf_dir, "events").select((i % 10).alias("run"), i.alias("line_no"), line.alias("line"))

@@ -1,19 +1,19 @@
 """Image files: listing, decoding, encoding and writing.
 
 Spark decodes images but does not write them, so files are encoded in Arrow
-batches and leave through Spark's own text writer, a file for each row, which
-reaches any storage that Spark does.
+batches and leave through ``sources.sink``.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismara.functions import paths
@@ -82,27 +82,95 @@ def header(data: bytes) -> tuple[int, int, int, int] | None:
     return None
 
 
+#: Bytes of a file that are read to find its header; twice as many as often as that does not do.
+FIRST_BYTES = 1 << 16
+
+
+def _read_header(uri: str, size: int) -> tuple[int, int, int, int] | None:
+    from prismara.sources.sink import file_system
+
+    system, path = file_system(uri)
+    with system.open_input_file(path) as f:
+        length = FIRST_BYTES
+        while True:
+            found = header(f.read_at(min(length, size), 0))
+            if found or length >= size:
+                return found
+            length *= 2
+
+
 def headers(spark: SparkSession, paths_: str | list[str]) -> DataFrame:
-    """``path``, ``width``, ``height``, ``bits``, ``orientation`` of image files; null for those whose header cannot be read."""
+    """``path``, ``width``, ``height``, ``bits``, ``orientation`` of image files; null for those whose header cannot be read.
+
+    Sizes are those of the upright image. Spark lists the files, and workers
+    read the beginning of each.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [header(c.as_buffer().to_pybytes()) or (None,) * 4 for c in batch.column(1)]
+            found = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = _read_header(path, size)
+                found.append((None,) * 4 if h is None else (h[1], h[0], *h[2:]) if h[3] >= 5 else h)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.int32()) for i in range(4))], names=["path", "width", "height", "bits", "orientation"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(paths_).where(paths.is_image(F.col("path")))
-    return files.select("path", "content").mapInArrow(work, "path string, width int, height int, bits int, orientation int")
+    return files.select("path", "length").mapInArrow(work, "path string, width int, height int, bits int, orientation int")
 
 
 def unfit(headers_: DataFrame, width: int, height: int) -> DataFrame:
-    """``path``, ``why``: files that a conversion cannot take. Spark's decoder would cut 16 bits to the low eight and leave turned images as they lie."""
-    why = (
-        F.when(F.col("width").isNull(), "no header of a known format").when((F.col("width") != width) | (F.col("height") != height), "other size than the calibration")
-        .when(F.col("bits") > 8, "more than 8 bits a sample").when(F.col("orientation") != 1, "an orientation tag; turn it upright first")
-    )
+    """``path``, ``why``: files that a conversion cannot take."""
+    why = F.when(F.col("width").isNull(), "no header of a known format").when((F.col("width") != width) | (F.col("height") != height), "other size than the calibration")
     return headers_.select("path", why.alias("why")).where("why is not null")
 
 
+def read_any(spark: SparkSession, headers_: DataFrame) -> DataFrame:
+    """Decoded images (IMAGE) of the files of ``headers``, upright and of 8 bits a sample.
+
+    Spark's reader takes those it decodes as they are meant; files of more bits
+    are decoded by ``sources.decode``, and turned ones are set upright.
+    """
+    some = headers_.select("path", (F.col("bits") > 8).alias("deep"), F.coalesce("orientation", F.lit(1)).alias("orientation")).collect()  # names, as the listing holds them
+    names = {kind: [r.path for r in some if (r.deep, r.orientation != 1) == kind] for kind in ((False, False), (False, True))}
+    deep = [r.path for r in some if r.deep]
+    bare = lambda path: re.sub("^file:/+", "/", path)  # noqa: E731  # readers spell local paths in different ways
+    turn = {bare(r.path): r.orientation for r in some if r.orientation != 1}
+
+    def emitted(path: str, x: np.ndarray) -> pa.RecordBatch:
+        from prismara.sources.decode import upright
+
+        x = upright(x, turn.get(bare(path), 1))
+        sizes = [pa.array([n], pa.int32()) for n in (*x.shape[:2], 3 if x.ndim == 3 else 1)]
+        return pa.RecordBatch.from_arrays([pa.array([path]), *sizes, pa.array([x.tobytes()], pa.binary())], names=["path", "height", "width", "channels", "data"])
+
+    def set_upright(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, height, width, channels, data in zip(*batch.columns, strict=True):
+                x = np.frombuffer(data.as_buffer(), np.uint8).reshape(height.as_py(), width.as_py(), channels.as_py())
+                yield emitted(path.as_py(), x[:, :, 0] if x.shape[2] < 3 else x[:, :, :3])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from prismara.sources.decode import decoded
+
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                try:
+                    x = decoded(content.as_buffer().to_pybytes())
+                except ValueError as e:
+                    raise ValueError(f"{path.as_py()}: {e}") from e
+                yield emitted(path.as_py(), x)
+
+    parts = [read_images(spark, names[False, False])] if names[False, False] else []
+    if names[False, True]:
+        parts.append(read_images(spark, names[False, True]).mapInArrow(set_upright, IMAGE))
+    if deep:
+        parts.append(spark.read.format("binaryFile").load(deep).select("path", "content").mapInArrow(decode, IMAGE))
+    out = parts[0] if parts else spark.createDataFrame([], IMAGE)
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def wrong_shapes(images: DataFrame, width: int, height: int) -> DataFrame:
     """The rows that have another size than the calibration."""
     return images.where((F.col("width") != width) | (F.col("height") != height)).select("path", "width", "height")
@@ -153,11 +221,6 @@ def exploded(images: DataFrame) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data").mapInArrow(work, "path string, v int, u int, b int, g int, r int")
 
 
-def gray(b: Column, g: Column, r: Column) -> Column:
-    """Luma, rounded."""
-    return F.round(b * 0.114 + g * 0.587 + r * 0.299).cast("int")
-
-
 def png(pixels: np.ndarray) -> bytes:
     """An image of bytes or 16-bit numbers, gray or blue-green-red, as a PNG file."""
     deep = pixels.dtype == np.uint16
@@ -191,32 +254,3 @@ def tiff(pixels: np.ndarray) -> bytes:
             value = start + len(depth)
         out += struct.pack("<HHII", tag, kind, count, value)
     return out + struct.pack("<I", 0) + depth + data
-
-
-def write_files(encoded: DataFrame, directory: str) -> None:
-    """Write ``data`` of each row to a file below ``directory``/``folder``; Spark names it, and a zero byte ends it."""
-    encoded.select("folder", F.col("data").cast("string").alias("value")).write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", 1).partitionBy("folder").text(directory)
-
-
-def write_named(encoded: DataFrame, directory: str) -> int:
-    """Write ``data`` of each row to ``directory``/``name``; how many files there are.
-
-    Names are those of a conversion's outputs, so this needs a directory that
-    driver and executors mount at one place. A file appears whole or not at
-    all, and a task that runs again writes the same.
-    """
-    import os
-
-    root = directory.removeprefix("file://")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                path = os.path.join(root, name.as_py())
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.{os.getpid()}.part", "wb") as out:
-                    out.write(data.as_py())
-                os.replace(f"{path}.{os.getpid()}.part", path)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    return encoded.select("name", "data").mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from prismara.functions import geometry as geo
-from prismara.plans.convert import Options, convert
+from prismara.plans.convert import Options, convert, main
 from prismara.plans.fixtures import LENS
 from prismara.sources import images, raw
+from test_formats import turned_jpeg
 
 SIZE, FACE = 48, 20
 
@@ -43,7 +44,7 @@ def test_convert_and_resume(spark, lens):
     for d in geo.FACES.values():
         s = d["suffix"]
         assert {f"images/a/a{s}.png", f"images/b/b{s}.png", f"masks/a{s}_mask.png", f"masks/b{s}_mask.png"} <= names
-    assert not [n for n in names if n.endswith(".part")]
+    assert not [n for n in names if "_writing" in n]
     assert {"run_report.txt", "bonusdata/geometry.raw", "bonusdata/polar.png", "bonusdata/azimuth.png", "bonusdata/useful_pixels.png", "bonusdata/fallback_mask.png", "bonusdata/validpixelcount_16bit.tif"} <= names
     face = images.read_images(spark, f"{root}/out/L/images/a/a_dir_plusZ.png").first()
     assert (face.height, face.width, face.channels) == (FACE, FACE, 3) and np.frombuffer(face.data, np.uint8).std() > 10
@@ -74,17 +75,39 @@ def test_errors(spark, lens):
         convert(spark, Options(xml, masks=str(root / "masks"), **o))
 
 
-def test_headers_tell_what_cannot_be_used(spark, lens):
-    root, _ = lens
-    deep = np.zeros((SIZE, SIZE, 3), np.uint16)
-    (root / "images/deep.png").write_bytes(images.png(deep))
-    (root / "images/deep.tif").write_bytes(images.tiff(deep))
-    exif = b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
-    sof = b"\xff\xc0\0\x11\x08" + SIZE.to_bytes(2, "big") * 2 + b"\x03" + bytes(9)
-    (root / "images/turned.jpg").write_bytes(b"\xff\xd8\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + sof)
-    (root / "images/none.jpg").write_bytes(b"not an image")
-    got = {r.path.rpartition("/")[2]: r.why for r in images.unfit(images.headers(spark, str(root / "images")), SIZE, SIZE).collect()}
-    assert {k: v.split(" ")[0] for k, v in got.items()} == {"deep.png": "more", "deep.tif": "more", "turned.jpg": "an", "none.jpg": "no"}
+def test_formats_and_chunks(spark, lens, capsys):
+    """JPEG output of a deep and a turned image, one image at a time."""
+    root, xml = lens
+    rng = np.random.default_rng(8)
+    smooth = np.repeat(np.repeat(rng.integers(0, 256, (6, 6, 3)), 8, 0), 8, 1).astype(np.uint8)
+    (root / "images/a.png").write_bytes(images.png(smooth.astype(np.uint16) * 256 + 9))
+    (root / "images/b.png").unlink()
+    (root / "images/b.jpg").write_bytes(turned_jpeg(np.ascontiguousarray(smooth.swapaxes(0, 1)), 5))
+    o = dict(images=str(root / "images"), masks=str(root / "masks"), face_width=FACE, chunk=1)
+    out = convert(spark, Options(xml, "J", output=str(root / "out"), format="jpg", **o))
+    assert out["processed"] == 2
+    said = capsys.readouterr().out
+    assert "[PROGRESS] REMAP_APPLY 0/2: images\n[PROGRESS] REMAP_APPLY 1/2: a\n[PROGRESS] REMAP_APPLY 2/2: b\n[PROGRESS] DONE 1/1: processed=2 skipped=0" in said
+    convert(spark, Options(xml, "P", output=str(root / "out"), format="png", **o))
+    read = lambda p: {r.path.rpartition("/")[2][:1] + r.path.rpartition("_")[2][:-4]: np.frombuffer(r.data, np.uint8).astype(int) for r in images.read_images(spark, [str(x) for x in (root / "out").glob(p)]).collect()}
+    jpg, png = read("J/images/*/*.jpg"), read("P/images/*/*.png")
+    assert set(jpg) == set(png) and len(jpg) == 10
+    for k in jpg:
+        assert np.abs(jpg[k] - png[k]).mean() < 2, k
+        assert np.abs(png[k] - png[("b" if k[0] == "a" else "a") + k[1:]]).mean() < 2  # both hold the same picture
+
+
+def test_command_line(spark, lens, capsys):
+    root, xml = lens
+    args = ["--calibration", xml, "--label", "M", "--images", str(root / "images"), "--output", str(root / "out"), "--max-fov", "180", "--face-width", str(FACE), "--rig", "--format", "tiff"]
+    assert main(args) == 0
+    assert "Set and keep fixed: f=10, cx=0" in capsys.readouterr().out
+    assert (root / "out/M/images/dir_plusZ/a_dir_plusZ.tif").exists()
+    assert main(args) == 0 and "processed=0 skipped=2" in capsys.readouterr().out
+    for bad in (["--max-fov", "0"], ["--format", "gif"], ["--version"]):
+        with pytest.raises(SystemExit):
+            main([*args, *bad])
+    assert "prismara 0" in capsys.readouterr().out
 
 
 def test_approved_counts_masks(spark, lens):

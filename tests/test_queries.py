@@ -181,10 +181,6 @@ def test_images_survive_writing(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: np.frombuffer(r.data, np.uint8).reshape(7, 5, -1) for r in images.read_images(spark, str(tmp_path)).collect()}
     assert (got["c.png"] == colour).all() and (got["c.tif"] == colour).all() and (got["g.png"][..., 0] == gray).all() and (got["g.tif"][..., 0] == gray).all()
-    df = spark.createDataFrame([("a", bytearray(images.png(gray))), ("b", bytearray(images.png(colour)))], "folder string, data binary")
-    images.write_files(df, str(tmp_path / "out"))
-    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "out")).collect()
-    assert sorted(bytes(r.content).rstrip(b"\0") for r in back) == sorted([images.png(gray), images.png(colour)])
 
 
 def test_stream_hands_each_image_once(spark, tmp_path):
