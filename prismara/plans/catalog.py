@@ -539,12 +539,12 @@ def remap_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remap.mask(_rounded_sums(fx.image_masks(spark, sf_dir), _inverse(spark)))
 
 
-@query(f"""{_near(_SMALL_SQL, FACE_SMALL)}, {_solved()}, p AS ({_IMAGES}),
+@query(f"""{_near(_one(fx.EVEN_LENS), FACE)}, {_solved()}, p AS ({_IMAGES}),
 sums AS (SELECT label, image_id, face, row, col, round(sum(w * val), 6) AS val FROM p JOIN w ON w.src = p.v * {SMALL} + p.u GROUP BY ALL)
 SELECT label, face, count(*) AS pixels, {_r("avg(trunc(greatest(0, least(255, val))))", "mean")} FROM sums GROUP BY label, face""")
 def face_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path with true weights: ``label``, ``face``, ``pixels``, ``mean`` of all images."""
-    r = faces.recipe(_some_ties(spark, _SMALL, FACE_SMALL), FACE_SMALL, SMALL)
+    r = faces.recipe(_some_ties(spark, fx.EVEN_LENS, FACE), FACE, SMALL)
     pixels = fx.images(spark, sf_dir).select("image_id", "label", (F.col("v") * SMALL + F.col("u")).cast("long").alias("src"), "val")
     sums = remap.remapped(pixels, r, ("val",), ("image_id", "label")).withColumn("val", F.round("val", 6))
     out = remap.colours(sums, ("val",))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import time
 from dataclasses import asdict, dataclass
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -186,8 +187,7 @@ def prepared(spark: SparkSession, o: Options, c: geo.Calibration, listed_masks:
         raster(angles.withColumn("theta", geo.byte(F.col("theta"))), "theta", c.width, c.height, "bonusdata/polar.png"), raster(angles.withColumn("phi", geo.azimuth_byte(F.col("phi"))), "phi", c.width, c.height, "bonusdata/azimuth.png"),
         raster(morphology.eroded(support_), "val", c.width, c.height, "bonusdata/fallback_mask.png"),
     ]
-    for picture in pictures:
-        write_named(picture, root)
+    write_named(reduce(DataFrame.unionAll, pictures), root)
     raw.write_raw(geometry, f"{root}/bonusdata/geometry.raw", c.width, c.height)
     geometry.unpersist()
     progress("RAYS", 1, 1, c.model)
@@ -249,7 +249,7 @@ def convert(spark: SparkSession, o: Options) -> dict:
     lens = prepared(spark, o, c, listed_masks)
     done = 0
     progress("REMAP_APPLY", done, open_, "images")
-    rows = todo.toLocalIterator()
+    rows = todo.orderBy("stem").toLocalIterator()
     while chunk := list(islice(rows, o.chunk)):
         applied(spark, o, lens, spark.createDataFrame(chunk, todo.schema))
         done += len(chunk)

@@ -11,6 +11,8 @@ from prismara.operators import masks
 
 #: The example lens; fixed values.
 LENS = Calibration("equisolid_fisheye", 3840, 3840, 1053.0661329976908, -5.9659420107747714, 0.96044694416563914, 0.079016247653362917, 0.048529911144215856, -0.019338483415952692, 0.0, 0.00026964144026548015, -5.8694221741946647e-05)
+#: A lens of 8 x 8 whose pixels lie apart on the faces, so that weights do not depend on rounding.
+EVEN_LENS = Calibration("equisolid_fisheye", 8, 8, 3.1, 0.113, -0.071, 0.02, 0.01, -0.004, 0.001, 0.0003, -0.0002, 0.01, 0.005)
 ROOT, IMAGES, MASKS = "/out", "/data/images/", "/data/masks/"
 PHASES = ("MASK_SUM", "RAYS", "REMAP_PRECOMPUTE", "REMAP_APPLY")
 
