@@ -196,3 +196,37 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+def eliminated(rows: Column, n: int) -> Column:
+    """The last column of a system of ``n`` equations (an array of arrays of ``n`` + 1) after Gauss-Jordan elimination, pivots in order."""
+
+    def step(a: Column, k: Column) -> Column:
+        pivot = F.element_at(a, k)
+        scale = F.element_at(pivot, k)
+        scaled = F.transform(pivot, lambda z: z / scale)
+        return F.transform(a, lambda r, i: F.when(i + 1 == k, scaled).otherwise(F.zip_with(r, scaled, lambda z, p: z - F.element_at(r, k) * p)))
+
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(n)), rows, step), lambda r: F.element_at(r, n + 1))
+
+
+def column_weights(points: Column, n: int = NEIGHBOURS, epsilon: float = geo.EPSILON) -> Column:
+    """What ``solved`` computes, as a column of an array of ``n`` structs ``px``, ``py``, ``d2``: weights that add up to 1, or are all 0."""
+    e = epsilon * epsilon
+
+    def row(p: Column, i: Column) -> Column:
+        apart = F.transform(points, lambda q, j: F.exp(-e * ((p["px"] - q["px"]) * (p["px"] - q["px"]) + (p["py"] - q["py"]) * (p["py"] - q["py"]))) + F.when(i == j, RIDGE).otherwise(0.0))
+        return F.concat(apart, F.array(F.exp(-e * p["d2"])))
+
+    w = eliminated(F.transform(points, row), n)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, z: a + z)
+    return F.transform(F.array(w), lambda x: F.transform(x, lambda z: F.coalesce(F.try_divide(z, total(x)), F.lit(0.0))))[0]
+
+
+def recipe_by_columns(neighbours: DataFrame, ties_: DataFrame, width: int | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``face``, ``row``, ``col``, ``src``, ``w``: weights of known neighbours (see :func:`recipe`), by joins and column functions alone."""
+    target = [*keys, "face", "row", "col"]
+    points = ties_.select(*keys, "face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
+    each = neighbours.select(*target, F.posexplode(F.arrays_zip("src", "d2")).alias("k", "n")).select(*target, "k", "n.src", "n.d2")
+    lists = each.join(points, [*keys, "face", "src"]).groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("k", "src", "px", "py", "d2"))).alias("n"))
+    return lists.where(F.col("n")[0]["d2"] <= REACH**2).select(*target, F.col("n.src").alias("src"), column_weights(F.col("n")).alias("w"))

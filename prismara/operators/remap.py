@@ -8,10 +8,12 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, SparkRuntimeException as SparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismara.functions.geometry import byte
+from prismara.functions.geometry import FACES, byte
 
 #: Targets of a part of a recipe.
 PART = 65_536
@@ -81,6 +83,34 @@ def packed_files(kept: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+#: The table, beside a recipe, of what its parts are.
+MANIFEST = "_manifest"
+
+
+def _digests(spark: SparkSession, path: str) -> DataFrame:
+    """``name``, ``bytes``, ``digest`` of every part of a recipe."""
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{path}/face={f}" for f in FACES])
+    return parts.select(F.regexp_extract("path", "/(face=[^/]+/[^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """Say what the parts of a kept recipe are: size and digest of each, and how many targets each face has."""
+    targets = F.count_distinct("face").alias("faces"), F.sum(F.length("at") / 4).cast("long").alias("targets")
+    both = _digests(spark, path).crossJoin(F.broadcast(spark.read.parquet(path).agg(*targets)))
+    both.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+
+
+def verified(spark: SparkSession, path: str) -> bool:
+    """Whether a recipe is there with all parts that its manifest names, unchanged, and no others."""
+    try:
+        said = spark.read.parquet(f"{path}/{MANIFEST}").select("name", "bytes", "digest", F.lit(True).alias("said"))
+        met = said.join(_digests(spark, path).withColumn("there", F.lit(True)), ["name", "bytes", "digest"], "full")
+        row = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said").isNull() | F.col("there").isNull()).alias("wrong")).first()
+    except (AnalysisException, SparkException, Py4JError):  # no manifest, or one that cannot be read
+        return False
+    return row.n > 0 and row.wrong == 0
+
+
 def _parts(files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     import pyarrow.parquet as pq
     from pyarrow import fs

@@ -509,6 +509,13 @@ def rbf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("lens_id", "face", "row", "col", F.explode(F.arrays_zip("src", "w")).alias("n")).select("lens_id", "face", "row", "col", "n.src", "n.w"), "w")
 
 
+@query(SQL["rbf_weights"])
+def rbf_weights_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same weights without Python: nine pivots in higher-order functions."""
+    r = faces.recipe_by_columns(_lens_recipes(spark, sf_dir), _lens_ties(spark, sf_dir), F.col("width"), _WIDE)
+    return rounded(r.select("lens_id", "face", "row", "col", F.explode(F.arrays_zip("src", "w")).alias("n")).select("lens_id", "face", "row", "col", "n.src", "n.w"), "w")
+
+
 @query("SELECT vec_id, i::INTEGER AS i, round(CASE WHEN s = 0 THEN 0 ELSE embedding[i]::DOUBLE / s END, 6) + 0.0 AS w FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def weights_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = remap.normalized_weights(F.col("embedding").cast("array<double>"))

@@ -90,23 +90,20 @@ def raster(pixels: DataFrame, column: str, width: int, height: int, name: str, e
 
 
 def cached_recipe(spark: SparkSession, o: Options, c: geo.Calibration, support_: DataFrame, origin: str, maxangle: float) -> DataFrame:
-    """The recipe of all faces, read if a table of its key is there and whole, else computed and kept."""
+    """The recipe of all faces, read if a table of its key is there and all its parts are as its manifest says, else computed and kept."""
     parts = {"size": F.lit(f"{c.width}x{c.height}"), "model": F.lit(c.model), "maxangle": F.lit(maxangle), "facewidth": F.lit(o.face_width), "neighbours": F.lit(faces.NEIGHBOURS), "epsilon": F.lit(geo.EPSILON), "pad": F.lit(faces.PAD), "origin": F.lit(origin)}
     parts |= {f"param_{k}": F.lit(v) for k, v in asdict(c).items() if isinstance(v, float)}
     key = spark.range(1).select(paths.cache_key(parts)).first()[0]
     path = f"{o.output}/{o.label}/recipes/{key}"
-    try:
-        found = spark.read.parquet(path)  # a table without its end mark is not read
-        if spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count():
-            return found
-    except AnalysisException:
-        pass
+    if remap.verified(spark, path):
+        return spark.read.parquet(path)
     used = supported_rays(spark, c, support_)
     ties = faces.ties(faces.projected(used), o.face_width).persist()
     empty = [r.face for r in faces.tie_counts(ties).where("n = 0").collect()]
     if empty:
         raise ValueError(f"no source pixel meets {', '.join(empty)}; those faces would be black")
     remap.write_packed(faces.recipe(ties, o.face_width, c.width), o.face_width, path)
+    remap.write_manifest(spark, path)
     ties.unpersist()
     return spark.read.parquet(path)
 
@@ -159,8 +156,8 @@ def _masks(spark: SparkSession, o: Options) -> DataFrame | None:
     return listed
 
 
-def prepared(spark: SparkSession, o: Options, c: geo.Calibration, listed_masks: DataFrame | None) -> Prepared:
-    """Support, geometry files and recipe of a lens; what is there already is read."""
+def prepared(spark: SparkSession, o: Options, c: geo.Calibration, listed_masks: DataFrame | None, fallback: bool = True) -> Prepared:
+    """Support, geometry files and recipe of a lens, and with ``fallback`` a mask for images without one; a recipe that is there already is read."""
     root = _root(o)
     has_masks = listed_masks is not None and not listed_masks.isEmpty()
     if has_masks or o.lens_mask:
@@ -185,8 +182,9 @@ def prepared(spark: SparkSession, o: Options, c: geo.Calibration, listed_masks:
     pictures = [
         raster(support_, "val", c.width, c.height, "bonusdata/useful_pixels.png"),
         raster(angles.withColumn("theta", geo.byte(F.col("theta"))), "theta", c.width, c.height, "bonusdata/polar.png"), raster(angles.withColumn("phi", geo.azimuth_byte(F.col("phi"))), "phi", c.width, c.height, "bonusdata/azimuth.png"),
-        raster(morphology.eroded(support_), "val", c.width, c.height, "bonusdata/fallback_mask.png"),
     ]
+    if fallback and not o.lens_mask:
+        pictures.append(raster(morphology.eroded(support_), "val", c.width, c.height, "bonusdata/fallback_mask.png"))
     write_named(reduce(DataFrame.unionAll, pictures), root)
     raw.write_raw(geometry, f"{root}/bonusdata/geometry.raw", c.width, c.height)
     geometry.unpersist()
@@ -246,7 +244,8 @@ def convert(spark: SparkSession, o: Options) -> dict:
     open_headers = _plain(files.headers(spark, o.images)).join(sized(todo.select(F.col("image_path").alias("path"))), "path", "left_semi")
     _fitting(open_headers, c, "images").unpersist()
 
-    lens = prepared(spark, o, c, listed_masks)
+    fallbacks = todo.where("mask_path is null").count()
+    lens = prepared(spark, o, c, listed_masks, fallbacks > 0)
     done = 0
     progress("REMAP_APPLY", done, open_, "images")
     rows = todo.orderBy("stem").toLocalIterator()
@@ -254,7 +253,6 @@ def convert(spark: SparkSession, o: Options) -> dict:
         applied(spark, o, lens, spark.createDataFrame(chunk, todo.schema))
         done += len(chunk)
         progress("REMAP_APPLY", done, open_, chunk[-1].stem)
-    fallbacks = todo.where("mask_path is null").count()
     progress("DONE", 1, 1, f"processed={open_} skipped={total - open_}")
     out = {"processed": open_, "skipped": total - open_, "support_source": lens.origin, "effective_angle": lens.angle, "angle_source": "manual" if lens.origin == "manual-fov" else "mask-derived", "fallback_masks": fallbacks, "pinhole": runlog.pinhole_parameters(o.face_width)}
     fields = ("support_source", "effective_angle", "angle_source", "processed", "skipped", "fallback_masks")

@@ -107,8 +107,11 @@ def _entries(data: bytes) -> tuple[str, dict[int, list[int]]]:
     return order, out
 
 
-def tiff(data: bytes) -> np.ndarray:
-    """Pixels of a TIFF file in strips of 8 or 16 bits a sample, uncompressed or deflated, with or without differences between neighbours."""
+def tiff(data: bytes, deep: bool = False) -> np.ndarray:
+    """Pixels of a TIFF file in strips of 8 or 16 bits a sample, uncompressed or deflated, with or without differences between neighbours.
+
+    ``deep`` returns the samples of a gray file as they are.
+    """
     order, tags = _entries(data)
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height, samples, bits = one(256, 0), one(257, 0), one(277, 1), one(258, 1)
@@ -128,6 +131,8 @@ def tiff(data: bytes) -> np.ndarray:
         strip = np.frombuffer(body, f"{order}u{size}", high * width * samples).reshape(high, width, samples)
         strips.append(np.cumsum(strip, 1, strip.dtype.newbyteorder("=")) if differences == 2 else strip)
     pixels = np.concatenate(strips)
+    if deep:
+        return pixels[:, :, 0]
     out = (pixels >> 8 if size == 2 else pixels).astype(np.uint8)
     return _colours(255 - out if photometric == 0 else out)
 
