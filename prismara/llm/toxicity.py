@@ -7,9 +7,10 @@ such as an insult and the mention of a group. Additive weights cannot tell
 that from the two apart.
 
 The machine is fitted in one task from a bounded sample of labelled rows:
-first weights, of terms that tell something by themselves; then vectors, of
-terms in pairs whose meetings tell what the weights do not, whether or not
-either term tells anything alone. Scoring is a pass over all documents with
+first weights, of terms that tell something by themselves; then weights and
+vectors together, of these and of terms that tell something where they meet
+one of them, or each other, whether or not they tell anything alone. So rare
+terms that share a partner get like vectors. Scoring is a pass over all documents with
 the fitted model, whose size is fixed, broadcast.
 """
 
@@ -38,11 +39,15 @@ PREFIX = 5
 LEAST_DEVIANCE, ROUNDS = 10.0, 3
 #: Meetings are counted in so many rows of each label, between terms in so many of them, the most frequent so many terms at most.
 PAIR_ROWS, LEAST_MEETINGS, PAIR_TERMS = 2_000, 4, 4_096
+#: Other terms are tested in the rows of so many fitted ones.
+ANCHORS = 64
+#: Vectors start small, and are drawn to zero so strongly, so that meetings which tell nothing weigh nothing.
+SPREAD, SHRINK = 0.1, 2e-4
 #: Places looked at together.
 PART = 1 << 20
 THRESHOLD = 0.3
 #: The bound on words whose places a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -184,13 +189,47 @@ def meeting(sample: Sample, p: np.ndarray, rows: int = PAIR_ROWS, seed: int = 7)
     return terms[sorted(found)]
 
 
+def partners(sample: Sample, p: np.ndarray, places: np.ndarray, anchors: int = ANCHORS) -> np.ndarray:
+    """The places of terms that tell, among the rows of one of the fitted ``places``, what ``p`` does not expect there.
+
+    A term is tested once for each of the most frequent fitted places, in all
+    rows. So a term with few rows, which tells little alone and with any one
+    of many partners, is found by those that it has with a frequent one.
+    """
+    if not len(places):
+        return places
+    number = np.full(PLACES, -1, np.int32)
+    number[places] = np.arange(len(places))
+    rows_of = np.zeros(len(places), np.int64)
+    for part, _ in sample.parts():
+        mine = number[part]
+        rows_of += np.bincount(mine[mine >= 0], minlength=len(places))
+    first = places[np.argsort(-rows_of, kind="stable")[:anchors]]
+    least, found = LEAST_DEVIANCE + 2 * np.log(len(first)), []
+    for anchor in first:
+        seen, expected, n = np.zeros((3, PLACES))
+        for part, row in sample.parts():
+            with_ = np.zeros(len(sample.y), bool)
+            with_[row[part == anchor]] = True
+            keep = with_[row]
+            some, of = part[keep], row[keep]
+            seen += np.bincount(some, sample.y[of], PLACES)
+            expected += np.bincount(some, p[of], PLACES)
+            n += np.bincount(some, minlength=PLACES)
+        far = deviance(seen, expected, n) >= least
+        far[anchor] = False
+        if far.any():
+            found.append(np.r_[np.flatnonzero(far), anchor])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, int)
+
+
 def descend(sample: Sample, places: np.ndarray, vectors: int, epochs: int, batch: int = 256, rate: float = 0.2, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic loss by adaptive gradient steps: bias and weights of ``places``, vectors of the last ``vectors`` of them, and the probability of each row."""
     at, x, edges = sample.only(places)
     y, n = sample.y, len(places)
     plain = n - vectors
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(n + 1), rng.normal(0, 0.3, (vectors, FACTORS))
+    w, v = np.zeros(n + 1), rng.normal(0, SPREAD, (vectors, FACTORS))
     w[n] = np.log(y.mean() / (1 - y.mean()))
     gw, gv = np.full(n + 1, 1e-2), np.full((vectors, FACTORS), 1e-2)
 
@@ -220,7 +259,7 @@ def descend(sample: Sample, places: np.ndarray, vectors: int, epochs: int, batch
             w -= rate * g / np.sqrt(gw)
             if vectors:
                 dv = slope[of][:, None] * (sums[of] - vb)
-                g = np.stack([np.bincount(b, dv[:, f], vectors) for f in range(FACTORS)], 1) + 10 * decay * v
+                g = np.stack([np.bincount(b, dv[:, f], vectors) for f in range(FACTORS)], 1) + SHRINK * v
                 gv += g**2
                 v -= rate * g / np.sqrt(gv)
     p = np.concatenate([raw_of(np.arange(a, min(len(y), a + 1024)))[-1] for a in range(0, len(y), 1024)])
@@ -233,7 +272,7 @@ def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoch
 
 
 def fit_sample(sample: Sample, epochs: int = 30) -> Machine:
-    """Weights of terms that tell something beside those already in, then vectors of terms whose meetings do.
+    """Weights of terms that tell something beside those already in, then vectors of these and of terms whose meetings tell something.
 
     Without rows, or with one label only, the machine scores 0.
     """
@@ -247,16 +286,11 @@ def fit_sample(sample: Sample, epochs: int = 30) -> Machine:
             break
         places = np.r_[places, more]
         w, _, p = descend(sample, places, 0, epochs)
-    pairs = meeting(sample, p)
-    places = np.r_[np.setdiff1d(places, pairs), pairs]
-    v = np.zeros((0, FACTORS))
-    if len(pairs):
-        w, v, _ = descend(sample, places, len(pairs), 2 * epochs)
-    else:
-        w, v, _ = descend(sample, places, 0, epochs)
+    places = np.unique(np.r_[places, meeting(sample, p), partners(sample, p, places)])
+    w, v, _ = descend(sample, places, len(places), 2 * epochs)
     weights, vectors = np.zeros(PLACES, np.float32), np.zeros((PLACES, FACTORS), np.float32)
     weights[places] = w[:-1]
-    vectors[places[len(places) - len(pairs) :]] = v
+    vectors[places] = v
     return Machine(float(w[-1]), weights, vectors)
 
 
@@ -349,14 +383,16 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score stays below ``threshold``, with all their columns, in one pass without a shuffle."""
+    """The documents whose score stays below ``threshold``, with all their columns, in one pass without a shuffle.
+
+    Workers see the texts alone; other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory, m = _Places(), shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            keep = [m.score(*features(t.as_buffer().to_pybytes() if t.is_valid else None, memory)) < threshold for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.array([m.score(*features(t.as_py(), memory)) for t in batch], pa.float64())
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(score(F.col(text_col).cast("binary")) < threshold)

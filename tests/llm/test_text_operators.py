@@ -182,6 +182,31 @@ def test_machine_takes_batches_without_terms():
     assert empty.score(*none) == pytest.approx(0.5, abs=0.1)
 
 
+def test_rare_partners_of_a_frequent_term_are_learned():
+    """A text is toxic where an insult meets one of a hundred rare names; production steps."""
+    memory = toxicity._Places()
+
+    def drawn(seed, n):
+        r = np.random.default_rng(seed)
+        rows, kinds = [], []
+        for _ in range(n):
+            insult, name = r.random() < 0.2, r.random() < 0.5
+            k = int(r.integers(100))
+            words = [f"{i}word" for i in r.integers(0, 3000, 30)] + ["insult"] * insult + [f"{chr(97 + k % 10)}{chr(97 + k // 10)}zqx"] * name
+            rows.append(toxicity.features(" ".join(words).encode(), memory))
+            kinds.append((insult, name))
+        return rows, np.array(kinds)
+
+    rows, kinds = drawn(1, 20_000)
+    m = toxicity.fit(rows, kinds.all(1).astype(int))
+    rows, kinds = drawn(2, 3_000)
+    score = np.array([m.score(*x) for x in rows])
+    assert score[kinds.all(1)].mean() >= 0.85
+    assert score[kinds[:, 0] & ~kinds[:, 1]].mean() <= 0.15 and score[~kinds[:, 0]].mean() <= 0.05
+    alone = toxicity.Machine(m.bias, m.weights, np.zeros_like(m.vectors))
+    assert np.mean([alone.score(*x) for x in np.array(rows, object)[kinds.all(1)][:200]]) < score[kinds.all(1)].mean() - 0.1
+
+
 def test_fitted_rows_are_bounded(spark):
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
