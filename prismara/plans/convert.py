@@ -303,13 +303,28 @@ def _fitting(headers: DataFrame, c: geo.Calibration, what: str) -> DataFrame:
     return found
 
 
+USAGE = """Images of one fisheye lens become five square pinhole images each: ahead, left, right, up and down.
+
+Give the lens's calibration (XML: projection, width, height, f, cx, cy, k1 to k3, p1, p2, date), a directory of its images, and one of
+these: a directory of masks (name or name_mask, white where a pixel is of use), a mask for the lens (--lens-mask), or the
+field of view in degrees (--max-fov). Images of another size than the calibration are refused. A run that is repeated
+makes what is missing; --force makes everything again. Afterwards set the printed camera and keep it fixed."""
+
+
+def lens_label(calibration: str) -> str:
+    """What a lens is called if nothing is said: the name of its calibration file without the ending."""
+    return os.path.splitext(os.path.basename(calibration))[0]
+
+
 def main(args: list[str] | None = None) -> int:
     import argparse
 
     p = argparse.ArgumentParser(description="Convert the images of one calibrated lens to five cube faces.")
     p.add_argument("--version", action="version", version=f"prismara {prismara.__version__}")
-    for name in ("calibration", "label", "images", "output"):
+    p.add_argument("--usage", action="version", version=USAGE)
+    for name in ("calibration", "images", "output"):
         p.add_argument(f"--{name}", required=True)
+    p.add_argument("--label", help="directory of the lens below the output; by default the name of the calibration file")
     p.add_argument("--masks")
     p.add_argument("--lens-mask")
     p.add_argument("--max-fov", type=int)
@@ -318,6 +333,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--format", choices=list(paths.WRITTEN), default="png")
     p.add_argument("--force", action="store_true")
     got = vars(p.parse_args(args))
+    got["label"] = got["label"] or lens_label(got["calibration"])
     if got["max_fov"] is not None and not 0 < got["max_fov"] <= 360:
         p.error("--max-fov must be a whole number of degrees from 1 to 360")
     spark = SparkSession.builder.getOrCreate()

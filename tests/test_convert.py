@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from prismara.functions import geometry as geo
-from prismara.plans.convert import Options, convert, main
+from prismara.plans.convert import Options, convert, lens_label, main
 from prismara.plans.fixtures import LENS
 from prismara.sources import images, raw
+from prismara.sources.calibration import read_calibrations, summary
 from test_formats import turned_jpeg
 
 SIZE, FACE = 48, 20
@@ -104,10 +105,25 @@ def test_command_line(spark, lens, capsys):
     assert "Set and keep fixed: f=10, cx=0" in capsys.readouterr().out
     assert (root / "out/M/images/dir_plusZ/a_dir_plusZ.tif").exists()
     assert main(args) == 0 and "processed=0 skipped=2" in capsys.readouterr().out
-    for bad in (["--max-fov", "0"], ["--format", "gif"], ["--version"]):
+    for bad in (["--max-fov", "0"], ["--format", "gif"], ["--version"], ["--usage"]):
         with pytest.raises(SystemExit):
             main([*args, *bad])
-    assert "prismara 0" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "prismara 0" in said and "keep it fixed" in said
+    assert lens_label("/a/b/back.lens.xml") == "back.lens"
+
+
+def test_calibrations_are_summed_up(spark, tmp_path):
+    calibration(tmp_path / "one.xml")
+    (tmp_path / "two.xml").write_text("<calibration><width>5</width><f>x</f></calibration>")
+    (tmp_path / "three.xml").write_text("<other/>")
+    got = sorted(r.summary for r in summary(read_calibrations(spark, str(tmp_path))).collect())
+    assert got == ["?  5x?  f=?", f"equisolid_fisheye  {SIZE}x{SIZE}  f={LENS.scaled(SIZE).f}"]
+
+
+def test_image_files_are_counted(spark, lens):
+    root, _ = lens
+    assert images.image_count(spark, str(root / "images")) == 2
 
 
 def test_approved_counts_masks(spark, lens):
