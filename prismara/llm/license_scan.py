@@ -89,6 +89,19 @@ def _terms(identifier: str) -> Terms | None:
     return Terms((OTHER + identifier,), 1.0)
 
 
+def _flat(tree: tuple) -> tuple[str, ...]:
+    """The distinct labels of nested tuples, in order. Operators nest what they join and copy nothing, so reading is linear."""
+    out: dict[str, None] = {}
+    left = [tree]
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            out[x] = None
+        else:
+            left.extend(reversed(x))
+    return tuple(out)
+
+
 def evaluate(expression: str, at: int = 0) -> Terms | None:
     """The terms of the lower-case licence expression at a place of a text, or None if no whole one begins there.
 
@@ -105,7 +118,7 @@ def evaluate(expression: str, at: int = 0) -> Terms | None:
         if op == "with":
             out.append(Terms(left.labels, left.restricts / 2))
         else:
-            out.append(Terms(tuple(dict.fromkeys(left.labels + right.labels)), (min if op == "or" else max)(left.restricts, right.restricts)))
+            out.append(Terms((left.labels, right.labels), (min if op == "or" else max)(left.restricts, right.restricts)))
 
     whole: tuple[list[Terms], list[str]] | None = None
     while m := _TOKEN.match(expression, at):
@@ -141,7 +154,7 @@ def evaluate(expression: str, at: int = 0) -> Terms | None:
     out, waiting = whole
     while waiting:
         apply(waiting.pop())
-    return out[0]
+    return Terms(_flat(out[0].labels), out[0].restricts)
 
 
 @lru_cache(maxsize=1)
