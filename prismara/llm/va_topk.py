@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from prismara.llm.shared import discard, stored
 
-#: Cells of a dimension, rows of a chunk at most, queries of a block, and bounds looked at together.
-CELLS, CHUNK, BLOCK, TOGETHER = 256, 10_000, 4_096, 2_000_000
+#: Cells of a dimension, rows of a chunk at most, queries of a block, bounds looked at together, and chunks of a task.
+CELLS, CHUNK, BLOCK, TOGETHER, SHARE = 256, 10_000, 4_096, 2_000_000, 64
 _LEAST, _MOST = -(2**63), 2**63 - 1
-#: Whole numbers whose products of vectors fit 64 bits are multiplied as such.
-_SMALL = 2.0**28
+#: Sums of products that stay below this fit 64 bits, whatever rounding does to the bound itself.
+_FITS = 2.0**62
 
 
 def whole(flat: np.ndarray, scale: float, dims: int) -> np.ndarray:
@@ -49,13 +49,14 @@ def approximate(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarr
     return codes, edges
 
 
-def bounds(codes: np.ndarray, edges: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(codes: np.ndarray, edges: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
     """The least and the largest score of each query with each vector of a chunk, whatever rounding does."""
     places = np.arange(codes.shape[1])
     low, high = edges[codes, places], edges[codes + np.int64(1), places]
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     slack = 1e-13 * codes.shape[1] * (np.abs(q) @ np.abs(edges).max(0))[:, None]
-    return up @ low.T + down @ high.T - slack, up @ high.T + down @ low.T + slack
+    # Scores end at 64 bits, so bounds do: what lies beyond is equal.
+    return (np.clip(x, float(_LEAST), float(_MOST)) for x in (up @ low.T + down @ high.T - slack, up @ high.T + down @ low.T + slack))
 
 
 def survivors(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], query_uids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -78,7 +79,7 @@ def survivors(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], query_uid
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The scores of pairs of whole-number vectors; those beyond 64 bits end at the largest or smallest long."""
-    if not x.size or max(np.abs(q).max(), np.abs(x).max()) < _SMALL:
+    if not x.size or (x.shape[1] * np.abs(q).max() * np.abs(x).max() < _FITS and max(np.abs(q).max(), np.abs(x).max()) < _FITS):
         return (q.astype(np.int64) * x.astype(np.int64)).sum(1)
     return np.array([max(_LEAST, min(_MOST, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q, x, strict=True)], np.int64)
 
@@ -107,21 +108,22 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     the smaller id; with fewer candidates all are returned.
 
     Vectors that are null or hold a null or a number that is not finite take
-    no part, nor do rows with a null id. Candidates are all rows but the
-    query's own; rows that repeat an id count one by one, as candidates (also
+    no part. A row with a null id is a candidate like others, behind them in
+    ties. Candidates are all rows but the query's own; rows that repeat an id count one by one, as candidates (also
     of each other) and as queries. Only vectors of one length meet. An empty
     table gives no rows. Scores beyond 64 bits end at the largest or smallest
     long. Columns of other names are read by ``is_query`` alone.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    sound = F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(sound).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dims"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows, _ = stored(rows, "vectors")
     cells, cells_path = stored(approximation_file(rows, scale, chunk), "cells")
     blocks = max(1, ceil(rows.where("is_query").count() / block))
-    # Each block meets the chunks in so many tasks; chunks are copied for each block, blocks for each of these.
-    shares = min(max(1, cells.count()), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # Each block meets the chunks in so many tasks, none of which holds more than SHARE of them on average; chunks are copied for each block, blocks for each of these.
+    chunks = max(1, cells.count())
+    shares = min(chunks, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(chunks / SHARE)))
 
     def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -172,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     sure = first.groupBy("query").agg(kth(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double"))).alias("sure"))
     sure = sure.withColumn("sure", F.col("sure") - F.abs("sure") * 1e-12)  # a long may be less than its double
     rest = near.where(F.col("place") > k).join(floor.join(sure, "query"), "query").where("most >= floor and most >= sure")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "uid"))
     out, _ = stored(first.unionAll(scored(rest)).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
     discard(spark, cells_path, near_path, first_path)
     return out
