@@ -313,8 +313,8 @@ def salvaged(files: DataFrame, with_payload: bool = True) -> DataFrame:
     hex, or as said by a revisit), ``payload_bytes`` and ``payload`` (null for
     revisits, whose payload is in the record they refer to; see
     :func:`resolved`). Null contents have no rows. Spark reads files of up to
-    2 GB whole; larger archives must be split at any place, since both halves
-    are salvaged.
+    2 GB whole; larger archives must be split between members: of a member that
+    a cut runs through, records behind the cut are lost with it.
     """
     names = ["path", "offset", "length", "gap", "record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes"] + ["payload"] * with_payload
     types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64()] + [pa.binary()] * with_payload
@@ -348,15 +348,16 @@ def salvaged(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def resolved(found: DataFrame) -> DataFrame:
     """Records (see :func:`salvaged`) with the length and digest of each revisit's payload taken from the response it refers to, and ``dangling``: that response is not there."""
-    key = F.coalesce("refers_to", F.lit(""))
-    asked = found.where("record_type = 'revisit'").select(key.alias("r_id")).distinct()
+    is_revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    revisits, others = found.where(is_revisit), found.where(~is_revisit)
+    asked = revisits.where("refers_to is not null").select(F.col("refers_to").alias("r_id")).distinct()
     responses = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("r_id")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("r"))
     targets, _ = stored(asked.join(responses, "r_id"), "targets")
     targets = F.broadcast(targets) if targets.count() <= BROADCAST_SHARED else targets
-    is_revisit = F.col("record_type") == "revisit"
-    met = found.join(targets, is_revisit & (key == F.col("r_id")), "left")
-    out = {c: F.when(is_revisit, F.col(f"r.{c}")).otherwise(F.col(c)) for c in ("payload_bytes", "payload_digest")}
-    return met.withColumns(out).withColumn("dangling", F.coalesce(is_revisit & F.col("r_id").isNull(), F.lit(False))).drop("r_id", "r")
+    # Only revisits meet targets; all other records stay where they are.
+    met = revisits.join(targets, F.col("refers_to") == F.col("r_id"), "left").withColumns({c: F.col(f"r.{c}") for c in ("payload_bytes", "payload_digest")})
+    met = met.withColumn("dangling", F.col("r_id").isNull()).drop("r_id", "r")
+    return met.unionByName(others.withColumn("dangling", F.lit(False)))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

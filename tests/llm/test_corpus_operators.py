@@ -515,3 +515,29 @@ def test_pipeline_takes_empty_and_odd_tables(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs, _ = stored(stage(spark, docs, sf), "stage")
         docs.collect()
+
+
+def test_long_vectors_keep_their_scores(spark):
+    """Sums of 200 products that fit 64 bits or do not, against whole numbers without bounds; null ids come last in ties."""
+    most = float(2**20 - 1)
+    rows = [(0, [most] * 200), (1, [most] * 200), (2, [1.0] * 200), (None, [most] * 200), (50, [-(2.0**26)] * 200), (3, [2.0**33] * 200)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in va_topk.top_k(v, F.col("vec_id") % 50 == 0).collect()}
+    whole = [(i, [int(256 * x) for x in e]) for i, e in rows]
+    for at, (query, q) in enumerate(whole):
+        if query in (0, 50):
+            scores = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, x, strict=True)))), i) for k, (i, x) in enumerate(whole) if k != at]
+            want = sorted(scores, key=lambda s: (-s[0], s[1] is None, s[1] or 0))[:5]
+            assert [got[query, k] for k in range(1, 6)] == [(i, s) for s, i in want]
+
+
+def test_responses_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_SHARED", 0)
+    data = [("response", f"urn:page:{i}", None, f"d{i}", i) for i in range(4000)] + [("revisit", f"urn:page:{9000 + i}", f"urn:page:{i % 7}" if i % 5 else "urn:page:gone", None, None) for i in range(40)] + [("revisit", "urn:page:x", None, None, None)]
+    found = spark.createDataFrame(data, "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long").repartition(8)
+    out = warc.resolved(found)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(data) and max(sizes) <= 2 * sum(sizes) / 8
+    by = {r.record_id: r for r in out.collect()}
+    assert by["urn:page:12"].payload_bytes == 12 and not by["urn:page:12"].dangling
+    assert by["urn:page:9001"].payload_digest == "d1" and by["urn:page:9000"].dangling and by["urn:page:x"].dangling
