@@ -110,13 +110,14 @@ def solved(px: np.ndarray, py: np.ndarray, d2: np.ndarray, epsilon: float = geo.
     return np.divide(w, total, out=np.zeros_like(w), where=total != 0)
 
 
-def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: bool = False, margins: tuple[int, ...] = MARGINS, keys: Sequence[str] = ()) -> DataFrame:
+def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: bool = False, margins: tuple[int, ...] = MARGINS, keys: Sequence[str] = (), rounds: list[DataFrame] | None = None) -> DataFrame:
     """``keys``, ``face``, ``row``, ``col``, ``src``, ``d2``, ``w``: neighbours (``v`` * ``width`` + ``u``), squared distances, weights.
 
     Targets whose weights are all 0 are left out unless ``everywhere``; then
     margins grow until every target is served. A face with fewer points than
     neighbours is an error. ``keys`` tell lenses apart; ``width`` may be a
-    column among them.
+    column among them. What is persisted is added to ``rounds``, to be freed
+    when the recipe is written.
     """
     target = [*keys, "face", "row", "col"]
     scarce = tie_counts(ties_, keys).where((F.col("n") > 0) & (F.col("n") < NEIGHBOURS)).select("face").distinct().collect()
@@ -183,6 +184,8 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
     for i, margin in enumerate(reach):
         last = i == len(reach) - 1
         got = attempt(margin, left, last).persist()
+        if rounds is not None:
+            rounds.append(got)
         parts.append(got.where("done").drop("done"))
         if last:
             break

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import time
+from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 from itertools import islice
@@ -64,15 +66,27 @@ def encoder(format_: str):
     return ENCODERS[format_]
 
 
-def encoded(shaped: DataFrame, width: int, encode) -> DataFrame:
-    """``name``, ``data``: files of raw pixels (``name``, ``is_mask``, ``data``); masks are PNG files of one channel."""
+def encoded(shaped: DataFrame, width: int, encode, threads: int = 1) -> DataFrame:
+    """``name``, ``data``: files of raw pixels (``name``, ``is_mask``, ``data``); masks are PNG files of one channel.
+
+    With ``threads`` a task makes so many files side by side, in order.
+    """
+
+    def made(name: str, is_mask: bool, data: pa.Buffer) -> pa.RecordBatch:
+        x = np.frombuffer(data, np.uint8)
+        file = files.png(x.reshape(-1, width)) if is_mask else encode(x.reshape(-1, width, 3))
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file], pa.binary())], names=["name", "data"])
 
     def work(batches):
-        for batch in batches:
-            for name, is_mask, data in zip(*batch.columns, strict=True):
-                x = np.frombuffer(data.as_buffer(), np.uint8)
-                file = files.png(x.reshape(-1, width)) if is_mask.as_py() else encode(x.reshape(-1, width, 3))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([file], pa.binary())], names=["name", "data"])
+        waiting = deque()
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                for name, is_mask, data in zip(*batch.columns, strict=True):
+                    waiting.append(pool.submit(made, name.as_py(), is_mask.as_py(), data.as_buffer()))
+                    if len(waiting) > threads:
+                        yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
 
     return shaped.select("name", "is_mask", "data").mapInArrow(work, "name string, data binary")
 
@@ -102,7 +116,10 @@ def cached_recipe(spark: SparkSession, o: Options, c: geo.Calibration, support_:
     empty = [r.face for r in faces.tie_counts(ties).where("n = 0").collect()]
     if empty:
         raise ValueError(f"no source pixel meets {', '.join(empty)}; those faces would be black")
-    remap.write_packed(faces.recipe(ties, o.face_width, c.width), o.face_width, path)
+    rounds: list[DataFrame] = []
+    remap.write_packed(faces.recipe(ties, o.face_width, c.width, rounds=rounds), o.face_width, path)
+    for r in rounds:
+        r.unpersist()
     remap.write_manifest(spark, path)
     ties.unpersist()
     return spark.read.parquet(path)
@@ -208,11 +225,12 @@ def applied(spark: SparkSession, o: Options, lens: Prepared, items: DataFrame) -
     for kind, column in (("image", "image_path"), ("mask", "mask_path")):
         found = files.headers(spark, [r[0] for r in filled.select(column).distinct().collect()])
         parts.append(_plain(files.read_any(spark, found)).withColumn("is_mask", F.lit(kind == "mask")))
-    few = filled.count() < spark.sparkContext.defaultParallelism
-    shaped = remap.remapped_images(parts[0].unionAll(parts[1]), lens.recipe, o.face_width, threads=len(geo.FACES) if few else 1)
+    # With fewer images than cores, faces of an image are made, and their files, side by side.
+    threads = len(geo.FACES) if filled.count() < spark.sparkContext.defaultParallelism else 1
+    shaped = remap.remapped_images(parts[0].unionAll(parts[1]), lens.recipe, o.face_width, threads)
     outputs = masks.expected_outputs(filled, root, paths.WRITTEN[o.format], o.rig).withColumnRenamed("path", "output")
     names = wanted.join(outputs, ["stem", "kind"]).select("path", "face", (F.col("kind") == "mask").alias("is_mask"), F.expr(f"substring(output, {len(root) + 2})").alias("name"))
-    write_named(encoded(shaped.join(sized(names), ["path", "face", "is_mask"]), o.face_width, encoder(o.format)), root)
+    write_named(encoded(shaped.join(sized(names), ["path", "face", "is_mask"]), o.face_width, encoder(o.format), threads), root)
     filled.unpersist()
 
 
