@@ -4,22 +4,27 @@
    set and the minima of its shingles under universal hash functions.
    Documents of one fingerprint have equal sets; the smallest id stands for all
    of them from here on, so copies never meet each other.
-2. Representatives that share a band are in one bucket. A bucket is dealt into
-   blocks of fixed size; each pair of blocks compares sizes and signatures and
-   returns no more links than it has members. The components of these links
-   are the candidate groups, so documents that share no more than a passage
-   stay apart, however many share it.
+2. Representatives that share a band are in one bucket, where sizes and
+   signatures are compared; a task returns no more links than it has members.
+   The components of these links are the candidate groups, so documents that
+   share no more than a passage stay apart, however many share it.
 3. Within a candidate group pairs are confirmed on full sets, the likeliest
    first; pairs that confirmed links have joined already are passed over.
-   Groups are dealt into blocks likewise.
 4. Components of the confirmed links are the groups of near-duplicates.
 
+Large buckets and groups are compared in rounds. The first deals them into
+blocks of fixed size and looks within blocks only. The second looks at what the
+links of the first have not joined: members outside the largest component of
+their bucket or group meet all its members, block by block. So a group of near
+copies costs what it has members, and no pair is left out that could join two
+components.
+
 Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -155,11 +160,8 @@ def likely(short: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent: int)
     return rest, label[rest]
 
 
-def _likely_links(members: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``: links of the likely pairs of buckets (``rep``, ``n``, ``short``, ``bucket``, ``blocks``), which join what these pairs join."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "short")
+def _likely_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: links of the likely pairs of the blocks ``one`` and ``two`` of buckets (``bucket``, ``one``, ``two``, ``block``, ``rep``, ``n``, ``short``), which join what these pairs join."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,7 +198,8 @@ def _likely_links(members: DataFrame, percent: int) -> DataFrame:
             yield links(pa.Table.from_batches(held).combine_chunks())
 
     keys = ["bucket", "one", "two"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
+    rows = dealt.select(*keys, "block", "rep", "n", "short")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long").distinct()
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -213,10 +216,11 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def forest(ids: list[int], sets: list[np.ndarray], minima: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join what the similar pairs of a task join, each member to the smallest id of its component.
+    """Links that join what the similar pairs of a task join, each id to the smallest one of its component.
 
-    ``side``: with 0 and 1 only pairs of both sides are looked at, with 0
-    alone all pairs. A pair whose signatures agree in less than SCREEN is not.
+    Members of the same id are joined already. ``side``: with 0 and 1 only
+    pairs of both sides are looked at, with 0 alone all pairs. A pair whose
+    signatures agree in less than SCREEN is not.
     """
     parent = {i: i for i in ids}
 
@@ -226,13 +230,14 @@ def forest(ids: list[int], sets: list[np.ndarray], minima: np.ndarray, side: np.
             i = parent[i]
         return i
 
-    sizes = np.array([len(s) for s in sets])
+    sizes, names = np.array([len(s) for s in sets]), np.array(ids)
     across = side.any()
     found: list[tuple[float, int, int]] = []
     for x in range(len(ids)):
         if across and side[x]:
             continue
         others = np.flatnonzero(side) if across else np.arange(x + 1, len(ids))
+        others = others[names[others] != names[x]]
         others = others[np.minimum(sizes[others], sizes[x]) * 100 >= np.maximum(sizes[others], sizes[x]) * percent]
         alike = (minima[others] == minima[x]).mean(1)
         likely = alike >= SCREEN
@@ -246,26 +251,59 @@ def forest(ids: list[int], sets: list[np.ndarray], minima: np.ndarray, side: np.
     return [(i, root(i)) for i in parent if root(i) != i]
 
 
-def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``, ``final``: the links of candidate groups (``id``, ``s``, ``minima``, ``component``, ``blocks``).
+def _confirmed(dealt: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``, ``final``: links of the similar pairs of the blocks ``one`` and ``two`` of candidate groups (``component``, ``one``, ``two``, ``block``, ``known``, ``final``, ``s``, ``minima``).
 
-    ``final``: the group had one block, and its links need no further step.
+    Members of the same ``known`` are joined already, and links are between these.
     """
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("id", "s", "minima", "component", "blocks", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
     def work(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
+        ids = table.column("known").to_pylist()
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("s")]
         minima = np.stack([np.frombuffer(m.as_py(), np.uint32) for m in table.column("minima")])
         one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
         side = np.asarray(table.column("block")) != one
         links = forest(ids, sets, minima, side, percent) if one == two or side.any() and not side.all() else []
-        final = table.column("blocks")[0].as_py() == 1
+        final = table.column("final")[0].as_py()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64()), "final": pa.array([final] * len(links), pa.bool_())})
 
-    return dealt.groupBy("component", "one", "two").applyInArrow(work, "a long, b long, final boolean")
+    rows = dealt.select("component", "one", "two", "block", "known", "final", "s", "minima")
+    return rows.groupBy("component", "one", "two").applyInArrow(work, "a long, b long, final boolean")
+
+
+def within(members: DataFrame, group: str, id_: str, deals: int) -> DataFrame:
+    """Members of groups of ``blocks`` blocks, each with its block as ``block``, ``one`` and ``two``; groups of several blocks are dealt ``deals`` times."""
+    dealt = members.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, deals - 1).otherwise(0))).alias("deal"))
+    block = F.col("deal") * F.col("blocks") + F.pmod(F.xxhash64(id_, group, "deal"), F.col("blocks")).cast("int")
+    return dealt.withColumns({c: block for c in ("block", "one", "two")}).drop("deal")
+
+
+def unjoined(known: DataFrame, group: str, block: int) -> DataFrame:
+    """Groups whose members are not all of one ``known``: ``most``, that of the most members, and the numbers of blocks of others, ``few``, and of these, ``many``."""
+    sizes = known.groupBy(group, "known").agg(F.count(F.lit(1)).alias("k"))
+    found = sizes.groupBy(group).agg(F.max_by("known", F.struct("k", "known")).alias("most"), F.max("k").alias("largest"), F.sum("k").alias("k")).where("k > largest")
+    return found.select(group, "most", F.ceil((F.col("k") - F.col("largest")) / block).cast("int").alias("few"), F.ceil(F.col("largest") / block).cast("int").alias("many"))
+
+
+def across(known: DataFrame, rest: DataFrame, group: str, id_: str) -> DataFrame:
+    """Members of the groups in ``rest`` (see :func:`unjoined`), for each pair of blocks of which one at least has members outside the largest component."""
+    hashed = F.xxhash64(id_, group)
+    own = F.when(F.col("known") != F.col("most"), F.pmod(hashed, F.col("few"))).otherwise(F.col("few") + F.pmod(hashed, F.col("many"))).cast("int")
+    dealt = known.join(rest, group).withColumn("block", own)
+    last = F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)
+    dealt = dealt.select(group, id_, "known", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return dealt.select(group, id_, "known", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+
+def _joined(found: DataFrame, members: DataFrame, group: str, id_: str, block: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``id``, ``component``: components of the links that the first round ``found`` and of those that ``compare`` finds among what they have not joined of large groups (``group``, ``id_``)."""
+    first, _ = stored(components(found), "first")
+    known = members.join(first.select(F.col("id").alias(id_), F.col("component").alias("known")), id_, "left").select(group, id_, F.coalesce("known", id_).alias("known"))
+    rest, _ = stored(unjoined(known, group, block), "rest")
+    if rest.isEmpty():
+        return first
+    more, _ = stored(compare(across(known, rest, group, id_)), "more")
+    return components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,23 +381,40 @@ def near_duplicates(
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
     shared, shared_path = stored(shared, "buckets")
     short = classes.select("rep", "n", _shortened(F.col("minima")).alias("short"))
-    likely_, likely_path = stored(_likely_links(members.join(shared, "bucket").join(short, "rep"), percent), "likely")
-    groups, groups_path = stored(components(likely_), "groups")
+    likely_, likely_path = stored(_likely_links(within(members.join(shared, "bucket"), "bucket", "rep", 1).join(short, "rep"), percent), "likely")
+    large = shared.where("blocks > 1")
+    if large.isEmpty():
+        groups = components(likely_)
+    else:
+        groups = _joined(likely_, members.join(large, "bucket").select("bucket", "rep"), "bucket", "rep", block, lambda dealt: _likely_links(dealt.join(short, "rep"), percent))
+    groups, groups_path = stored(groups, "groups")
     discard(spark, members_path, shared_path, likely_path)
 
     blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     blocks, blocks_path = stored(blocks, "blocks")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(small_broadcast(groups.select("id")), "id")
-    placed_sets = _sets(texts, shingle).join(groups, "id").join(blocks, "component")
-    links, links_path = stored(_confirmed(placed_sets, percent), "links")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        return _sets(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).join(small_broadcast(ids), "id"), shingle)
+
+    placed_sets = sets(groups.select("id")).join(groups, "id").join(blocks, "component").withColumns({"known": F.col("id"), "final": F.col("blocks") == 1})
+    links, links_path = stored(_confirmed(within(placed_sets, "component", "id", 2), percent), "links")
     final = links.where("final").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    rest = links.where("not final").select("a", "b")
+    rest = None
+    large = blocks.where("blocks > 1")
+    if not large.isEmpty():
+
+        def compare(dealt: DataFrame) -> DataFrame:
+            return _confirmed(dealt.join(sets(dealt.select("id").distinct()), "id").withColumn("final", F.lit(False)), percent).select("a", "b")
+
+        rest, _ = stored(_joined(links.where("not final").select("a", "b"), groups.join(large, "component").select("component", "id"), "component", "id", block, compare), "rest")
     # Rows that repeat an id with several texts are one document: it links the classes of its texts.
     several = named.groupBy("id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("two")).where("one <> two").select("id")
     if not several.isEmpty():
         of = named.join(several, "id").select("id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key")
-        rest, final = links.select("a", "b").unionAll(of.select(F.col("id").alias("a"), F.col("rep").alias("b"))), final.limit(0)
-    comp = final if rest.isEmpty() else final.unionAll(components(rest))
+        found = final if rest is None else final.unionAll(rest)
+        comp = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(of.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    else:
+        comp = final if rest is None else final.unionAll(rest)
 
     placed, _ = stored(classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "placed")
     discard(spark, groups_path, blocks_path, links_path)

@@ -254,7 +254,7 @@ def near_copies(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [512, 16, 3])
 def test_near_duplicates_against_plain(spark, block):
     texts = near_copies()
     ids = [None, 7, 8, *range(1000, 1000 - len(texts) + 3, -1)]
@@ -279,6 +279,63 @@ def test_documents_of_one_template_stay_apart(spark, monkeypatch):
     assert sizes[0] < 150  # likely links, among a million pairs
 
 
+def one_word_apart(n, seed=9):
+    """Texts of which each two share at least 89 of 105 shingles of four words."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(100)]
+    return [" ".join(base[:at] + [f"e{i}"] + base[at + 1 :]) for i in range(n) for at in [r.randrange(100)]]
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_a_group_of_near_copies_costs_what_it_has_members(spark, monkeypatch, n):
+    rows = {"bucket": 0, "component": 0, "across": 0}
+    within, across = minhash_dedup.within, minhash_dedup.across
+
+    def counted_within(members, group, *rest):
+        out = within(members, group, *rest)
+        rows[group] += out.count()
+        return out
+
+    def counted_across(*args):
+        out = across(*args)
+        rows["across"] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "within", counted_within)
+    monkeypatch.setattr(minhash_dedup, "across", counted_across)
+    got = minhash_dedup.near_duplicates(documents(spark, one_word_apart(n)), block=64)
+    assert got.select("component_id").distinct().count() == 1 and got.count() == n
+    assert rows["component"] == 2 * n  # copies of full sets
+    assert rows["bucket"] <= minhash_dedup.BANDS * n and rows["across"] <= n
+
+
+def test_the_second_round_finds_what_blocks_do_not_join(spark):
+    """Groups dealt into blocks of one or two members, so that the first round sees next to no pair."""
+    texts = one_word_apart(60) + [t.replace("w", "v") for t in one_word_apart(25, 3)] + [f"alone {i} " * 20 for i in range(5)]
+    ids = list(range(500, 500 + len(texts)))
+    want = sorted(plain_groups(texts, ids, 4, 80))
+    for block in (1, 2):
+        got = minhash_dedup.near_duplicates(documents(spark, texts, ids), block=block).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
+
+
+def test_pairs_of_blocks_meet_once(spark):
+    """Every pair with a member outside the largest component is in one task, and no pair within it."""
+    known = spark.createDataFrame([(1, i, 0 if i < 30 else 100 + i % 3) for i in range(42)] + [(2, i, 5) for i in range(9)], "g long, i long, known long")
+    rest = minhash_dedup.unjoined(known, "g", 4)
+    assert [tuple(r) for r in rest.collect()] == [(1, 0, 3, 8)]
+    tasks = {}
+    for r in minhash_dedup.across(known, rest, "g", "i").collect():
+        tasks.setdefault((r.one, r.two), []).append((r.i, r.block))
+    met = {}
+    for (one, two), members in tasks.items():
+        for x, (i, p) in enumerate(members):
+            for j, q in members[:x]:
+                if one == two or p != q:
+                    met[min(i, j), max(i, j)] = met.get((min(i, j), max(i, j)), 0) + 1
+    assert met == {(i, j): 1 for j in range(30, 42) for i in range(j)}
+
+
 def test_links_at_the_edge_are_found(spark):
     """Pairs of a similarity just over 0.8."""
     r = random.Random(6)
