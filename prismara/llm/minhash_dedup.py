@@ -42,9 +42,11 @@ BANDS, ROWS, MINIMA = 45, 7, 120
 #: Pairs whose signatures agree in a smaller share of minima are not confirmed: at a similarity of 0.8 that has probability 4e-5.
 SCREEN = 0.65
 #: The bound on words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Members of a block.
 BLOCK = 512
+#: Sets that a worker holds and hands on at once.
+SETS = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,9 +210,11 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, memory) for t in batch.column(1)]
-            minima = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(minima, pa.binary())], names=["id", "s", "minima"])
+            for start in range(0, batch.num_rows, SETS):
+                part = batch.slice(start, SETS)
+                sets = [shingle_set(t.as_py(), shingle, memory) for t in part.column(1)]
+                minima = [signature(s).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(minima, pa.binary())], names=["id", "s", "minima"])
 
     return texts.mapInArrow(work, "id long, s binary, minima binary").where("minima is not null")
 
