@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismara.operators.groups import whole
+
 SEED_WINDOW = 21
 
 
@@ -38,7 +40,7 @@ def runs(image: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return lit.withColumn("_i", island).groupBy(*keys, "v", "_i").agg(F.min("u").alias("first"), F.max("u").alias("last")).drop("_i")
 
 
-#: Rows of an image whose runs are labelled in one task.
+#: Rows of an image whose runs are labelled together.
 STRIP = 256
 
 
@@ -63,16 +65,23 @@ class _Sets:
         return np.array([self.root(i) for i in range(len(self.parent))], np.int64)
 
 
-def _joined(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> _Sets:
-    """Runs (``v``, first, last; by row and place) joined where rows follow and columns meet or are neighbours."""
-    sets, above = _Sets(len(v)), 0
+def _contacts(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of runs (``v``, first, last; by row and place) of which one follows in the row after the other's, where columns meet or are neighbours."""
+    v, a, b, above = v.tolist(), a.tolist(), b.tolist(), 0
     for i in range(len(v)):
         while above < i and (v[above] < v[i] - 1 or v[above] == v[i] - 1 and b[above] < a[i] - 1):
             above += 1
         j = above
         while j < i and v[j] == v[i] - 1 and a[j] <= b[i] + 1:
-            sets.join(i, j)
+            yield j, i
             j += 1
+
+
+def _joined(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> _Sets:
+    """Runs joined where they touch (see :func:`_contacts`)."""
+    sets = _Sets(len(v))
+    for j, i in _contacts(v, a, b):
+        sets.join(j, i)
     return sets
 
 
@@ -84,9 +93,9 @@ def labelled(image: DataFrame, keys: Sequence[str] = (), strip: int = STRIP) ->
     """``keys``, ``v``, ``first``, ``last``, ``component``: runs with their 8-connected component, named by its first run (``v`` << 32 | ``first``).
 
     Pixels are compressed to runs, and runs of ``strip`` rows are joined in one
-    task. Where strips meet, a task for each border finds which of their
+    group. Where strips meet, the runs of each border tell which of their
     components touch; those contacts alone, no more than half a row's pixels a
-    border, are joined in one task for each image.
+    border, are joined for each image. Workers get many such groups at once.
     """
     r = runs(image, keys)
     by = [*keys] or ["_all"]
@@ -94,48 +103,45 @@ def labelled(image: DataFrame, keys: Sequence[str] = (), strip: int = STRIP) ->
         r = r.withColumn("_all", F.lit(0))
     code = lambda v, a: (v.astype(np.int64) << 32) | a
 
-    def alone(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("v", "ascending"), ("first", "ascending")])
-        v, a, b = (np.asarray(table.column(c)) for c in ("v", "first", "last"))
-        return table.append_column("_part", pa.array(code(v, a)[_joined(v, a, b).roots()]))
-
-    def touching(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("v", "ascending"), ("first", "ascending")])
-        v, a, b, part = (np.asarray(table.column(c)) for c in ("v", "first", "last", "_part"))
-        upper = int(np.searchsorted(v, v[0] + 1)) if len(v) else 0
-        pairs, above = set(), 0
-        for i in range(upper, len(v)):
-            if v[i] != v[0] + 1:
-                break
-            while above < upper and b[above] < a[i] - 1:
-                above += 1
-            j = above
-            while j < upper and a[j] <= b[i] + 1:
-                pairs.add((int(part[j]), int(part[i])))
-                j += 1
-        one = table.slice(0, 1).select(by)
-        out = pa.table({c: pa.array([one.column(c)[0].as_py()] * len(pairs), one.schema.field(c).type) for c in by})
-        for k, name in enumerate(("_part", "_other")):
-            out = out.append_column(name, pa.array([p[k] for p in pairs], pa.int64()))
-        return out
-
-    def together(table: pa.Table) -> pa.Table:
-        x, y = (np.asarray(table.column(c)) for c in ("_part", "_other"))
-        names, at = np.unique(np.r_[x, y], return_inverse=True)
-        sets = _Sets(len(names))
+    def apart(rows: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        # Rows of different groups are farther from each other than neighbours.
+        v, a, b = (np.asarray(rows.column(c)) for c in ("v", "first", "last"))
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        rank = np.cumsum(np.r_[0, np.where(np.diff(group) > 0, 2, np.minimum(2, np.diff(v.astype(np.int64))))])
+        return v, a, b, group, rank
+
+    def alone(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        v, a, b, _, rank = apart(rows, starts)
+        part = code(v, a)[_joined(rank, a, b).roots()]
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(part)], names=[*rows.schema.names, "_part"])
+
+    def touching(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, a, b, group, rank = apart(rows, starts)
+        part = np.asarray(rows.column("_part"))
+        pairs = {(int(group[i]), int(part[j]), int(part[i])) for j, i in _contacts(rank, a, b)}
+        at, x, y = (np.array(c, np.int64) for c in zip(*sorted(pairs), strict=True)) if pairs else np.zeros((3, 0), np.int64)
+        of = rows.select(by).take(pa.array(starts[at]))
+        yield pa.RecordBatch.from_arrays([*of.columns, pa.array(x), pa.array(y)], names=[*by, "_part", "_other"])
+
+    def together(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        x, y = (np.asarray(rows.column(c)) for c in ("_part", "_other"))
+        every = np.stack([np.r_[group, group], np.r_[x, y]], 1)
+        names, at = np.unique(every, axis=0, return_inverse=True)
+        at, sets = at.ravel(), _Sets(len(names))
         for i, j in zip(at[: len(x)].tolist(), at[len(x) :].tolist(), strict=True):
             sets.join(i, j)
-        out = pa.table({c: pa.array([table.column(c)[0].as_py()] * len(names), table.schema.field(c).type) for c in by})
-        return out.append_column("_part", pa.array(names)).append_column("component", pa.array(names[sets.roots()]))
+        of = rows.select(by).take(pa.array(starts[names[:, 0]]))
+        yield pa.RecordBatch.from_arrays([*of.columns, pa.array(names[:, 1]), pa.array(names[sets.roots(), 1])], names=[*by, "_part", "component"])
 
-    parts = r.withColumn("_strip", F.expr(f"v div {strip}")).groupBy(*by, "_strip").applyInArrow(alone, f"{_fields(r)}_strip long, _part long")
+    parts = whole(r.withColumn("_strip", F.expr(f"v div {strip}")), [*by, "_strip"], alone, f"{_fields(r)}_strip long, _part long", ["v", "first"])
     last, first = F.col("v") % strip == strip - 1, F.col("v") % strip == 0
     edges = parts.where(last | first).withColumn("_border", F.when(first, F.col("_strip")).otherwise(F.col("_strip") + 1))
     if strip == 1:  # a row is the last and the first of its strip
         edges = parts.withColumn("_border", F.explode(F.array("_strip", F.col("_strip") + 1)))
     some = _fields(r.select(*by))
-    contacts = edges.groupBy(*by, "_border").applyInArrow(touching, f"{some}_part long, _other long")
-    names = contacts.groupBy(*by).applyInArrow(together, f"{some}_part long, component long")
+    contacts = whole(edges, [*by, "_border"], touching, f"{some}_part long, _other long", ["v", "first"])
+    names = whole(contacts, by, together, f"{some}_part long, component long")
     out = parts.join(names, [*by, "_part"], "left")
     return out.select(*keys, "v", "first", "last", F.coalesce("component", "_part").alias("component"))
 
