@@ -3,14 +3,15 @@
 A recipe depends on the lens alone and serves all its images. For each pixel
 of a face it holds the nine nearest source pixels and their weights. Points
 are dealt into square tiles with a margin; a tile finds the neighbours of its
-own targets and solves for their weights in one task, in bounded memory.
+own targets and solves for their weights in bounded memory; workers take many
+small tiles at once.
 Targets whose ninth neighbour may lie beyond the margin are done again with a
 wider one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -19,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismara.functions import geometry as geo
+from prismara.operators.groups import whole
 
 NEIGHBOURS, PAD, RIDGE = 9, 10, 1e-10
 #: Side of a tile in face pixels, and its margins one after the other.
 TILE, MARGINS = 64, (8, 32, 128, 512)
+#: Targets whose weights are solved for together, and distances that are all computed where a tile has so few.
+TOGETHER, FEW = 20_000, 1 << 18
 #: Farther than this from all points, the Gaussian is 0 in double precision, and so are all weights.
 REACH = 13.66
 
@@ -120,7 +124,7 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
     when the recipe is written.
     """
     target = [*keys, "face", "row", "col"]
-    scarce = tie_counts(ties_, keys).where((F.col("n") > 0) & (F.col("n") < NEIGHBOURS)).select("face").distinct().collect()
+    scarce = ties_.groupBy(*keys, "face").count().where(F.col("count") < NEIGHBOURS).select("face").distinct().collect()
     if scarce:
         raise ValueError(f"fewer than {NEIGHBOURS} source pixels meet {', '.join(sorted(r.face for r in scarce))}")
     of_lens = "".join(f"`{k}` {ties_.schema[k].dataType.simpleString()}, " for k in keys)
@@ -137,40 +141,55 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
             far = max(margin, ceil(REACH))
             return F.explode(F.sequence(at(F.col(c) - far), at(F.col(c) + far)))
 
-        def work(table: pa.Table, wanted: pa.Table | None) -> pa.Table:
-            out_schema = pa.schema([*(table.schema.field(k) for k in keys), ("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())])
-            if table.num_rows and (wanted is None or wanted.num_rows):
-                tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
-                src, px, py = (np.asarray(table.column(c)) for c in ("src", "px", "py"))
-                if wanted is None:
-                    col, row = (x.ravel() for x in np.meshgrid(np.arange(tx * side, min(face_width, (tx + 1) * side)), np.arange(ty * side, min(face_width, (ty + 1) * side))))
-                else:
-                    row, col = np.asarray(wanted.column("row")), np.asarray(wanted.column("col"))
-                by_src = np.argsort(src, kind="stable")
-                src, px, py = src[by_src], px[by_src], py[by_src]
+        def done(table: pa.Table | pa.RecordBatch, wanted: pa.Table | None = None) -> tuple[np.ndarray, ...]:
+            """Of a tile: the targets that are served (``row``, ``col``), their neighbours (``src``, ``px``, ``py``, ``d2``), and the targets left over."""
+            tx, ty = table.column("tx")[0].as_py(), table.column("ty")[0].as_py()
+            src, px, py = (np.asarray(table.column(c)) for c in ("src", "px", "py"))
+            if wanted is None:
+                col, row = (x.ravel() for x in np.meshgrid(np.arange(tx * side, min(face_width, (tx + 1) * side)), np.arange(ty * side, min(face_width, (ty + 1) * side))))
+            else:
+                row, col = np.asarray(wanted.column("row")), np.asarray(wanted.column("col"))
+            by_src = np.argsort(src, kind="stable")
+            src, px, py = src[by_src], px[by_src], py[by_src]
+            if NEIGHBOURS <= len(px) <= FEW // len(row):
+                at, d2 = nearest(px, py, row, col)
+            else:
                 at, d2 = searched(px, py, row, col, np.inf if last else margin)
-                served = np.isfinite(d2[:, -1]) & (last | (d2[:, -1] <= margin**2))
-                dark = d2[:, 0] > REACH**2 if margin >= REACH else np.zeros(len(row), bool)
-                use = served if everywhere else served & ~dark
-                open_ = np.zeros(len(row), bool) if last else ~served if everywhere else ~served & ~dark
-                face = table.column("face")[0].as_py()
-                w = np.concatenate([solved(px[at[i]], py[at[i]], d2[i]) for i in np.array_split(np.flatnonzero(use), max(1, use.sum() // 20_000))]) if use.any() else np.zeros((0, NEIGHBOURS))
-                n, m = int(use.sum()), int(open_.sum())
-                lists = lambda x, t: pa.concat_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), t), NEIGHBOURS).cast(pa.list_(t)), pa.nulls(m, pa.list_(t))])
-                both = np.r_[np.flatnonzero(use), np.flatnonzero(open_)]
-                columns = [*(pa.array([table.column(k)[0].as_py()] * (n + m), table.schema.field(k).type) for k in keys), pa.array([face] * (n + m)), pa.array(row[both], pa.int32()), pa.array(col[both], pa.int32()), lists(src[at[use]], pa.int64()), lists(d2[use], pa.float64()), lists(w, pa.float64()), pa.array([True] * n + [False] * m)]
-                return pa.Table.from_arrays(columns, schema=out_schema)
-            return out_schema.empty_table()
-
-        def alone(points_: pa.Table) -> pa.Table:
-            return work(points_, None)
+            served = np.isfinite(d2[:, -1]) & (last | (d2[:, -1] <= margin**2))
+            dark = d2[:, 0] > REACH**2 if margin >= REACH else np.zeros(len(row), bool)
+            use = served if everywhere else served & ~dark
+            open_ = np.zeros(len(row), bool) if last else ~served if everywhere else ~served & ~dark
+            at = at[use]
+            return row[use], col[use], src[at], px[at], py[at], d2[use], row[open_], col[open_]
+
+        def packed(of: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            """The recipes of tiles: ``of`` has a row for each."""
+            row, col, src, px, py, d2, row_left, col_left = (np.concatenate(x) for x in zip(*found, strict=True))
+            w = np.concatenate([solved(px[i], py[i], d2[i]) for i in np.array_split(np.arange(len(row)), max(1, len(row) // 20_000))])
+            n, m = len(row), len(row_left)
+            tile_of = np.concatenate([np.repeat(np.arange(len(found)), [len(f[k]) for f in found]) for k in (0, 6)])
+            lists = lambda x, t: pa.concat_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), t), NEIGHBOURS).cast(pa.list_(t)), pa.nulls(m, pa.list_(t))])
+            names = [*keys, "face"]
+            columns = [*of.select(names).take(pa.array(tile_of)).columns, pa.array(np.r_[row, row_left], pa.int32()), pa.array(np.r_[col, col_left], pa.int32()), lists(src, pa.int64()), lists(d2, pa.float64()), lists(w, pa.float64()), pa.array([True] * n + [False] * m)]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "row", "col", "src", "d2", "w", "done"])
+
+        def alone(points_: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found, since, waiting = [], 0, 0
+            for k in range(len(starts) - 1):
+                found.append(done(points_.slice(starts[k], starts[k + 1] - starts[k])))
+                waiting += len(found[-1][0]) + len(found[-1][6])
+                if waiting >= TOGETHER or k == len(starts) - 2:
+                    yield packed(points_.take(pa.array(starts[since : k + 1])), found)
+                    found, since, waiting = [], k + 1, 0
 
         def together(points_: pa.Table, wanted_: pa.Table) -> pa.Table:
-            return work(points_, wanted_)
+            if points_.num_rows and wanted_.num_rows:
+                return pa.Table.from_batches([packed(points_.slice(0, 1).combine_chunks().to_batches()[0], [done(points_, wanted_)])])
+            return pa.schema([*(points_.schema.field(k) for k in keys), ("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())]).empty_table()
 
         dealt = points.select(*keys, "face", "src", "px", "py", tiles("px").alias("tx")).select("*", tiles("py").alias("ty"))
         if left is None:
-            return dealt.groupBy(*tile).applyInArrow(alone, schema)
+            return whole(dealt, tile, alone, schema)
         wanted = left.toDF(*target).select(*target, F.floor(F.col("col") / side).cast("int").alias("tx"), F.floor(F.col("row") / side).cast("int").alias("ty"))
         return dealt.groupBy(*tile).cogroup(wanted.groupBy(*tile)).applyInArrow(together, schema)
 
@@ -183,7 +202,9 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
         left = points.select(*keys, "face").distinct().crossJoin(targets)
     for i, margin in enumerate(reach):
         last = i == len(reach) - 1
-        got = attempt(margin, left, last).persist()
+        got = attempt(margin, left, last)
+        if i or not last or rounds is not None:  # else it is read once
+            got = got.persist()
         if rounds is not None:
             rounds.append(got)
         parts.append(got.where("done").drop("done"))
