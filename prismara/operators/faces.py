@@ -195,8 +195,8 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
 
     tile = [*keys, "face", "tx", "ty"]
     parts, left = [], None
-    if everywhere:
-        # Tiles that no point reaches have no task in the first round, so all targets are named.
+    if everywhere and len(reach) > 1:
+        # Tiles that no point reaches have no task in the first round, so all targets are named. In the last round every point reaches all tiles.
         spark = ties_.sparkSession
         targets = spark.range(face_width * face_width).select(F.expr(f"cast(id div {face_width} as int)").alias("row"), F.expr(f"cast(id % {face_width} as int)").alias("col"))
         left = points.select(*keys, "face").distinct().crossJoin(targets)

@@ -35,7 +35,7 @@ def test_groups_are_whole_whatever_batches_are(spark, size):
     assert got == sorted(sorted(i for i in range(200) if (i % 17, i % 3, i % 5 > 0) == k) for k in {(i % 17, i % 3, i % 5 > 0) for i in range(200)})
 
 
-@pytest.mark.parametrize("name", ["rbf_weights", "seed_window_components", "center_component"])
+@pytest.mark.parametrize("name", ["knn9", "rbf_weights", "seed_window_components", "center_component"])
 def test_lenses_share_calls_of_workers(spark, name):
     found = plan(catalog.QUERIES[name](spark, SF))
     assert "MapInArrow" in found and "GroupsInArrow" not in found and "InMemoryTableScan" not in found
