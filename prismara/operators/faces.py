@@ -252,5 +252,6 @@ def recipe_by_columns(neighbours: DataFrame, ties_: DataFrame, width: int | Colu
     target = [*keys, "face", "row", "col"]
     points = ties_.select(*keys, "face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
     each = neighbours.select(*target, F.posexplode(F.arrays_zip("src", "d2")).alias("k", "n")).select(*target, "k", "n.src", "n.d2")
-    lists = each.join(points, [*keys, "face", "src"]).groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("k", "src", "px", "py", "d2"))).alias("n"))
+    # Points grow with the lenses: merged, so that no side passes through the driver.
+    lists = each.join(points.hint("merge"), [*keys, "face", "src"]).groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("k", "src", "px", "py", "d2"))).alias("n"))
     return lists.where(F.col("n")[0]["d2"] <= REACH**2).select(*target, F.col("n.src").alias("src"), column_weights(F.col("n")).alias("w"))

@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismara.operators import morphology
+from prismara.operators import faces, morphology
 from prismara.operators.groups import whole
-from prismara.plans import catalog
+from prismara.plans import catalog, fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,9 @@ def test_components_over_small_batches(spark):
         assert {tuple(r) for r in morphology.labelled(image, ["k"], 3).collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_points_do_not_pass_through_the_driver(spark):
+    r = faces.recipe(catalog._some_ties(spark, fixtures.LENS.scaled(24), 8), 8, 24)
+    found = plan(faces.recipe_by_columns(r, catalog._some_ties(spark, fixtures.LENS.scaled(24), 8), 24))
+    assert "Join" in found and "BroadcastHashJoin" not in found
