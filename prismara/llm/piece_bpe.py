@@ -170,6 +170,10 @@ class _Memory(dict):
         super().__init__()
         self.coder, self.older = coder, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
         if out is None:
@@ -207,20 +211,23 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model_file)
-        for batch in batches:
-            counts, of_ids, of_text, ids, texts = [], [], [], [], []
-            for text in batch.column(1):
-                packed = c.packed(text.as_py() or "")
-                listed = np.frombuffer(packed, "<u4").tolist()
-                decoded = c.decode(listed)
-                counts.append(len(listed))
-                of_ids.append(hashlib.sha256(packed).hexdigest())
-                of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_output:
-                    ids.append(listed)
-                    texts.append(decoded)
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            out += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] * with_output
-            yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_output])
+        try:
+            for batch in batches:
+                counts, of_ids, of_text, ids, texts = [], [], [], [], []
+                for text in batch.column(1):
+                    packed = c.packed(text.as_py() or "")
+                    listed = np.frombuffer(packed, "<u4").tolist()
+                    decoded = c.decode(listed)
+                    counts.append(len(listed))
+                    of_ids.append(hashlib.sha256(packed).hexdigest())
+                    of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_output:
+                        ids.append(listed)
+                        texts.append(decoded)
+                out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                out += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] * with_output
+                yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_output])
+        finally:
+            c.memory.forget()  # the coder lives as long as its worker, through other stages
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(work, schema)

@@ -46,6 +46,8 @@ SPREAD, SHRINK = 0.1, 2e-4
 #: Places looked at together.
 PART = 1 << 20
 THRESHOLD = 0.3
+#: Rows whose terms a worker holds and hands on at once.
+HANDED = 512
 #: The bound on words whose places a worker remembers.
 REMEMBERED = 100_000
 
@@ -175,17 +177,20 @@ def meeting(sample: Sample, p: np.ndarray, rows: int = PAIR_ROWS, seed: int = 7)
     own = np.full(PLACES, -1, np.int32)
     own[terms] = np.arange(len(terms))
     keep = own[places] >= 0
-    there = np.zeros((len(at), len(terms)), np.float32)
+    there = np.zeros((len(at), len(terms)), np.uint8)
     there[row[keep], own[places[keep]]] = 1
     least = LEAST_DEVIANCE + 2 * np.log(len(terms) ** 2 / 2)  # more pairs, more chance meetings
     found: set[int] = set()
-    for a in range(0, len(terms), 256):
-        left = there[:, a : a + 256]
-        n, seen, expected = ((left * c.astype(np.float32)[:, None]).T @ there for c in (w, w * y, w * p[at]))
-        far = deviance(seen.astype(float), expected.astype(float), n.astype(float)) >= least
-        i, j = np.nonzero(far)
-        i += a
-        found.update(*(x[i != j].tolist() for x in (i, j)))
+    for b in range(0, len(terms), 512):  # block by block, so that only bytes are held of all terms
+        right = there[:, b : b + 512].astype(np.float32)
+        for a in range(0, len(terms), 256):
+            left = there[:, a : a + 256].astype(np.float32)
+            n, seen, expected = ((left * c.astype(np.float32)[:, None]).T @ right for c in (w, w * y, w * p[at]))
+            far = deviance(seen.astype(float), expected.astype(float), n.astype(float)) >= least
+            i, j = np.nonzero(far)
+            i += a
+            j += b
+            found.update(*(x[i != j].tolist() for x in (i, j)))
     return terms[sorted(found)]
 
 
@@ -313,9 +318,11 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Places()
         for batch in batches:
-            rows = [features(t.as_py(), memory) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array([p.tobytes() for p, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "y", "places", "values"])
+            for start in range(0, batch.num_rows, HANDED):
+                part = batch.slice(start, HANDED)
+                rows = [features(t.as_py(), memory) for t in part.column(2)]
+                columns = [part.column(0), part.column(1), pa.array([p.tobytes() for p, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["at", "y", "places", "values"])
 
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(sample), "_id")
     found = chosen.select(F.xxhash64("_id").alias("at"), F.col("y").cast("int"), "t").mapInArrow(work, "at long, y int, places binary, values binary")
