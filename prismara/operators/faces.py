@@ -11,7 +11,7 @@ wider one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -114,9 +114,11 @@ def solved(px: np.ndarray, py: np.ndarray, d2: np.ndarray, epsilon: float = geo.
     return np.divide(w, total, out=np.zeros_like(w), where=total != 0)
 
 
-def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: bool = False, margins: tuple[int, ...] = MARGINS, keys: Sequence[str] = (), rounds: list[DataFrame] | None = None) -> DataFrame:
+def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: bool = False, margins: tuple[int, ...] = MARGINS, keys: Sequence[str] = (), rounds: list[DataFrame] | None = None, solve: bool = True) -> DataFrame:
     """``keys``, ``face``, ``row``, ``col``, ``src``, ``d2``, ``w``: neighbours (``v`` * ``width`` + ``u``), squared distances, weights.
 
+    Without ``solve``, ``px`` and ``py`` of the neighbours in place of ``w``.
+
     Targets whose weights are all 0 are left out unless ``everywhere``; then
     margins grow until every target is served. A face with fewer points than
     neighbours is an error. ``keys`` tell lenses apart; ``width`` may be a
@@ -128,7 +130,8 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
     if scarce:
         raise ValueError(f"fewer than {NEIGHBOURS} source pixels meet {', '.join(sorted(r.face for r in scarce))}")
     of_lens = "".join(f"`{k}` {ties_.schema[k].dataType.simpleString()}, " for k in keys)
-    schema = f"{of_lens}face string, row int, col int, src array<long>, d2 array<double>, w array<double>, done boolean"
+    found_ = ("d2", "w") if solve else ("d2", "px", "py")
+    schema = f"{of_lens}face string, row int, col int, src array<long>, {''.join(f'{c} array<double>, ' for c in found_)}done boolean"
     points = ties_.select(*keys, "face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
     reach = [*margins, *([face_width + 2 * PAD] * everywhere)] if margins[-1] < face_width else [m for m in margins if m < face_width] + [face_width + 2 * PAD]
 
@@ -165,13 +168,15 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
         def packed(of: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             """The recipes of tiles: ``of`` has a row for each."""
             row, col, src, px, py, d2, row_left, col_left = (np.concatenate(x) for x in zip(*found, strict=True))
-            w = np.concatenate([solved(px[i], py[i], d2[i]) for i in np.array_split(np.arange(len(row)), max(1, len(row) // 20_000))])
+            values = {"d2": d2, "px": px, "py": py}
+            if solve:
+                values["w"] = np.concatenate([solved(px[i], py[i], d2[i]) for i in np.array_split(np.arange(len(row)), max(1, len(row) // 20_000))])
             n, m = len(row), len(row_left)
             tile_of = np.concatenate([np.repeat(np.arange(len(found)), [len(f[k]) for f in found]) for k in (0, 6)])
             lists = lambda x, t: pa.concat_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), t), NEIGHBOURS).cast(pa.list_(t)), pa.nulls(m, pa.list_(t))])
             names = [*keys, "face"]
-            columns = [*of.select(names).take(pa.array(tile_of)).columns, pa.array(np.r_[row, row_left], pa.int32()), pa.array(np.r_[col, col_left], pa.int32()), lists(src, pa.int64()), lists(d2, pa.float64()), lists(w, pa.float64()), pa.array([True] * n + [False] * m)]
-            return pa.RecordBatch.from_arrays(columns, names=[*names, "row", "col", "src", "d2", "w", "done"])
+            columns = [*of.select(names).take(pa.array(tile_of)).columns, pa.array(np.r_[row, row_left], pa.int32()), pa.array(np.r_[col, col_left], pa.int32()), lists(src, pa.int64()), *(lists(values[c], pa.float64()) for c in found_), pa.array([True] * n + [False] * m)]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "row", "col", "src", *found_, "done"])
 
         def alone(points_: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             found, since, waiting = [], 0, 0
@@ -185,7 +190,7 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
         def together(points_: pa.Table, wanted_: pa.Table) -> pa.Table:
             if points_.num_rows and wanted_.num_rows:
                 return pa.Table.from_batches([packed(points_.slice(0, 1).combine_chunks().to_batches()[0], [done(points_, wanted_)])])
-            return pa.schema([*(points_.schema.field(k) for k in keys), ("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), ("d2", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("done", pa.bool_())]).empty_table()
+            return pa.schema([*(points_.schema.field(k) for k in keys), ("face", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("src", pa.list_(pa.int64())), *((c, pa.list_(pa.float64())) for c in found_), ("done", pa.bool_())]).empty_table()
 
         dealt = points.select(*keys, "face", "src", "px", "py", tiles("px").alias("tx")).select("*", tiles("py").alias("ty"))
         if left is None:
@@ -222,36 +227,51 @@ def recipe(ties_: DataFrame, face_width: int, width: int | Column, everywhere: b
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def eliminated(rows: Column, n: int) -> Column:
-    """The last column of a system of ``n`` equations (an array of arrays of ``n`` + 1) after Gauss-Jordan elimination, pivots in order."""
+    """The last column of a system of ``n`` equations (an array of arrays of ``n`` + 1) after Gauss-Jordan elimination, pivots in order.
+
+    A step leaves the column of its pivot out, which no later one reads.
+    """
 
     def step(a: Column, k: Column) -> Column:
         pivot = F.element_at(a, k)
-        scale = F.element_at(pivot, k)
-        scaled = F.transform(pivot, lambda z: z / scale)
-        return F.transform(a, lambda r, i: F.when(i + 1 == k, scaled).otherwise(F.zip_with(r, scaled, lambda z, p: z - F.element_at(r, k) * p)))
+        scaled = F.transform(F.slice(pivot, 2, n), lambda z: z / F.get(pivot, F.lit(0)))
+        others = lambda s: F.transform(a, lambda r, i: F.when(i + 1 == k, s).otherwise(F.transform(s, lambda p, j: F.get(r, j + 1) - F.get(r, F.lit(0)) * p)))
+        return bound(scaled, others)
 
-    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(n)), rows, step), lambda r: F.element_at(r, n + 1))
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(n)), rows, step), lambda r: F.get(r, F.lit(0)))
 
 
 def column_weights(points: Column, n: int = NEIGHBOURS, epsilon: float = geo.EPSILON) -> Column:
     """What ``solved`` computes, as a column of an array of ``n`` structs ``px``, ``py``, ``d2``: weights that add up to 1, or are all 0."""
     e = epsilon * epsilon
 
-    def row(p: Column, i: Column) -> Column:
-        apart = F.transform(points, lambda q, j: F.exp(-e * ((p["px"] - q["px"]) * (p["px"] - q["px"]) + (p["py"] - q["py"]) * (p["py"] - q["py"]))) + F.when(i == j, RIDGE).otherwise(0.0))
+    def row(of: Column, p: Column, i: Column) -> Column:
+        apart = F.transform(of, lambda q, j: F.exp(-e * ((p["px"] - q["px"]) * (p["px"] - q["px"]) + (p["py"] - q["py"]) * (p["py"] - q["py"]))) + F.when(i == j, RIDGE).otherwise(0.0))
         return F.concat(apart, F.array(F.exp(-e * p["d2"])))
 
-    w = eliminated(F.transform(points, row), n)
+    w = eliminated(bound(points, lambda of: F.transform(of, lambda p, i: row(of, p, i))), n)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, z: a + z)
-    return F.transform(F.array(w), lambda x: F.transform(x, lambda z: F.coalesce(F.try_divide(z, total(x)), F.lit(0.0))))[0]
+    return bound(w, lambda x: bound(total(x), lambda t: F.transform(x, lambda z: F.coalesce(F.try_divide(z, t), F.lit(0.0)))))
 
 
-def recipe_by_columns(neighbours: DataFrame, ties_: DataFrame, width: int | Column, keys: Sequence[str] = ()) -> DataFrame:
-    """``keys``, ``face``, ``row``, ``col``, ``src``, ``w``: weights of known neighbours (see :func:`recipe`), by joins and column functions alone."""
+def recipe_by_columns(neighbours: DataFrame, ties_: DataFrame | None, width: int | Column | None, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys``, ``face``, ``row``, ``col``, ``src``, ``w``: weights of known neighbours (see :func:`recipe`), by joins and column functions alone.
+
+    Neighbours that hold ``px`` and ``py`` stay where they are, and nothing is
+    shuffled; those of others are looked up among ``ties_``.
+    """
     target = [*keys, "face", "row", "col"]
-    points = ties_.select(*keys, "face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
-    each = neighbours.select(*target, F.posexplode(F.arrays_zip("src", "d2")).alias("k", "n")).select(*target, "k", "n.src", "n.d2")
-    # Points grow with the lenses: merged, so that no side passes through the driver.
-    lists = each.join(points.hint("merge"), [*keys, "face", "src"]).groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("k", "src", "px", "py", "d2"))).alias("n"))
-    return lists.where(F.col("n")[0]["d2"] <= REACH**2).select(*target, F.col("n.src").alias("src"), column_weights(F.col("n")).alias("w"))
+    if "px" in neighbours.columns:
+        placed = neighbours.select(*target, "src", F.arrays_zip("px", "py", "d2").alias("n"))
+    else:
+        points = ties_.select(*keys, "face", (F.col("v").cast("long") * width + F.col("u")).alias("src"), "px", "py")
+        each = neighbours.select(*target, F.posexplode(F.arrays_zip("src", "d2")).alias("k", "n")).select(*target, "k", "n.src", "n.d2")
+        # Points grow with the lenses: merged, so that no side passes through the driver.
+        placed = each.join(points.hint("merge"), [*keys, "face", "src"]).groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("k", "src", "px", "py", "d2"))).alias("n")).select(*target, "n.src", "n")
+    return placed.where(F.col("n")[0]["d2"] <= REACH**2).select(*target, "src", column_weights(F.col("n")).alias("w"))

@@ -476,8 +476,8 @@ def _lens_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.ties(_lens_projected(spark, sf_dir), FACE, keys=_WIDE)
 
 
-def _lens_recipes(spark: SparkSession, sf_dir: str, everywhere: bool = False) -> DataFrame:
-    return faces.recipe(_lens_ties(spark, sf_dir), FACE, F.col("width"), everywhere=everywhere, keys=_WIDE)
+def _lens_recipes(spark: SparkSession, sf_dir: str, everywhere: bool = False, solve: bool = True) -> DataFrame:
+    return faces.recipe(_lens_ties(spark, sf_dir), FACE, F.col("width"), everywhere=everywhere, keys=_WIDE, solve=solve)
 
 
 @query(f"SELECT lens_id, v, u, face, {_r('atan(a)', 'a')}, {_r('atan(b)', 'b')} FROM {_projected(_LENSES)}")
@@ -511,8 +511,8 @@ def rbf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL["rbf_weights"])
 def rbf_weights_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same weights without Python: nine pivots in higher-order functions."""
-    r = faces.recipe_by_columns(_lens_recipes(spark, sf_dir), _lens_ties(spark, sf_dir), F.col("width"), _WIDE)
+    """The same weights, solved without Python: nine pivots in higher-order functions."""
+    r = faces.recipe_by_columns(_lens_recipes(spark, sf_dir, solve=False), None, None, _WIDE)
     return rounded(r.select("lens_id", "face", "row", "col", F.explode(F.arrays_zip("src", "w")).alias("n")).select("lens_id", "face", "row", "col", "n.src", "n.w"), "w")
 
 

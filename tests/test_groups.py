@@ -56,3 +56,23 @@ def test_points_do_not_pass_through_the_driver(spark):
     r = faces.recipe(catalog._some_ties(spark, fixtures.LENS.scaled(24), 8), 8, 24)
     found = plan(faces.recipe_by_columns(r, catalog._some_ties(spark, fixtures.LENS.scaled(24), 8), 24))
     assert "Join" in found and "BroadcastHashJoin" not in found
+
+
+def test_weights_by_columns_shuffle_no_neighbours(spark):
+    found = {name: plan(catalog.QUERIES[name](spark, SF)) for name in ("rbf_weights", "rbf_weights_by_columns")}
+    assert "Join" not in found["rbf_weights_by_columns"] and "collect_list" not in found["rbf_weights_by_columns"]
+    assert found["rbf_weights_by_columns"].count("Exchange") == found["rbf_weights"].count("Exchange")
+
+
+@pytest.mark.parametrize("margins", [faces.MARGINS, (2, 4)])
+def test_neighbours_with_places_give_the_same_weights(spark, margins):
+    ties = catalog._some_ties(spark, fixtures.LENS.scaled(24), 10).persist()
+    rows = lambda df: {(r.face, r.row, r.col): r for r in df.collect()}
+    solved, placed = (faces.recipe(ties, 10, 24, everywhere=True, margins=margins, solve=x) for x in (True, False))
+    want, got = rows(solved), rows(placed)
+    assert placed.columns == ["face", "row", "col", "src", "d2", "px", "py"] and set(got) == set(want) and len(want) == 500
+    assert all(got[k].src == want[k].src and got[k].d2 == want[k].d2 and np.allclose((np.array(r.px) - r.col) ** 2 + (np.array(r.py) - r.row) ** 2, r.d2) for k, r in got.items())
+    here, looked_up = rows(faces.recipe_by_columns(placed, None, None)), rows(faces.recipe_by_columns(solved, ties, 24))
+    assert here == looked_up and set(here) == {k for k, r in want.items() if r.d2[0] <= faces.REACH**2}
+    assert all(r.src == want[k].src and np.allclose(r.w, want[k].w, atol=1e-6) for k, r in here.items())
+    ties.unpersist()
