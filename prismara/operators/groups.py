@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -34,7 +35,8 @@ def whole(df: DataFrame, keys: Sequence[str], work: Callable[[pa.RecordBatch, np
 
     A call takes as many groups as end in a batch of Arrow rows, so that small
     ones cost no exchange with a worker each; of a large one no more is held
-    than of a group alone.
+    than of a group alone. Rows that are dealt by some of ``keys`` already are
+    not shuffled.
     """
 
     def batches_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +49,7 @@ def whole(df: DataFrame, keys: Sequence[str], work: Callable[[pa.RecordBatch, np
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.select(columns)
             if held and any(differing(held[-1].column(k).slice(held[-1].num_rows - 1), batch.column(k).slice(0, 1))[0] for k in keys):
                 yield from done(held)
                 held = []
@@ -58,4 +61,7 @@ def whole(df: DataFrame, keys: Sequence[str], work: Callable[[pa.RecordBatch, np
         if held:
             yield from done(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(batches_of_groups, schema)
+    columns = df.columns
+    # A window brings groups together and sorts them as repartition would, but shuffles only what is not dealt by keys.
+    group = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("_rows", F.count(F.lit(1)).over(group)).mapInArrow(batches_of_groups, schema)

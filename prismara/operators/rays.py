@@ -70,15 +70,16 @@ def lens_undistorted(lenses: DataFrame, keys: Sequence[str] = LENS_KEY) -> DataF
     return _undistorted(lens_pixels(lenses, keys), _of_row(), [*keys, *CARRIED]).drop(*CARRIED)
 
 
-def lens_rays(lenses: DataFrame, keys: Sequence[str] = LENS_KEY) -> DataFrame:
+def lens_rays(lenses: DataFrame, keys: Sequence[str] = LENS_KEY, together: bool = False) -> DataFrame:
     """``keys``, ``v``, ``u``, ``x``, ``y``, ``z``: the unit ray of every pixel of every lens.
 
     ``lenses`` has a row for each lens: ``model`` (pinhole, equidistant,
     equisolid, equirectangular) and the parameters of ``geo.Calibration``;
     ``keys`` tell lenses apart. An unknown model fails the query; a lens whose
     size is null or not positive has no pixels. Further columns are not read.
+    ``together`` as in :func:`lens_pixels`.
     """
-    d = _undistorted(lens_pixels(lenses, keys), _of_row(), [*keys, "lens_model", *CARRIED])
+    d = _undistorted(lens_pixels(lenses, keys, together=together), _of_row(), [*keys, "lens_model", *CARRIED])
     ray = geo.ray_by(*(F.col(c) for c in ("lens_model", "x", "y", "u", "v", "lens_width", "lens_height")))
     return d.select(*keys, "v", "u", once(ray).alias("r")).select(*keys, "v", "u", "r.x", "r.y", "r.z")
 

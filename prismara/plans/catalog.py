@@ -229,8 +229,8 @@ def quat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(q.select("lens_id", "v", "u", geo.unit(F.col("r.x"), F.col("r.y"), F.col("r.z")).alias("r")).select("lens_id", "v", "u", "r.*"), *"xyz")
 
 
-def _lens_angles(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = _ID) -> DataFrame:
-    return rays.with_angles(rays.with_quaternion(rays.lens_rays(fx.lenses(spark, sf_dir), keys)))
+def _lens_angles(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = _ID, together: bool = False) -> DataFrame:
+    return rays.with_angles(rays.with_quaternion(rays.lens_rays(fx.lenses(spark, sf_dir), keys, together)))
 
 
 @query(f"SELECT lens_id, v, u, {_r('theta', 'theta')}, {_r('phi', 'phi')} FROM ({_angles(_LENSES)})")
@@ -469,7 +469,7 @@ _WIDE = ("lens_id", "width")
 
 
 def _lens_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return faces.projected(_lens_angles(spark, sf_dir, _WIDE).where(F.col("theta") <= ANGLE), keys=_WIDE)
+    return faces.projected(_lens_angles(spark, sf_dir, _WIDE, together=True).where(F.col("theta") <= ANGLE), keys=_WIDE)
 
 
 def _lens_ties(spark: SparkSession, sf_dir: str) -> DataFrame:

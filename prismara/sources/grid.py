@@ -22,18 +22,20 @@ def pixels(spark: SparkSession, width: int, height: int) -> DataFrame:
 CARRIED = tuple(f"lens_{k}" for k in PARAMETERS)
 
 
-def lens_pixels(lenses: DataFrame, keys: Sequence[str], band: int = BAND) -> DataFrame:
+def lens_pixels(lenses: DataFrame, keys: Sequence[str], band: int = BAND, together: bool = False) -> DataFrame:
     """``keys``, ``lens_model`` (null without models) and ``lens_`` with each parameter, ``v``, ``u``: a row for each pixel of each lens.
 
     Bands of rows are dealt over the tasks before pixels are generated, so
     that neither one large lens nor many lenses of one partition meet in a
-    task; what is shuffled is a row for each band.
+    task; what is shuffled is a row for each band. With ``together``, for many
+    small lenses, all bands of a lens have one task, so that grouping by
+    ``keys`` and more shuffles no pixels.
     """
     model = F.col("model") if "model" in lenses.columns else F.lit(None).cast("string")
     some = lenses.select(*keys, model.alias("lens_model"), *(F.col(k).alias(c) for k, c in zip(PARAMETERS, CARRIED, strict=True))).where("lens_width > 0 and lens_height > 0")
     kept = some.columns
     bands = some.select("*", F.explode(F.expr(f"sequence(0, cast((lens_height - 1) div {band} as int))")).alias("_band"))
     # A stated number of partitions, since adaptive execution would put bands, which are small, into one.
-    bands = bands.repartition(int(lenses.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_band")
+    bands = bands.repartition(int(lenses.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *([] if together else ["_band"]))
     lines = bands.select(*kept, F.explode(F.expr(f"sequence(_band * {band}, least(cast(lens_height as int), (_band + 1) * {band}) - 1)")).alias("v"))
     return lines.select(*kept, "v", F.explode(F.expr("sequence(0, cast(lens_width as int) - 1)")).alias("u"))

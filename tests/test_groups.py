@@ -76,3 +76,29 @@ def test_neighbours_with_places_give_the_same_weights(spark, margins):
     assert here == looked_up and set(here) == {k for k, r in want.items() if r.d2[0] <= faces.REACH**2}
     assert all(r.src == want[k].src and np.allclose(r.w, want[k].w, atol=1e-6) for k, r in here.items())
     ties.unpersist()
+
+
+@pytest.mark.parametrize("name", ["knn9", "rbf_weights", "rbf_weights_by_columns"])
+def test_points_of_small_lenses_are_not_shuffled(spark, name):
+    found = plan(catalog.QUERIES[name](spark, SF)).splitlines()
+    assert any("Exchange" in x for x in found) and not any("Exchange" in x and "face" in x for x in found)
+
+
+def test_groups_are_shuffled_only_if_they_are_not_dealt_already(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b"), "id")
+    alike = lambda rows, starts: [pa.RecordBatch.from_arrays([pa.array(np.diff(starts)), rows.column("a").take(pa.array(starts[:-1]))], names=["n", "a"])]
+    for dealt, exchanges in ((df, 1), (df.repartition(3, "a"), 1), (df.repartition(3, "id"), 2)):
+        got = whole(dealt, ["a", "b"], alike, "n long, a long")
+        assert plan(got).count("Exchange") == exchanges
+        assert sorted((r.a, r.n) for r in got.collect()) == sorted((a, sum(i % 7 == a and i % 3 == b for i in range(100))) for a in range(7) for b in range(3))
+
+
+def test_bands_of_a_lens_can_share_a_task(spark):
+    from prismara.sources import grid
+
+    table = spark.createDataFrame([(k, 3, 40) for k in range(9)], "lens_id int, width int, height int")
+    table = table.withColumns({c: F.lit(0.0) for c in grid.PARAMETERS if c not in table.columns})
+    for together in (False, True):
+        px = grid.lens_pixels(table, ["lens_id"], band=4, together=together).select("lens_id", F.spark_partition_id().alias("task"))
+        tasks = px.groupBy("lens_id").agg(F.countDistinct("task").alias("n"), F.count(F.lit(1)).alias("pixels")).collect()
+        assert {r.pixels for r in tasks} == {120} and len(tasks) == 9 and (max(r.n for r in tasks) == 1) == together
