@@ -4,11 +4,15 @@ Tasks write below a hidden folder of the write, each attempt in a folder of
 its own, and tell the driver which. When all tasks have succeeded, the files
 of the attempts that count are moved to their names; when the write fails, the
 hidden folder goes. So a task that is killed or runs twice leaves nothing, and
-a failed job leaves no file. Any file system that Arrow reaches will do.
+a failed job leaves no file. Any file system that Arrow reaches will do. Tasks
+may still run when a write has failed; they make no folder anew, so that they
+fail too. (Object stores have no folders: there a task that is killed after
+that may leave the file that it was writing.)
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 FORMAT, HIDDEN = "named_files", "_writing"
+#: How often the hidden folder is removed while tasks that still run add files, and the seconds in between.
+TRIES, PAUSE = 200, 0.05
 
 
 @dataclass
@@ -37,9 +43,12 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class NamedFilesWriter(DataSourceArrowWriter):
-    def __init__(self, root: str):
+    """``hidden`` names a folder of the write that is there already; else the first file of each attempt makes it."""
+
+    def __init__(self, root: str, hidden: str | None = None):
         self.root = root.rstrip("/")
-        self.hidden = f"{HIDDEN}-{uuid.uuid4().hex}"
+        self.there = hidden is not None
+        self.hidden = hidden or f"{HIDDEN}-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         system, root = file_system(self.root)
@@ -47,9 +56,15 @@ class NamedFilesWriter(DataSourceArrowWriter):
         for batch in iterator:
             for name, data in zip(batch.column("name"), batch.column("data"), strict=True):
                 to = f"{root}/{folder}/{_inside(name.as_py())}"
-                if dirname(to) not in made:
-                    system.create_dir(dirname(to), recursive=True)
-                    made.add(dirname(to))
+                if not made:
+                    system.create_dir(f"{root}/{folder}", recursive=not self.there)
+                    made.add(f"{root}/{folder}")
+                missing = []
+                while (above := dirname(missing[-1] if missing else to)) not in made:
+                    missing.append(above)
+                for level in reversed(missing):
+                    system.create_dir(level, recursive=False)
+                    made.add(level)
                 with system.open_output_stream(to, compression=None) as out:
                     out.write(data.as_buffer())
                 files += 1
@@ -73,8 +88,15 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def _clear(self) -> None:
         system, root = file_system(self.root)
-        if system.get_file_info(f"{root}/{self.hidden}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{root}/{self.hidden}")
+        for left in reversed(range(TRIES)):
+            if system.get_file_info(f"{root}/{self.hidden}").type == fs.FileType.NotFound:
+                return
+            try:
+                system.delete_dir(f"{root}/{self.hidden}")
+            except OSError:  # a task has added a file meanwhile
+                if not left:
+                    raise
+                time.sleep(PAUSE)
 
 
 def _inside(name: str | None) -> str:
@@ -95,7 +117,7 @@ class NamedFiles(DataSource):
             raise ValueError(f"{FORMAT} needs a path")
         if not {"name", "data"} <= set(schema.names):
             raise ValueError(f"{FORMAT} needs the columns name and data")
-        return NamedFilesWriter(self.options["path"])
+        return NamedFilesWriter(self.options["path"], self.options.get("hidden"))
 
 
 def write_named(files: DataFrame, root: str) -> None:
@@ -109,4 +131,11 @@ def write_named(files: DataFrame, root: str) -> None:
 
     files.sparkSession.dataSource.register(NamedFiles)
     empty = F.coalesce(F.col("data").cast("binary"), F.lit(b""))
-    files.select("name", empty.alias("data")).write.format(FORMAT).mode("append").option("path", root).save()
+    rows = files.select("name", empty.alias("data"))
+    writer = NamedFilesWriter(root, f"{HIDDEN}-{uuid.uuid4().hex}")
+    system, path = file_system(writer.root)
+    system.create_dir(f"{path}/{writer.hidden}", recursive=True)
+    try:
+        rows.write.format(FORMAT).mode("append").option("path", root).option("hidden", writer.hidden).save()
+    finally:
+        writer.abort([])

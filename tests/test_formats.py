@@ -200,6 +200,52 @@ def test_attempts_that_do_not_count_leave_nothing(tmp_path):
     assert listed(tmp_path) == ["a/b"] and (tmp_path / "a/b").read_bytes() == b"kept"
 
 
+@pytest.mark.parametrize("there", [False, True])
+def test_attempts_that_go_on_after_a_failure_leave_nothing(tmp_path, there):
+    import pyarrow as pa
+
+    w = sink.NamedFilesWriter(str(tmp_path), *(["_writing-x"] if there else []))
+    (tmp_path / w.hidden).mkdir()
+    batch = lambda name: pa.RecordBatch.from_pydict({"name": [name], "data": [b"x"]})
+
+    def goes_on():
+        yield batch("a/b")
+        w.abort([])
+        yield batch("c/d")
+
+    with pytest.raises(OSError):
+        w.write(goes_on())
+    if there:
+        with pytest.raises(OSError):
+            w.write(iter([batch("late")]))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_a_folder_is_removed_while_files_are_added(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    class Busy:
+        """The first two tries meet a file that was added after the folder was listed."""
+
+        def __init__(self):
+            self.real, self.tries = fs.LocalFileSystem(), 0
+
+        def delete_dir(self, path):
+            self.tries += 1
+            if self.tries < 3:
+                raise OSError("not empty")
+            self.real.delete_dir(path)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    w, busy = sink.NamedFilesWriter(str(tmp_path)), Busy()
+    (tmp_path / w.hidden / "a").mkdir(parents=True)
+    monkeypatch.setattr(sink, "file_system", lambda path: (busy, path))
+    w.abort([])
+    assert list(tmp_path.iterdir()) == [] and busy.tries == 3
+
+
 # Geometry files
 
 
